@@ -220,7 +220,7 @@ def subreddit_upsert(front_names: DataFrame, subreddit: DataFrame, abouts: DataF
           for c in subreddit.columns],
         F.when(F.col("_hit"), F.lit("seen")).alias("action"))
     new_names = names.join(subreddit.select("name"), "name", "left_anti")
-    fresh = abouts.join(new_names, "name", "inner")
+    fresh = abouts.filter(F.col("status") == 200).join(new_names, "name", "inner")
     max_id = subreddit.select(F.coalesce(F.max("id"), F.lit(-1))).scalar()  # scalar subquery
     from storytrack.operators.ordering import global_index
     fresh = global_index(fresh, [F.col("name")], "_i").withColumn("_max", max_id)
@@ -237,7 +237,8 @@ def subreddit_history_append(stale: DataFrame, abouts: DataFrame, as_of=AS_OF,
     """K8 + ST8: one sample per stale subreddit stamped ``as_of``. A forbidden (403) about
     record skips the subreddit; any other non-200 status raises when ``strict``."""
     now = X.as_ts(as_of)
-    j = stale.select(F.col("id").alias("subreddit"), "name").join(abouts, "name", "inner")
+    fetched = abouts.drop("name").withColumnRenamed("requested", "name")
+    j = stale.select(F.col("id").alias("subreddit"), "name").join(fetched, "name", "inner")
     if strict:
         j = j.withColumn("_chk", F.when(~F.col("status").isin(200, 403),
                                         F.raise_error(F.lit("about fetch failed")))).drop("_chk")

@@ -287,3 +287,328 @@ FROM hist h JOIN story s ON h.story = s.id""")
 def q_history_offsets(spark, d):
     out = H.history_offsets(T.story_history(spark, d, with_hotness=False), T.stories(spark, d))
     return out.select("story", "timestamp", "tie1", "tie2", "tie3", "offset_s")
+
+
+# -- M3: payloads, paging, de-dup, feed union ----------------------------------------
+
+def _pages(spark, d):
+    return T.landed_listing_pages(spark, d)
+
+
+@register("parse_listing", with_tables("obs") + """
+, pg AS (SELECT feed, page, tick, arrival, kind,
+                'Listing' AS env_kind,
+                't3_' || arg_max(short_id, pos) OVER (PARTITION BY feed, page) AS after,
+                CAST(row_number() OVER (PARTITION BY feed, page ORDER BY pos) - 1 AS INTEGER) AS pos
+         FROM obs)
+SELECT feed, page, tick, '' AS before, after, pos, kind FROM pg""")
+def q_parse_listing(spark, d):
+    return P.parse_listing(_pages(spark, d)).select("feed", "page", "tick", "before", "after", "pos", "kind")
+
+
+@register("parse_thing", with_tables("parsed") + """
+SELECT feed, page, pos, short_id AS id, title, subreddit_name AS subreddit FROM parsed""")
+def q_parse_thing(spark, d):
+    things = P.parse_things(P.parse_listing(_pages(spark, d)))
+    return things.select("feed", "page", "pos", F.col("thing.id").alias("id"), F.col("thing.title").alias("title"),
+                         F.col("thing.subreddit").alias("subreddit"))
+
+
+@register("parse_rejects", with_tables("parsed") + """
+SELECT feed, page, pos, kind, 'wrong_kind' AS reason FROM parsed_all WHERE kind <> 't3'""")
+def q_parse_rejects(spark, d):
+    return P.thing_rejects(P.parse_listing(_pages(spark, d))).select("feed", "page", "pos", "kind", "reason")
+
+
+STORY_PROJ = ["feed", "page", "pos", "tick", "short_id", "title", "author", "created_at", "domain", "comments",
+              "gilded", "score", "hotness", "permalink", "selftext", "subreddit_name", "thumbnail", "url",
+              "distinguished", "is_self", "over18", "stickied"]
+
+
+@register("story_projection", with_tables("parsed") + f"""
+SELECT {', '.join('round(hotness, 6) AS hotness' if c == 'hotness' else c for c in STORY_PROJ)} FROM parsed""")
+def q_story_projection(spark, d):
+    return P.parse_story_pages(_pages(spark, d)).select(
+        *[r6("hotness").alias("hotness") if c == "hotness" else F.col(c) for c in STORY_PROJ])
+
+
+SUB_PROJ = ["name", "status", "reddit_short_id", "title", "summary", "description", "subreddit_type",
+            "submission_type", "url", "created", "comment_hide_mins", "active", "subscribers", "over18"]
+
+
+@register("subreddit_projection", with_tables("abouts") + f"""
+SELECT {', '.join(SUB_PROJ)} FROM abouts""")
+def q_subreddit_projection(spark, d):
+    return P.parse_about(T.landed_subreddit_abouts(spark, d, AS_OF)).select(*SUB_PROJ)
+
+
+PAGED_SQL = """
+, firsts AS (SELECT feed, short_id, arg_min(page, page * 1000 + pos) AS page, arg_min(pos, page * 1000 + pos) AS pos
+             FROM parsed GROUP BY feed, short_id),
+growing AS (SELECT DISTINCT feed, page FROM firsts),
+allpages AS (SELECT DISTINCT feed, page FROM parsed),
+stalled AS (SELECT a.feed, min(a.page) AS stop FROM allpages a LEFT JOIN growing g USING (feed, page)
+            WHERE g.page IS NULL GROUP BY a.feed),
+kept AS (SELECT f.* FROM firsts f LEFT JOIN stalled s USING (feed) WHERE s.stop IS NULL OR f.page < s.stop),
+ranked AS (SELECT feed, row_number() OVER (PARTITION BY feed ORDER BY page, pos) AS rank, page, pos, short_id FROM kept)
+"""
+
+
+@register("paged_listing", with_tables("parsed") + PAGED_SQL + """
+SELECT feed, rank, page, pos, short_id FROM ranked WHERE rank <= 250""")
+def q_paged_listing(spark, d):
+    return M.paged_listing(P.parse_story_pages(_pages(spark, d)), 250)
+
+
+@register("front_page_subreddits", with_tables("parsed") + PAGED_SQL + """
+, front AS (SELECT r.short_id, r.rank FROM ranked r WHERE r.feed = 'hot' AND r.rank <= 300),
+named AS (SELECT DISTINCT p.short_id, p.subreddit_name FROM parsed p WHERE p.feed = 'hot')
+SELECT DISTINCT n.subreddit_name AS name FROM front f JOIN named n USING (short_id)""")
+def q_front_page(spark, d):
+    return _front_names(spark, d)
+
+
+def _front_names(spark, d):
+    parsed = P.parse_story_pages(_pages(spark, d))
+    hot = parsed.filter(F.col("feed") == "hot")
+    front = M.paged_listing(hot, 300)
+    names = hot.select("short_id", "subreddit_name").distinct()
+    return M.front_page_subreddits(front.join(names, "short_id"), 300)
+
+
+@register("stories_by_id", with_tables("parsed", "story") + """
+, hits AS (SELECT p.*, row_number() OVER (PARTITION BY short_id ORDER BY tick DESC, page DESC, pos DESC, feed DESC) AS rn
+           FROM parsed p WHERE short_id IN (SELECT reddit_short_id FROM story))
+SELECT short_id, tick, feed, page, pos, score, comments, gilded, round(hotness, 6) AS hotness FROM hits WHERE rn = 1""")
+def q_stories_by_id(spark, d):
+    landed = jobs.landed_snapshot(_pages(spark, d))
+    ids = T.stories(spark, d).select(F.col("reddit_short_id").alias("short_id"))
+    out = M.stories_by_id(landed, ids)
+    return out.select("short_id", "tick", "feed", "page", "pos", "score", "comments", "gilded",
+                      r6("hotness").alias("hotness"))
+
+
+@register("dedup_first_seen", with_tables("obs") + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY feed, tick, short_id ORDER BY page, pos) AS rn,
+               count(*) OVER (PARTITION BY feed, tick, short_id) AS copies FROM obs WHERE kind = 't3')
+SELECT feed, tick, short_id, page, pos, arrival, score, copies FROM r WHERE rn = 1""")
+def q_dedup_first(spark, d):
+    obs = T.feed_observations(spark, d).filter(F.col("kind") == "t3")
+    out = M.dedup_first_seen(obs.select("feed", "tick", "short_id", "page", "pos", "arrival", "score"))
+    return out.select("feed", "tick", "short_id", "page", "pos", "arrival", "score", "copies")
+
+
+@register("dedup_last_wins", with_tables("obs") + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY tick, short_id ORDER BY arrival DESC) AS rn FROM obs WHERE kind = 't3')
+SELECT tick, short_id, arrival, feed, score FROM r WHERE rn = 1""")
+def q_dedup_last(spark, d):
+    obs = T.feed_observations(spark, d).filter(F.col("kind") == "t3")
+    out = M.dedup_last_wins(obs.select("tick", "short_id", "arrival", "feed", "score"), keys=("tick", "short_id"))
+    return out.select("tick", "short_id", "arrival", "feed", "score")
+
+
+@register("union_feeds", with_tables("feedu") + """
+SELECT tick, short_id, feed, page, pos, score, round(hotness, 6) AS hotness, in_new FROM feedu""")
+def q_union_feeds(spark, d):
+    parsed = P.parse_story_pages(_pages(spark, d)).drop("before", "after", "kind")
+    out = M.union_feeds(parsed)
+    return out.select("tick", "short_id", "feed", "page", "pos", "score", r6("hotness").alias("hotness"), "in_new")
+
+
+@register("name_list", with_tables("sub") + f"""
+, r AS (SELECT name, (row_number() OVER (ORDER BY name) - 1) // 100 AS batch FROM sub
+        WHERE seen_at > {minus_s(SQL_AS_OF, '10800')})
+SELECT batch, count(*) AS n_names, string_agg(name, '+' ORDER BY name) AS names FROM r GROUP BY batch""")
+def q_name_list(spark, d):
+    recent = sel.subreddits_recently_seen(T.subreddits(spark, d), AS_OF)
+    return X_name_lists(recent)
+
+
+def X_name_lists(subs: DataFrame, per_request: int = sel.PAGE_SIZE) -> DataFrame:
+    """X6: '+'-joined names, one list per request of at most ``per_request`` names
+    (name order). Batches come from the global index, so each group is bounded."""
+    b = ordered_batches(subs.select("name"), [F.col("name")], per_request)
+    return (b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_names"),
+                                   F.array_join(F.array_sort(F.collect_list("name")), "+").alias("names")))
+
+
+# -- M4: discovery / update merges ----------------------------------------------------
+
+def _discovery(spark, d):
+    return jobs.discovery(_pages(spark, d), T.stories(spark, d), T.subreddits(spark, d), AS_OF)
+
+
+DISC_SQL = f"""
+, matched AS (SELECT f.*, s.id AS story_id FROM feedu f JOIN story s ON f.short_id = s.reddit_short_id),
+unmatched AS (SELECT f.* FROM feedu f WHERE NOT EXISTS (SELECT 1 FROM story s WHERE s.reddit_short_id = f.short_id)),
+recent AS (SELECT name FROM sub WHERE seen_at > {minus_s(SQL_AS_OF, '10800')}),
+accepted AS (SELECT u.* FROM unmatched u WHERE EXISTS (SELECT 1 FROM recent r WHERE r.name = u.subreddit_name)),
+rejected AS (SELECT u.* FROM unmatched u WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.name = u.subreddit_name)),
+firsts AS (SELECT * FROM (SELECT a.*, row_number() OVER (PARTITION BY short_id ORDER BY tick) AS _r FROM accepted a) WHERE _r = 1),
+newst AS (SELECT (SELECT max(id) FROM story) + row_number() OVER (ORDER BY f.tick, f.short_id) AS id,
+                 f.short_id AS reddit_short_id, sub.id AS subreddit, f.created_at, f.tick AS discovered_at,
+                 f.score, f.comments, f.gilded, f.hotness
+          FROM firsts f JOIN sub ON sub.name = f.subreddit_name),
+samples AS (SELECT story_id AS story, tick AS timestamp, score, comments, gilded, hotness FROM matched
+            UNION ALL
+            SELECT n.id, a.tick, a.score, a.comments, a.gilded, a.hotness
+            FROM accepted a JOIN newst n ON a.short_id = n.reddit_short_id)
+"""
+DISC_TABLES = ("story", "sub", "feedu")
+
+
+@register("scrape_matched", with_tables(*DISC_TABLES) + DISC_SQL + """
+SELECT tick, short_id, story_id, score, comments, gilded, round(hotness, 6) AS hotness FROM matched""")
+def q_scrape_matched(spark, d):
+    m = _discovery(spark, d).matched
+    return m.select("tick", "short_id", "story_id", "score", "comments", "gilded", r6("hotness").alias("hotness"))
+
+
+@register("scrape_unmatched", with_tables(*DISC_TABLES) + DISC_SQL + """
+SELECT tick, short_id, subreddit_name FROM unmatched""")
+def q_scrape_unmatched(spark, d):
+    return _discovery(spark, d).unmatched.select("tick", "short_id", "subreddit_name")
+
+
+@register("guard_accept", with_tables(*DISC_TABLES) + DISC_SQL + """
+SELECT tick, short_id, subreddit_name FROM accepted""")
+def q_guard_accept(spark, d):
+    return _discovery(spark, d).accepted.select("tick", "short_id", "subreddit_name")
+
+
+@register("guard_reject", with_tables(*DISC_TABLES) + DISC_SQL + """
+SELECT tick, short_id, subreddit_name FROM rejected""")
+def q_guard_reject(spark, d):
+    return _discovery(spark, d).rejected.select("tick", "short_id", "subreddit_name")
+
+
+@register("discover_insert", with_tables(*DISC_TABLES) + DISC_SQL + """
+SELECT id, reddit_short_id, subreddit, created_at, discovered_at, score, comments, gilded,
+       round(hotness, 6) AS hotness FROM newst""")
+def q_discover_insert(spark, d):
+    n = _discovery(spark, d).new_stories
+    return n.select("id", "reddit_short_id", "subreddit", "created_at", "discovered_at", "score", "comments",
+                    "gilded", r6("hotness").alias("hotness"))
+
+
+@register("history_append", with_tables(*DISC_TABLES) + DISC_SQL + """
+SELECT story, timestamp, score, comments, gilded, round(hotness, 6) AS hotness FROM samples""")
+def q_history_append(spark, d):
+    smp = _discovery(spark, d).samples
+    return smp.select("story", "timestamp", "score", "comments", "gilded", r6("hotness").alias("hotness"))
+
+
+@register("apply_observations", with_tables(*DISC_TABLES) + DISC_SQL + """
+, newest AS (SELECT * FROM (SELECT story_id, tick AS ts, score, hotness, comments, gilded,
+                                   row_number() OVER (PARTITION BY story_id ORDER BY tick DESC) AS rn FROM matched)
+             WHERE rn = 1)
+SELECT s.id,
+  CASE WHEN n.ts >= s.updated_at THEN n.score ELSE s.score END AS score,
+  round(CASE WHEN n.ts >= s.updated_at THEN n.hotness ELSE s.hotness END, 6) AS hotness,
+  CASE WHEN n.ts >= s.updated_at THEN n.comments ELSE s.comments END AS comments,
+  CASE WHEN n.ts >= s.updated_at THEN n.gilded ELSE s.gilded END AS gilded,
+  CASE WHEN n.ts >= s.updated_at THEN n.ts ELSE s.updated_at END AS updated_at,
+  CASE WHEN n.ts >= s.updated_at THEN n.ts ELSE s.checked_at END AS checked_at
+FROM story s LEFT JOIN newest n ON n.story_id = s.id""")
+def q_apply_observations(spark, d):
+    a = _discovery(spark, d).story_after
+    return a.select("id", "score", r6("hotness").alias("hotness"), "comments", "gilded", "updated_at", "checked_at")
+
+
+UPD_SQL = f"""
+, cand AS (SELECT * FROM story
+           WHERE checked_at <= {minus_s(SQL_AS_OF, '120')} AND discovered_at >= {minus_s(SQL_AS_OF, '172800')}
+           ORDER BY hotness DESC, id ASC LIMIT 400),
+ret AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY short_id
+                                                      ORDER BY tick DESC, page DESC, pos DESC, feed DESC) AS rn
+                       FROM parsed p WHERE short_id IN (SELECT reddit_short_id FROM cand)) WHERE rn = 1),
+outc AS (SELECT c.id, c.reddit_short_id, r.score AS new_score, r.comments AS new_comments, r.gilded AS new_gilded,
+                r.hotness AS new_hotness,
+                CASE WHEN r.score IS NOT NULL THEN 'updated' ELSE 'checked' END AS outcome
+         FROM cand c LEFT JOIN ret r ON r.short_id = c.reddit_short_id)
+"""
+
+
+def _update(spark, d):
+    return jobs.update_pass(T.stories(spark, d), jobs.landed_snapshot(_pages(spark, d)), AS_OF)
+
+
+@register("check_outcomes", with_tables("story", "parsed") + UPD_SQL + """
+SELECT id, reddit_short_id, outcome, new_score, new_comments, new_gilded, round(new_hotness, 6) AS new_hotness
+FROM outc""")
+def q_check_outcomes(spark, d):
+    o = _update(spark, d).outcomes
+    return o.select("id", "reddit_short_id", "outcome", "new_score", "new_comments", "new_gilded",
+                    r6("new_hotness").alias("new_hotness"))
+
+
+@register("update_pass_state", with_tables("story", "parsed") + UPD_SQL + f"""
+SELECT s.id,
+  CASE WHEN o.outcome = 'updated' THEN o.new_score ELSE s.score END AS score,
+  round(CASE WHEN o.outcome = 'updated' THEN o.new_hotness ELSE s.hotness END, 6) AS hotness,
+  CASE WHEN o.outcome = 'updated' THEN {SQL_AS_OF} ELSE s.updated_at END AS updated_at,
+  CASE WHEN o.outcome IS NOT NULL THEN {SQL_AS_OF} ELSE s.checked_at END AS checked_at
+FROM story s LEFT JOIN outc o ON o.id = s.id""")
+def q_update_state(spark, d):
+    a = _update(spark, d).story_after
+    return a.select("id", "score", r6("hotness").alias("hotness"), "updated_at", "checked_at")
+
+
+@register("ordered_batches", with_tables("story") + f"""
+, r AS (SELECT id, row_number() OVER (ORDER BY created_at, id) - 1 AS p FROM story
+        WHERE created_at <= {minus_s(SQL_AS_OF, '172800')})
+SELECT id, p // 50 AS batch, CAST(p % 50 AS INTEGER) AS pos_in_batch FROM r""")
+def q_ordered_batches(spark, d):
+    arch = sel.stories_archivable(T.stories(spark, d), AS_OF).select("id", "created_at")
+    return ordered_batches(arch, [F.col("created_at"), F.col("id")], 50).select("id", "batch", "pos_in_batch")
+
+
+FRONT_SQL = PAGED_SQL + """
+, front AS (SELECT r.short_id, r.rank FROM ranked r WHERE r.feed = 'hot' AND r.rank <= 300),
+named AS (SELECT DISTINCT p.short_id, p.subreddit_name FROM parsed p WHERE p.feed = 'hot'),
+fp AS (SELECT DISTINCT n.subreddit_name AS name FROM front f JOIN named n USING (short_id))
+"""
+
+
+@register("subreddit_upsert", with_tables("parsed", "sub", "abouts") + FRONT_SQL + f"""
+SELECT s.id, s.name, {SQL_AS_OF} AS seen_at, 'seen' AS action FROM sub s WHERE s.name IN (SELECT name FROM fp)
+UNION ALL
+SELECT (SELECT max(id) FROM sub) + row_number() OVER (ORDER BY a.name) AS id, a.name, {SQL_AS_OF} AS seen_at,
+       'inserted' AS action
+FROM abouts a WHERE a.status = 200 AND a.name IN (SELECT name FROM fp) AND a.name NOT IN (SELECT name FROM sub)""")
+def q_subreddit_upsert(spark, d):
+    abouts = P.parse_about(T.landed_subreddit_abouts(spark, d, AS_OF))
+    snap = M.subreddit_upsert(_front_names(spark, d), T.subreddits(spark, d), abouts, AS_OF)
+    return snap.filter(F.col("action").isNotNull()).select("id", "name", "seen_at", "action")
+
+
+@register("subreddit_history_append", with_tables("sub", "abouts") + f"""
+SELECT s.id AS subreddit, s.name, {SQL_AS_OF} AS timestamp, a.subscribers, a.active, a.comment_hide_mins
+FROM sub s JOIN abouts a ON a.name = s.name
+WHERE s.updated_at < {minus_s(SQL_AS_OF, '900')} AND a.status = 200""")
+def q_subreddit_history_append(spark, d):
+    stale = sel.subreddits_stale(T.subreddits(spark, d), AS_OF)
+    abouts = P.parse_about(T.landed_subreddit_abouts(spark, d, AS_OF))
+    return M.subreddit_history_append(stale, abouts, AS_OF)
+
+
+@register("run_counters", with_tables(*DISC_TABLES, "parsed") + DISC_SQL + UPD_SQL + f"""
+SELECT 'feed_stories' AS counter, count(*) AS n FROM feedu
+UNION ALL SELECT 'auto_updated', count(*) FROM matched
+UNION ALL SELECT 'discovered', count(*) FROM newst
+UNION ALL SELECT 'guard_rejected', count(*) FROM rejected
+UNION ALL SELECT 'samples_appended', count(*) FROM samples
+UNION ALL SELECT 'update_checked', count(*) FROM outc
+UNION ALL SELECT 'update_updated', count(*) FROM outc WHERE outcome = 'updated'
+UNION ALL SELECT 'update_bailed', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM cand
+UNION ALL SELECT 'archivable', count(*) FROM story WHERE created_at <= {minus_s(SQL_AS_OF, '172800')}""")
+def q_run_counters(spark, d):
+    disc = _discovery(spark, d)
+    upd = _update(spark, d)
+    bailed = upd.candidates.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 0)
+    return MET.run_counters(
+        ("feed_stories", disc.feed_stories), ("auto_updated", disc.matched), ("discovered", disc.new_stories),
+        ("guard_rejected", disc.rejected), ("samples_appended", disc.samples),
+        ("update_checked", upd.outcomes), ("update_updated", upd.outcomes.filter(F.col("outcome") == "updated")),
+        ("update_bailed", bailed),
+        ("archivable", sel.stories_archivable(T.stories(spark, d), AS_OF)))

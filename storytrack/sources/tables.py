@@ -221,7 +221,7 @@ def landed_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_subreddit_abouts(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
-    """Landed ``about`` payloads (kind t5), one per customer: rows (name, status, value)."""
+    """Landed ``about`` payloads (kind t5), one per customer: rows (requested, status, value)."""
     c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     data = F.struct(
@@ -241,7 +241,7 @@ def landed_subreddit_abouts(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> Da
     )
     status = F.when(F.col("c_nationkey") == 0, F.lit(403)).otherwise(F.lit(200))
     return c.select(
-        F.col("c_name").alias("name"),
+        F.col("c_name").alias("requested"),
         status.alias("status"),
         F.to_json(F.struct(F.lit("t5").alias("kind"), data.alias("data"))).alias("value"))
 
