@@ -612,3 +612,187 @@ def q_run_counters(spark, d):
         ("update_checked", upd.outcomes), ("update_updated", upd.outcomes.filter(F.col("outcome") == "updated")),
         ("update_bailed", bailed),
         ("archivable", sel.stories_archivable(T.stories(spark, d), AS_OF)))
+
+
+# -- M5: archive, cascading deletes -------------------------------------------------
+
+def _archive_run(spark, d, batch_id=None):
+    root = A.scratch_path(spark, "archive")
+    run = jobs.archive(spark, T.stories(spark, d), T.subreddits(spark, d), T.story_history(spark, d),
+                       root, AS_OF, batch_id=batch_id)
+    return root, run
+
+
+ARCH_SQL = f"""
+, doomed AS (SELECT * FROM story WHERE created_at <= {minus_s(SQL_AS_OF, '172800')}),
+agg AS (SELECT story, count(*) AS n_points, min(epoch_ms(timestamp)) AS first_ts, max(epoch_ms(timestamp)) AS last_ts,
+               sum(score) AS score_sum FROM hist GROUP BY story),
+recs AS (SELECT strftime(s.created_at, '%Y-%m-%d') AS archive_date, s.reddit_short_id AS id,
+                epoch_ms(s.created_at) AS "createdAt", sub.name AS subreddit, s.score,
+                COALESCE(a.n_points, 0) AS n_points, a.first_ts, a.last_ts, COALESCE(a.score_sum, 0) AS score_sum
+         FROM doomed s JOIN sub ON s.subreddit = sub.id LEFT JOIN agg a ON a.story = s.id)
+"""
+ARCH_TABLES = ("story", "sub", "hist")
+
+
+@register("archive_records", with_tables(*ARCH_TABLES) + ARCH_SQL + "SELECT * FROM recs")
+def q_archive_records(spark, d):
+    root, _ = _archive_run(spark, d)
+    return A.record_columns(A.read_archive(spark, root))
+
+
+@register("archive_roundtrip", with_tables(*ARCH_TABLES) + ARCH_SQL + """
+SELECT archive_date, id, true AS same FROM recs""")
+def q_archive_roundtrip(spark, d):
+    root, run = _archive_run(spark, d)
+    back = A.read_archive(spark, root).select(
+        "archive_date", F.col("summary.id").alias("id"), F.struct("summary", "history").alias("_b"))
+    mem = A.archive_frame(run.details).select(
+        "archive_date", F.col("summary.id").alias("id"), F.struct("summary", "history").alias("_m"))
+    j = back.join(mem, ["archive_date", "id"], "full_outer")
+    return j.select("archive_date", "id", F.coalesce(F.col("_b") == F.col("_m"), F.lit(False)).alias("same"))
+
+
+@register("archive_day_counts", with_tables(*ARCH_TABLES) + ARCH_SQL + """
+SELECT archive_date, count(*) AS n_records FROM recs GROUP BY archive_date""")
+def q_archive_day_counts(spark, d):
+    doomed = sel.stories_archivable(T.stories(spark, d), AS_OF)
+    hist = T.story_history(spark, d).join(doomed.select(F.col("id").alias("story")), "story", "left_semi")
+    return A.archive_day_counts(H.story_detail(doomed, T.subreddits(spark, d), hist))
+
+
+@register("archive_compact", with_tables(*ARCH_TABLES) + ARCH_SQL + """
+SELECT archive_date, count(*) AS n_records, sum(n_points) AS n_points FROM recs GROUP BY archive_date""")
+def q_archive_compact(spark, d):
+    # An at-least-once run: the same stories archived by two batches (a crash between
+    # write and delete), then compaction keeps one record per story and day.
+    story, sub, hist = T.stories(spark, d), T.subreddits(spark, d), T.story_history(spark, d)
+    root = A.scratch_path(spark, "archive")
+    for batch in (0, 1):
+        doomed = sel.stories_archivable(story, AS_OF)
+        dh = hist.join(doomed.select(F.col("id").alias("story")), "story", "left_semi")
+        A.write_archive(H.story_detail(doomed, sub, dh), root, batch_id=batch)
+    out = A.compact_archive(spark, root, A.scratch_path(spark, "composed"), batched=True)
+    return out.groupBy("archive_date").agg(F.count(F.lit(1)).alias("n_records"),
+                                           F.sum(F.size("history.timestamp")).alias("n_points"))
+
+
+@register("delete_cascade_story", with_tables("story") + f"""
+SELECT id, reddit_short_id FROM story WHERE NOT (created_at <= {minus_s(SQL_AS_OF, '172800')})""")
+def q_delete_story(spark, d):
+    _, run = _archive_run(spark, d)
+    return run.story_after.select("id", "reddit_short_id")
+
+
+@register("delete_cascade_history", with_tables("story", "hist") + f"""
+SELECT story, timestamp, tie1, tie2, tie3 FROM hist
+WHERE story NOT IN (SELECT id FROM story WHERE created_at <= {minus_s(SQL_AS_OF, '172800')})""")
+def q_delete_history(spark, d):
+    _, run = _archive_run(spark, d)
+    return run.history_after.select("story", "timestamp", "tie1", "tie2", "tie3")
+
+
+@register("delete_cascade_subreddit", with_tables("story", "hist", "sub", "abouts") + """
+, doomed AS (SELECT s.id FROM sub s JOIN abouts a ON a.name = s.name WHERE a.status = 403),
+gone AS (SELECT id FROM story WHERE subreddit IN (SELECT id FROM doomed))
+SELECT story, timestamp, tie1, tie2, tie3 FROM hist WHERE story NOT IN (SELECT id FROM gone)""")
+def q_delete_subreddit(spark, d):
+    sub = T.subreddits(spark, d)
+    landed = T.landed_subreddit_abouts(spark, d, AS_OF)
+    forbidden = landed.filter(F.col("status") == 403).select(F.col("requested").alias("name"))
+    doomed = sub.join(forbidden, "name", "left_semi").select("id")
+    _, _, _, left_hist = M.delete_subreddits(sub, T.subreddit_history(spark, d), T.stories(spark, d),
+                                             T.story_history(spark, d, with_hotness=False), doomed)
+    return left_hist.select("story", "timestamp", "tie1", "tie2", "tie3")
+
+
+# -- M6: as-of, metrics ----------------------------------------------------------------
+
+ASOF_COLS = ["h_timestamp", "h_hist_id", "h_subscribers", "h_active", "h_comment_hide_mins", "match"]
+
+
+def _sub_hist(spark, d):
+    return T.subreddit_history(spark, d).select(
+        F.col("subreddit").alias("subreddit_key"), "timestamp", F.col("id").alias("hist_id"),
+        "subscribers", "active", "comment_hide_mins")
+
+
+@register("asof_subreddit_history", with_tables("sub", "subhist") + f"""
+, b AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY subreddit ORDER BY timestamp DESC, id DESC) rn
+                       FROM subhist h WHERE timestamp < {SQL_AS_OF}) WHERE rn = 1),
+f AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY subreddit ORDER BY timestamp, id) rn
+                     FROM subhist h) WHERE rn = 1)
+SELECT s.id, COALESCE(b.timestamp, f.timestamp) AS h_timestamp, COALESCE(b.id, f.id) AS h_hist_id,
+       COALESCE(b.subscribers, f.subscribers) AS h_subscribers, COALESCE(b.active, f.active) AS h_active,
+       COALESCE(b.comment_hide_mins, f.comment_hide_mins) AS h_comment_hide_mins,
+       CASE WHEN b.id IS NOT NULL THEN 'before' WHEN f.id IS NOT NULL THEN 'first' END AS match
+FROM sub s LEFT JOIN b ON b.subreddit = s.id LEFT JOIN f ON f.subreddit = s.id""")
+def q_asof_subreddit(spark, d):
+    probes = T.subreddits(spark, d).select("id", F.col("id").alias("subreddit_key"),
+                                           X.as_ts(AS_OF).alias("probe_ts"))
+    out = asof_backward(probes, _sub_hist(spark, d), key="subreddit_key", probe_ts="probe_ts",
+                        hist_ts="timestamp", probe_id="id", hist_tie="hist_id",
+                        hist_cols=["subscribers", "active", "comment_hide_mins"])
+    return out.select("id", *ASOF_COLS)
+
+
+@register("asof_story_context", with_tables("story", "subhist") + """
+, b AS (SELECT * FROM (SELECT s.id AS sid, h.*, row_number() OVER (PARTITION BY s.id ORDER BY h.timestamp DESC, h.id DESC) rn
+                       FROM story s JOIN subhist h ON h.subreddit = s.subreddit AND h.timestamp < s.created_at)
+        WHERE rn = 1),
+f AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY subreddit ORDER BY timestamp, id) rn
+                     FROM subhist h) WHERE rn = 1)
+SELECT s.id, COALESCE(b.timestamp, f.timestamp) AS h_timestamp, COALESCE(b.id, f.id) AS h_hist_id,
+       COALESCE(b.subscribers, f.subscribers) AS h_subscribers, COALESCE(b.active, f.active) AS h_active,
+       COALESCE(b.comment_hide_mins, f.comment_hide_mins) AS h_comment_hide_mins,
+       CASE WHEN b.id IS NOT NULL THEN 'before' WHEN f.id IS NOT NULL THEN 'first' END AS match
+FROM story s LEFT JOIN b ON b.sid = s.id LEFT JOIN f ON f.subreddit = s.subreddit""")
+def q_asof_story(spark, d):
+    probes = T.stories(spark, d).select("id", F.col("subreddit").alias("subreddit_key"), "created_at")
+    out = asof_backward(probes, _sub_hist(spark, d), key="subreddit_key", probe_ts="created_at",
+                        hist_ts="timestamp", probe_id="id", hist_tie="hist_id",
+                        hist_cols=["subscribers", "active", "comment_hide_mins"])
+    return out.select("id", *ASOF_COLS)
+
+
+@register("discovery_latency", with_tables("story") + """
+, l AS (SELECT feed, epoch_ms(discovered_at) - epoch_ms(created_at) AS latency_ms FROM story)
+SELECT feed, count(*) AS n, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, round(avg(latency_ms), 6) AS mean_ms,
+       round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95,
+       round(quantile_cont(latency_ms, 0.99), 6) AS p99
+FROM l GROUP BY feed""")
+def q_discovery_latency(spark, d):
+    out = MET.discovery_latency(T.stories(spark, d, with_feed=True))
+    return out.select("feed", "n", "min_ms", "max_ms", *[r6(c).alias(c) for c in ("mean_ms", "p50", "p95", "p99")])
+
+
+@register("batch_size_stats", with_tables("obs") + """
+, sizes AS (SELECT tick, count(*) AS size FROM obs WHERE kind = 't3' GROUP BY tick)
+SELECT count(*) AS batches, min(size) AS min_size, max(size) AS max_size, round(avg(size), 6) AS mean_size,
+       round(quantile_cont(size, 0.5), 6) AS p50, round(quantile_cont(size, 0.95), 6) AS p95,
+       round(quantile_cont(size, 0.99), 6) AS p99
+FROM sizes""")
+def q_batch_size_stats(spark, d):
+    obs = T.feed_observations(spark, d).filter(F.col("kind") == "t3")
+    out = MET.batch_size_stats(obs, "tick")
+    return out.select("batches", "min_size", "max_size", *[r6(c).alias(c) for c in ("mean_size", "p50", "p95", "p99")])
+
+
+def _rate_sql(minutes: int) -> str:
+    return with_tables("obs") + f"""
+SELECT time_bucket(INTERVAL '{minutes} minutes', seen_at) AS window_start,
+       time_bucket(INTERVAL '{minutes} minutes', seen_at) + INTERVAL '{minutes} minutes' AS window_end,
+       count(*) AS n, round(count(*) / {60.0 * minutes}, 6) AS rate_per_s
+FROM obs GROUP BY 1, 2"""
+
+
+@register("event_rate_1m", _rate_sql(1))
+def q_rate_1m(spark, d):
+    out = MET.event_rate(T.feed_observations(spark, d), "seen_at", 1)
+    return out.select("window_start", "window_end", "n", r6("rate_per_s").alias("rate_per_s"))
+
+
+@register("event_rate_5m", _rate_sql(5))
+def q_rate_5m(spark, d):
+    out = MET.event_rate(T.feed_observations(spark, d), "seen_at", 5)
+    return out.select("window_start", "window_end", "n", r6("rate_per_s").alias("rate_per_s"))
