@@ -796,3 +796,87 @@ def q_rate_1m(spark, d):
 def q_rate_5m(spark, d):
     out = MET.event_rate(T.feed_observations(spark, d), "seen_at", 5)
     return out.select("window_start", "window_end", "n", r6("rate_per_s").alias("rate_per_s"))
+
+
+# -- M7: streaming (run to completion with availableNow, return the sink's rows) -------
+
+from storytrack.streaming import jobs as STR  # noqa: E402
+from storytrack.streaming.landing import land_in_order  # noqa: E402
+
+
+def _stream_discovery(spark, d):
+    root = A.scratch_path(spark, "stream-discovery")
+    land_in_order(_pages(spark, d), f"{root}/landing", "tick", "json", steps_per_file=10)
+    q = STR.discovery_stream(spark, f"{root}/landing", T.stories(spark, d), T.subreddits(spark, d),
+                             f"{root}/out", f"{root}/checkpoint", AS_OF, max_files=1)
+    STR.await_done(q)
+    return root
+
+
+@register("stream_discovery_samples", ORACLE["history_append"])
+def q_stream_samples(spark, d):
+    root = _stream_discovery(spark, d)
+    smp = spark.read.parquet(f"{root}/out/samples")
+    return smp.select("story", "timestamp", "score", "comments", "gilded", r6("hotness").alias("hotness"))
+
+
+@register("stream_new_stories", ORACLE["discover_insert"])
+def q_stream_new(spark, d):
+    root = _stream_discovery(spark, d)
+    n = spark.read.parquet(f"{root}/out/new_stories")
+    return n.select("id", "reddit_short_id", "subreddit", "created_at", "discovered_at", "score", "comments",
+                    "gilded", r6("hotness").alias("hotness"))
+
+
+@register("stream_discoveries")
+def q_stream_discoveries(spark, d):
+    root = A.scratch_path(spark, "stream-firsts")
+    land_in_order(_pages(spark, d), f"{root}/landing", "tick", "json", steps_per_file=5)
+    STR.await_done(STR.discoveries_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/checkpoint",
+                                          max_files=1))
+    return spark.read.parquet(f"{root}/out").select("tick", "feed", "page", "pos", "short_id", "subreddit_name")
+
+
+@register("stream_rate_5m", ORACLE["event_rate_5m"])
+def q_stream_rate(spark, d):
+    root = A.scratch_path(spark, "stream-rate")
+    obs = T.feed_observations(spark, d).select("seen_at", "tick", F.lit(False).alias("is_marker"))
+    # End-of-input markers after the last row: they only advance the watermark. The
+    # first closes every open window; the second (a later micro-batch) makes the
+    # closed windows emit, since availableNow runs no trailing no-data batch.
+    last = obs.agg(F.max("seen_at").alias("m"))
+    markers = [last.select((F.col("m") + F.expr(f"INTERVAL {k} DAYS")).alias("seen_at"),
+                           (F.date_trunc("day", F.col("m")) + F.expr(f"INTERVAL {k} DAYS")).alias("tick"),
+                           F.lit(True).alias("is_marker")) for k in (2, 3)]
+    land_in_order(obs.unionByName(markers[0]).unionByName(markers[1]), f"{root}/landing", "tick", "parquet")
+    schema = "seen_at timestamp, tick timestamp, is_marker boolean"
+    from pyspark.sql.types import _parse_datatype_string
+    STR.await_done(STR.rate_stream(spark, f"{root}/landing", _parse_datatype_string(schema), f"{root}/out",
+                                   f"{root}/checkpoint", minutes=5, max_files=1))
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("window_start", "window_end", "n", r6("rate_per_s").alias("rate_per_s"))
+
+
+@register("stream_archive")
+def q_stream_archive(spark, d):
+    root = A.scratch_path(spark, "stream-archive")
+    created = T.stories(spark, d).select(F.col("id").alias("story"), "created_at")
+    samples = (T.story_history(spark, d, with_hotness=False).join(created, "story")
+               .withColumn("year", F.year("timestamp")))
+    land_in_order(samples, f"{root}/landing", "year", "parquet")
+    schema = samples.schema
+    STR.await_done(STR.archive_stream(spark, f"{root}/landing", schema, f"{root}/out", f"{root}/checkpoint"))
+    recs = spark.read.parquet(f"{root}/out/records")
+    return recs.select("story", "created_at", "n_points", F.array_min("ts_ms").alias("first_ts"),
+                       F.array_max("ts_ms").alias("last_ts"))
+
+
+@register("stream_subreddit_samples", ORACLE["subreddit_history_append"])
+def q_stream_sub_samples(spark, d):
+    root = A.scratch_path(spark, "stream-about")
+    abouts = T.landed_subreddit_abouts(spark, d, AS_OF).withColumn("step", F.lit(0))
+    land_in_order(abouts.drop("step").withColumn("step", F.lit(0)), f"{root}/landing", "step", "json")
+    STR.await_done(STR.subreddit_sampling_stream(spark, f"{root}/landing", T.subreddits(spark, d),
+                                                 f"{root}/out", f"{root}/checkpoint", AS_OF))
+    return spark.read.parquet(f"{root}/out/samples").select(
+        "subreddit", "name", "timestamp", "subscribers", "active", "comment_hide_mins")

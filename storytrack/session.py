@@ -27,6 +27,7 @@ CLUSTER_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.executorEnv.PYTHONWARNINGS": "ignore::FutureWarning",
 }
 
 
