@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,10 @@ def discovery(pages: DataFrame, story: DataFrame, subreddit: DataFrame, as_of=AS
               strict: bool = False) -> Discovery:
     """Landed feed pages → parsed stories → feed union → match / guard / insert / sample."""
     parsed = P.parse_story_pages(pages, strict=strict)
-    feed_stories = M.union_feeds(parsed.drop("before", "after", "kind"), keys=("tick", "short_id"))
+    # Read by every branch below (match, guard, insert, samples): computed once. The
+    # union is one row per (tick, story) of the scrape, small next to the tables.
+    feed_stories = M.union_feeds(parsed.drop("before", "after", "kind"),
+                                 keys=("tick", "short_id")).persist(StorageLevel.MEMORY_AND_DISK)
     matched, unmatched = M.scrape_split(feed_stories, story)
     known = sel.subreddits_recently_seen(subreddit, as_of)
     accepted, rejected = M.guard_known(unmatched, known)

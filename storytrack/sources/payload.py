@@ -35,6 +35,19 @@ def _envelope(value: Column) -> Column:
     return F.from_json(value, S.LISTING_ENVELOPE)
 
 
+def _parse_once(df: DataFrame, keep: list[str], parsed: dict[str, Column]) -> DataFrame:
+    """Evaluate each parse expression exactly once per row.
+
+    Predicates on a projected ``from_json`` are pushed through the projection with the
+    expression substituted for every reference (and the JSON optimiser then splits it into
+    one pruned parse per field), so a reject check would re-parse the text dozens of times.
+    A one-row generator is a boundary the optimiser does not inline across: the parse runs
+    once in its input and later filters read the generated columns.
+    """
+    row = F.struct(*[e.alias(n) for n, e in parsed.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def parse_listing(pages: DataFrame, value_col: str = "value", strict: bool = False) -> DataFrame:
     """Envelope → one row per child (pos = index within the page).
 
@@ -42,7 +55,7 @@ def parse_listing(pages: DataFrame, value_col: str = "value", strict: bool = Fal
     absent), pos, kind and the child body as raw JSON text (``data``).
     """
     keep = [c for c in pages.columns if c != value_col]
-    env = pages.select(*keep, _envelope(F.col(value_col)).alias("_env"))
+    env = _parse_once(pages, keep, {"_env": _envelope(F.col(value_col))})
     ok = F.coalesce(F.col("_env.kind") == F.lit(S.KIND_LISTING), F.lit(False))
     if strict:
         env = env.withColumn("_chk", F.when(~ok, F.raise_error(F.lit("payload is not a Listing"))))
@@ -60,7 +73,7 @@ def parse_listing(pages: DataFrame, value_col: str = "value", strict: bool = Fal
 def listing_page_rejects(pages: DataFrame, value_col: str = "value") -> DataFrame:
     """Pages that are not a Listing envelope (or not JSON at all), with a reason."""
     keep = [c for c in pages.columns if c != value_col]
-    env = pages.select(*keep, F.col(value_col).alias("payload"), _envelope(F.col(value_col)).alias("_env"))
+    env = _parse_once(pages, keep, {"payload": F.col(value_col), "_env": _envelope(F.col(value_col))})
     return (env.filter(~F.coalesce(F.col("_env.kind") == F.lit(S.KIND_LISTING), F.lit(False)))
             .select(*keep, "payload",
                     F.when(F.col("_env.kind").isNull(), F.lit(REASON_MALFORMED))
@@ -87,9 +100,11 @@ def _reject_reason(kind: str, schema: T.StructType, required: tuple[str, ...]) -
 def _bind(children: DataFrame, kind: str, schema: T.StructType,
           required: tuple[str, ...]) -> DataFrame:
     keep = [c for c in children.columns if c != "data"]
-    typed = children.select(*keep, F.col("data"),
-                            F.from_json("data", schema).alias("_typed"),
-                            F.from_json("data", T.MapType(T.StringType(), T.StringType())).alias("_raw"))
+    typed = _parse_once(children, keep, {
+        "data": F.col("data"),
+        "_typed": F.from_json("data", schema),
+        "_raw": F.from_json("data", T.MapType(T.StringType(), T.StringType())),
+    })
     return typed.withColumn("reason", _reject_reason(kind, schema, required))
 
 

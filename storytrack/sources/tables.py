@@ -12,12 +12,14 @@ zone UTC) because event-time operators (watermarks) reject NTZ.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storytrack.functions import scalars as X
-from storytrack.session import AS_OF
+from storytrack.session import AS_OF, checkpoint_dir
 
 # Fixed values of the binding (mirrored in storytrack.plans.oracle).
 SCORE_OFFSET = 250000
@@ -191,12 +193,36 @@ def feed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs
 
 
+_LANDED: dict[str, str] = {}
+
+
+def _landed_once(spark: SparkSession, key: str, build) -> DataFrame:
+    """Write a stand-in landing set once (as a crawler would have), then read it back."""
+    path = _LANDED.get(key)
+    if path is None or not _exists(spark, path):
+        path = f"{checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+        build().write.mode("overwrite").parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def landed_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed payload text: one listing envelope per (feed, page), as a JSON string.
 
-    Stand-in for payload files (``spark.read.text``): rows (feed, page, value).
-    Each page groups at most PAGE_SIZE children, so the grouping is bounded.
+    Stand-in for payload files (``spark.read.text``): rows (feed, page, tick, value),
+    written once per test folder and read back like landed files.
     """
+    return _landed_once(spark, f"pages:{sf_dir}", lambda: _build_listing_pages(spark, sf_dir))
+
+
+def _build_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Each page groups at most PAGE_SIZE children, so the grouping is bounded.
     obs = feed_observations(spark, sf_dir)
     payload_fields = ["id", "title", "author", "created_utc", "domain", "num_comments", "gilded",
                       "score", "permalink", "selftext", "subreddit", "thumbnail", "url",

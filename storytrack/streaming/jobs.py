@@ -71,6 +71,7 @@ def discovery_stream(spark: SparkSession, landing: str, story0: DataFrame, subre
                                     spark.read.parquet(f"{out_root}/samples/batch={batch_id}"))
         run.story_after.unionByName(new_after).write.mode("overwrite").parquet(
             f"{out_root}/story/batch={batch_id}")
+        run.feed_stories.unpersist()
 
     writer = (read_landed_pages(spark, landing, max_files).writeStream
               .foreachBatch(process).option("checkpointLocation", checkpoint))
