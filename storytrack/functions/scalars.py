@@ -88,3 +88,12 @@ def permalink_url(permalink) -> Column:
 def seconds_between(later, earlier) -> Column:
     """(later − earlier) in seconds as double, millisecond precision."""
     return (F.unix_millis(_col(later)) - F.unix_millis(_col(earlier))) / F.lit(1000.0)
+
+
+def fail_if(condition, message: str) -> Column:
+    """A filter predicate that is always true but raises when ``condition`` holds.
+
+    Used as ``df.filter(fail_if(...))``: a filter is evaluated on every row, whereas a
+    check column that is later dropped would be pruned away unevaluated.
+    """
+    return F.coalesce(F.when(_col(condition), F.raise_error(F.lit(message))).cast("boolean"), F.lit(True))

@@ -240,8 +240,7 @@ def subreddit_history_append(stale: DataFrame, abouts: DataFrame, as_of=AS_OF,
     fetched = abouts.drop("name").withColumnRenamed("requested", "name")
     j = stale.select(F.col("id").alias("subreddit"), "name").join(fetched, "name", "inner")
     if strict:
-        j = j.withColumn("_chk", F.when(~F.col("status").isin(200, 403),
-                                        F.raise_error(F.lit("about fetch failed")))).drop("_chk")
+        j = j.filter(X.fail_if(~F.col("status").isin(200, 403), "about fetch failed"))
     ok = j.filter(F.col("status") == 200)
     return ok.select("subreddit", "name", now.alias("timestamp"), "subscribers", "active",
                      "comment_hide_mins")

@@ -58,8 +58,7 @@ def parse_listing(pages: DataFrame, value_col: str = "value", strict: bool = Fal
     env = _parse_once(pages, keep, {"_env": _envelope(F.col(value_col))})
     ok = F.coalesce(F.col("_env.kind") == F.lit(S.KIND_LISTING), F.lit(False))
     if strict:
-        env = env.withColumn("_chk", F.when(~ok, F.raise_error(F.lit("payload is not a Listing"))))
-        env = env.drop("_chk")
+        env = env.filter(X.fail_if(~ok, "payload is not a Listing"))
     listed = env.filter(ok).select(
         *keep,
         F.coalesce(F.col("_env.data.before"), F.lit("")).alias("before"),
@@ -113,10 +112,7 @@ def parse_things(children: DataFrame, kind: str = S.KIND_STORY, strict: bool = F
     schema, required = _thing_schema(kind)
     bound = _bind(children, kind, schema, required)
     if strict:
-        bound = bound.withColumn(
-            "_chk", F.when(F.col("reason").isNotNull(),
-                           F.raise_error(F.concat(F.lit("cannot bind child: "), F.col("reason")))))
-        bound = bound.drop("_chk")
+        bound = bound.filter(X.fail_if(F.col("reason").isNotNull(), "cannot bind a child to its kind"))
     keep = [c for c in children.columns if c not in ("data",)]
     return bound.filter(F.col("reason").isNull()).select(*keep, F.col("_typed").alias("thing"))
 

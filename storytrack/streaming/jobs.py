@@ -142,20 +142,32 @@ ARCHIVE_STATE = T.StructType([
 
 
 def _expire_story(track_ms: int):
+    """State handler: collect a story's samples; emit one record when its window closes."""
+
+    def record(story, created_ms, ts, tie, score, comments, gilded) -> pd.DataFrame:
+        order = sorted(range(len(ts)), key=lambda i: (ts[i], tie[i]))  # groups arrive unordered
+        return pd.DataFrame({
+            "story": [story], "created_at": [pd.Timestamp(created_ms, unit="ms")],
+            "n_points": [len(ts)], "ts_ms": [[ts[i] for i in order]],
+            "score": [[score[i] for i in order]], "comments": [[comments[i] for i in order]],
+            "gilded": [[gilded[i] for i in order]]})
+
     def handler(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         story = int(key[0])
+        watermark = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            created_ms, ts, tie, score, comments, gilded = state.get
-            order = sorted(range(len(ts)), key=lambda i: (ts[i], tie[i]))  # groups arrive unordered
+            saved = state.get
             state.remove()
-            yield pd.DataFrame({
-                "story": [story], "created_at": [pd.Timestamp(created_ms, unit="ms")],
-                "n_points": [len(ts)], "ts_ms": [[ts[i] for i in order]],
-                "score": [[score[i] for i in order]], "comments": [[comments[i] for i in order]],
-                "gilded": [[gilded[i] for i in order]]})
+            yield record(story, *saved)
             return
         if state.exists:
             created_ms, ts, tie, score, comments, gilded = state.get
+            if created_ms + track_ms <= watermark:
+                # The window closed before these rows arrived (rows of a group are handed
+                # over before its timeout fires): archive what was tracked, drop the rest.
+                state.remove()
+                yield record(story, created_ms, list(ts), list(tie), list(score), list(comments), list(gilded))
+                return
             ts, tie, score, comments, gilded = list(ts), list(tie), list(score), list(comments), list(gilded)
         else:
             created_ms, ts, tie, score, comments, gilded = None, [], [], [], [], []
@@ -167,10 +179,11 @@ def _expire_story(track_ms: int):
             score += [int(v) for v in pdf["score"]]
             comments += [int(v) for v in pdf["comments"]]
             gilded += [int(v) for v in pdf["gilded"]]
+        if created_ms is None or created_ms + track_ms <= watermark:
+            return  # a story whose window already closed (already archived): late rows dropped
         state.update((created_ms, ts, tie, score, comments, gilded))
-        state.setTimeoutTimestamp(max(created_ms + track_ms, state.getCurrentWatermarkMs() + 1))
-        return
-        yield  # pragma: no cover  (generator)
+        state.setTimeoutTimestamp(created_ms + track_ms)
+
     return handler
 
 
