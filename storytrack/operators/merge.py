@@ -96,11 +96,26 @@ def front_page_subreddits(front: DataFrame, n: int = 300) -> DataFrame:
 
 # -- discovery (E1): match feed stories against the story table ------------------
 
+def restrict(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Rows of ``big`` whose ``key`` occurs in ``small``.
+
+    The semi-join's build side is the small frame's distinct keys, so when a scrape or a
+    batch of samples is small, AQE broadcasts those keys and the big table is only
+    scanned (no shuffle); when it is large, the planner falls back to a shuffle join.
+    """
+    return big.join(small.select(key).distinct(), key, "left_semi")
+
+
 def scrape_split(feed_stories: DataFrame, story: DataFrame):
-    """(matched, unmatched) on short id. Matched rows carry the story's id."""
+    """(matched, unmatched) on short id. Matched rows carry the story's id.
+
+    The story table is first cut down to the ids this scrape mentions (see
+    :func:`restrict`); the split itself then joins two small frames.
+    """
     keys = story.select(F.col("reddit_short_id").alias("short_id"), F.col("id").alias("story_id"))
-    matched = feed_stories.join(keys, "short_id", "inner")
-    unmatched = feed_stories.join(keys, "short_id", "left_anti")
+    hit = restrict(keys, feed_stories, "short_id")
+    matched = feed_stories.join(hit, "short_id", "inner")
+    unmatched = feed_stories.join(hit, "short_id", "left_anti")
     return matched, unmatched
 
 
@@ -175,7 +190,8 @@ def apply_samples(story: DataFrame, samples: DataFrame) -> DataFrame:
 
 def live_samples(samples: DataFrame, story: DataFrame) -> DataFrame:
     """Samples whose story still exists (an update to a deleted story changes 0 rows)."""
-    return samples.join(story.select(F.col("id").alias("story")), "story", "left_semi")
+    alive = restrict(story.select(F.col("id").alias("story")), samples, "story")
+    return samples.join(alive, "story", "left_semi")
 
 
 def check_outcomes(candidates: DataFrame, returned: DataFrame) -> DataFrame:

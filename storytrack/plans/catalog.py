@@ -848,7 +848,9 @@ def q_stream_rate(spark, d):
     markers = [last.select((F.col("m") + F.expr(f"INTERVAL {k} DAYS")).alias("seen_at"),
                            (F.date_trunc("day", F.col("m")) + F.expr(f"INTERVAL {k} DAYS")).alias("tick"),
                            F.lit(True).alias("is_marker")) for k in (2, 3)]
-    land_in_order(obs.unionByName(markers[0]).unionByName(markers[1]), f"{root}/landing", "tick", "parquet")
+    land_in_order(obs, f"{root}/landing", "tick", "parquet", steps_per_file=7, prefix="data")
+    for k, marker in enumerate(markers):
+        land_in_order(marker, f"{root}/landing", "tick", "parquet", prefix=f"end{k}")
     schema = "seen_at timestamp, tick timestamp, is_marker boolean"
     from pyspark.sql.types import _parse_datatype_string
     STR.await_done(STR.rate_stream(spark, f"{root}/landing", _parse_datatype_string(schema), f"{root}/out",
@@ -880,3 +882,30 @@ def q_stream_sub_samples(spark, d):
                                                  f"{root}/out", f"{root}/checkpoint", AS_OF))
     return spark.read.parquet(f"{root}/out/samples").select(
         "subreddit", "name", "timestamp", "subscribers", "active", "comment_hide_mins")
+
+
+# -- ranking page and JSON records -----------------------------------------------------
+
+@register("ranking_page", with_tables("story", "sub") + """
+, top AS (SELECT * FROM story ORDER BY hotness DESC, id ASC LIMIT 100)
+SELECT top.id, top.title, top.score, top.comments, top.gilded, sub.name AS subreddit_name,
+       'http://reddit.com' || top.permalink AS link,
+       strftime(top.created_at - INTERVAL 5 HOUR, '%-m/%-d/%y %-I:%M %p') AS display_time,
+       round((epoch_ms(top.discovered_at) - epoch_ms(top.created_at)) / 1000.0, 0) AS discovery_delay_s,
+       COALESCE(NOT (top.thumbnail IN ('', 'default', 'self', 'nsfw')), false) AS show_thumbnail
+FROM top LEFT JOIN sub ON top.subreddit = sub.id""")
+def q_ranking_page(spark, d):
+    """The ranking page's rows: hottest 100 with link, display time, delay and thumbnail flag."""
+    top = sel.hottest_stories(T.stories(spark, d), T.subreddits(spark, d), 100)
+    return top.select(
+        "id", "title", "score", "comments", "gilded", "subreddit_name",
+        X.permalink_url("permalink").alias("link"), X.display_time("created_at").alias("display_time"),
+        F.round(X.seconds_between("discovered_at", "created_at"), 0).alias("discovery_delay_s"),
+        X.show_thumbnail("thumbnail").alias("show_thumbnail"))
+
+
+@register("story_detail_json")
+def q_story_detail_json(spark, d):
+    """Detail records serialised as JSON text with explicit nulls (the archive line format)."""
+    det = H.story_detail(T.stories(spark, d), T.subreddits(spark, d), T.story_history(spark, d))
+    return H.detail_json(det)

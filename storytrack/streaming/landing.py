@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def land_in_order(df: DataFrame, folder: str, step_col: str, fmt: str = "json", steps_per_file: int = 1) -> int:
+def land_in_order(df: DataFrame, folder: str, step_col: str, fmt: str = "json", steps_per_file: int = 1,
+                  prefix: str = "step") -> int:
     """Write ``df`` as one folder per group of ``steps_per_file`` distinct ``step_col`` values,
     oldest first. Returns the number of folders written."""
     steps = [r[0] for r in df.select(step_col).distinct().orderBy(step_col).collect()]
@@ -20,7 +21,7 @@ def land_in_order(df: DataFrame, folder: str, step_col: str, fmt: str = "json",
     for i, g in enumerate(groups):
         part = df.filter(F.col(step_col).isin(g)).coalesce(1)
         writer = part.write.mode("overwrite")
-        path = f"{folder}/step-{i:06d}"
+        path = f"{folder}/{prefix}-{i:06d}"
         if fmt == "json":
             writer.json(path)
         else:
