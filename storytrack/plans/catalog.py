@@ -638,14 +638,14 @@ ARCH_TABLES = ("story", "sub", "hist")
 @register("archive_records", with_tables(*ARCH_TABLES) + ARCH_SQL + "SELECT * FROM recs")
 def q_archive_records(spark, d):
     root, _ = _archive_run(spark, d)
-    return A.record_columns(A.read_archive(spark, root))
+    return A.record_columns(A.read_archive(spark, root, batched=True))
 
 
 @register("archive_roundtrip", with_tables(*ARCH_TABLES) + ARCH_SQL + """
 SELECT archive_date, id, true AS same FROM recs""")
 def q_archive_roundtrip(spark, d):
     root, run = _archive_run(spark, d)
-    back = A.read_archive(spark, root).select(
+    back = A.read_archive(spark, root, batched=True).select(
         "archive_date", F.col("summary.id").alias("id"), F.struct("summary", "history").alias("_b"))
     mem = A.archive_frame(run.details).select(
         "archive_date", F.col("summary.id").alias("id"), F.struct("summary", "history").alias("_m"))

@@ -43,7 +43,7 @@ def test_replay_is_idempotent_and_compaction_dedups(spark):
     root = A.scratch_path(spark, "t-archive")
     d = details(spark)
     for _ in range(2):                                 # the same batch replayed
-        A.write_archive(d, root, batch_id=7)
+        A.write_archive(d, root, batch_id=7, replace_batch=True)
     A.write_archive(d, root, batch_id=8)               # re-archived by a later batch
     raw = A.read_archive(spark, root, batched=True)
     assert raw.count() == 2 * d.count()
