@@ -72,14 +72,19 @@ def paged_listing(children: DataFrame, limit: int, feed_col: str = "feed") -> Da
                .groupBy(feed_col).agg(F.min("page").alias("_stop")))
     kept = (firsts.join(stalled, feed_col, "left")
             .filter(F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))))
-    # First `limit` per feed in arrival order: a window over each feed's kept rows.
-    # Kept rows are distinct stories, so per feed they are bounded by the id space
-    # of one scrape; the feed count is a small fixed set.
+    # First `limit` per feed in arrival order. Up to Spark's window-group-limit threshold a
+    # row_number filter becomes a map-side WindowGroupLimit (each task keeps `limit` rows
+    # per feed before the shuffle); above it, positions come from the range-sorted global
+    # order so no task sorts a whole feed.
     from pyspark.sql import Window
-    w = Window.partitionBy(feed_col).orderBy("page", "pos")
-    return (kept.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= limit)
-            .select(feed_col, "rank", "page", "pos", "short_id"))
+    threshold = int(kept.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if limit <= threshold:
+        w = Window.partitionBy(feed_col).orderBy("page", "pos")
+        ranked = kept.withColumn("rank", F.row_number().over(w))
+    else:
+        from storytrack.operators.ordering import position_within
+        ranked = position_within(kept, feed_col, [F.col("page"), F.col("pos")], "rank")
+    return ranked.filter(F.col("rank") <= limit).select(feed_col, "rank", "page", "pos", "short_id")
 
 
 def stories_by_id(snapshot: DataFrame, ids: DataFrame, id_col: str = "short_id") -> DataFrame:

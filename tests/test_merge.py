@@ -121,3 +121,9 @@ def test_cascades(spark):
     assert [r.id for r in st2.collect()] == [10] and [r.story for r in h2.collect()] == [10]
     st3, h3 = M.delete_stories(st, h, spark.createDataFrame([(20,)], "id long"))
     assert st3.count() == 1 and h3.count() == 1
+
+
+def test_paging_above_group_limit_threshold(spark):
+    ch = pages_fixture(spark, 13, 100)
+    got = M.paged_listing(ch, 1200).collect()
+    assert len(got) == 1200 and sorted(r.rank for r in got) == list(range(1, 1201))
