@@ -19,21 +19,11 @@ def _sample_struct():
                     F.col("score"), F.col("hotness"), F.col("gilded"), F.col("comments"))
 
 
-def history_arrays(history: DataFrame, max_points: int | None = None) -> DataFrame:
-    """A1: one row per story with five parallel arrays sorted by time (ties by tie key).
+DEFAULT_MAX_POINTS = 100_000
 
-    One shuffle on ``story``; ``collect_list`` runs map-side partial aggregation first.
-    With ``max_points`` a story's series is cut into consecutive chunks of at most that
-    many points (column ``chunk``), so no group ever exceeds the bound; positions come
-    from :func:`position_within`, which never holds a whole story in one task.
-    """
-    keys = ["story"]
-    src = history
-    if max_points is not None:
-        src = position_within(history, "story", [F.col(c) for c in ORDER_KEYS], "seq")
-        src = src.withColumn("chunk", F.floor((F.col("seq") - 1) / F.lit(max_points)).cast("long"))
-        keys = ["story", "chunk"]
-    grouped = src.groupBy(*keys).agg(F.array_sort(F.collect_list(_sample_struct())).alias("_s"))
+
+def _fold(rows: DataFrame, keys: list[str]) -> DataFrame:
+    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(_sample_struct())).alias("_s"))
     return grouped.select(
         *keys,
         F.transform("_s", lambda s: F.unix_millis(s["timestamp"])).alias("timestamp"),
@@ -44,6 +34,29 @@ def history_arrays(history: DataFrame, max_points: int | None = None) -> DataFra
     )
 
 
+def history_arrays(history: DataFrame, max_points: int | None = DEFAULT_MAX_POINTS) -> DataFrame:
+    """A1: per story, five parallel arrays sorted by time (ties by the tie key).
+
+    No group ever exceeds ``max_points`` samples: a story with more is cut into
+    consecutive chunks (column ``chunk`` = 0, 1, …; every other story is one chunk 0).
+    Sample counts per story are a partial aggregate; only stories over the bound take
+    the position path (:func:`position_within`, a range sort that splits even one hot
+    story across tasks) — skipped entirely when no story is over the bound. The rest fold
+    with one shuffle on ``story``. ``max_points=None`` folds every story whole.
+    """
+    if max_points is None:
+        return _fold(history, ["story"]).withColumn("chunk", F.lit(0).cast("long"))
+    big = (history.groupBy("story").agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > F.lit(max_points)).select("story"))
+    if big.isEmpty():  # one scan of the story column + a partial aggregate → one boolean
+        return _fold(history, ["story"]).withColumn("chunk", F.lit(0).cast("long"))
+    small = _fold(history.join(big, "story", "left_anti"), ["story"]).withColumn("chunk", F.lit(0).cast("long"))
+    hot = position_within(history.join(big, "story", "left_semi"), "story",
+                          [F.col(c) for c in ORDER_KEYS], "_seq")
+    hot = hot.withColumn("chunk", F.floor((F.col("_seq") - 1) / F.lit(max_points)).cast("long"))
+    return small.unionByName(_fold(hot, ["story", "chunk"]))
+
+
 def history_struct(arrays: DataFrame) -> DataFrame:
     return arrays.select("story", F.struct(*[F.col(c) for c in HISTORY_FIELDS]).alias("history"))
 
@@ -53,7 +66,7 @@ def story_detail(story: DataFrame, subreddit: DataFrame, history: DataFrame) ->
     summaries = sel.summary_columns(story, subreddit)
     arrays = history_arrays(history)
     j = summaries.join(arrays.withColumnRenamed("story", "story_id")
-                       .select("story_id", *[F.col(c).alias("h_" + c) for c in HISTORY_FIELDS]),
+                       .select("story_id", "chunk", *[F.col(c).alias("h_" + c) for c in HISTORY_FIELDS]),
                        "story_id", "left")
     empties = {
         "timestamp": F.array().cast("array<bigint>"), "score": F.array().cast("array<int>"),
@@ -61,8 +74,9 @@ def story_detail(story: DataFrame, subreddit: DataFrame, history: DataFrame) ->
         "comments": F.array().cast("array<int>"),
     }
     hist = F.struct(*[F.coalesce(F.col("h_" + c), empties[c]).alias(c) for c in HISTORY_FIELDS])
+    # A story over the array bound yields one record per chunk (consecutive time slices).
     return j.select("story_id", *[F.col(c) for c in sel.SUMMARY_FIELDS if c != "story_id"],
-                    hist.alias("history"))
+                    F.coalesce(F.col("chunk"), F.lit(0).cast("long")).alias("chunk"), hist.alias("history"))
 
 
 def detail_record(details: DataFrame) -> DataFrame:

@@ -223,7 +223,7 @@ def _arrays_out(df: DataFrame, keys=("story",)) -> DataFrame:
 
 @register("history_arrays", with_tables("hist") + _arrays_sql("hist"))
 def q_history_arrays(spark, d):
-    return _arrays_out(H.history_arrays(T.story_history(spark, d)))
+    return _arrays_out(H.history_arrays(T.story_history(spark, d)))  # default bound: one chunk per story here
 
 
 @register("history_arrays_chunked", with_tables("hist") + """
