@@ -865,7 +865,7 @@ def q_stream_archive(spark, d):
     created = T.stories(spark, d).select(F.col("id").alias("story"), "created_at")
     samples = (T.story_history(spark, d, with_hotness=False).join(created, "story")
                .withColumn("year", F.year("timestamp")))
-    land_in_order(samples, f"{root}/landing", "year", "parquet")
+    land_in_order(samples, f"{root}/landing", "year", "parquet", steps_per_file=2)
     schema = samples.schema
     STR.await_done(STR.archive_stream(spark, f"{root}/landing", schema, f"{root}/out", f"{root}/checkpoint"))
     recs = spark.read.parquet(f"{root}/out/records")

@@ -124,6 +124,7 @@ def rate_stream(spark: SparkSession, source: str, schema: T.StructType, out: str
 
 ARCHIVE_OUT = T.StructType([
     T.StructField("story", T.LongType()),
+    T.StructField("chunk", T.IntegerType()),
     T.StructField("created_at", T.TimestampType()),
     T.StructField("n_points", T.IntegerType()),
     T.StructField("ts_ms", T.ArrayType(T.LongType())),
@@ -133,21 +134,27 @@ ARCHIVE_OUT = T.StructType([
 ])
 ARCHIVE_STATE = T.StructType([
     T.StructField("created_ms", T.LongType()),
+    T.StructField("chunk", T.IntegerType()),
     T.StructField("ts_ms", T.ArrayType(T.LongType())),
     T.StructField("tie", T.ArrayType(T.LongType())),
     T.StructField("score", T.ArrayType(T.IntegerType())),
     T.StructField("comments", T.ArrayType(T.IntegerType())),
     T.StructField("gilded", T.ArrayType(T.IntegerType())),
 ])
+MAX_STATE_POINTS = 100_000
 
 
-def _expire_story(track_ms: int):
-    """State handler: collect a story's samples; emit one record when its window closes."""
+def _expire_story(track_ms: int, max_points: int = MAX_STATE_POINTS):
+    """State handler: collect a story's samples; emit one record when its window closes.
 
-    def record(story, created_ms, ts, tie, score, comments, gilded) -> pd.DataFrame:
+    State per story never exceeds ``max_points`` samples: when it fills up, the buffered
+    samples are emitted as a chunk record (``chunk`` = 0, 1, …) and tracking continues.
+    """
+
+    def record(story, chunk, created_ms, ts, tie, score, comments, gilded) -> pd.DataFrame:
         order = sorted(range(len(ts)), key=lambda i: (ts[i], tie[i]))  # groups arrive unordered
         return pd.DataFrame({
-            "story": [story], "created_at": [pd.Timestamp(created_ms, unit="ms")],
+            "story": [story], "chunk": [chunk], "created_at": [pd.Timestamp(created_ms, unit="ms")],
             "n_points": [len(ts)], "ts_ms": [[ts[i] for i in order]],
             "score": [[score[i] for i in order]], "comments": [[comments[i] for i in order]],
             "gilded": [[gilded[i] for i in order]]})
@@ -156,39 +163,48 @@ def _expire_story(track_ms: int):
         story = int(key[0])
         watermark = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            saved = state.get
+            created_ms, chunk, ts, tie, score, comments, gilded = state.get
             state.remove()
-            yield record(story, *saved)
+            yield record(story, int(chunk), created_ms, list(ts), list(tie), list(score), list(comments),
+                         list(gilded))
             return
         if state.exists:
-            created_ms, ts, tie, score, comments, gilded = state.get
+            created_ms, chunk, ts, tie, score, comments, gilded = state.get
             if created_ms + track_ms <= watermark:
                 # The window closed before these rows arrived (rows of a group are handed
                 # over before its timeout fires): archive what was tracked, drop the rest.
                 state.remove()
-                yield record(story, created_ms, list(ts), list(tie), list(score), list(comments), list(gilded))
+                yield record(story, int(chunk), created_ms, list(ts), list(tie), list(score), list(comments),
+                             list(gilded))
                 return
             ts, tie, score, comments, gilded = list(ts), list(tie), list(score), list(comments), list(gilded)
         else:
-            created_ms, ts, tie, score, comments, gilded = None, [], [], [], [], []
+            created_ms, chunk, ts, tie, score, comments, gilded = None, 0, [], [], [], [], []
         for pdf in batches:
             if created_ms is None and len(pdf):
                 created_ms = int(pdf["created_ms"].iloc[0])
-            ts += [int(v) for v in pdf["ts_ms"]]
-            tie += [int(v) for v in pdf["tie"]]
-            score += [int(v) for v in pdf["score"]]
-            comments += [int(v) for v in pdf["comments"]]
-            gilded += [int(v) for v in pdf["gilded"]]
+            ts += pdf["ts_ms"].tolist()
+            tie += pdf["tie"].tolist()
+            score += pdf["score"].tolist()
+            comments += pdf["comments"].tolist()
+            gilded += pdf["gilded"].tolist()
         if created_ms is None or created_ms + track_ms <= watermark:
             return  # a story whose window already closed (already archived): late rows dropped
-        state.update((created_ms, ts, tie, score, comments, gilded))
+        while len(ts) >= max_points:
+            yield record(story, chunk, created_ms, ts[:max_points], tie[:max_points], score[:max_points],
+                         comments[:max_points], gilded[:max_points])
+            ts, tie, score, comments, gilded = (ts[max_points:], tie[max_points:], score[max_points:],
+                                                comments[max_points:], gilded[max_points:])
+            chunk += 1
+        state.update((created_ms, chunk, ts, tie, score, comments, gilded))
         state.setTimeoutTimestamp(created_ms + track_ms)
 
     return handler
 
 
 def archive_stream(spark: SparkSession, samples_src: str, schema: T.StructType, out_root: str,
-                   checkpoint: str, track_s: int = sel.STORY_TRACK_AGE_S, max_files: int | None = 1):
+                   checkpoint: str, track_s: int = sel.STORY_TRACK_AGE_S, max_files: int | None = 1,
+                   max_points: int = MAX_STATE_POINTS):
     """ST3: per-story state collects samples inside the tracking window; when the event
     time watermark passes created_at + track_s the story is emitted as one record and
     its state removed. ST4: samples outside the window, or later than the watermark,
@@ -205,7 +221,8 @@ def archive_stream(spark: SparkSession, samples_src: str, schema: T.StructType,
                     F.unix_millis("timestamp").alias("ts_ms"), F.col("tie1").alias("tie"),
                     "score", "comments", "gilded"))
     records = rows.groupBy("story").applyInPandasWithState(
-        _expire_story(track_ms), ARCHIVE_OUT, ARCHIVE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        _expire_story(track_ms, max_points), ARCHIVE_OUT, ARCHIVE_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("archive_date", F.date_format("created_at", "yyyy-MM-dd"))

@@ -63,3 +63,19 @@ def test_first_sightings_once_per_tracking_period(spark):
         for a, b in zip(r.t, r.t[1:]):
             assert (b - a).total_seconds() > 0
     assert df.count() >= df.select("short_id").distinct().count()
+
+
+def test_expiry_state_is_chunked(spark):
+    root = A.scratch_path(spark, "t-expiry-chunk")
+    c1 = ts("2020-01-01 00:00:00")
+    h = dt.timedelta(minutes=1)
+    rows = [(1, c1 + i * h, i, i, 0, 0, c1, i // 5) for i in range(23)]
+    rows.append((2, c1 + 5000 * h, 0, 0, 0, 0, c1 + 4000 * h, 9))     # pushes event time past the window
+    rows.append((2, c1 + 9000 * h, 1, 0, 0, 0, c1 + 4000 * h, 10))
+    df = spark.createDataFrame(rows, SAMPLE)
+    land_in_order(df, f"{root}/landing", "step", "parquet")
+    STR.await_done(STR.archive_stream(spark, f"{root}/landing", df.schema, f"{root}/out", f"{root}/ck",
+                                      max_points=4))
+    recs = sorted((r.chunk, r.score) for r in spark.read.parquet(f"{root}/out/records").collect() if r.story == 1)
+    assert all(len(sc) <= 4 for _, sc in recs)
+    assert sorted(x for _, sc in recs for x in sc) == list(range(23))
