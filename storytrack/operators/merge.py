@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storytrack.functions import scalars as X
-from storytrack.operators import select as sel
 from storytrack.session import AS_OF
 
 FEED_PRIORITY = {"hot": 0, "new": 1}  # the hot copy wins when a story is on both feeds

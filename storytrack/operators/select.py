@@ -178,3 +178,12 @@ def lookup_status(requested: DataFrame, story: DataFrame, id_col: str = "short_i
     return j.select("short_id", "story_id",
                     F.col("story_id").isNotNull().alias("found"),
                     F.when(F.col("story_id").isNotNull(), 200).otherwise(404).alias("status"))
+
+
+def name_lists(subs: DataFrame, per_request: int = PAGE_SIZE) -> DataFrame:
+    """X6: '+'-joined names, one list per request of at most ``per_request`` names (name
+    order). Batches come from global positions, so every group is bounded."""
+    from storytrack.operators.ordering import ordered_batches
+    b = ordered_batches(subs.select("name"), [F.col("name")], per_request)
+    return (b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_names"),
+                                   F.array_join(F.array_sort(F.collect_list("name")), "+").alias("names")))

@@ -19,7 +19,7 @@ from storytrack.operators import merge as M
 from storytrack.operators import metrics as MET
 from storytrack.operators import select as sel
 from storytrack.operators.asof import asof_backward
-from storytrack.operators.ordering import global_index, ordered_batches
+from storytrack.operators.ordering import ordered_batches
 from storytrack.plans import jobs
 from storytrack.plans.oracle import AS_OF as SQL_AS_OF
 from storytrack.plans.oracle import hot, minus_s, with_tables
@@ -421,15 +421,7 @@ def q_union_feeds(spark, d):
 SELECT batch, count(*) AS n_names, string_agg(name, '+' ORDER BY name) AS names FROM r GROUP BY batch""")
 def q_name_list(spark, d):
     recent = sel.subreddits_recently_seen(T.subreddits(spark, d), AS_OF)
-    return X_name_lists(recent)
-
-
-def X_name_lists(subs: DataFrame, per_request: int = sel.PAGE_SIZE) -> DataFrame:
-    """X6: '+'-joined names, one list per request of at most ``per_request`` names
-    (name order). Batches come from the global index, so each group is bounded."""
-    b = ordered_batches(subs.select("name"), [F.col("name")], per_request)
-    return (b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_names"),
-                                   F.array_join(F.array_sort(F.collect_list("name")), "+").alias("names")))
+    return sel.name_lists(recent)
 
 
 # -- M4: discovery / update merges ----------------------------------------------------

@@ -289,3 +289,10 @@ def write_canonical(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
      .withColumn("day", X.utc_day("timestamp"))
      .repartitionByRange("day", "subreddit", "timestamp").sortWithinPartitions("subreddit", "timestamp")
      .write.mode("overwrite").partitionBy("day").parquet(f"{out_dir}/subreddit_history"))
+
+
+def read_canonical(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Open the canonical tables written by :func:`write_canonical` (day partitions are
+    discovered, so time filters on ``day`` prune folders)."""
+    return {name: spark.read.parquet(f"{root}/{name}")
+            for name in ("subreddit", "story", "story_history", "subreddit_history")}

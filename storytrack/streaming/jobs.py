@@ -21,7 +21,6 @@ from storytrack.operators import merge as M
 from storytrack.operators import select as sel
 from storytrack.plans import jobs
 from storytrack.session import AS_OF
-from storytrack.sources import archive as A
 from storytrack.sources import payload as P
 
 LANDED_PAGE = T.StructType([
