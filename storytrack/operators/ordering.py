@@ -10,6 +10,7 @@ that broadcast is bounded by the number of partitions, not by the data.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +29,14 @@ def global_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataF
     loss — then see the same partitions.
     """
     checkpoint_dir(df.sparkSession)
-    ranked = (df.orderBy(*order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True)
-              .withColumn("_part", F.shiftright("_mid", _ROW_BITS))
+    stamped = (df.orderBy(*order)
+               .withColumn("_mid", F.monotonically_increasing_id())
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    # A reliable checkpoint of an uncached plan re-runs it to write the files; the cache
+    # lets the write reuse the first run. Once written, the checkpoint is the only source.
+    ranked = stamped.checkpoint(eager=True)
+    stamped.unpersist()
+    ranked = (ranked.withColumn("_part", F.shiftright("_mid", _ROW_BITS))
               .withColumn("_row", F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))))
     counts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
