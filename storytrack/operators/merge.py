@@ -266,6 +266,16 @@ def subreddit_history_append(stale: DataFrame, abouts: DataFrame, as_of=AS_OF,
                      "comment_hide_mins")
 
 
+def refresh_sampled(subreddit: DataFrame, samples: DataFrame, as_of=AS_OF) -> DataFrame:
+    """K8 (parent side): communities that received a sample get ``updated_at = as_of``;
+    returns the new snapshot of ``subreddit``."""
+    now = X.as_ts(as_of)
+    hit = samples.select(F.col("subreddit").alias("id")).distinct().withColumn("_hit", F.lit(True))
+    j = subreddit.join(hit, "id", "left")
+    return j.select(*[(F.when(F.col("_hit"), now).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c))
+                      for c in subreddit.columns])
+
+
 # -- deletes (K10, K11) -----------------------------------------------------------
 
 def delete_stories(story: DataFrame, history: DataFrame, doomed_ids: DataFrame):

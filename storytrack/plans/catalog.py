@@ -901,3 +901,16 @@ def q_story_detail_json(spark, d):
     """Detail records serialised as JSON text with explicit nulls (the archive line format)."""
     det = H.story_detail(T.stories(spark, d), T.subreddits(spark, d), T.story_history(spark, d))
     return H.detail_json(det)
+
+
+@register("subreddit_refresh", with_tables("sub", "abouts") + f"""
+, sampled AS (SELECT s.id FROM sub s JOIN abouts a ON a.name = s.name
+              WHERE s.updated_at < {minus_s(SQL_AS_OF, '900')} AND a.status = 200)
+SELECT id, name, CASE WHEN id IN (SELECT id FROM sampled) THEN {SQL_AS_OF} ELSE updated_at END AS updated_at,
+       seen_at FROM sub""")
+def q_subreddit_refresh(spark, d):
+    """K8 end to end: sample the stale communities, then refresh their updated_at."""
+    sub = T.subreddits(spark, d)
+    abouts = P.parse_about(T.landed_subreddit_abouts(spark, d, AS_OF))
+    samples = M.subreddit_history_append(sel.subreddits_stale(sub, AS_OF), abouts, AS_OF)
+    return M.refresh_sampled(sub, samples, AS_OF).select("id", "name", "updated_at", "seen_at")
