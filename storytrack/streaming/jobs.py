@@ -244,18 +244,21 @@ LANDED_ABOUT = T.StructType([
 
 def subreddit_sampling_stream(spark: SparkSession, landing: str, subreddit: DataFrame, out_root: str,
                               checkpoint: str, as_of=AS_OF, strict: bool = False):
-    """ST8: landed ``about`` records → one sample per stale subreddit per batch (K8);
-    403 responses skip the subreddit; other failures raise when ``strict``."""
-    stale = sel.subreddits_stale(subreddit, as_of)
+    """ST8: landed ``about`` records → one sample per stale subreddit per batch (K8) and the
+    sampled communities' ``updated_at`` refreshed in the next ``subreddit/batch=N``
+    snapshot; 403 responses skip the subreddit; other failures raise when ``strict``."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        prev = subreddit if batch_id == 0 else spark.read.parquet(f"{out_root}/subreddit/batch={batch_id - 1}")
         ok = batch.filter(F.col("status") == 200)
         parsed = P.parse_about(ok)
         failed = batch.filter(F.col("status") != 200)
-        rows = M.subreddit_history_append(stale, parsed.unionByName(
+        rows = M.subreddit_history_append(sel.subreddits_stale(prev, as_of), parsed.unionByName(
             failed.select("requested", "status").withColumn("name", F.lit(None).cast("string")),
             allowMissingColumns=True), as_of, strict)
         rows.write.mode("overwrite").parquet(f"{out_root}/samples/batch={batch_id}")
+        M.refresh_sampled(prev, spark.read.parquet(f"{out_root}/samples/batch={batch_id}"), as_of).write.mode(
+            "overwrite").parquet(f"{out_root}/subreddit/batch={batch_id}")
 
     return (spark.readStream.schema(LANDED_ABOUT).json(_glob(landing)).writeStream
             .foreachBatch(process).option("checkpointLocation", checkpoint)
