@@ -843,9 +843,10 @@ def q_stream_rate(spark, d):
     land_in_order(obs, f"{root}/landing", "tick", "parquet", steps_per_file=7, prefix="data")
     for k, marker in enumerate(markers):
         land_in_order(marker, f"{root}/landing", "tick", "parquet", prefix=f"end{k}")
-    schema = "seen_at timestamp, tick timestamp, is_marker boolean"
-    from pyspark.sql.types import _parse_datatype_string
-    STR.await_done(STR.rate_stream(spark, f"{root}/landing", _parse_datatype_string(schema), f"{root}/out",
+    from pyspark.sql import types as PT
+    schema = PT.StructType([PT.StructField("seen_at", PT.TimestampType()), PT.StructField("tick", PT.TimestampType()),
+                            PT.StructField("is_marker", PT.BooleanType())])
+    STR.await_done(STR.rate_stream(spark, f"{root}/landing", schema, f"{root}/out",
                                    f"{root}/checkpoint", minutes=5, max_files=1))
     out = spark.read.parquet(f"{root}/out")
     return out.select("window_start", "window_end", "n", r6("rate_per_s").alias("rate_per_s"))

@@ -207,9 +207,11 @@ def _landed_once(spark: SparkSession, key: str, build) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    try:
+        spark.read.parquet(path).schema  # lists the folder; fails when it is missing
+        return True
+    except Exception:  # noqa: BLE001 - AnalysisException (path not found)
+        return False
 
 
 def landed_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
