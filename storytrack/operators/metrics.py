@@ -37,6 +37,33 @@ def exact_quantiles(df: DataFrame, group: str, value: str, qs=QUANTILES) -> Data
         (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_w")).alias(n) for n, *_ in bounds])
 
 
+def exact_quantiles_global(df: DataFrame, value: str, qs=QUANTILES) -> DataFrame:
+    """Exact quantiles over all rows (one output row), from global positions.
+
+    The row count enters as a scalar subquery, so nothing is joined on a constant key
+    (which the optimiser would turn into a cartesian product).
+    """
+    from storytrack.operators.ordering import global_index
+    n = df.select(F.count(F.lit(1))).scalar()
+    ranked = global_index(df.select(value), [F.col(value)], "_idx")
+    idx, v = F.col("_idx"), F.col(value).cast("double")
+    bounds = []
+    for q, name in qs:
+        h = (n - 1) * F.lit(q)
+        bounds.append((name, F.floor(h), F.ceil(h), h - F.floor(h)))
+    wanted = F.lit(False)
+    for _, lo, hi, _w in bounds:
+        wanted = wanted | (idx == lo) | (idx == hi)
+    picked = ranked.filter(wanted).withColumn("_w", F.lit(0.0))
+    aggs = []
+    for name, lo, hi, w in bounds:
+        aggs += [F.max(F.when(idx == lo, v)).alias(f"{name}_lo"), F.max(F.when(idx == hi, v)).alias(f"{name}_hi"),
+                 F.max(F.when(idx == lo, w)).alias(f"{name}_w")]
+    out = picked.agg(*aggs)
+    return out.select(*[(F.col(f"{n_}_lo") + (F.col(f"{n_}_hi") - F.col(f"{n_}_lo")) * F.col(f"{n_}_w")).alias(n_)
+                        for n_, *_ in bounds])
+
+
 def _quantile_cols(df: DataFrame, group: str, value: str, approx: bool, accuracy: int = 10000):
     """Quantile columns joined onto per-group stats: exact (positions) or approx (sketch)."""
     if approx:
@@ -73,10 +100,16 @@ def run_counters(*labelled: tuple[str, DataFrame]) -> DataFrame:
 
 def batch_size_stats(rows: DataFrame, batch_col: str = "tick", approx: bool = False) -> DataFrame:
     """A10: distribution of batch sizes (rows per batch)."""
-    sizes = rows.groupBy(batch_col).agg(F.count(F.lit(1)).alias("size")).withColumn("_g", F.lit(0))
-    stats = sizes.groupBy("_g").agg(F.count(F.lit(1)).alias("batches"), F.min("size").alias("min_size"),
-                                    F.max("size").alias("max_size"), F.avg("size").alias("mean_size"))
-    return stats.join(_quantile_cols(sizes, "_g", "size", approx), "_g").drop("_g")
+    sizes = rows.groupBy(batch_col).agg(F.count(F.lit(1)).alias("size"))
+    stats = sizes.agg(F.count(F.lit(1)).alias("batches"), F.min("size").alias("min_size"),
+                      F.max("size").alias("max_size"), F.avg("size").alias("mean_size"))
+    if approx:
+        q = sizes.agg(*[F.percentile_approx("size", p, 10000).cast("double").alias(n) for p, n in QUANTILES])
+    else:
+        q = exact_quantiles_global(sizes, "size")
+    # The one-row result attaches as a single scalar subquery (no join on a constant key).
+    qs = q.select(F.struct(*[F.col(n) for _, n in QUANTILES])).scalar()
+    return stats.select("*", *[qs[n].alias(n) for _, n in QUANTILES])
 
 
 def event_rate(rows: DataFrame, ts_col: str = "seen_at", minutes: int = 1) -> DataFrame:

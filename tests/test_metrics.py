@@ -40,3 +40,11 @@ def test_rates_and_batches(spark):
     assert (b.batches, b.min_size, b.max_size, b.p50) == (3, 10, 10, 10.0)
     c = {r.counter: r.n for r in MET.run_counters(("a", df), ("b", df.limit(0))).collect()}
     assert c == {"a": 30, "b": 0}
+
+
+def test_global_quantiles_match_numpy(spark):
+    rnd = random.Random(5)
+    vals = [rnd.randint(0, 1000) for _ in range(777)]
+    df = spark.createDataFrame([(v,) for v in vals], "v long")
+    r = MET.exact_quantiles_global(df, "v").first()
+    assert np.allclose((r.p50, r.p95, r.p99), [np.quantile(np.array(vals, float), q) for q in (0.5, 0.95, 0.99)])
