@@ -45,11 +45,11 @@ def exact_quantiles_global(df: DataFrame, value: str, qs=QUANTILES) -> DataFrame
     """
     from storytrack.operators.ordering import global_index
     n = df.select(F.count(F.lit(1))).scalar()
-    ranked = global_index(df.select(value), [F.col(value)], "_idx")
+    ranked = global_index(df.select(value), [F.col(value)], "_idx").withColumn("_n", n)
     idx, v = F.col("_idx"), F.col(value).cast("double")
     bounds = []
     for q, name in qs:
-        h = (n - 1) * F.lit(q)
+        h = (F.col("_n") - 1) * F.lit(q)
         bounds.append((name, F.floor(h), F.ceil(h), h - F.floor(h)))
     wanted = F.lit(False)
     for _, lo, hi, _w in bounds:
@@ -109,7 +109,8 @@ def batch_size_stats(rows: DataFrame, batch_col: str = "tick", approx: bool = Fa
         q = exact_quantiles_global(sizes, "size")
     # The one-row result attaches as a single scalar subquery (no join on a constant key).
     qs = q.select(F.struct(*[F.col(n) for _, n in QUANTILES])).scalar()
-    return stats.select("*", *[qs[n].alias(n) for _, n in QUANTILES])
+    with_q = stats.select("*", qs.alias("_q"))
+    return with_q.select(*stats.columns, *[F.col("_q")[n].alias(n) for _, n in QUANTILES])
 
 
 def event_rate(rows: DataFrame, ts_col: str = "seen_at", minutes: int = 1) -> DataFrame:
