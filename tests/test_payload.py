@@ -68,3 +68,19 @@ def test_about_payload(spark):
     df = spark.createDataFrame([("news", 200, json.dumps(body))], "requested string, status int, value string")
     r = P.parse_about(df).first()
     assert (r.name, r.summary, r.subscribers, r.active, r.comment_hide_mins) == ("news", None, 7, 3, 60)
+
+
+def test_read_landed_files_lines_and_whole(spark, tmp_path_factory):
+    from storytrack.sources import archive as A
+    root = A.scratch_path(spark, "t-landed")
+    import os
+    os.makedirs(root)
+    with open(f"{root}/page-0.json", "w") as fh:
+        fh.write(page([story(id="a"), story(id="b")]) + "\n" + page([story(id="c")]) + "\n")
+    lines = P.read_landed(spark, root)
+    assert sorted(r.short_id for r in P.parse_story_pages(lines).collect()) == ["a", "b", "c"]
+    os.makedirs(f"{root}-whole")
+    with open(f"{root}-whole/page-0.json", "w") as fh:
+        fh.write(json.dumps(json.loads(page([story(id="z")])), indent=2))   # one pretty-printed envelope
+    whole = P.read_landed(spark, f"{root}-whole", whole_file=True)
+    assert [r.short_id for r in P.parse_story_pages(whole).collect()] == ["z"]
