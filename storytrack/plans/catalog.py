@@ -915,3 +915,10 @@ def q_subreddit_refresh(spark, d):
     abouts = P.parse_about(T.landed_subreddit_abouts(spark, d, AS_OF))
     samples = M.subreddit_history_append(sel.subreddits_stale(sub, AS_OF), abouts, AS_OF)
     return M.refresh_sampled(sub, samples, AS_OF).select("id", "name", "updated_at", "seen_at")
+
+
+@register("discovery_latency_approx")
+def q_discovery_latency_approx(spark, d):
+    """A8 with fixed-size quantile sketches (one pass, no sort); values are approximate."""
+    out = MET.discovery_latency(T.stories(spark, d, with_feed=True), approx=True)
+    return out.select("feed", "n", "min_ms", "max_ms", *[r6(c).alias(c) for c in ("mean_ms", "p50", "p95", "p99")])

@@ -33,7 +33,13 @@ CLUSTER_CONF = {
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "storytrack", extra: dict | None = None) -> SparkSession:
-    """Create (or reuse) a session with the engine's defaults."""
+    """Create (or reuse) a session with the engine's defaults.
+
+    The partition count here suits local runs. On a cluster, submit with
+    ``spark.sql.shuffle.partitions`` near (largest shuffle size / 128 MB) — AQE coalesces
+    small stages down from it and splits skewed partitions — and point
+    ``spark.checkpoint.dir`` at shared storage.
+    """
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(CLUSTER_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
