@@ -207,8 +207,8 @@ def archive_stream(spark: SparkSession, samples_src: str, schema: T.StructType,
     """ST3: per-story state collects samples inside the tracking window; when the event
     time watermark passes created_at + track_s the story is emitted as one record and
     its state removed. ST4: samples outside the window, or later than the watermark,
-    are dropped. ST6: each micro-batch's records are written under ``batch=N`` with
-    dynamic overwrite, so a replayed batch rewrites the same files."""
+    are dropped. ST6: each micro-batch's records are written to ``records/batch=N``
+    (overwrite), so a replayed batch rewrites the same files."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -224,10 +224,12 @@ def archive_stream(spark: SparkSession, samples_src: str, schema: T.StructType,
         GroupStateTimeout.EventTimeTimeout)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        # One folder per micro-batch, replaced on replay (idempotent); records carry their
+        # UTC day as a column, sorted so row-group statistics prune by day. The per-day
+        # archive layout is produced by compaction, not by every micro-batch.
         (batch.withColumn("archive_date", F.date_format("created_at", "yyyy-MM-dd"))
-         .withColumn("batch", F.lit(int(batch_id)).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("archive_date", "batch").parquet(f"{out_root}/records"))
+         .sortWithinPartitions("archive_date", "story")
+         .write.mode("overwrite").parquet(f"{out_root}/records/batch={batch_id}"))
 
     return (records.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
