@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,14 +64,18 @@ def discovery_stream(spark: SparkSession, landing: str, story0: DataFrame, subre
     def process(batch: DataFrame, batch_id: int) -> None:
         prev = story0 if batch_id == 0 else spark.read.parquet(f"{out_root}/story/batch={batch_id - 1}")
         run = jobs.discovery(batch, prev, subreddit, as_of)
-        run.samples.write.mode("overwrite").parquet(f"{out_root}/samples/batch={batch_id}")
-        run.new_stories.write.mode("overwrite").parquet(f"{out_root}/new_stories/batch={batch_id}")
+        # A scrape's outputs are small (≤ one row per story seen); each is computed once
+        # and reused by the writes below.
+        samples = run.samples.persist(StorageLevel.MEMORY_AND_DISK)
+        new_stories = run.new_stories.persist(StorageLevel.MEMORY_AND_DISK)
+        samples.write.mode("overwrite").parquet(f"{out_root}/samples/batch={batch_id}")
+        new_stories.write.mode("overwrite").parquet(f"{out_root}/new_stories/batch={batch_id}")
         # New stories take their later sightings in this batch (K6 on the inserted rows).
-        new_after = M.apply_samples(spark.read.parquet(f"{out_root}/new_stories/batch={batch_id}"),
-                                    spark.read.parquet(f"{out_root}/samples/batch={batch_id}"))
+        new_after = M.apply_samples(new_stories, samples)
         run.story_after.unionByName(new_after).write.mode("overwrite").parquet(
             f"{out_root}/story/batch={batch_id}")
-        run.feed_stories.unpersist()
+        for df in (samples, new_stories, run.feed_stories):
+            df.unpersist()
 
     writer = (read_landed_pages(spark, landing, max_files).writeStream
               .foreachBatch(process).option("checkpointLocation", checkpoint))
