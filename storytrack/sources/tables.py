@@ -274,6 +274,21 @@ def landed_subreddit_abouts(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> Da
         F.to_json(F.struct(F.lit("t5").alias("kind"), data.alias("data"))).alias("value"))
 
 
+def write_bucketed(spark: SparkSession, sf_dir: str, out_dir: str, buckets: int,
+                   prefix: str = "st") -> dict[str, str]:
+    """Write ``story`` bucketed by ``id`` and ``story_history`` bucketed by ``story`` (sorted by
+    story, time) as catalog tables at ``out_dir``. Per-story aggregates over the history and
+    story ⋈ history joins then read co-located buckets and skip the shuffle. Returns the
+    table names (use ``spark.table(name)``)."""
+    names = {"story": f"{prefix}_story", "story_history": f"{prefix}_story_history"}
+    (stories(spark, sf_dir).write.mode("overwrite").bucketBy(buckets, "id").sortBy("id")
+     .option("path", f"{out_dir}/story").saveAsTable(names["story"]))
+    (story_history(spark, sf_dir).write.mode("overwrite").bucketBy(buckets, "story")
+     .sortBy("story", "timestamp").option("path", f"{out_dir}/story_history")
+     .saveAsTable(names["story_history"]))
+    return names
+
+
 def write_canonical(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
     """Materialise the canonical tables in their storage layout.
 

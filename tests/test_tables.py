@@ -31,3 +31,23 @@ def test_bindings_have_canonical_schemas(spark):
     assert [f.name for f in T.subreddits(spark, SF).schema] == [f.name for f in S.SUBREDDIT]
     assert [f.name for f in T.story_history(spark, SF).schema] == [f.name for f in S.STORY_HISTORY]
     assert [f.name for f in T.subreddit_history(spark, SF).schema] == [f.name for f in S.SUBREDDIT_HISTORY]
+
+
+def test_bucketed_history_aggregates_without_shuffle(spark):
+    root = A.scratch_path(spark, "t-bucketed")
+    names = T.write_bucketed(spark, SF, root, buckets=4, prefix="tb")
+    h = spark.table(names["story_history"])
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        H.latest_state(h).explain()
+    assert "Exchange hashpartitioning" not in buf.getvalue()
+    a = H.latest_state(h).select("story", "score")
+    b = H.latest_state(T.story_history(spark, SF)).select("story", "score")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    st = spark.table(names["story"])
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        st.join(h.withColumnRenamed("story", "id"), "id").explain()
+    assert "Exchange hashpartitioning" not in buf.getvalue()
