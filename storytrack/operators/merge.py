@@ -9,10 +9,11 @@ story repeated in a third of all rows still reaches the shuffle as one row per t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storytrack.functions import scalars as X
+from storytrack.operators.ordering import global_index, position_within
 from storytrack.session import AS_OF
 
 FEED_PRIORITY = {"hot": 0, "new": 1}  # the hot copy wins when a story is on both feeds
@@ -44,7 +45,7 @@ def dedup_last_wins(obs: DataFrame, keys=("short_id",), order=("arrival",)) -> D
 def union_feeds(obs: DataFrame, keys=("tick", "short_id")) -> DataFrame:
     """U1 + U2: id-based union of the feeds of one scrape; hot copy wins, ``in_new`` flags
     stories that the new feed also carried. Within a feed the first copy wins (D1)."""
-    prio = F.lit(None).cast("int")
+    prio = F.lit(len(FEED_PRIORITY))  # any other feed ranks after the known ones
     for feed, p in FEED_PRIORITY.items():
         prio = F.when(F.col("feed") == feed, F.lit(p)).otherwise(prio)
     rest = _payload_cols(obs, tuple(keys))
@@ -75,13 +76,11 @@ def paged_listing(children: DataFrame, limit: int, feed_col: str = "feed") -> Da
     # row_number filter becomes a map-side WindowGroupLimit (each task keeps `limit` rows
     # per feed before the shuffle); above it, positions come from the range-sorted global
     # order so no task sorts a whole feed.
-    from pyspark.sql import Window
     threshold = int(kept.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if limit <= threshold:
         w = Window.partitionBy(feed_col).orderBy("page", "pos")
         ranked = kept.withColumn("rank", F.row_number().over(w))
     else:
-        from storytrack.operators.ordering import position_within
         ranked = position_within(kept, feed_col, [F.col("page"), F.col("pos")], "rank")
     return ranked.filter(F.col("rank") <= limit).select(feed_col, "rank", "page", "pos", "short_id")
 
@@ -142,7 +141,6 @@ def discover_insert(accepted: DataFrame, story: DataFrame, subreddit: DataFrame)
     Ids continue the table's sequence (max id + position in (tick, short_id) order);
     later sightings of the same story become ordinary samples (returned third).
     """
-    from storytrack.operators.ordering import global_index
     first = dedup_first_seen(accepted, keys=("short_id",), order=("tick",))
     max_id = story.select(F.coalesce(F.max("id"), F.lit(-1))).scalar()  # scalar subquery
     numbered = global_index(first, [F.col("tick"), F.col("short_id")], "_i").withColumn("_max", max_id)
@@ -176,8 +174,9 @@ def apply_samples(story: DataFrame, samples: DataFrame) -> DataFrame:
     Returns the new snapshot of ``story``; a sample older than the stored state does not
     overwrite it, and samples for stories that no longer exist change nothing.
     """
+    state = F.struct(*[F.col(c) for c in STATE_FIELDS])
     newest = samples.groupBy("story").agg(
-        F.max_by(F.struct(*[F.col(c) for c in STATE_FIELDS]), F.col("timestamp")).alias("_s"),
+        F.max_by(state, F.struct(F.col("timestamp"), state)).alias("_s"),  # ties: deterministic
         F.max("timestamp").alias("_ts"))
     j = story.join(newest.withColumnRenamed("story", "id"), "id", "left")
     take = F.col("_ts").isNotNull() & (F.col("_ts") >= F.col("updated_at"))
@@ -242,7 +241,6 @@ def subreddit_upsert(front_names: DataFrame, subreddit: DataFrame, abouts: DataF
     new_names = names.join(subreddit.select("name"), "name", "left_anti")
     fresh = abouts.filter(F.col("status") == 200).join(new_names, "name", "inner")
     max_id = subreddit.select(F.coalesce(F.max("id"), F.lit(-1))).scalar()  # scalar subquery
-    from storytrack.operators.ordering import global_index
     fresh = global_index(fresh, [F.col("name")], "_i").withColumn("_max", max_id)
     inserted = fresh.select(
         (F.col("_max") + F.col("_i") + F.lit(1)).alias("id"), "reddit_short_id", "name", "title",

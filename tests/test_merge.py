@@ -127,3 +127,8 @@ def test_paging_above_group_limit_threshold(spark):
     ch = pages_fixture(spark, 13, 100)
     got = M.paged_listing(ch, 1200).collect()
     assert len(got) == 1200 and sorted(r.rank for r in got) == list(range(1, 1201))
+
+
+def test_union_feeds_unknown_feed_ranks_last(spark):
+    obs = spark.createDataFrame([(T0, "a", "front", 0, 0, 1, "x"), (T0, "a", "new", 3, 3, 2, "x")], OBS)
+    assert M.union_feeds(obs).first().feed == "new"
