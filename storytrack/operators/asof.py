@@ -58,7 +58,10 @@ def asof_backward(probes: DataFrame, history: DataFrame, key: str, probe_ts: str
     carry = tails.select("_blk", F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
 
     j = filled.join(carry, "_blk", "left")
-    same = lambda c: c.isNotNull() & (c["_key"] == F.col("_key"))
+
+    def same(c):  # a carried history row that belongs to the probe's own key
+        return c.isNotNull() & (c["_key"] == F.col("_key"))
+
     match_h = F.when(F.col("_prev").isNotNull(),
                      F.when(same(F.col("_prev")), F.col("_prev"))).otherwise(
         F.when(same(F.col("_carry")), F.col("_carry")))
@@ -82,18 +85,24 @@ def asof_backward(probes: DataFrame, history: DataFrame, key: str, probe_ts: str
         .when(F.col("_first").isNotNull(), F.lit("first")).alias("match"))
 
 
-def asof_subreddit_history(subreddit: DataFrame, sub_history: DataFrame, at_col: str = "probe_ts"):
-    """Each subreddit's last sample strictly before ``probe_ts``, else its first sample."""
-    return asof_backward(subreddit, sub_history, key="subreddit_key", probe_ts=at_col,
-                         hist_ts="timestamp", probe_id="id", hist_tie="hist_id",
-                         hist_cols=["subscribers", "active", "comment_hide_mins"])
+SUB_STATS = ["subscribers", "active", "comment_hide_mins"]
+
+
+def _sub_history(sub_history: DataFrame) -> DataFrame:
+    return sub_history.select(F.col("subreddit").alias("subreddit_key"), "timestamp",
+                              F.col("id").alias("hist_id"), *SUB_STATS)
+
+
+def asof_subreddit_history(subreddit: DataFrame, sub_history: DataFrame, at) -> DataFrame:
+    """Each community's last sample strictly before ``at`` (a timestamp column or
+    literal), else its first sample ever; one probe per community."""
+    probes = subreddit.select("id", F.col("id").alias("subreddit_key"), at.alias("probe_ts"))
+    return asof_backward(probes, _sub_history(sub_history), key="subreddit_key", probe_ts="probe_ts",
+                         hist_ts="timestamp", probe_id="id", hist_tie="hist_id", hist_cols=SUB_STATS)
 
 
 def asof_story_context(story: DataFrame, sub_history: DataFrame) -> DataFrame:
     """Every story with its community's stats as they stood before it was created."""
     probes = story.select("id", F.col("subreddit").alias("subreddit_key"), "created_at")
-    hist = sub_history.select(F.col("subreddit").alias("subreddit_key"), "timestamp",
-                              F.col("id").alias("hist_id"), "subscribers", "active", "comment_hide_mins")
-    return asof_backward(probes, hist, key="subreddit_key", probe_ts="created_at", hist_ts="timestamp",
-                         probe_id="id", hist_tie="hist_id",
-                         hist_cols=["subscribers", "active", "comment_hide_mins"])
+    return asof_backward(probes, _sub_history(sub_history), key="subreddit_key", probe_ts="created_at",
+                         hist_ts="timestamp", probe_id="id", hist_tie="hist_id", hist_cols=SUB_STATS)

@@ -18,7 +18,7 @@ from storytrack.operators import history as H
 from storytrack.operators import merge as M
 from storytrack.operators import metrics as MET
 from storytrack.operators import select as sel
-from storytrack.operators.asof import asof_backward
+from storytrack.operators.asof import asof_story_context, asof_subreddit_history
 from storytrack.operators.ordering import ordered_batches
 from storytrack.plans import jobs
 from storytrack.plans.oracle import AS_OF as SQL_AS_OF
@@ -703,12 +703,6 @@ def q_delete_subreddit(spark, d):
 ASOF_COLS = ["h_timestamp", "h_hist_id", "h_subscribers", "h_active", "h_comment_hide_mins", "match"]
 
 
-def _sub_hist(spark, d):
-    return T.subreddit_history(spark, d).select(
-        F.col("subreddit").alias("subreddit_key"), "timestamp", F.col("id").alias("hist_id"),
-        "subscribers", "active", "comment_hide_mins")
-
-
 @register("asof_subreddit_history", with_tables("sub", "subhist") + f"""
 , b AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY subreddit ORDER BY timestamp DESC, id DESC) rn
                        FROM subhist h WHERE timestamp < {SQL_AS_OF}) WHERE rn = 1),
@@ -720,11 +714,7 @@ SELECT s.id, COALESCE(b.timestamp, f.timestamp) AS h_timestamp, COALESCE(b.id, f
        CASE WHEN b.id IS NOT NULL THEN 'before' WHEN f.id IS NOT NULL THEN 'first' END AS match
 FROM sub s LEFT JOIN b ON b.subreddit = s.id LEFT JOIN f ON f.subreddit = s.id""")
 def q_asof_subreddit(spark, d):
-    probes = T.subreddits(spark, d).select("id", F.col("id").alias("subreddit_key"),
-                                           X.as_ts(AS_OF).alias("probe_ts"))
-    out = asof_backward(probes, _sub_hist(spark, d), key="subreddit_key", probe_ts="probe_ts",
-                        hist_ts="timestamp", probe_id="id", hist_tie="hist_id",
-                        hist_cols=["subscribers", "active", "comment_hide_mins"])
+    out = asof_subreddit_history(T.subreddits(spark, d), T.subreddit_history(spark, d), X.as_ts(AS_OF))
     return out.select("id", *ASOF_COLS)
 
 
@@ -740,10 +730,7 @@ SELECT s.id, COALESCE(b.timestamp, f.timestamp) AS h_timestamp, COALESCE(b.id, f
        CASE WHEN b.id IS NOT NULL THEN 'before' WHEN f.id IS NOT NULL THEN 'first' END AS match
 FROM story s LEFT JOIN b ON b.sid = s.id LEFT JOIN f ON f.subreddit = s.subreddit""")
 def q_asof_story(spark, d):
-    probes = T.stories(spark, d).select("id", F.col("subreddit").alias("subreddit_key"), "created_at")
-    out = asof_backward(probes, _sub_hist(spark, d), key="subreddit_key", probe_ts="created_at",
-                        hist_ts="timestamp", probe_id="id", hist_tie="hist_id",
-                        hist_cols=["subscribers", "active", "comment_hide_mins"])
+    out = asof_story_context(T.stories(spark, d), T.subreddit_history(spark, d))
     return out.select("id", *ASOF_COLS)
 
 
