@@ -28,7 +28,7 @@ REASON_BAD_VALUE = "bad_value"
 def read_landed(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """Read landed payload files; column ``value`` holds the envelope text, ``source`` the file."""
     df = spark.read.text(path, wholetext=whole_file)
-    return df.withColumn("source", F.input_file_name())
+    return df.select("value", F.col("_metadata.file_path").alias("source"))
 
 
 def _envelope(value: Column) -> Column:
