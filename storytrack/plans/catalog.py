@@ -839,8 +839,17 @@ def q_stream_rate(spark, d):
     return out.select("window_start", "window_end", "n", r6("rate_per_s").alias("rate_per_s"))
 
 
-@register("stream_archive")
+@register("stream_archive", with_tables("story", "hist") + """
+, s AS (SELECT h.story, h.timestamp, st.created_at FROM hist h JOIN story st ON h.story = st.id),
+inwin AS (SELECT * FROM s WHERE timestamp < created_at + INTERVAL 2 DAY)
+SELECT story, created_at, CAST(count(*) AS INTEGER) AS n_points, min(epoch_ms(timestamp)) AS first_ts,
+       max(epoch_ms(timestamp)) AS last_ts
+FROM inwin GROUP BY story, created_at
+HAVING created_at + INTERVAL 2 DAY < (SELECT max(timestamp) FROM s)""")
 def q_stream_archive(spark, d):
+    """ST3/ST4/ST6: samples land in time order (two-year steps); each story's record holds
+    its in-window samples and is emitted once the event-time watermark passes its window
+    end. Oracle: the same records computed in batch."""
     root = A.scratch_path(spark, "stream-archive")
     created = T.stories(spark, d).select(F.col("id").alias("story"), "created_at")
     samples = (T.story_history(spark, d, with_hotness=False).join(created, "story")
