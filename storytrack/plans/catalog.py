@@ -810,10 +810,10 @@ def q_stream_new(spark, d):
 @register("stream_discoveries")
 def q_stream_discoveries(spark, d):
     root = A.scratch_path(spark, "stream-firsts")
-    land_in_order(_pages(spark, d), f"{root}/landing", "tick", "json", steps_per_file=5)
+    land_in_order(_pages(spark, d), f"{root}/landing", "tick", "json")   # one scrape tick per micro-batch
     STR.await_done(STR.discoveries_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/checkpoint",
                                           max_files=1))
-    return spark.read.parquet(f"{root}/out").select("tick", "feed", "page", "pos", "short_id", "subreddit_name")
+    return spark.read.parquet(f"{root}/out").select("tick", "short_id", "subreddit_name")
 
 
 @register("stream_rate_5m", ORACLE["event_rate_5m"])

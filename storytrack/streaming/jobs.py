@@ -88,7 +88,11 @@ def discovery_stream(spark: SparkSession, landing: str, story0: DataFrame, subre
 def discoveries_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
                        track_s: int = sel.STORY_TRACK_AGE_S, max_files: int | None = None):
     """ST2: a story is emitted once per tracking period: duplicates of a short id are
-    dropped while the watermark (tick − tracking age) has not passed its first sighting."""
+    dropped while the watermark (tick − tracking age) has not passed its first sighting.
+
+    State is one small row per id, bounded by the watermark. When one micro-batch holds
+    several sightings of an id, Spark keeps the first row it processes (not necessarily
+    the earliest), so land one scrape tick per file for per-tick results."""
     parsed = P.parse_story_pages(read_landed_pages(spark, landing, max_files))
     firsts = (parsed.withWatermark("tick", f"{track_s} seconds")
               .dropDuplicatesWithinWatermark(["short_id"])
