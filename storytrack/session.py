@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,6 +32,15 @@ CLUSTER_CONF = {
 }
 
 
+def _driver_memory() -> str:
+    """Local-mode heap: 60 % of the machine's memory, between 1 and 16 GB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "storytrack", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the engine's defaults.
@@ -43,7 +53,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(CLUSTER_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = "8g"
+    conf["spark.driver.memory"] = _driver_memory()
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
