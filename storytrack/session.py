@@ -38,6 +38,14 @@ def _driver_memory() -> str:
         total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
     except (ValueError, OSError, AttributeError):
         return "4g"
+    for limit_file in ("/sys/fs/cgroup/memory.max", "/sys/fs/cgroup/memory/memory.limit_in_bytes"):
+        try:
+            with open(limit_file) as fh:
+                text = fh.read().strip()
+            if text.isdigit():
+                total = min(total, int(text))  # a container limit below the host's memory
+        except OSError:
+            pass
     return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
 
 
