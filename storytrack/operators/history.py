@@ -61,8 +61,18 @@ def history_struct(arrays: DataFrame) -> DataFrame:
     return arrays.select("story", F.struct(*[F.col(c) for c in HISTORY_FIELDS]).alias("history"))
 
 
-def story_detail(story: DataFrame, subreddit: DataFrame, history: DataFrame) -> DataFrame:
-    """A2 (+J2, J3): summary fields + history arrays; stories without samples get empty arrays."""
+def story_detail(story: DataFrame, subreddit: DataFrame, history: DataFrame,
+                 short_ids: DataFrame | None = None) -> DataFrame:
+    """A2 (+J2, J3): summary fields + history arrays; stories without samples get empty arrays.
+
+    With ``short_ids`` (a frame with column ``short_id``) only those stories are built: the
+    story table and the history are cut down to them before anything is folded, so a
+    lookup of a few ids never aggregates the whole history.
+    """
+    if short_ids is not None:
+        wanted = short_ids.select(F.col("short_id").alias("reddit_short_id")).distinct()
+        story = story.join(wanted, "reddit_short_id", "left_semi")
+        history = history.join(story.select(F.col("id").alias("story")), "story", "left_semi")
     summaries = sel.summary_columns(story, subreddit)
     arrays = history_arrays(history)
     j = summaries.join(arrays.withColumnRenamed("story", "story_id")

@@ -918,3 +918,19 @@ def q_discovery_latency_approx(spark, d):
     """A8 with fixed-size quantile sketches (one pass, no sort); values are approximate."""
     out = MET.discovery_latency(T.stories(spark, d, with_feed=True), approx=True)
     return out.select("feed", "n", "min_ms", "max_ms", *[r6(c).alias(c) for c in ("mean_ms", "p50", "p95", "p99")])
+
+
+@register("story_detail_lookup", with_tables("story", "sub", "hist", "obs") + f"""
+, arr AS ({_arrays_sql('hist')})
+SELECT s.id AS story_id, {SUMMARY_SQL_COLS},
+  COALESCE(arr.n_points, 0) AS n_points, COALESCE(arr.ts_ms, '') AS ts_ms, COALESCE(arr.scores, '') AS scores
+FROM story s JOIN sub ON s.subreddit = sub.id LEFT JOIN arr ON arr.story = s.id
+WHERE s.reddit_short_id IN (SELECT short_id FROM obs)""")
+def q_story_detail_lookup(spark, d):
+    """F1 → T4 → A2 for the ids the feeds asked about (missing ids: see story_lookup_status)."""
+    ids = T.feed_observations(spark, d).select("short_id")
+    det = H.story_detail(T.stories(spark, d), T.subreddits(spark, d), T.story_history(spark, d), ids)
+    return det.select(
+        "story_id", *[r6("hotness").alias("hotness") if c == "hotness" else F.col(c) for c in sel.SUMMARY_FIELDS],
+        F.size("history.timestamp").alias("n_points"), joined("history.timestamp").alias("ts_ms"),
+        joined("history.score").alias("scores"))
