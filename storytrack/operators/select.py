@@ -173,7 +173,10 @@ def summary_json(summaries: DataFrame) -> DataFrame:
 def lookup_status(requested: DataFrame, story: DataFrame, id_col: str = "short_id") -> DataFrame:
     """Each requested short id → found flag and HTTP-style status (200 / 404)."""
     req = requested.select(F.col(id_col).alias("short_id")).distinct()
-    hit = story.select(F.col("reddit_short_id").alias("short_id"), F.col("id").alias("story_id"))
+    # Cut the story table to the requested ids first (AQE broadcasts them when few), so
+    # the left join pairs two small frames instead of shuffling the whole table.
+    hit = (story.select(F.col("reddit_short_id").alias("short_id"), F.col("id").alias("story_id"))
+           .join(req, "short_id", "left_semi"))
     j = req.join(hit, "short_id", "left")
     return j.select("short_id", "story_id",
                     F.col("story_id").isNotNull().alias("found"),
