@@ -91,20 +91,20 @@ class ArchiveRun:
 def archive(spark: SparkSession, story: DataFrame, subreddit: DataFrame, history: DataFrame,
             root: str, as_of=AS_OF, batch_id: int | None = None) -> ArchiveRun:
     """Archivable stories → detail records → day-partitioned archive → delete what the
-    committed archive holds (J9 + K10).
+    committed write contained (J9 + K10).
 
     Each run writes under its own ``batch=<id>`` sub-partition (default: ``as_of`` in epoch
-    ms, so re-running the same pass overwrites its own files). Deletes come from reading
-    back only that partition (partition pruning), never the whole growing archive, so a
-    crash before the commit deletes nothing (at-least-once)."""
+    ms). The write job commits all of its files or none, so once it returns, the archived
+    stories are exactly the records it was given: archivable stories whose community exists
+    (the summary's inner join). Their ids come from the same snapshot, without reading the
+    archive back; a failed write raises before anything is deleted (at-least-once)."""
     if batch_id is None:
         batch_id = int(as_of.replace(tzinfo=_dt.timezone.utc).timestamp() * 1000)
     doomed = sel.stories_archivable(story, as_of)
     doomed_hist = history.join(doomed.select(F.col("id").alias("story")), "story", "left_semi")
     details = H.story_detail(doomed, subreddit, doomed_hist)
     A.write_archive(details, root, batch_id=batch_id)
-    written = (A.read_archive(spark, root, batched=True).filter(F.col("batch") == F.lit(batch_id))
-               .select(F.col("summary.id").alias("reddit_short_id")).distinct())
-    archived_ids = story.join(written, "reddit_short_id", "left_semi").select("id")
+    archived_ids = doomed.join(subreddit.select(F.col("id").alias("subreddit")), "subreddit",
+                               "left_semi").select("id")
     story_after, history_after = M.delete_stories(story, history, archived_ids)
     return ArchiveRun(doomed, details, story_after, history_after)
