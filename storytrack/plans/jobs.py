@@ -99,7 +99,8 @@ def archive(spark: SparkSession, story: DataFrame, subreddit: DataFrame, history
     (the summary's inner join). Their ids come from the same snapshot, without reading the
     archive back; a failed write raises before anything is deleted (at-least-once)."""
     if batch_id is None:
-        batch_id = int(as_of.replace(tzinfo=_dt.timezone.utc).timestamp() * 1000)
+        when = as_of if isinstance(as_of, _dt.datetime) else _dt.datetime.fromisoformat(str(as_of))
+        batch_id = int(when.replace(tzinfo=_dt.timezone.utc).timestamp() * 1000)
     doomed = sel.stories_archivable(story, as_of)
     doomed_hist = history.join(doomed.select(F.col("id").alias("story")), "story", "left_semi")
     details = H.story_detail(doomed, subreddit, doomed_hist)
