@@ -807,8 +807,27 @@ def q_stream_new(spark, d):
                     "gilded", r6("hotness").alias("hotness"))
 
 
-@register("stream_discoveries")
+# ST2 in batch: with one scrape tick per micro-batch the watermark in the batch of tick t is
+# (previous tick − 2 days); a story's dedup state (expiring at first tick + 2 days) is evicted
+# at the end of the first batch whose watermark reaches that expiry, and the story is
+# discovered again at its first sighting after that batch.
+STREAM_FIRSTS_SQL = with_tables("parsed").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, s AS (SELECT DISTINCT short_id, tick, subreddit_name FROM parsed),
+tk AS (SELECT tick, lag(tick) OVER (ORDER BY tick) AS prev FROM (SELECT DISTINCT tick FROM parsed)),
+ev AS (SELECT a.tick AS e, min(b.tick) AS u FROM tk a JOIN tk b
+         ON b.prev - INTERVAL 2 DAY >= a.tick + INTERVAL 2 DAY GROUP BY a.tick),
+rec(short_id, tick) AS (
+  SELECT short_id, min(tick) FROM s GROUP BY short_id
+  UNION ALL
+  SELECT r.short_id, (SELECT min(x.tick) FROM s x WHERE x.short_id = r.short_id AND x.tick > ev.u)
+  FROM rec r JOIN ev ON ev.e = r.tick
+  WHERE EXISTS (SELECT 1 FROM s x WHERE x.short_id = r.short_id AND x.tick > ev.u))
+SELECT DISTINCT r.tick, r.short_id, s.subreddit_name FROM rec r JOIN s USING (short_id, tick)"""
+
+
+@register("stream_discoveries", STREAM_FIRSTS_SQL)
 def q_stream_discoveries(spark, d):
+    """ST2: first sightings while tracked, one scrape tick per micro-batch."""
     root = A.scratch_path(spark, "stream-firsts")
     land_in_order(_pages(spark, d), f"{root}/landing", "tick", "json")   # one scrape tick per micro-batch
     STR.await_done(STR.discoveries_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/checkpoint",
