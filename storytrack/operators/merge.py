@@ -56,17 +56,20 @@ def union_feeds(obs: DataFrame, keys=("tick", "short_id")) -> DataFrame:
     return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in rest], "in_new")
 
 
-def paged_listing(children: DataFrame, limit: int, feed_col: str = "feed") -> DataFrame:
+def paged_listing(children: DataFrame, limit: int, feed_col: str = "feed",
+                  pages: DataFrame | None = None) -> DataFrame:
     """S5/S6 + T5: per feed, the first ``limit`` distinct stories in page order.
 
-    Paging stops at the first page that adds no new story (or is empty), as a cursor
-    walk would. Input: one row per accepted child with feed, page, pos, short_id.
+    Paging stops at the first page that adds no new story or is empty, as a cursor walk
+    would. Input: one row per accepted child with feed, page, pos, short_id; ``pages``
+    (feed, page) lists every landed page including empty ones (default: the pages that
+    have children).
     """
     firsts = dedup_first_seen(children.select(feed_col, "page", "pos", "short_id"),
                               keys=(feed_col, "short_id"))
     # Pages that contributed at least one first-seen story, and every landed page.
     growing = firsts.groupBy(feed_col, "page").agg(F.count(F.lit(1)).alias("_new"))
-    pages = children.select(feed_col, "page").distinct()
+    pages = (children if pages is None else pages).select(feed_col, "page").distinct()
     stalled = (pages.join(growing, [feed_col, "page"], "left")
                .filter(F.col("_new").isNull())
                .groupBy(feed_col).agg(F.min("page").alias("_stop")))

@@ -357,7 +357,8 @@ ranked AS (SELECT feed, row_number() OVER (PARTITION BY feed ORDER BY page, pos)
 @register("paged_listing", with_tables("parsed") + PAGED_SQL + """
 SELECT feed, rank, page, pos, short_id FROM ranked WHERE rank <= 250""")
 def q_paged_listing(spark, d):
-    return M.paged_listing(P.parse_story_pages(_pages(spark, d)), 250)
+    pages = _pages(spark, d)
+    return M.paged_listing(P.parse_story_pages(pages), 250, pages=pages)
 
 
 @register("front_page_subreddits", with_tables("parsed") + PAGED_SQL + """

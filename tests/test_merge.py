@@ -132,3 +132,10 @@ def test_paging_above_group_limit_threshold(spark):
 def test_union_feeds_unknown_feed_ranks_last(spark):
     obs = spark.createDataFrame([(T0, "a", "front", 0, 0, 1, "x"), (T0, "a", "new", 3, 3, 2, "x")], OBS)
     assert M.union_feeds(obs).first().feed == "new"
+
+
+def test_paging_stops_at_an_empty_page(spark):
+    ch = pages_fixture(spark, 4, 100).filter(F.col("page") != 1)     # page 1 landed empty
+    pages = spark.createDataFrame([("hot", p) for p in range(4)], "feed string, page long")
+    assert len(M.paged_listing(ch, 250, pages=pages).collect()) == 100
+    assert len(M.paged_listing(ch, 250).collect()) == 250              # without the page list it can't know
