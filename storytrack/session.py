@@ -82,6 +82,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="storytrack-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)  # remembered for later calls
+        except Exception:  # noqa: BLE001 - a core config may be read-only at runtime
+            pass
     spark.sparkContext.setCheckpointDir(path)
     return path
