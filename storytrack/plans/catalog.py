@@ -871,12 +871,14 @@ def q_stream_archive(spark, d):
     its in-window samples and is emitted once the event-time watermark passes its window
     end. Oracle: the same records computed in batch."""
     root = A.scratch_path(spark, "stream-archive")
-    created = T.stories(spark, d).select(F.col("id").alias("story"), "created_at")
-    samples = (T.story_history(spark, d, with_hotness=False).join(created, "story")
+    story, sub = T.stories(spark, d), T.subreddits(spark, d)
+    created = story.select(F.col("id").alias("story"), "created_at")
+    samples = (T.story_history(spark, d).join(created, "story")
                .withColumn("year", F.year("timestamp")))
     land_in_order(samples, f"{root}/landing", "year", "parquet", steps_per_file=2)
     schema = samples.schema
-    STR.await_done(STR.archive_stream(spark, f"{root}/landing", schema, f"{root}/out", f"{root}/checkpoint"))
+    STR.await_done(STR.archive_stream(spark, f"{root}/landing", schema, f"{root}/out", f"{root}/checkpoint",
+                                      story=story, subreddit=sub))
     recs = spark.read.parquet(f"{root}/out/records")
     return recs.select("story", "created_at", "n_points", F.array_min("ts_ms").alias("first_ts"),
                        F.array_max("ts_ms").alias("last_ts"))

@@ -22,6 +22,7 @@ from storytrack.operators import merge as M
 from storytrack.operators import select as sel
 from storytrack.plans import jobs
 from storytrack.session import AS_OF
+from storytrack.sources import archive as A
 from storytrack.sources import payload as P
 
 LANDED_PAGE = T.StructType([
@@ -130,26 +131,19 @@ def rate_stream(spark: SparkSession, source: str, schema: T.StructType, out: str
 
 # -- ST3 + ST4 + ST6: tracked-story expiry to the archive ------------------------------
 
-ARCHIVE_OUT = T.StructType([
-    T.StructField("story", T.LongType()),
-    T.StructField("chunk", T.IntegerType()),
-    T.StructField("created_at", T.TimestampType()),
-    T.StructField("n_points", T.IntegerType()),
-    T.StructField("ts_ms", T.ArrayType(T.LongType())),
-    T.StructField("score", T.ArrayType(T.IntegerType())),
-    T.StructField("comments", T.ArrayType(T.IntegerType())),
-    T.StructField("gilded", T.ArrayType(T.IntegerType())),
-])
-ARCHIVE_STATE = T.StructType([
-    T.StructField("created_ms", T.LongType()),
-    T.StructField("chunk", T.IntegerType()),
-    T.StructField("ts_ms", T.ArrayType(T.LongType())),
-    T.StructField("tie", T.ArrayType(T.LongType())),
-    T.StructField("score", T.ArrayType(T.IntegerType())),
-    T.StructField("comments", T.ArrayType(T.IntegerType())),
-    T.StructField("gilded", T.ArrayType(T.IntegerType())),
-])
+# Per-sample fields kept in the tracked-story state, in the archive's array order.
+SAMPLE_FIELDS = [("ts_ms", T.LongType()), ("score", T.IntegerType()), ("hotness", T.DoubleType()),
+                 ("gilded", T.IntegerType()), ("comments", T.IntegerType())]
+ARCHIVE_OUT = T.StructType(
+    [T.StructField("story", T.LongType()), T.StructField("chunk", T.IntegerType()),
+     T.StructField("created_at", T.TimestampType()), T.StructField("n_points", T.IntegerType())]
+    + [T.StructField(n, T.ArrayType(t)) for n, t in SAMPLE_FIELDS])
+ARCHIVE_STATE = T.StructType(
+    [T.StructField("created_ms", T.LongType()), T.StructField("chunk", T.IntegerType()),
+     T.StructField("tie", T.ArrayType(T.LongType()))]
+    + [T.StructField(n, T.ArrayType(t)) for n, t in SAMPLE_FIELDS])
 MAX_STATE_POINTS = 100_000
+_NAMES = [n for n, _ in SAMPLE_FIELDS]
 
 
 def _expire_story(track_ms: int, max_points: int = MAX_STATE_POINTS):
@@ -159,52 +153,47 @@ def _expire_story(track_ms: int, max_points: int = MAX_STATE_POINTS):
     samples are emitted as a chunk record (``chunk`` = 0, 1, …) and tracking continues.
     """
 
-    def record(story, chunk, created_ms, ts, tie, score, comments, gilded) -> pd.DataFrame:
-        order = sorted(range(len(ts)), key=lambda i: (ts[i], tie[i]))  # groups arrive unordered
-        return pd.DataFrame({
-            "story": [story], "chunk": [chunk], "created_at": [pd.Timestamp(created_ms, unit="ms")],
-            "n_points": [len(ts)], "ts_ms": [[ts[i] for i in order]],
-            "score": [[score[i] for i in order]], "comments": [[comments[i] for i in order]],
-            "gilded": [[gilded[i] for i in order]]})
+    def record(story: int, chunk: int, created_ms: int, cols: dict) -> pd.DataFrame:
+        order = sorted(range(len(cols["ts_ms"])), key=lambda i: (cols["ts_ms"][i], cols["tie"][i]))
+        out = {"story": [story], "chunk": [int(chunk)], "created_at": [pd.Timestamp(created_ms, unit="ms")],
+               "n_points": [len(order)]}
+        out.update({n: [[cols[n][i] for i in order]] for n in _NAMES})  # groups arrive unordered
+        return pd.DataFrame(out)
+
+    def load(state: GroupState):
+        created_ms, chunk, tie, *arrays = state.get
+        return created_ms, chunk, {"tie": list(tie), **{n: list(a) for n, a in zip(_NAMES, arrays)}}
 
     def handler(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         story = int(key[0])
         watermark = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            created_ms, chunk, ts, tie, score, comments, gilded = state.get
+            created_ms, chunk, cols = load(state)
             state.remove()
-            yield record(story, int(chunk), created_ms, list(ts), list(tie), list(score), list(comments),
-                         list(gilded))
+            yield record(story, chunk, created_ms, cols)
             return
         if state.exists:
-            created_ms, chunk, ts, tie, score, comments, gilded = state.get
+            created_ms, chunk, cols = load(state)
             if created_ms + track_ms <= watermark:
                 # The window closed before these rows arrived (rows of a group are handed
                 # over before its timeout fires): archive what was tracked, drop the rest.
                 state.remove()
-                yield record(story, int(chunk), created_ms, list(ts), list(tie), list(score), list(comments),
-                             list(gilded))
+                yield record(story, chunk, created_ms, cols)
                 return
-            ts, tie, score, comments, gilded = list(ts), list(tie), list(score), list(comments), list(gilded)
         else:
-            created_ms, chunk, ts, tie, score, comments, gilded = None, 0, [], [], [], [], []
+            created_ms, chunk, cols = None, 0, {"tie": [], **{n: [] for n in _NAMES}}
         for pdf in batches:
             if created_ms is None and len(pdf):
                 created_ms = int(pdf["created_ms"].iloc[0])
-            ts += pdf["ts_ms"].tolist()
-            tie += pdf["tie"].tolist()
-            score += pdf["score"].tolist()
-            comments += pdf["comments"].tolist()
-            gilded += pdf["gilded"].tolist()
+            for n in ["tie"] + _NAMES:
+                cols[n] += pdf[n].tolist()
         if created_ms is None or created_ms + track_ms <= watermark:
             return  # a story whose window already closed (already archived): late rows dropped
-        while len(ts) >= max_points:
-            yield record(story, chunk, created_ms, ts[:max_points], tie[:max_points], score[:max_points],
-                         comments[:max_points], gilded[:max_points])
-            ts, tie, score, comments, gilded = (ts[max_points:], tie[max_points:], score[max_points:],
-                                                comments[max_points:], gilded[max_points:])
+        while len(cols["ts_ms"]) >= max_points:
+            yield record(story, chunk, created_ms, {n: v[:max_points] for n, v in cols.items()})
+            cols = {n: v[max_points:] for n, v in cols.items()}
             chunk += 1
-        state.update((created_ms, chunk, ts, tie, score, comments, gilded))
+        state.update((created_ms, chunk, cols["tie"], *[cols[n] for n in _NAMES]))
         state.setTimeoutTimestamp(created_ms + track_ms)
 
     return handler
@@ -212,22 +201,27 @@ def _expire_story(track_ms: int, max_points: int = MAX_STATE_POINTS):
 
 def archive_stream(spark: SparkSession, samples_src: str, schema: T.StructType, out_root: str,
                    checkpoint: str, track_s: int = sel.STORY_TRACK_AGE_S, max_files: int | None = 1,
-                   max_points: int = MAX_STATE_POINTS):
+                   max_points: int = MAX_STATE_POINTS, story: DataFrame | None = None,
+                   subreddit: DataFrame | None = None):
     """ST3: per-story state collects samples inside the tracking window; when the event
     time watermark passes created_at + track_s the story is emitted as one record and
     its state removed. ST4: samples outside the window, or later than the watermark,
     are dropped. ST6: each micro-batch's records are written to ``records/batch=N``
-    (overwrite), so a replayed batch rewrites the same files."""
+    (overwrite), so a replayed batch rewrites the same files. With ``story`` and
+    ``subreddit`` the sink also writes archive lines ({summary, history} gzip JSON under
+    ``archive/archive_date=…/batch=N``, replaced on replay) and the archived story ids
+    (``archived/batch=N``) for the delete step."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     src = reader.parquet(_glob(samples_src))
     track_ms = track_s * 1000
+    hotness = F.col("hotness") if "hotness" in schema.fieldNames() else F.lit(None).cast("double")
     rows = (src.withWatermark("timestamp", "0 seconds")
             .filter(F.col("timestamp") < F.timestamp_millis(F.unix_millis("created_at") + F.lit(track_ms)))
             .select("story", "timestamp", F.unix_millis("created_at").alias("created_ms"),
                     F.unix_millis("timestamp").alias("ts_ms"), F.col("tie1").alias("tie"),
-                    "score", "comments", "gilded"))
+                    "score", hotness.alias("hotness"), "comments", "gilded"))
     records = rows.groupBy("story").applyInPandasWithState(
         _expire_story(track_ms, max_points), ARCHIVE_OUT, ARCHIVE_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
@@ -239,6 +233,16 @@ def archive_stream(spark: SparkSession, samples_src: str, schema: T.StructType,
         (batch.withColumn("archive_date", F.date_format("created_at", "yyyy-MM-dd"))
          .sortWithinPartitions("archive_date", "story")
          .write.mode("overwrite").parquet(f"{out_root}/records/batch={batch_id}"))
+        if story is None or subreddit is None:
+            return
+        recs = spark.read.parquet(f"{out_root}/records/batch={batch_id}")
+        live = story.join(recs.select(F.col("story").alias("id")).distinct(), "id", "left_semi")
+        summaries = sel.summary_columns(live, subreddit)
+        hist = F.struct(F.col("ts_ms").alias("timestamp"), "score", "hotness", "gilded", "comments")
+        details = summaries.join(recs.select(F.col("story").alias("story_id"), hist.alias("history")), "story_id")
+        A.write_archive(details, f"{out_root}/archive", batch_id=batch_id, replace_batch=True)
+        details.select("story_id").distinct().write.mode("overwrite").parquet(
+            f"{out_root}/archived/batch={batch_id}")
 
     return (records.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

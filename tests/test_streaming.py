@@ -84,3 +84,20 @@ def test_expiry_state_is_chunked(spark):
     recs = sorted((r.chunk, r.score) for r in spark.read.parquet(f"{root}/out/records").collect() if r.story == 1)
     assert all(len(sc) <= 4 for _, sc in recs)
     assert sorted(x for _, sc in recs for x in sc) == list(range(23))
+
+
+def test_expiry_sink_writes_archive_lines(spark):
+    root = A.scratch_path(spark, "t-expiry-archive")
+    story, sub = T.stories(spark, SF), T.subreddits(spark, SF)
+    created = story.select(F.col("id").alias("story"), "created_at")
+    samples = T.story_history(spark, SF).join(created, "story").withColumn("year", F.year("timestamp"))
+    land_in_order(samples, f"{root}/landing", "year", "parquet", steps_per_file=3)
+    STR.await_done(STR.archive_stream(spark, f"{root}/landing", samples.schema, f"{root}/out", f"{root}/ck",
+                                      story=story, subreddit=sub))
+    recs = spark.read.parquet(f"{root}/out/records")
+    lines = A.read_archive(spark, f"{root}/out/archive", batched=True)
+    archived = spark.read.parquet(f"{root}/out/archived")
+    assert lines.count() == recs.count() == archived.count() > 0
+    one = lines.first()
+    assert len(one.history.timestamp) == len(one.history.hotness) and one.history.hotness[0] is not None
+    assert sorted(r.story_id for r in archived.collect()) == sorted(r.story for r in recs.collect())
