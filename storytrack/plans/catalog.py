@@ -956,3 +956,28 @@ def q_story_detail_lookup(spark, d):
         "story_id", *[r6("hotness").alias("hotness") if c == "hotness" else F.col(c) for c in sel.SUMMARY_FIELDS],
         F.size("history.timestamp").alias("n_points"), joined("history.timestamp").alias("ts_ms"),
         joined("history.score").alias("scores"))
+
+
+@register("stream_latest_state", with_tables("story", "hist") + """
+, newest AS (SELECT * FROM (SELECT story, timestamp AS ts, score, hotness, comments, gilded,
+                 row_number() OVER (PARTITION BY story ORDER BY timestamp DESC, score DESC, hotness DESC,
+                                    comments DESC, gilded DESC) AS rn FROM hist) WHERE rn = 1)
+SELECT s.id,
+  CASE WHEN n.ts >= s.updated_at THEN n.score ELSE s.score END AS score,
+  round(CASE WHEN n.ts >= s.updated_at THEN n.hotness ELSE s.hotness END, 6) AS hotness,
+  CASE WHEN n.ts >= s.updated_at THEN n.comments ELSE s.comments END AS comments,
+  CASE WHEN n.ts >= s.updated_at THEN n.gilded ELSE s.gilded END AS gilded,
+  CASE WHEN n.ts >= s.updated_at THEN n.ts ELSE s.updated_at END AS updated_at,
+  CASE WHEN n.ts >= s.updated_at THEN n.ts ELSE s.checked_at END AS checked_at
+FROM story s LEFT JOIN newest n ON n.story = s.id""")
+def q_stream_latest_state(spark, d):
+    """ST5: the sample stream (landed by ship year) refreshes the story table batch by
+    batch; the final snapshot equals applying every sample at once."""
+    root = A.scratch_path(spark, "stream-state")
+    samples = T.story_history(spark, d).withColumn("year", F.year("timestamp"))
+    land_in_order(samples, f"{root}/landing", "year", "parquet", steps_per_file=2)
+    STR.await_done(STR.state_stream(spark, f"{root}/landing", samples.schema, T.stories(spark, d),
+                                    f"{root}/out", f"{root}/checkpoint"))
+    snap = STR.latest_snapshot(spark, f"{root}/out")
+    return snap.select("id", "score", r6("hotness").alias("hotness"), "comments", "gilded", "updated_at",
+                       "checked_at")

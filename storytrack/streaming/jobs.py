@@ -84,6 +84,33 @@ def discovery_stream(spark: SparkSession, landing: str, story0: DataFrame, subre
     return writer.start()
 
 
+def state_stream(spark: SparkSession, samples_src: str, schema: T.StructType, story0: DataFrame,
+                 out_root: str, checkpoint: str, max_files: int | None = 1):
+    """ST5: an append-only stream of samples keeps the current-state table fresh. Each
+    micro-batch reduces its samples to the newest per story (a partial aggregate), applies
+    them to the previous snapshot (K6: a sample older than the stored state changes
+    nothing; samples of deleted stories change nothing) and writes ``story/batch=N``."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        prev = story0 if batch_id == 0 else spark.read.parquet(f"{out_root}/story/batch={batch_id - 1}")
+        samples = batch.select("story", "timestamp", *M.STATE_FIELDS)
+        M.apply_samples(prev, M.live_samples(samples, prev)).write.mode("overwrite").parquet(
+            f"{out_root}/story/batch={batch_id}")
+
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return (reader.parquet(_glob(samples_src)).writeStream.foreachBatch(process)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_snapshot(spark: SparkSession, out_root: str) -> DataFrame:
+    """The newest ``story/batch=N`` snapshot written by a snapshot-per-batch stream."""
+    snaps = spark.read.parquet(f"{out_root}/story")
+    last = snaps.select(F.max("batch")).scalar()
+    return snaps.filter(F.col("batch") == last).drop("batch")
+
+
 # -- ST2: first sighting while tracked ----------------------------------------------
 
 def discoveries_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
