@@ -915,10 +915,26 @@ def q_ranking_page(spark, d):
         X.show_thumbnail("thumbnail").alias("show_thumbnail"))
 
 
-@register("story_detail_json")
+@register("story_detail_json", with_tables("story", "sub", "hist") + """
+, arr AS (SELECT story, list(epoch_ms(timestamp) ORDER BY timestamp, tie1, tie2, tie3) AS ts,
+                 list(score ORDER BY timestamp, tie1, tie2, tie3) AS sc,
+                 list(round(hotness, 6) ORDER BY timestamp, tie1, tie2, tie3) AS ho,
+                 list(gilded ORDER BY timestamp, tie1, tie2, tie3) AS gi,
+                 list(comments ORDER BY timestamp, tie1, tie2, tie3) AS co FROM hist GROUP BY story)
+SELECT s.id AS story_id, to_json({'summary': {'id': s.reddit_short_id, 'title': s.title, 'author': s.author,
+  'createdAt': epoch_ms(s.created_at), 'discoveredAt': epoch_ms(s.discovered_at), 'domain': s.domain, 'url': s.url,
+  'thumbnail': s.thumbnail, 'permalink': s.permalink, 'score': s.score, 'comments': s.comments,
+  'hotness': round(s.hotness, 6), 'gilded': s.gilded, 'subreddit': sub.name, 'isSelf': s.is_self,
+  'selfText': s.selftext, 'isOver18': s.over18, 'isStickied': s.stickied, 'distinguished': s.distinguished},
+  'history': {'timestamp': COALESCE(arr.ts, []), 'score': COALESCE(arr.sc, []), 'hotness': COALESCE(arr.ho, []),
+              'gilded': COALESCE(arr.gi, []), 'comments': COALESCE(arr.co, [])}}) AS json
+FROM story s JOIN sub ON s.subreddit = sub.id LEFT JOIN arr ON arr.story = s.id""")
 def q_story_detail_json(spark, d):
-    """Detail records serialised as JSON text with explicit nulls (the archive line format)."""
+    """Detail records serialised as JSON text with explicit nulls (the archive line format);
+    hotness rounded to 6 decimals before serialising, as in every other key."""
     det = H.story_detail(T.stories(spark, d), T.subreddits(spark, d), T.story_history(spark, d))
+    det = det.withColumn("hotness", r6("hotness")).withColumn(
+        "history", F.col("history").withField("hotness", F.transform("history.hotness", lambda x: F.round(x, 6))))
     return H.detail_json(det)
 
 
