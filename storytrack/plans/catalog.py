@@ -155,6 +155,33 @@ def q_top_week(spark, d):
     return _listing_out(sel.listing(T.stories(spark, d), "top", "week", AS_OF))
 
 
+@register("listing_top_hour", with_tables("story") + f"""
+SELECT {LISTING_COLS} FROM story WHERE created_at <= {SQL_AS_OF} AND created_at > {minus_s(SQL_AS_OF, '3600')}
+ORDER BY score DESC, id ASC LIMIT 100""")
+def q_top_hour(spark, d):
+    return _listing_out(sel.listing(T.stories(spark, d), "top", "hour", AS_OF))
+
+
+@register("listing_top_month", with_tables("story") + f"""
+SELECT {LISTING_COLS} FROM story WHERE created_at <= {SQL_AS_OF} AND created_at > {minus_s(SQL_AS_OF, '2592000')}
+ORDER BY score DESC, id ASC LIMIT 100""")
+def q_top_month(spark, d):
+    return _listing_out(sel.listing(T.stories(spark, d), "top", "month", AS_OF))
+
+
+@register("listing_top_year", with_tables("story") + f"""
+SELECT {LISTING_COLS} FROM story WHERE created_at <= {SQL_AS_OF} AND created_at > {minus_s(SQL_AS_OF, '31536000')}
+ORDER BY score DESC, id ASC LIMIT 100""")
+def q_top_year(spark, d):
+    return _listing_out(sel.listing(T.stories(spark, d), "top", "year", AS_OF))
+
+
+@register("listing_top_all", with_tables("story") + f"""
+SELECT {LISTING_COLS} FROM story WHERE created_at <= {SQL_AS_OF} ORDER BY score DESC, id ASC LIMIT 100""")
+def q_top_all(spark, d):
+    return _listing_out(sel.listing(T.stories(spark, d), "top", "all", AS_OF))
+
+
 @register("listing_new", with_tables("story") + f"""
 SELECT {LISTING_COLS} FROM story WHERE created_at <= {SQL_AS_OF} ORDER BY created_at DESC, id ASC LIMIT 100""")
 def q_new(spark, d):
