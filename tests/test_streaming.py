@@ -101,3 +101,17 @@ def test_expiry_sink_writes_archive_lines(spark):
     one = lines.first()
     assert len(one.history.timestamp) == len(one.history.hotness) and one.history.hotness[0] is not None
     assert sorted(r.story_id for r in archived.collect()) == sorted(r.story for r in recs.collect())
+
+
+def test_state_stream_restart_is_a_no_op(spark):
+    root = A.scratch_path(spark, "t-state")
+    samples = T.story_history(spark, SF).withColumn("year", F.year("timestamp"))
+    land_in_order(samples, f"{root}/landing", "year", "parquet", steps_per_file=3)
+    story0 = T.stories(spark, SF)
+    STR.await_done(STR.state_stream(spark, f"{root}/landing", samples.schema, story0, f"{root}/out", f"{root}/ck"))
+    first = STR.latest_snapshot(spark, f"{root}/out").select("id", "score", "updated_at")
+    n_batches = spark.read.parquet(f"{root}/out/story").select("batch").distinct().count()
+    STR.await_done(STR.state_stream(spark, f"{root}/landing", samples.schema, story0, f"{root}/out", f"{root}/ck"))
+    again = STR.latest_snapshot(spark, f"{root}/out").select("id", "score", "updated_at")
+    assert spark.read.parquet(f"{root}/out/story").select("batch").distinct().count() == n_batches
+    assert first.exceptAll(again).count() == 0 and again.exceptAll(first).count() == 0
