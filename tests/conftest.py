@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session(master="local[4]", shuffle_partitions=4, app_name="storytrack-tests")
+    warehouse = tempfile.mkdtemp(prefix="storytrack-warehouse-", dir="/tmp")  # catalog tables of tests
+    s = build_session(master="local[4]", shuffle_partitions=4, app_name="storytrack-tests",
+                      extra={"spark.sql.warehouse.dir": warehouse})
     yield s
 
 
