@@ -49,14 +49,15 @@ def _spread_days(rec: DataFrame) -> DataFrame:
 
 
 def write_archive(details: DataFrame, root: str, batch_id: int | None = None,
-                  replace_batch: bool = False, max_records_per_file: int = MAX_RECORDS_PER_FILE) -> None:
+                  replace_batch: bool = False, max_records_per_file: int = MAX_RECORDS_PER_FILE,
+                  overwrite_root: bool = False) -> None:
     """K2/K3: append records under their day. With ``batch_id`` the batch gets its own
     sub-partition; ``replace_batch=True`` writes it with dynamic partition overwrite so a
     replayed batch replaces its own files (idempotent) — at the price of a staging-folder
     rename per partition, so plain appends are the default."""
     rec = archive_frame(details)
     parts = ["archive_date"]
-    mode = "append"
+    mode = "overwrite" if overwrite_root else "append"  # overwrite_root: ``root`` belongs to one batch
     if batch_id is not None:
         rec = rec.withColumn("batch", F.lit(int(batch_id)).cast("long"))
         parts.append("batch")

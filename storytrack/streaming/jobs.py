@@ -236,7 +236,7 @@ def archive_stream(spark: SparkSession, samples_src: str, schema: T.StructType,
     are dropped. ST6: each micro-batch's records are written to ``records/batch=N``
     (overwrite), so a replayed batch rewrites the same files. With ``story`` and
     ``subreddit`` the sink also writes archive lines ({summary, history} gzip JSON under
-    ``archive/archive_date=…/batch=N``, replaced on replay) and the archived story ids
+    ``archive/batch=N/archive_date=…``, replaced on replay) and the archived story ids
     (``archived/batch=N``) for the delete step."""
     reader = spark.readStream.schema(schema)
     if max_files:
@@ -267,7 +267,9 @@ def archive_stream(spark: SparkSession, samples_src: str, schema: T.StructType,
         summaries = sel.summary_columns(live, subreddit)
         hist = F.struct(F.col("ts_ms").alias("timestamp"), "score", "hotness", "gilded", "comments")
         details = summaries.join(recs.select(F.col("story").alias("story_id"), hist.alias("history")), "story_id")
-        A.write_archive(details, f"{out_root}/archive", batch_id=batch_id, replace_batch=True)
+        # Each batch owns archive/batch=N/ (days inside); replacing that folder on replay keeps
+        # the sink idempotent without a staging rename per day partition.
+        A.write_archive(details, f"{out_root}/archive/batch={batch_id}", overwrite_root=True)
         details.select("story_id").distinct().write.mode("overwrite").parquet(
             f"{out_root}/archived/batch={batch_id}")
 
