@@ -80,15 +80,18 @@ def read_archive(spark: SparkSession, root: str, batched: bool = False) -> DataF
 
 def compact_archive(spark: SparkSession, root: str, out: str, batched: bool = False,
                     max_records_per_file: int = MAX_RECORDS_PER_FILE) -> DataFrame:
-    """K4: rewrite the archive as few large files per day, one record per story.
+    """K4: rewrite the archive as few large files per day, one record per story (per
+    chunk, for a story split by the array bound).
 
     At-least-once archiving can write a story twice (a crash between write and delete);
-    the copy with the most samples wins (ties: later batch). Dynamic partition
-    overwrite replaces only the days present in the input.
+    copies are recognised by (day, story, first sample time) — chunks of one story start
+    at different samples — and the copy with the most samples wins (ties: later batch).
+    Dynamic partition overwrite replaces only the days present in the input.
     """
     recs = read_archive(spark, root, batched)
     batch = F.col("batch") if batched else F.lit(0).cast("long")
-    best = (recs.groupBy("archive_date", F.col("summary.id").alias("_sid"))
+    best = (recs.groupBy("archive_date", F.col("summary.id").alias("_sid"),
+                         F.try_element_at(F.col("history.timestamp"), F.lit(1)).alias("_first"))
             .agg(F.max_by(F.struct("summary", "history"),
                           F.struct(F.size("history.timestamp"), batch)).alias("_r"))
             .select("archive_date", "_r.summary", "_r.history"))

@@ -60,3 +60,20 @@ def test_archive_job_deletes_only_what_was_written(spark):
     assert run.story_after.count() == story.count() - n_arch
     left = run.history_after.join(run.archivable.select(F.col("id").alias("story")), "story", "left_semi")
     assert left.count() == 0
+
+
+def test_compaction_keeps_every_chunk_of_a_split_story(spark):
+    from storytrack.operators import select as sel2
+    story = T.stories(spark, SF)
+    doomed = sel2.stories_archivable(story, AS_OF).orderBy("id").limit(5)
+    sub, hist = T.subreddits(spark, SF), T.story_history(spark, SF)
+    summaries = sel2.summary_columns(doomed, sub)
+    arrays = H.history_arrays(hist.join(doomed.select(F.col("id").alias("story")), "story", "left_semi"),
+                              max_points=2)
+    hist_struct = F.struct(*[F.col(c) for c in H.HISTORY_FIELDS]).alias("history")
+    details = summaries.join(arrays.select(F.col("story").alias("story_id"), hist_struct), "story_id")
+    root = A.scratch_path(spark, "t-chunks")
+    A.write_archive(details, root, batch_id=1)
+    A.write_archive(details, root, batch_id=2)            # a replayed run
+    out = A.compact_archive(spark, root, A.scratch_path(spark, "t-chunks-out"), batched=True)
+    assert out.count() == details.count() and details.count() > doomed.count()
