@@ -30,8 +30,9 @@ def hotness(score, created_at) -> Column:
 
 
 def epoch_seconds_to_ts(c) -> Column:
-    """Payload epoch seconds (possibly fractional) → timestamp, truncating like a long parameter."""
-    return F.timestamp_seconds(_col(c).cast("long"))
+    """Payload epoch seconds (possibly fractional) → timestamp, truncating like a long parameter.
+    Out-of-range values become NULL instead of failing the job (ANSI casts raise)."""
+    return F.timestamp_seconds(_col(c).try_cast("long"))
 
 
 def to_millis(c) -> Column:

@@ -84,3 +84,9 @@ def test_read_landed_files_lines_and_whole(spark, tmp_path_factory):
         fh.write(json.dumps(json.loads(page([story(id="z")])), indent=2))   # one pretty-printed envelope
     whole = P.read_landed(spark, f"{root}-whole", whole_file=True)
     assert [r.short_id for r in P.parse_story_pages(whole).collect()] == ["z"]
+
+
+def test_out_of_range_epoch_does_not_fail_the_job(spark):
+    df = frame(spark, [page([story(id="big", created_utc=1e300), story(id="ok")])])
+    rows = {r.short_id: r.created_at for r in P.parse_story_pages(df).collect()}
+    assert rows["big"] is None and rows["ok"] is not None
