@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storytrack.session import checkpoint_dir
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package's source to the executors' Python workers, once per session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_storytrack_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="storytrack-"), "storytrack_src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._storytrack_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,3 +51,39 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (a null id counts as empty text)."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
+
+
+def fit_in_task(sample: DataFrame, train, order: list[str]) -> bytes:
+    """Run ``train(iterator of pandas frames) -> bytes`` once over a bounded, ordered sample.
+
+    The sample (its bound is the caller's documented parameter) goes to one task; the model's
+    bytes come back. A lost executor only repeats the task, with the same rows in the same order.
+    """
+    import pandas as pd
+
+    def run(frames):
+        yield pd.DataFrame({"model": [train(frames)]})
+
+    ship(sample.sparkSession)
+    ordered = sample.repartition(1).sortWithinPartitions(*order)
+    return ordered.mapInPandas(run, "model binary").first()["model"]
+
+
+def replace_columns(df: DataFrame, **new: Column) -> DataFrame:
+    """``df`` with the named columns added, or replaced where ``df`` has columns of these names."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {k.lower() for k in new}],
+                     *[v.alias(k) for k, v in new.items()])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
+                    max_rows: int) -> DataFrame:
+    """(doc_id, label, _place, text) of the ``max_rows`` labels with the smallest id hashes.
+
+    Only these labels, at most ``max_rows`` ids, are broadcast; the documents are not shuffled.
+    """
+    place = F.xxhash64(F.col(id_col))
+    chosen = (labels.filter(F.col(label_col).isNotNull())
+              .select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"), place.alias("_place"))
+              .orderBy("_place", "doc_id", "label").limit(max_rows))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id")

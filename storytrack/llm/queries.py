@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from storytrack.llm.decontaminate import OP9_SQL, op9_decontaminate
 from storytrack.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from storytrack.llm.langid import op10_language_id
 from storytrack.llm.license_scan import OP1_SQL, op1_license_scan
 from storytrack.llm.line_dedup import OP8_SQL, op8_site_lines
+from storytrack.llm.quality import op2_quality
+from storytrack.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_quality": op2_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_site_lines": op8_site_lines,
     "op9_decontaminate": op9_decontaminate,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {
