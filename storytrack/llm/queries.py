@@ -7,12 +7,18 @@ from storytrack.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from storytrack.llm.langid import op10_language_id
 from storytrack.llm.license_scan import OP1_SQL, op1_license_scan
 from storytrack.llm.line_dedup import OP8_SQL, op8_site_lines
+from storytrack.llm.near_dedup import op4_near_dedup
+from storytrack.llm.pieces import op3_sentencepiece
 from storytrack.llm.quality import op2_quality
+from storytrack.llm.token_store import op5_token_store
 from storytrack.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_site_lines": op8_site_lines,
