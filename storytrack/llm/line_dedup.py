@@ -84,8 +84,8 @@ def url_host(url: Column) -> Column:
 
 def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's text without its site's boilerplate lines."""
-    pages = table(spark, sf_dir, "pages").select("page_id", url_host(F.col("url")).alias("host"),
-                                                 html_lines(F.col("html")).alias("text"))
+    pages = cut(table(spark, sf_dir, "pages").select("page_id", url_host(F.col("url")).alias("host"),
+                                                     html_lines(F.col("html")).alias("text")))  # read twice below
     kept = drop_boilerplate(pages, "host", "text")
     return kept.select("page_id", "host", "lines_dropped", "text")
 
