@@ -23,36 +23,56 @@ SPAN = max(map(len, MASKS))
 MIN_TOKENS = 5
 VERIFY_TOKENS = 20
 MIN_MATCH = 0.8
-# Hash rows of the benchmark per broadcast (about 40 bytes a row); more go in further blocks.
-BLOCK_ROWS = 500_000
+# Hash rows of the benchmark per broadcast (under 500 bytes a row); more go in further blocks.
+BLOCK_ROWS = 100_000
+# Texts are hashed in parts of so many words, with a margin that covers any verification.
+PART, MARGIN = 2048, VERIFY_TOKENS
 
 
-def token_hashes(text: Column) -> Column:
-    """64-bit hashes of the lower-case words (runs of letters and digits) of a text."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+def _parts(rows: DataFrame, ident: str, text: str) -> DataFrame:
+    """Texts as overlapping parts of word hashes: _id, _n (words in all), _first, _base, _words.
 
-
-def _seed(words: Column, at: Column, mask: str, name: int) -> Column:
-    picked = [F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1"]
-    return F.xxhash64(F.lit(name), *picked)
+    Words are the lower-case runs of letters and digits. ``_words`` starts at the text's word
+    ``_base``; the part's own places are the ``PART`` words from ``_first`` on.
+    """
+    found = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    words = rows.select(F.col(ident).alias("_id"), found.alias("_w"))
+    firsts = words.select("_id", "_w", F.explode(F.sequence(
+        F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)), F.lit(PART))).alias("_first"))
+    base = F.greatest(F.col("_first") - MARGIN, F.lit(0))
+    cut_out = firsts.select("_id", F.size("_w").alias("_n"), "_first", base.alias("_base"),
+                            F.slice("_w", base + 1, F.lit(PART + 2 * MARGIN)).alias("_part"))
+    return cut_out.select("_id", "_n", "_first", "_base",
+                          F.transform("_part", lambda w: F.xxhash64(w)).alias("_words"))
+
+
+def _places(parts: DataFrame, masks: dict[int, str]) -> DataFrame:
+    """One row per place of a part and mask that fits there: adds _at (place in _words) and _seed."""
+    shortest = min(map(len, masks.values()))
+    start = F.col("_first") - F.col("_base")
+    stop = F.least(F.col("_first") + PART - 1, F.col("_n") - shortest) - F.col("_base")
+    at = parts.select("*", F.explode(F.when(stop >= start, F.sequence(start, stop))).alias("_at"))
+    seeds = []
+    for name, mask in masks.items():
+        picked = [F.get(F.col("_words"), F.col("_at") + i) for i, bit in enumerate(mask) if bit == "1"]
+        seed = F.xxhash64(F.lit(name), *picked)
+        seeds.append(F.when(F.col("_base") + F.col("_at") + len(mask) <= F.col("_n"), seed))
+    return at.select("*", F.explode(F.array(*seeds)).alias("_seed")).filter(F.col("_seed").isNotNull())
 
 
-def _windows(rows: DataFrame, masks: dict[int, str]) -> DataFrame:
-    """One row per place and mask: the row's columns, _at, _seed. Windows never pass the text's end."""
-    shortest = min(map(len, masks.values()))
-    places = rows.filter(F.size("_words") >= shortest).select(
-        "*", F.explode(F.sequence(F.lit(0), F.size("_words") - shortest)).alias("_at"))
-    seeds = [F.when(F.col("_at") + len(m) <= F.size("_words"), _seed(F.col("_words"), F.col("_at"), m, n))
-             if len(m) > shortest else _seed(F.col("_words"), F.col("_at"), m, n) for n, m in masks.items()]
-    return places.select("*", F.explode(F.array(*seeds)).alias("_seed")).filter(F.col("_seed").isNotNull())
+def _near(places: DataFrame, *others: str) -> DataFrame:
+    """The words around each place instead of its part: _near, and _p, the place in it."""
+    start = F.greatest(F.col("_at") - MARGIN, F.lit(0))
+    return places.select(*others, F.slice("_words", start + 1, F.lit(2 * MARGIN)).alias("_near"),
+                         (F.col("_at") - start).alias("_p"))
 
 
-def _agree(words: Column, base: Column, item: Column, first: Column, n: Column) -> Column:
-    """How many of the n tokens from item[first] on equal the document's tokens aligned by ``base``."""
-    same = F.filter(F.sequence(F.lit(0), n - 1),
-                    lambda k: F.get(words, base + first + k) == F.get(item, first + k))
-    return F.size(same)
+def _agrees(first: Column, n: Column) -> Column:
+    """Whether enough of the n item tokens from ``first`` on equal the document's aligned ones."""
+    shift = first - F.col("_from")
+    same = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.get("_near", F.col("_p") + shift + k)
+                    == F.get("_item_near", F.col("_item_p") + shift + k))
+    return F.size(same) >= n * MIN_MATCH
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -62,35 +82,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Two windows are verified for a hit: the ``VERIFY_TOKENS`` (the whole item if shorter)
     item tokens that start with the hit and those that end with it, moved inside the item;
     one must agree in ``MIN_MATCH`` of its positions. The benchmark's hashes are broadcast
-    in blocks of at most about ``block_rows`` rows, so a benchmark of any size is handled
-    with bounded memory. Null ids form a document of their own; null texts, and items of
-    under ``MIN_TOKENS`` words, match nothing; repeated rows count once.
+    in blocks of about ``block_rows`` rows, so a benchmark of any size is handled with
+    bounded memory. Null ids form a document of their own; null texts, and items of under
+    ``MIN_TOKENS`` words, match nothing; repeated rows count once.
     """
-    items = cut(benchmark.select(F.col(item_col).alias("_item"), token_hashes(F.col(item_text_col)).alias("_words"))
-                .filter(F.size("_words") >= MIN_TOKENS).distinct())
-    lengths = [r[0] for r in items.filter(F.size("_words") < SPAN).select(F.size("_words")).distinct().collect()]
-    masks = dict(enumerate(MASKS)) | {100 + n: "1" * n for n in lengths}  # < SPAN whole-item lengths
-    long_items = _windows(items.filter(F.size("_words") >= SPAN), dict(enumerate(MASKS)))
-    seeds = long_items
+    items = cut(_parts(benchmark, item_col, item_text_col).filter(F.col("_n") >= MIN_TOKENS))
+    lengths = [r[0] for r in items.filter(F.col("_n") < SPAN).select("_n").distinct().collect()]  # < SPAN of them
+    masks = dict(enumerate(MASKS)) | {100 + n: "1" * n for n in lengths}
+    own = ("_id", "_n", (F.col("_base") + F.col("_at")).alias("_from"), "_seed")
+    seeds = _near(_places(items.filter(F.col("_n") >= SPAN), dict(enumerate(MASKS))), *own)
     for n in lengths:
-        seeds = seeds.unionByName(_windows(items.filter(F.size("_words") == n), {100 + n: "1" * n}))
-    seeds = cut(seeds.select("_item", "_words", F.col("_at").alias("_from"), "_seed"))
+        seeds = seeds.unionByName(_near(_places(items.filter(F.col("_n") == n), {100 + n: "1" * n}), *own))
+    seeds = cut(seeds.select(F.col("_id").alias("_item"), F.col("_n").alias("_m"), "_from", "_seed",
+                             F.col("_near").alias("_item_near"), F.col("_p").alias("_item_p")).distinct())
     blocks = max(1, math.ceil(seeds.count() / block_rows))
-    words = docs.select(F.col(id_col).alias("_doc"), token_hashes(F.col(text_col)).alias("_dw"))
-    places = (_windows(words.withColumnRenamed("_dw", "_words"), masks)
-              .select("_doc", F.col("_words").alias("_dw"), "_at", "_seed"))
+    places = _places(_parts(docs, id_col, text_col), masks)
+    n = F.least(F.col("_m"), F.lit(VERIFY_TOKENS))
+    head = F.least(F.col("_from"), F.col("_m") - n)
+    tail = F.greatest(F.least(F.col("_from") + SPAN, F.col("_m")) - n, F.lit(0))
     found = []
     for b in range(blocks):
-        own = seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("_item", "_from"), F.lit(blocks)) == b)
-        hits = places.join(F.broadcast(own), "_seed")
-        n = F.least(F.size("_words"), F.lit(VERIFY_TOKENS))
-        head = F.least(F.col("_from"), F.size("_words") - n)
-        tail = F.greatest(F.least(F.col("_from") + SPAN, F.size("_words")) - n, F.lit(0))
-        base = F.col("_at") - F.col("_from")
-        ok = reduce(lambda a, c: a | c, [_agree(F.col("_dw"), base, F.col("_words"), first, n) >= n * MIN_MATCH
-                                         for first in (head, tail)])
-        found.append(hits.filter(ok).select(F.col("_doc").alias(id_col), F.col("_item").alias(item_col)))
-    return reduce(DataFrame.unionByName, found).distinct()
+        block = seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("_item", "_from"), F.lit(blocks)) == b)
+        hits = _near(places.join(F.broadcast(block), "_seed"), "_id", "_item", "_m", "_from", "_item_near", "_item_p")
+        found.append(hits.groupBy("_id", "_item").agg(F.max(_agrees(head, n) | _agrees(tail, n)).alias("_ok"))
+                     .filter("_ok").select(F.col("_id").alias(id_col), F.col("_item").alias(item_col)))
+    return found[0] if blocks == 1 else reduce(DataFrame.unionByName, found).distinct()
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
