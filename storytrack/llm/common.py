@@ -69,6 +69,14 @@ def fit_in_task(sample: DataFrame, train, order: list[str]) -> bytes:
     return ordered.mapInPandas(run, "model binary").first()["model"]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def replace_columns(df: DataFrame, **new: Column) -> DataFrame:
     """``df`` with the named columns added, or replaced where ``df`` has columns of these names."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {k.lower() for k in new}],

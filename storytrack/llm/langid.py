@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import fit_in_task, fold, replace_columns, ship, table
+from storytrack.llm.common import fit_in_task, fold, fresh, replace_columns, ship, table
 
 UNDETERMINED = "und"
 BUCKETS = 4096
@@ -196,15 +196,17 @@ def identify(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame
     A null text, or one without letters, is 'und' with score 0. Only the text is read.
     Repeated rows get equal answers; an empty table stays empty.
     """
-    found = docs.withColumn("_lid", detect(docs.sparkSession, F.col(text_col), model))
-    return replace_columns(found, lang_pred=F.col("_lid.lang_pred"), score=F.col("_lid.score")).drop("_lid")
+    own = fresh(docs, "_lid")
+    found = docs.withColumn(own, detect(docs.sparkSession, F.col(text_col), model))
+    return replace_columns(found, lang_pred=F.col(own)["lang_pred"], score=F.col(own)["score"]).drop(own)
 
 
 def reject_undetermined(docs: DataFrame, model: bytes, text_col: str = "text",
                         min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the rows that are 'und' or score under ``min_score``; columns as they were."""
-    found = docs.withColumn("_lid", detect(docs.sparkSession, F.col(text_col), model))
-    return found.filter((F.col("_lid.lang_pred") != UNDETERMINED) & (F.col("_lid.score") >= min_score)).drop("_lid")
+    own = fresh(docs, "_lid")
+    found = docs.withColumn(own, detect(docs.sparkSession, F.col(text_col), model))
+    return found.filter((F.col(own)["lang_pred"] != UNDETERMINED) & (F.col(own)["score"] >= min_score)).drop(own)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

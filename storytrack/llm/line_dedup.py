@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import broadcast_if_small, cut, table
+from storytrack.llm.common import broadcast_if_small, cut, fresh, replace_columns, table
 
 MAX_RATIO = 0.1
 MIN_PAGES = 3
@@ -46,7 +46,7 @@ def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, max_ratio:
 
 def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float = MAX_RATIO,
                      min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with boilerplate lines removed from ``text_col``, plus ``lines_dropped``.
+    """``pages`` with boilerplate lines removed from ``text_col``, plus ``lines_dropped`` (a column of that name is replaced).
 
     Every row stays, with all its columns, even if no line is left (text ''). Null text stays
     null and counts as a page without lines; pages without a host form one group; repeated
@@ -54,15 +54,17 @@ def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio:
     """
     lists = cut(boilerplate_lines(pages, host_col, text_col, max_ratio, min_pages)
                 .groupBy("_host").agg(F.collect_list("_key").alias("_drop")))
+    host, drop = fresh(pages, "_host"), fresh(pages, "_drop")
+    lists = lists.withColumnsRenamed({"_host": host, "_drop": drop})
     joined = pages.join(broadcast_if_small(lists, MAX_BROADCAST_HOSTS),
-                        pages[host_col].eqNullSafe(lists["_host"]), "left")
+                        F.col(host_col).eqNullSafe(F.col(host)), "left")
     lines = split_lines(F.col(text_col))
-    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), line_key(x)), F.lit(False)))
-    text = (F.when(F.col(text_col).isNull() | F.col("_drop").isNull(), F.col(text_col))
-            .otherwise(F.array_join(left, "\n")))
-    dropped = F.when(F.col(text_col).isNull() | F.col("_drop").isNull(), 0).otherwise(F.size(lines) - F.size(left))
-    return joined.select(*[text.alias(c) if c == text_col else pages[c] for c in pages.columns],
-                         dropped.cast("long").alias("lines_dropped"))
+    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(drop), line_key(x)), F.lit(False)))
+    same = F.col(text_col).isNull() | F.col(drop).isNull()
+    dropped = F.when(same, 0).otherwise(F.size(lines) - F.size(left)).cast("long")
+    text = F.when(same, F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    return replace_columns(joined, **{text_col: text, "lines_dropped": dropped}).select(
+        *[F.col(f"`{c}`") for c in pages.columns if c.lower() != "lines_dropped"], "lines_dropped")
 
 
 def html_lines(html: Column) -> Column:

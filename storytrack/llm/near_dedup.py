@@ -274,7 +274,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that are near-duplicates of one with a smaller id."""
     gone = cut(near_dedup(docs, id_col, text_col, threshold).filter(~F.col("kept")).select(id_col).distinct())
-    return docs.join(broadcast_if_small(gone, MAX_BROADCAST_IDS), id_col, "left_anti")
+    return docs.join(broadcast_if_small(gone, MAX_BROADCAST_IDS), id_col, "left_anti").select(docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

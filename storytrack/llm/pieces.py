@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import cut, replace_columns, ship, table
+from storytrack.llm.common import cut, fresh, replace_columns, ship, table
 
 SPACE = "▁"
 CHUNK = 32_768  # characters of a giant text in a chunk
@@ -242,20 +242,20 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(1)
 
 
-def _scan(elements: DataFrame, compose, apply, first: bytes, reverse: bool) -> DataFrame:
-    """(doc, at, state): the state before each (doc, at, element), in ``at`` order or its reverse.
+def _scan(elements: DataFrame, compose, apply, first: bytes) -> DataFrame:
+    """(doc, at, state): the state before each (doc, at, element), in ``at`` order.
 
     ``compose(a, b)`` joins two elements, a first; ``apply(state, element)`` moves a state over
     one. At most ``FAN`` elements meet in a group; levels grow with the logarithm of the chunks.
     """
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = None
-        for e in pdf.sort_values("at", ascending=not reverse)["element"]:
+        for e in pdf.sort_values("at")["element"]:
             total = e if total is None else compose(total, e)
         return pd.DataFrame({"doc": [key[0]], "at": [key[1]], "element": [total]})
 
-    def spread(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", ascending=not reverse)
+    def spread(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
         state, out = pdf["state"].iloc[0], []
         for e in pdf["element"]:
             out.append(state)
@@ -332,13 +332,13 @@ def encode_chunks(texts: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame
     start[0] = 0
     elements = cut(chunks.mapInPandas(matrices, "doc long, at long, element binary"))
     entry = cut(_scan(elements, lambda a, b: _product(square(a), square(b)).tobytes(),
-                      lambda s, m: (np.frombuffer(s)[:, None] + square(m)).max(0).tobytes(), start.tobytes(), False))
+                      lambda s, m: (np.frombuffer(s)[:, None] + square(m)).max(0).tobytes(), start.tobytes()))
     entered = chunks.join(entry, ["doc", "at"])
     back = cut(entered.mapInPandas(tables, "doc long, at long, element binary"))
     # Reversed, so that every text's last chunk is block 0 and starts from exit state 0.
     last = chunks.filter("last").select("doc", F.col("at").alias("_last"))
     turned = back.join(last, "doc").select("doc", (F.col("_last") - F.col("at")).alias("at"), "element")
-    left = (_scan(turned, lambda a, b: bytes(b[x] for x in a), lambda s, t: bytes([t[s[0]]]), bytes([0]), False)
+    left = (_scan(turned, lambda a, b: bytes(b[x] for x in a), lambda s, t: bytes([t[s[0]]]), bytes([0]))
             .join(last, "doc").select("doc", (F.col("_last") - F.col("at")).alias("at"), F.col("state").alias("exit")))
     traced = entered.join(left, ["doc", "at"]).mapInPandas(trace, "doc long, at long, ids array<int>")
     parts = traced.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("_p"))
@@ -362,12 +362,13 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, ch
 
     giant = F.coalesce(F.octet_length(F.col(text_col)) > chunk, F.lit(False))
     short = replace_columns(docs.filter(~giant), ids=whole(F.col(text_col)))
-    long = cut(docs.filter(giant).withColumn("_doc", F.monotonically_increasing_id()))
+    doc, found_ids = fresh(docs, "_doc"), fresh(docs, "_ids")
+    long = cut(docs.filter(giant).withColumn(doc, F.monotonically_increasing_id()))
     if long.isEmpty():
         return short
-    found = encode_chunks(long.select(F.col("_doc").alias("doc"), F.col(text_col).alias("text")), model, chunk)
-    joined = long.join(found.withColumnsRenamed({"doc": "_doc", "ids": "_ids"}), "_doc")
-    return short.unionByName(replace_columns(joined, ids=F.col("_ids")).drop("_doc", "_ids"))
+    found = encode_chunks(long.select(F.col(doc).alias("doc"), F.col(text_col).alias("text")), model, chunk)
+    joined = long.join(found.withColumnsRenamed({"doc": doc, "ids": found_ids}), doc)
+    return short.unionByName(replace_columns(joined, ids=F.col(found_ids)).drop(doc, found_ids))
 
 
 def decode(ids: Column, spark: SparkSession, model: str | None = None) -> Column:

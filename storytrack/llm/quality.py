@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import fit_in_task, fold, labelled_sample, replace_columns, ship, table
+from storytrack.llm.common import fit_in_task, fold, fresh, labelled_sample, replace_columns, ship, table
 
 BUCKETS = 1 << 18
 # Bound of the training sample, in labelled documents, and passes over it.
@@ -110,8 +110,9 @@ def score_quality(docs: DataFrame, model: bytes, text_col: str = "text", thresho
 
     Every whole text is scored, null as ''; repeated rows score alike.
     """
-    scored = docs.withColumn("_q", quality_score(docs.sparkSession, F.col(text_col), model))
-    return replace_columns(scored, score=F.col("_q"), predicted=(F.col("_q") >= threshold).cast("int")).drop("_q")
+    own = fresh(docs, "_q")
+    scored = docs.withColumn(own, quality_score(docs.sparkSession, F.col(text_col), model))
+    return replace_columns(scored, score=F.col(own), predicted=(F.col(own) >= threshold).cast("int")).drop(own)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import fit_in_task, fold, labelled_sample, replace_columns, ship, table
+from storytrack.llm.common import fit_in_task, fold, fresh, labelled_sample, replace_columns, ship, table
 
 # Bound of the training sample, in labelled documents, and passes over it.
 TRAIN_DOCS = 4_000
@@ -367,8 +367,9 @@ def score_toxicity(docs: DataFrame, model: bytes, text_col: str = "text", thresh
     Every whole text is scored over all its windows; null or empty texts score near 0;
     repeated rows score alike.
     """
-    scored = docs.withColumn("_s", toxicity_score(docs.sparkSession, F.col(text_col), model))
-    return replace_columns(scored, score=F.col("_s"), predicted=(F.col("_s") >= threshold).cast("int")).drop("_s")
+    own = fresh(docs, "_s")
+    scored = docs.withColumn(own, toxicity_score(docs.sparkSession, F.col(text_col), model))
+    return replace_columns(scored, score=F.col(own), predicted=(F.col(own) >= threshold).cast("int")).drop(own)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
