@@ -120,9 +120,11 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents: one row for each, with the benchmark items that it holds."""
     marked = mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return marked.select("doc_id", "contaminated", "n_items",
-                         F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
+    return marked.filter("contaminated").select(
+        "doc_id", "contaminated", "n_items",
+        F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
 def _sql() -> str:
@@ -151,9 +153,8 @@ tries AS (
   UNION ALL
   SELECT doc_id, item_id, dw, iw, base, n, greatest(least(at_item + {SPAN}, len(iw) + 1) - n, 1) FROM hits),
 pairs AS (SELECT DISTINCT doc_id, item_id FROM tries WHERE {agree} >= n * {MIN_MATCH})
-SELECT doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items,
-  coalesce(string_agg(item_id::varchar, ',' ORDER BY item_id), '') AS items
-FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN pairs USING (doc_id) GROUP BY doc_id
+SELECT doc_id, true AS contaminated, count(*) AS n_items, string_agg(item_id::varchar, ',' ORDER BY item_id) AS items
+FROM pairs GROUP BY doc_id
 """
 
 
