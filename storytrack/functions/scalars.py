@@ -29,10 +29,19 @@ def hotness(score, created_at) -> Column:
     return F.signum(s) * order + seconds / F.lit(HOTNESS_DIVISOR_S)
 
 
+# Largest epoch second whose microseconds fit a 64-bit timestamp, rounded down.
+MAX_EPOCH_S = 9_200_000_000_000
+
+
+def valid_epoch(c) -> Column:
+    """Whether epoch seconds can be a timestamp (NULL for NULL)."""
+    return _col(c).between(F.lit(-MAX_EPOCH_S), F.lit(MAX_EPOCH_S))
+
+
 def epoch_seconds_to_ts(c) -> Column:
     """Payload epoch seconds (possibly fractional) → timestamp, truncating like a long parameter.
-    Out-of-range values become NULL instead of failing the job (ANSI casts raise)."""
-    return F.timestamp_seconds(_col(c).try_cast("long"))
+    Values that no timestamp can hold become NULL (the payload reader rejects their records)."""
+    return F.timestamp_seconds(F.when(valid_epoch(c), _col(c)).try_cast("long"))
 
 
 def to_millis(c) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import datetime as _dt
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -74,14 +77,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must point at shared storage; it is only filled in
-    here (with a fresh scratch folder) when the session left it unset, as in tests.
+    On a cluster the setting must point at shared storage, else this raises. Only a
+    session whose master is ``local`` (as in tests) gets a scratch folder of its own when
+    the setting is unset; it is removed when the program ends.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="storytrack-ckpt-", dir="/tmp")
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
+        path = tempfile.mkdtemp(prefix="storytrack-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         try:
             spark.conf.set("spark.checkpoint.dir", path)  # remembered for later calls
         except Exception:  # noqa: BLE001 - a core config may be read-only at runtime

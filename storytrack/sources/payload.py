@@ -90,6 +90,9 @@ def _reject_reason(kind: str, schema: T.StructType, required: tuple[str, ...]) -
     for f in schema.fieldNames():
         # Present with a non-null value that did not convert to the declared type.
         bad = bad | (raw[f].isNotNull() & typed[f].isNull())
+    for f in S.EPOCH_FIELDS:
+        if f in schema.fieldNames():  # a number, but no point in time (e.g. microseconds)
+            bad = bad | F.coalesce(~X.valid_epoch(typed[f]), F.lit(False))
     return (F.when(~F.coalesce(F.col("kind") == F.lit(kind), F.lit(False)), F.lit(REASON_WRONG_KIND))
             .when(F.col("_raw").isNull() | typed.isNull(), F.lit(REASON_MALFORMED))
             .when(missing, F.lit(REASON_MISSING))

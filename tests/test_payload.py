@@ -86,7 +86,9 @@ def test_read_landed_files_lines_and_whole(spark, tmp_path_factory):
     assert [r.short_id for r in P.parse_story_pages(whole).collect()] == ["z"]
 
 
-def test_out_of_range_epoch_does_not_fail_the_job(spark):
-    df = frame(spark, [page([story(id="big", created_utc=1e300), story(id="ok")])])
-    rows = {r.short_id: r.created_at for r in P.parse_story_pages(df).collect()}
-    assert rows["big"] is None and rows["ok"] is not None
+def test_out_of_range_epochs_are_rejected(spark):
+    df = frame(spark, [page([story(id="big", created_utc=1e300), story(id="micros", created_utc=1.4e15),
+                             story(id="ok"), story(id="early", created_utc=-1.0)])])
+    assert sorted(r.short_id for r in P.parse_story_pages(df).collect()) == ["early", "ok"]
+    rejects = P.thing_rejects(P.parse_listing(df)).collect()
+    assert [r.reason for r in rejects] == ["bad_value", "bad_value"]
