@@ -65,16 +65,14 @@ def asof_backward(probes: DataFrame, history: DataFrame, key: str, probe_ts: str
     match_h = F.when(F.col("_prev").isNotNull(),
                      F.when(same(F.col("_prev")), F.col("_prev"))).otherwise(
         F.when(same(F.col("_carry")), F.col("_carry")))
-    found = j.select("_pid", match_h.alias("_m"))
+    found = j.select("_pid", "_key", match_h.alias("_m"))
 
     if fallback_first:
         firsts = history.groupBy(F.col(key).alias("_key")).agg(
             F.min_by(h_struct, F.struct(F.col(hist_ts), F.col(hist_tie))).alias("_first"))
-        found = (found.join(probes.select(F.col(probe_id).alias("_pid"), F.col(key).alias("_key")), "_pid")
-                 .join(firsts, "_key", "left")
-                 .select("_pid", F.col("_m"), F.col("_first")))
+        found = found.join(firsts, "_key", "left").select("_pid", F.col("_m"), F.col("_first"))
     else:
-        found = found.withColumn("_first", F.lit(None).cast(found.schema["_m"].dataType))
+        found = found.select("_pid", "_m", F.lit(None).cast(found.schema["_m"].dataType).alias("_first"))
 
     chosen = F.coalesce(F.col("_m"), F.col("_first"))
     out = probes.join(found.withColumnRenamed("_pid", probe_id), probe_id, "left")
@@ -94,11 +92,19 @@ def _sub_history(sub_history: DataFrame) -> DataFrame:
 
 
 def asof_subreddit_history(subreddit: DataFrame, sub_history: DataFrame, at) -> DataFrame:
-    """Each community's last sample strictly before ``at`` (a timestamp column or
-    literal), else its first sample ever; one probe per community."""
-    probes = subreddit.select("id", F.col("id").alias("subreddit_key"), at.alias("probe_ts"))
-    return asof_backward(probes, _sub_history(sub_history), key="subreddit_key", probe_ts="probe_ts",
-                         hist_ts="timestamp", probe_id="id", hist_tie="hist_id", hist_cols=SUB_STATS)
+    """Each community's last sample strictly before ``at`` (one time for all), else its
+    first sample ever. One partial aggregate over the history and one join."""
+    hist = _sub_history(sub_history)
+    sample = F.struct(*[F.col(c) for c in ["timestamp", "hist_id", *SUB_STATS]])
+    order = F.struct("timestamp", "hist_id")
+    found = hist.groupBy(F.col("subreddit_key").alias("id")).agg(
+        F.max_by(sample, F.when(F.col("timestamp") < at, order)).alias("_m"),
+        F.min_by(sample, order).alias("_first"))
+    chosen = F.coalesce("_m", "_first")
+    return subreddit.select("id").join(found, "id", "left").select(
+        "id", *[chosen[c].alias("h_" + c) for c in ["timestamp", "hist_id", *SUB_STATS]],
+        F.when(F.col("_m").isNotNull(), F.lit("before"))
+        .when(F.col("_first").isNotNull(), F.lit("first")).alias("match"))
 
 
 def asof_story_context(story: DataFrame, sub_history: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storytrack.functions import scalars as X
 from storytrack.operators import select as sel
-from storytrack.operators.ordering import position_within
 
 HISTORY_FIELDS = ["timestamp", "score", "hotness", "gilded", "comments"]
 ORDER_KEYS = ["timestamp", "tie1", "tie2", "tie3"]
@@ -34,27 +33,44 @@ def _fold(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def history_arrays(history: DataFrame, max_points: int | None = DEFAULT_MAX_POINTS) -> DataFrame:
-    """A1: per story, five parallel arrays sorted by time (ties by the tie key).
+def with_ties(samples: DataFrame) -> DataFrame:
+    """Samples with the columns a history has: missing tie keys are 0, a missing hotness NULL."""
+    for c in ORDER_KEYS[1:]:
+        if c not in samples.columns:
+            samples = samples.withColumn(c, F.lit(0).cast("long"))
+    return samples if "hotness" in samples.columns else samples.withColumn("hotness", F.lit(None).cast("double"))
 
-    No group ever exceeds ``max_points`` samples: a story with more is cut into
-    consecutive chunks (column ``chunk`` = 0, 1, …; every other story is one chunk 0).
-    Sample counts per story are a partial aggregate; only stories over the bound take
-    the position path (:func:`position_within`, a range sort that splits even one hot
-    story across tasks) — skipped entirely when no story is over the bound. The rest fold
-    with one shuffle on ``story``. ``max_points=None`` folds every story whole.
+
+def positions(history: DataFrame, name: str = "seq") -> DataFrame:
+    """1-based position of every sample in its story's time order.
+
+    Samples per (story, day) are counted (a partial aggregate) and summed over the earlier
+    days; the position inside a day is a window over one day of one story. The history is
+    shuffled once and no task holds more of a story than a day of it.
+    """
+    day = F.to_date("timestamp").alias("_day")
+    counts = history.groupBy("story", day).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("story").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("story", "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("story", "_day").orderBy(*ORDER_KEYS)
+    return (history.select("*", day).join(before, ["story", "_day"])
+            .withColumn(name, F.col("_before") + F.row_number().over(own)).drop("_day", "_before"))
+
+
+def history_arrays(history: DataFrame, max_points: int = DEFAULT_MAX_POINTS) -> DataFrame:
+    """A1: per story and chunk, five parallel arrays sorted by time (ties by the tie key).
+
+    Chunk n (0, 1, …) holds the story's samples n·max_points + 1 to (n + 1)·max_points in
+    time order, so no array exceeds ``max_points`` and nothing is dropped. Only stories with
+    more samples than that need positions (:func:`positions`) to know a sample's chunk; for
+    the others it is 0. Both kinds are in one lazy plan.
     """
-    if max_points is None:
-        return _fold(history, ["story"]).withColumn("chunk", F.lit(0).cast("long"))
-    big = (history.groupBy("story").agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > F.lit(max_points)).select("story"))
-    if big.isEmpty():  # one scan of the story column + a partial aggregate → one boolean
-        return _fold(history, ["story"]).withColumn("chunk", F.lit(0).cast("long"))
-    small = _fold(history.join(big, "story", "left_anti"), ["story"]).withColumn("chunk", F.lit(0).cast("long"))
-    hot = position_within(history.join(big, "story", "left_semi"), "story",
-                          [F.col(c) for c in ORDER_KEYS], "_seq")
-    hot = hot.withColumn("chunk", F.floor((F.col("_seq") - 1) / F.lit(max_points)).cast("long"))
-    return small.unionByName(_fold(hot, ["story", "chunk"]))
+    many = (history.groupBy("story").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > F.lit(max_points)).select("story"))
+    one = history.join(many, "story", "left_anti").withColumn("chunk", F.lit(0).cast("long"))
+    cut = positions(history.join(many, "story", "left_semi"), "_seq").withColumn(
+        "chunk", F.floor((F.col("_seq") - 1) / F.lit(max_points)).cast("long")).drop("_seq")
+    return _fold(one, ["story", "chunk"]).unionByName(_fold(cut, ["story", "chunk"]))
 
 
 def history_struct(arrays: DataFrame) -> DataFrame:
@@ -90,9 +106,9 @@ def story_detail(story: DataFrame, subreddit: DataFrame, history: DataFrame,
 
 
 def detail_record(details: DataFrame) -> DataFrame:
-    """Nest into the archive record shape {summary{…}, history{…}}."""
-    return details.select("story_id", F.struct(sel.summary_struct().alias("summary"),
-                                               F.col("history")).alias("record"))
+    """Nest into the archive record shape {summary{…}, history{…}, chunk}."""
+    return details.select("story_id", F.struct(sel.summary_struct().alias("summary"), F.col("history"),
+                                               F.col("chunk")).alias("record"))
 
 
 def detail_json(details: DataFrame) -> DataFrame:
@@ -119,7 +135,7 @@ def first_state(history: DataFrame) -> DataFrame:
 
 def history_ordered(history: DataFrame) -> DataFrame:
     """T4: every sample with its 1-based position in its story's time order."""
-    return position_within(history, "story", [F.col(c) for c in ORDER_KEYS], "seq")
+    return positions(history)
 
 
 def history_offsets(history: DataFrame, story: DataFrame) -> DataFrame:

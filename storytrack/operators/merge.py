@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storytrack.functions import scalars as X
-from storytrack.operators.ordering import global_index, position_within
+from storytrack.operators.ordering import global_index
 from storytrack.session import AS_OF
 
 FEED_PRIORITY = {"hot": 0, "new": 1}  # the hot copy wins when a story is on both feeds
@@ -56,36 +56,36 @@ def union_feeds(obs: DataFrame, keys=("tick", "short_id")) -> DataFrame:
     return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in rest], "in_new")
 
 
-def paged_listing(children: DataFrame, limit: int, feed_col: str = "feed",
+def paged_listing(children: DataFrame, limit: int, keys: tuple[str, ...] | None = None,
                   pages: DataFrame | None = None) -> DataFrame:
-    """S5/S6 + T5: per feed, the first ``limit`` distinct stories in page order.
+    """S5/S6 + T5: per scrape, the first ``limit`` distinct stories in page order.
 
-    Paging stops at the first page that adds no new story or is empty, as a cursor walk
-    would. Input: one row per accepted child with feed, page, pos, short_id; ``pages``
-    (feed, page) lists every landed page including empty ones (default: the pages that
-    have children).
+    A scrape is one walk: one (feed, tick), or what ``keys`` names (default: those of feed
+    and tick that the input has). A walk ends at the first page that adds no new story or is
+    empty. Input: one row per accepted child with the keys, page, pos, short_id; ``pages``
+    lists every landed page including empty ones (default: the pages that have children).
     """
-    firsts = dedup_first_seen(children.select(feed_col, "page", "pos", "short_id"),
-                              keys=(feed_col, "short_id"))
+    keys = keys or tuple(c for c in ("feed", "tick") if c in children.columns)
+    firsts = dedup_first_seen(children.select(*keys, "page", "pos", "short_id"), keys=(*keys, "short_id"))
     # Pages that contributed at least one first-seen story, and every landed page.
-    growing = firsts.groupBy(feed_col, "page").agg(F.count(F.lit(1)).alias("_new"))
-    pages = (children if pages is None else pages).select(feed_col, "page").distinct()
-    stalled = (pages.join(growing, [feed_col, "page"], "left")
+    growing = firsts.groupBy(*keys, "page").agg(F.count(F.lit(1)).alias("_new"))
+    pages = (children if pages is None else pages).select(*keys, "page").distinct()
+    stalled = (pages.join(growing, [*keys, "page"], "left")
                .filter(F.col("_new").isNull())
-               .groupBy(feed_col).agg(F.min("page").alias("_stop")))
-    kept = (firsts.join(stalled, feed_col, "left")
+               .groupBy(*keys).agg(F.min("page").alias("_stop")))
+    kept = (firsts.join(stalled, list(keys), "left")
             .filter(F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))))
-    # First `limit` per feed in arrival order. Up to Spark's window-group-limit threshold a
-    # row_number filter becomes a map-side WindowGroupLimit (each task keeps `limit` rows
-    # per feed before the shuffle); above it, positions come from the range-sorted global
-    # order so no task sorts a whole feed.
-    threshold = int(kept.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if limit <= threshold:
-        w = Window.partitionBy(feed_col).orderBy("page", "pos")
-        ranked = kept.withColumn("rank", F.row_number().over(w))
-    else:
-        ranked = position_within(kept, feed_col, [F.col("page"), F.col("pos")], "rank")
-    return ranked.filter(F.col("rank") <= limit).select(feed_col, "rank", "page", "pos", "short_id")
+    # A group is one walk; the row_number filter is a WindowGroupLimit before the shuffle
+    # (each task keeps ``limit`` rows of a walk) up to Spark's threshold for it.
+    w = Window.partitionBy(*keys).orderBy("page", "pos")
+    return (kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+            .select(*keys, "rank", "page", "pos", "short_id"))
+
+
+def latest_scrape(children: DataFrame, as_of=None) -> DataFrame:
+    """The children of the last tick (at or before ``as_of``, if given)."""
+    known = children if as_of is None else children.filter(F.col("tick") <= X.as_ts(as_of))
+    return known.filter(F.col("tick") == known.select(F.max("tick")).scalar())
 
 
 def stories_by_id(snapshot: DataFrame, ids: DataFrame, id_col: str = "short_id") -> DataFrame:
@@ -94,10 +94,14 @@ def stories_by_id(snapshot: DataFrame, ids: DataFrame, id_col: str = "short_id")
     return dedup_last_wins(hits, keys=("short_id",), order=("arrival",))
 
 
-def front_page_subreddits(front: DataFrame, n: int = 300) -> DataFrame:
-    """A3: distinct subreddits over the first n distinct front-page stories."""
-    top = front.orderBy("rank").limit(n) if "rank" in front.columns else front.limit(n)
-    return top.select(F.col("subreddit_name").alias("name")).distinct()
+def front_page_subreddits(hot: DataFrame, n: int = 300, as_of=None) -> DataFrame:
+    """A3: distinct subreddits over the first n distinct stories of the last front-page scrape.
+
+    ``hot``: accepted front-page children (feed, tick, page, pos, short_id, subreddit_name).
+    """
+    last = latest_scrape(hot, as_of)
+    front = paged_listing(last, n).select("short_id")
+    return last.join(front, "short_id", "left_semi").select(F.col("subreddit_name").alias("name")).distinct()
 
 
 # -- discovery (E1): match feed stories against the story table ------------------
@@ -200,6 +204,15 @@ def live_samples(samples: DataFrame, story: DataFrame) -> DataFrame:
     return samples.join(alive, "story", "left_semi")
 
 
+def records_since_check(landed: DataFrame, candidates: DataFrame, as_of=AS_OF) -> DataFrame:
+    """S7 for an update pass: each candidate's last landed record after its last check and
+    not after ``as_of``. Older records never replace a newer state."""
+    own = candidates.select(F.col("reddit_short_id").alias("short_id"), F.col("checked_at").alias("_checked"))
+    known = restrict(landed.filter(F.col("tick") <= X.as_ts(as_of)), own, "short_id").join(own, "short_id")
+    return dedup_last_wins(known.filter(F.col("tick") > F.col("_checked")).drop("_checked"),
+                           keys=("short_id",), order=("arrival",))
+
+
 def check_outcomes(candidates: DataFrame, returned: DataFrame) -> DataFrame:
     """Each requested story → 'updated' (a record came back) or 'checked' (none did)."""
     ret = returned.select(F.col("short_id").alias("reddit_short_id"),
@@ -208,6 +221,13 @@ def check_outcomes(candidates: DataFrame, returned: DataFrame) -> DataFrame:
     return j.withColumn("outcome", F.when(F.col("new_score").isNotNull(), "updated").otherwise("checked"))
 
 
+def outcome_samples(outcomes: DataFrame, as_of=AS_OF) -> DataFrame:
+    """K6 (append): one history row, stamped ``as_of``, per updated story."""
+    return outcomes.filter(F.col("outcome") == "updated").select(
+        F.col("id").alias("story"), X.as_ts(as_of).alias("timestamp"),
+        *[F.col("new_" + c).alias(c) for c in STATE_FIELDS])
+
+
 def apply_checks(story: DataFrame, outcomes: DataFrame, as_of=AS_OF) -> DataFrame:
     """K6 (both branches) for one update pass at ``as_of``: updated → six columns,
     checked-only → ``checked_at = as_of``."""

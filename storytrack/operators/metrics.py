@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -84,14 +84,18 @@ def discovery_latency(story: DataFrame, approx: bool = False) -> DataFrame:
     return stats.join(_quantile_cols(lat, "feed", "latency_ms", approx), "feed")
 
 
-def run_counters(*labelled: tuple[str, DataFrame]) -> DataFrame:
-    """Counters over outcome frames, e.g. ("discovered", new_story_rows), …
+def run_counters(*frames: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """(counter, n) of outcome frames, each with its counters' conditions.
 
-    Each frame is reduced to one count row before the union, so nothing but the
-    counts is shuffled.
+    Every frame is read once and reduced to one row of counts (partial aggregates) before
+    the union, so nothing but counts is shuffled.
     """
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("counter"), "n")
-             for name, df in labelled]
+    parts = []
+    for df, counters in frames:
+        sums = df.agg(*[F.count_if(cond).alias(name) for name, cond in counters.items()])
+        parts.append(sums.select(F.explode(F.array(*[
+            F.struct(F.lit(name).alias("counter"), F.col(name).alias("n")) for name in counters])).alias("_c"))
+            .select("_c.counter", "_c.n"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -10,7 +10,6 @@ that broadcast is bounded by the number of partitions, not by the data.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +28,7 @@ def global_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataF
     loss — then see the same partitions.
     """
     checkpoint_dir(df.sparkSession)
-    stamped = (df.orderBy(*order)
-               .withColumn("_mid", F.monotonically_increasing_id())
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    # A reliable checkpoint of an uncached plan re-runs it to write the files; the cache
-    # lets the write reuse the first run. Once written, the checkpoint is the only source.
-    ranked = stamped.checkpoint(eager=True)
-    stamped.unpersist()
+    ranked = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
     ranked = (ranked.withColumn("_part", F.shiftright("_mid", _ROW_BITS))
               .withColumn("_row", F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))))
     counts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -60,18 +53,9 @@ def position_within(df: DataFrame, key: str, order: list[Column], name: str = "s
             .drop("_gidx", "_start"))
 
 
-def ordered_batches(df: DataFrame, order: list[Column], size: int,
-                    bounded_rows: int | None = None) -> DataFrame:
-    """Fixed-size batches in a total order (batch = position // size, pos within batch).
-
-    When the input is a top-k of at most ``bounded_rows`` rows a plain window is
-    cheapest; otherwise the global index is used.
-    """
-    if bounded_rows is not None:
-        w = Window.orderBy(*order)
-        with_pos = df.withColumn("_p", F.row_number().over(w) - 1)
-    else:
-        with_pos = global_index(df, order, "_p")
+def ordered_batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """Fixed-size batches in a total order (batch = position // size, pos within batch)."""
+    with_pos = global_index(df, order, "_p")
     return (with_pos.withColumn("batch", F.floor(F.col("_p") / F.lit(size)).cast("long"))
             .withColumn("pos_in_batch", (F.col("_p") % F.lit(size)).cast("int"))
             .drop("_p"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storytrack.functions import scalars as X
-from storytrack.session import AS_OF
+from storytrack.session import AS_OF, checkpoint_dir
 
 # Fixed defaults of the tracked-story life cycle (seconds).
 SUBREDDIT_EXPIRY_S = 10800
@@ -26,17 +26,26 @@ TIME_RANGES = {"hour": 3600, "day": 86400, "week": 7 * 86400, "month": 30 * 8640
                "year": 365 * 86400, "all": None}
 
 
-def small_lookup_join(small: DataFrame, dim: DataFrame, small_key: str, dim_key: str,
+# Rows of a result that may be broadcast to look up a dimension.
+MAX_LOOKUP_ROWS = 100_000
+
+
+def small_lookup_join(small: DataFrame, k: int, dim: DataFrame, small_key: str, dim_key: str,
                       how: str = "left") -> DataFrame:
-    """Join a result of proven small size (a top-k) to a dimension of any size.
+    """Join a result of at most ``k`` rows to a dimension of any size.
 
-    The small side's keys are broadcast to semi-join the dimension (no shuffle of the
-    dimension), then the matched dimension rows — at most one per small row because
-    ``dim_key`` is the dimension's primary key — are broadcast back.
+    Up to ``MAX_LOOKUP_ROWS`` the rows are computed once (written to the shared checkpoint
+    folder); their keys are broadcast to cut down the dimension without shuffling it, and
+    its matches, at most one per row because ``dim_key`` is its primary key, are broadcast
+    back. A larger ``k`` is an ordinary join with the same result.
     """
+    if k > MAX_LOOKUP_ROWS:
+        return small.join(dim, small[small_key] == dim[dim_key], how)
+    checkpoint_dir(small.sparkSession)
+    small = small.checkpoint()
     keys = small.select(F.col(small_key).alias(dim_key)).distinct()
-    dim_hit = dim.join(F.broadcast(keys), dim_key, "left_semi")
-    return small.join(F.broadcast(dim_hit), small[small_key] == dim_hit[dim_key], how)
+    hit = dim.join(F.broadcast(keys), dim_key, "left_semi")
+    return small.join(F.broadcast(hit), small[small_key] == hit[dim_key], how)
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -97,7 +106,7 @@ def hottest_stories(story: DataFrame, subreddit: DataFrame, n: int = 100) -> Dat
     """Top-n by hotness (ties by id), each with its subreddit name (left join after the top-k)."""
     top = top_k(story, n, F.col("hotness").desc(), F.col("id").asc())
     sub = subreddit.select(F.col("id").alias("sub_id"), F.col("name").alias("subreddit_name"))
-    return small_lookup_join(top, sub, "subreddit", "sub_id", "left").drop("sub_id")
+    return small_lookup_join(top, n, sub, "subreddit", "sub_id", "left").drop("sub_id")
 
 
 # -- S11: listings over our own story table ---------------------------------

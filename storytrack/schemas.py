@@ -60,6 +60,7 @@ SUBREDDIT_DATA = T.StructType([
 # Numeric / boolean keys whose absence means 0 / false (primitive constructor parameters).
 STORY_DEFAULTED_NUMBERS = ("num_comments", "gilded", "score")
 STORY_DEFAULTED_FLAGS = ("is_self", "over_18", "sticked", "stickied")
+EPOCH_FIELDS = ("created_utc", "created")  # epoch seconds in story and community bodies
 STORY_REQUIRED = ("id", "title", "created_utc", "subreddit")
 
 # A child is kept as raw JSON text first so that "absent" and "malformed" can be told apart.
@@ -175,4 +176,5 @@ HISTORY_ARRAYS = T.StructType([
 DETAIL = T.StructType([
     T.StructField("summary", SUMMARY),
     T.StructField("history", HISTORY_ARRAYS),
+    T.StructField("chunk", T.LongType()),
 ])

@@ -46,3 +46,18 @@ def test_asof_strict_before(spark):
     assert (r.h_hid, r.match) == (1, "first")
     r2 = asof_backward(pdf, hdf, "k", "pt", "t", "pid", "hid", ["v"], fallback_first=False).first()
     assert r2.match is None
+
+
+def test_one_probe_time_equals_brute_force(spark):
+    from pyspark.sql import functions as F
+    from storytrack.operators.asof import asof_subreddit_history
+    rnd = random.Random(8)
+    rows = [(i, ts(f"2020-01-{rnd.randint(1, 28):02d} 00:00:00"), 0 if i % 3 == 0 else rnd.randint(1, 9), i, 1, 2)
+            for i in range(200)]
+    hist = spark.createDataFrame(rows, "id long, timestamp timestamp, subreddit long, subscribers long, active int, "
+                                       "comment_hide_mins int")
+    subs = spark.createDataFrame([(k,) for k in range(12)], "id long")
+    for at in ("2020-01-01 00:00:00", "2020-01-14 00:00:00", "2020-02-01 00:00:00"):
+        out = asof_subreddit_history(subs, hist, F.lit(ts(at)))
+        got = {r.id: (r.h_hist_id, r.match) for r in out.collect()}
+        assert got == brute([(k, k, ts(at)) for k in range(12)], [(r[2], r[1], r[0]) for r in rows])

@@ -78,7 +78,7 @@ def test_ordered_batches(spark):
     df = spark.range(0, 250, 1, 3)
     got = {r.id: (r.batch, r.pos_in_batch) for r in ordered_batches(df, [F.col("id").desc()], 100).collect()}
     assert got[249] == (0, 0) and got[150] == (0, 99) and got[0] == (2, 49)
-    small = ordered_batches(df.limit(10), [F.col("id")], 4, bounded_rows=10).collect()
+    small = ordered_batches(df.limit(10), [F.col("id")], 4).collect()
     assert sorted((r.batch, r.pos_in_batch) for r in small)[-1] == (2, 1)
 
 
@@ -88,3 +88,14 @@ def test_offsets_and_delay(spark):
                                "id long, created_at timestamp, discovered_at timestamp")
     assert H.history_offsets(h, st).first().offset_s == -86400.0
     assert H.discovery_delay(st).first().discovery_delay_s == 601.0
+
+
+def test_positions_across_days_and_ties(spark):
+    rnd = random.Random(11)
+    rows = [(s, ts(f"2020-01-{rnd.randint(1, 9):02d} 0{rnd.randint(0, 2)}:00:00"), i, 0, 0, i, 0.0, 0, 0)
+            for i, s in enumerate([1] * 120 + [2] * 30 + [3])]
+    expect = {}
+    for story in (1, 2, 3):
+        own = sorted((r[1], r[2]) for r in rows if r[0] == story)
+        expect.update({(story, tie): n + 1 for n, (_, tie) in enumerate(own)})
+    assert {(r.story, r.tie1): r.seq for r in H.history_ordered(hist(spark, rows)).collect()} == expect

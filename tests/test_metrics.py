@@ -38,8 +38,9 @@ def test_rates_and_batches(spark):
     assert r1[t0] == 3 and sum(r1.values()) == 30
     b = MET.batch_size_stats(df, "tick").first()
     assert (b.batches, b.min_size, b.max_size, b.p50) == (3, 10, 10, 10.0)
-    c = {r.counter: r.n for r in MET.run_counters(("a", df), ("b", df.limit(0))).collect()}
-    assert c == {"a": 30, "b": 0}
+    c = {r.counter: r.n for r in MET.run_counters((df, {"a": F.lit(True), "c": F.lit(False)}),
+                                                     (df.limit(0), {"b": F.lit(True)})).collect()}
+    assert c == {"a": 30, "b": 0, "c": 0}
 
 
 def test_global_quantiles_match_numpy(spark):
