@@ -47,31 +47,30 @@ def discovery(pages: DataFrame, story: DataFrame, subreddit: DataFrame, as_of=AS
     new_story, first_hist, later_hist = M.discover_insert(accepted, story, subreddit)
     auto = M.auto_update_rows(matched)
     samples = auto.unionByName(first_hist).unionByName(later_hist)
-    story_after = M.apply_samples(story, M.live_samples(auto, story))
+    story_after = M.apply_samples(story, auto)  # matched rows: their stories exist
     return Discovery(feed_stories, matched, unmatched, accepted, rejected, new_story, samples, story_after)
 
 
 @dataclass
 class UpdatePass:
     candidates: DataFrame
-    batches: DataFrame
     returned: DataFrame
     outcomes: DataFrame
+    samples: DataFrame        # K6: one history row per updated story
     story_after: DataFrame
 
 
-def update_pass(story: DataFrame, landed: DataFrame, as_of=AS_OF,
-                limit: int = sel.UPDATE_WORKERS * sel.PAGE_SIZE) -> UpdatePass:
-    """Stale stories (top-k by hotness) → batches of 100 → by-id lookup in the landed
-    snapshot → updated / checked-only outcomes → new state."""
-    from storytrack.operators.ordering import ordered_batches
+def update_pass(story: DataFrame, landed: DataFrame, as_of=AS_OF, limit: int | None = None) -> UpdatePass:
+    """Every stale story → by-id lookup in the landed records since its last check →
+    updated / checked-only outcomes → history rows and new state.
+
+    The crawler drains the stale stories in batches until none is left; here one pass takes
+    them all. ``limit`` restricts a pass to the hottest stale stories (T2)."""
     cand = sel.stories_needing_update(story, as_of, limit=limit)
-    batches = ordered_batches(cand.select("id", "reddit_short_id", "hotness"),
-                              [F.col("hotness").desc(), F.col("id").asc()], sel.PAGE_SIZE,
-                              bounded_rows=limit)
-    returned = M.stories_by_id(landed, cand.select(F.col("reddit_short_id").alias("short_id")))
+    returned = M.records_since_check(landed, cand, as_of)
     outcomes = M.check_outcomes(cand, returned)
-    return UpdatePass(cand, batches, returned, outcomes, M.apply_checks(story, outcomes, as_of))
+    return UpdatePass(cand, returned, outcomes, M.outcome_samples(outcomes, as_of),
+                      M.apply_checks(story, outcomes, as_of))
 
 
 def landed_snapshot(pages: DataFrame) -> DataFrame:
@@ -84,6 +83,7 @@ def landed_snapshot(pages: DataFrame) -> DataFrame:
 class ArchiveRun:
     archivable: DataFrame
     details: DataFrame
+    archived: DataFrame       # J9: ids that the committed batch names
     story_after: DataFrame
     history_after: DataFrame
 
@@ -94,10 +94,9 @@ def archive(spark: SparkSession, story: DataFrame, subreddit: DataFrame, history
     committed write contained (J9 + K10).
 
     Each run writes under its own ``batch=<id>`` sub-partition (default: ``as_of`` in epoch
-    ms). The write job commits all of its files or none, so once it returns, the archived
-    stories are exactly the records it was given: archivable stories whose community exists
-    (the summary's inner join). Their ids come from the same snapshot, without reading the
-    archive back; a failed write raises before anything is deleted (at-least-once)."""
+    ms). The ids to delete are read back from that committed batch, so a story that the
+    write did not contain is never deleted, whatever happens to the tables meanwhile; a
+    failed write raises before anything is deleted (at-least-once)."""
     if batch_id is None:
         when = as_of if isinstance(as_of, _dt.datetime) else _dt.datetime.fromisoformat(str(as_of))
         batch_id = int(when.replace(tzinfo=_dt.timezone.utc).timestamp() * 1000)
@@ -105,7 +104,13 @@ def archive(spark: SparkSession, story: DataFrame, subreddit: DataFrame, history
     doomed_hist = history.join(doomed.select(F.col("id").alias("story")), "story", "left_semi")
     details = H.story_detail(doomed, subreddit, doomed_hist)
     A.write_archive(details, root, batch_id=batch_id)
-    archived_ids = doomed.join(subreddit.select(F.col("id").alias("subreddit")), "subreddit",
-                               "left_semi").select("id")
-    story_after, history_after = M.delete_stories(story, history, archived_ids)
-    return ArchiveRun(doomed, details, story_after, history_after)
+    committed = A.read_archive(spark, root, batched=True).filter(F.col("batch") == batch_id)
+    gone = archived_ids(story, committed)
+    story_after, history_after = M.delete_stories(story, history, gone)
+    return ArchiveRun(doomed, details, gone, story_after, history_after)
+
+
+def archived_ids(story: DataFrame, records: DataFrame) -> DataFrame:
+    """Ids of the stories that archive records name."""
+    names = records.select(F.col("summary.id").alias("reddit_short_id")).distinct()
+    return story.join(names, "reddit_short_id", "left_semi").select("id")

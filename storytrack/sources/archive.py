@@ -1,7 +1,8 @@
 """Day-partitioned, gzip-compressed JSON-lines archive of finished stories.
 
 Layout: ``<root>/archive_date=yyyy-MM-dd/[batch=<id>/]part-*.json.gz``, one record
-``{"summary": {…}, "history": {…}}`` per line, nulls written explicitly. Any Hadoop
+``{"summary": {…}, "history": {…}, "chunk": 0}`` per line (``chunk`` counts the
+records of a story whose history is over the array bound), nulls written explicitly. Any Hadoop
 path works (local, HDFS, object stores). Gzip is not splittable, so files are bounded
 with ``maxRecordsPerFile``; a write rebalances on the day so a hot day is split over
 several tasks instead of one.
@@ -39,7 +40,7 @@ def archive_frame(details: DataFrame) -> DataFrame:
     return details.select(
         X.utc_day(F.timestamp_millis(F.col("createdAt"))).alias("archive_date"),
         sel.summary_struct().alias("summary"),
-        F.col("history"))
+        F.col("history"), F.col("chunk"))
 
 
 def _spread_days(rec: DataFrame) -> DataFrame:
@@ -79,22 +80,24 @@ def read_archive(spark: SparkSession, root: str, batched: bool = False) -> DataF
 
 
 def compact_archive(spark: SparkSession, root: str, out: str, batched: bool = False,
-                    max_records_per_file: int = MAX_RECORDS_PER_FILE) -> DataFrame:
-    """K4: rewrite the archive as few large files per day, one record per story (per
-    chunk, for a story split by the array bound).
-
-    At-least-once archiving can write a story twice (a crash between write and delete);
-    copies are recognised by (day, story, first sample time) — chunks of one story start
-    at different samples — and the copy with the most samples wins (ties: later batch).
-    Dynamic partition overwrite replaces only the days present in the input.
+                    max_records_per_file: int = MAX_RECORDS_PER_FILE, days: list[str] | None = None) -> DataFrame:
+    """K4: rewrite the archive as few large files per day, one record per story and chunk.
+
+    At-least-once archiving can write a story twice (a crash between write and delete, or a
+    story that came back late): of the records with equal (day, story, chunk) the one with
+    the most samples stays (ties: later batch). ``days`` (yyyy-MM-dd) names the days to
+    rewrite, read by partition; default all. Dynamic partition overwrite replaces only the
+    days that were read.
     """
     recs = read_archive(spark, root, batched)
+    if days is not None:
+        recs = recs.filter(F.col("archive_date").isin(days))
     batch = F.col("batch") if batched else F.lit(0).cast("long")
     best = (recs.groupBy("archive_date", F.col("summary.id").alias("_sid"),
-                         F.try_element_at(F.col("history.timestamp"), F.lit(1)).alias("_first"))
+                         F.coalesce("chunk", F.lit(0).cast("long")).alias("chunk"))
             .agg(F.max_by(F.struct("summary", "history"),
                           F.struct(F.size("history.timestamp"), batch)).alias("_r"))
-            .select("archive_date", "_r.summary", "_r.history"))
+            .select("archive_date", "_r.summary", "_r.history", "chunk"))
     (_spread_days(best)
      .write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")

@@ -1,29 +1,38 @@
 """Stand-in producers for the streaming jobs: land files in arrival order.
 
-A crawler lands payload files as it fetches them; these helpers land the test
-tables' rows the same way (one folder per arrival step, written in time order so
-the file source's oldest-first ordering replays them in sequence). They shape
-input only; the jobs do all the work.
+A crawler lands payload files as it fetches them; this lands the test tables' rows the
+same way: one file per group of arrival steps, with modification times in step order so
+that the file source replays them in sequence. It shapes input only; the jobs do all the
+work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def land_in_order(df: DataFrame, folder: str, step_col: str, fmt: str = "json", steps_per_file: int = 1,
                   prefix: str = "step") -> int:
-    """Write ``df`` as one folder per group of ``steps_per_file`` distinct ``step_col`` values,
-    oldest first. Returns the number of folders written."""
-    steps = [r[0] for r in df.select(step_col).distinct().orderBy(step_col).collect()]
-    groups = [steps[i:i + steps_per_file] for i in range(0, len(steps), steps_per_file)]
-    for i, g in enumerate(groups):
-        part = df.filter(F.col(step_col).isin(g)).coalesce(1)
-        writer = part.write.mode("overwrite")
-        path = f"{folder}/{prefix}-{i:06d}"
-        if fmt == "json":
-            writer.json(path)
-        else:
-            writer.parquet(path)
-    return len(groups)
+    """Write ``df`` once, with one file per group of ``steps_per_file`` distinct ``step_col``
+    values; a group's file is younger than those of earlier groups and earlier calls.
+    Returns the number of files."""
+    number = F.row_number().over(Window.orderBy(step_col)) - 1  # of the distinct steps
+    steps = df.select(step_col).distinct().select(step_col, F.floor(number / steps_per_file).cast("int").alias("land"))
+    landed = df.join(steps, step_col).select(*df.columns, "land")
+    root = f"{folder.rstrip('/')}/{prefix}"
+    landed.repartition("land").write.mode("overwrite").partitionBy("land").format(fmt).save(root)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(conf)
+    folders = sorted((s.getPath() for s in fs.listStatus(path) if s.isDirectory()),
+                     key=lambda p: int(p.getName().split("=")[1]))
+    start = max([int(time.time() * 1000), *(
+        f.getModificationTime() for s in fs.listStatus(path.getParent()) if s.isDirectory()
+        for d in fs.listStatus(s.getPath()) if d.isDirectory() for f in fs.listStatus(d.getPath()))])
+    for i, p in enumerate(folders):
+        for f in fs.listStatus(p):
+            fs.setTimes(f.getPath(), start + 1000 * (i + 1), -1)
+    return len(folders)

@@ -139,3 +139,37 @@ def test_paging_stops_at_an_empty_page(spark):
     pages = spark.createDataFrame([("hot", p) for p in range(4)], "feed string, page long")
     assert len(M.paged_listing(ch, 250, pages=pages).collect()) == 100
     assert len(M.paged_listing(ch, 250).collect()) == 250              # without the page list it can't know
+
+
+def test_every_scrape_is_a_walk_of_its_own(spark):
+    rows = [("hot", T0, 0, 0, "a"), ("hot", T0, 0, 1, "b"), ("hot", T0, 1, 0, "a"), ("hot", T0, 2, 0, "never read"),
+            ("hot", T1, 3, 0, "c"), ("hot", T1, 4, 0, "d"), ("hot", T1, 5, 0, "a")]
+    ch = spark.createDataFrame(rows, "feed string, tick timestamp, page long, pos int, short_id string")
+    got = {(r.tick, r.rank, r.short_id) for r in M.paged_listing(ch, 250).collect()}
+    assert got == {(T0, 1, "a"), (T0, 2, "b"), (T1, 1, "c"), (T1, 2, "d"), (T1, 3, "a")}
+
+
+def test_front_page_is_the_last_scrape(spark):
+    rows = [("hot", T0, 0, 0, "a", "x"), ("hot", T1, 1, 0, "b", "y"), ("hot", T1, 1, 1, "c", "z")]
+    hot = spark.createDataFrame(rows, "feed string, tick timestamp, page long, pos int, short_id string, subreddit_name string")
+    assert {r.name for r in M.front_page_subreddits(hot).collect()} == {"y", "z"}
+    assert {r.name for r in M.front_page_subreddits(hot, 1).collect()} == {"y"}
+    assert {r.name for r in M.front_page_subreddits(hot, as_of=T0).collect()} == {"x"}
+
+
+def test_update_pass_takes_only_records_since_the_check(spark):
+    from storytrack.plans import jobs
+    T2 = ts("2020-01-03 00:00:00")
+    st = spark.createDataFrame(
+        [(1, "a", 500, 5.0, 1, 0, T0, T1, T1), (2, "b", 1, 1.0, 1, 0, T0, T0, T0), (3, "c", 1, 1.0, 1, 0, T0, T0, T0)],
+        "id long, reddit_short_id string, score int, hotness double, comments int, gilded int, discovered_at timestamp, "
+        "updated_at timestamp, checked_at timestamp")
+    landed = spark.createDataFrame(
+        [("a", T0, 1, 1.0, 0, 0, 1), ("b", T1, 7, 7.0, 7, 7, 2), ("b", T0, 3, 3.0, 3, 3, 3), ("c", T2, 9, 9.0, 9, 9, 4)],
+        "short_id string, tick timestamp, score int, hotness double, comments int, gilded int, arrival long")
+    now = ts("2020-01-02 12:00:00")
+    run = jobs.update_pass(st, landed, now)
+    assert {r.id: r.outcome for r in run.outcomes.collect()} == {1: "checked", 2: "updated", 3: "checked"}
+    assert [tuple(r) for r in run.samples.collect()] == [(2, now, 7, 7.0, 7, 7)]
+    after = {r.id: (r.score, r.updated_at, r.checked_at) for r in run.story_after.collect()}
+    assert after == {1: (500, T1, now), 2: (7, now, now), 3: (1, T0, now)}
