@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """:func:`cut`, read back in partitions of about ``rows`` rows: a small result makes few tasks."""
+    made = cut(df)
+    return made.coalesce(max(1, -(-made.count() // rows)))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint for a materialised ``df`` of at most ``max_rows`` rows, else ``df`` as it is.
 
@@ -66,7 +73,8 @@ def fit_in_task(sample: DataFrame, train, order: list[str]) -> bytes:
 
     ship(sample.sparkSession)
     ordered = sample.repartition(1).sortWithinPartitions(*order)
-    return ordered.mapInPandas(run, "model binary").first()["model"]
+    made = ordered.mapInPandas(run, "model binary").first()
+    return bytes(made["model"]) if made else train(iter(()))  # no task runs over an empty sample
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -95,3 +103,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
               .orderBy("_place", "doc_id", "label").limit(max_rows))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Actions inside send at most ``rows`` rows at a time to Python: for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

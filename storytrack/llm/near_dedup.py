@@ -6,11 +6,13 @@ Every pair of one partial key from either collection is the key of a hash table,
 other document has are dropped before the pairs are formed, so unlike documents never
 reach the tables.
 
-Documents with equal sets are one class. In each bucket the classes are compared with the
-bucket's smallest class first, which settles a group of copies in as many comparisons as it
-has members. Buckets whose members still belong to several components are compared further,
-until no unverified pair of different components shares a bucket: no link between documents
-that collide is lost, and no bucket is capped.
+Documents with equal sets are one class. Classes leave that cannot be similar enough to any
+other, by the shingles that they share with no one. Of the classes that share a partial key,
+one in the middle, with the fewest shingles of its own, is compared with the others first;
+this settles a group of copies in about as many comparisons as it has members. Then every
+bucket of the tables whose members still belong to several components is compared, each pair
+once, until no unverified pair of different components shares a bucket: no link between
+documents that collide in a table is lost, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import broadcast_if_small, cut, ship, table
+from storytrack.llm.common import broadcast_if_small, compact, cut, ship, small_batches, table
 
 WIDTH = 5
 THRESHOLD = 85  # of 100
@@ -34,6 +36,7 @@ MAX_BROADCAST_IDS = 1_000_000
 # Pairs that a round of further comparisons takes on at most before it samples its hubs.
 PAIRS_PER_ROUND = 5_000_000
 PIECE = 1 << 22  # bytes of a text that are cut into words at a time
+TEXTS_AT_ONCE = 1000  # texts in a batch that goes to Python
 BLOCK = 4096  # shingles that are hashed by all functions at a time
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -172,7 +175,8 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
             .mapInPandas(cut_sets, f"v {kind}, _set binary"))
     both = (pairs.join(sets.withColumnsRenamed({"v": "x", "_set": "_set_x"}), "x")
             .join(sets.withColumnsRenamed({"v": "y", "_set": "_set_y"}), "y"))
-    return both.select("x", "y", "_set_x", "_set_y").mapInPandas(compare, f"x {kind}, y {kind}").distinct()
+    with small_batches(docs.sparkSession):  # a row holds two whole sets
+        return cut(both.select("x", "y", "_set_x", "_set_y").mapInPandas(compare, f"x {kind}, y {kind}").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,40 +185,79 @@ def components(links: DataFrame) -> DataFrame:
     Every round takes the smallest label among the neighbours and then the label's own
     label, so the rounds grow with the logarithm of the longest chain.
     """
-    ends = cut(links.select("x", "y").union(links.select("y", "x")).toDF("v", "w").distinct())
-    label = cut(ends.groupBy("v").agg(F.min("w").alias("_m"))
+    ends = compact(links.select("x", "y").union(links.select("y", "x")).toDF("v", "w").distinct())
+    label = compact(ends.groupBy("v").agg(F.min("w").alias("_m"))
                 .select("v", F.least("v", "_m").alias("label")))
     while True:
         near = (ends.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("_m")))
         low = label.join(near, "v").select("v", "label", F.least("label", "_m").alias("_low"))
         far = label.select(F.col("v").alias("_low"), F.col("label").alias("_far"))
-        new = cut(low.join(far, "_low").select("v", F.col("label").alias("_old"),
+        new = compact(low.join(far, "_low").select("v", F.col("label").alias("_old"),
                                                F.least("_low", "_far").alias("label")))
         label, done = new.select("v", "label"), new.filter("label <> _old").isEmpty()
         if done:
             return label
 
 
+def _sizes(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(v, n, c) of documents: how many shingles, and how many that another of them has too.
+
+    Two sets x, y with similarity t share at least t / (1 + t) * (|x| + |y|) shingles, and
+    neither can share more than its c. So c tells, without any pair, most documents apart
+    that only look alike, such as copies with many own changes of one text.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def explode(frames):
+        for pdf in frames:
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at:at + 64]
+                sets = [shingles(t, width) for t in part["text"]]
+                yield pd.DataFrame({"v": np.repeat(part["doc_id"].values, [len(s) for s in sets]),
+                                    "s": np.concatenate(sets).view(np.int64)})
+
+    held = (docs.join(broadcast_if_small(ids.withColumnRenamed("v", "doc_id"), MAX_BROADCAST_IDS), "doc_id", "left_semi")
+            .mapInPandas(explode, f"v {kind}, s long"))
+    owners = held.groupBy("s").agg(F.min("v").alias("_a"), F.max("v").alias("_b"), F.count(F.lit(1)).alias("_k"))
+    alone = owners.filter("_a = _b").groupBy(F.col("_a").alias("v")).agg(F.count(F.lit(1)).alias("_alone"))
+    return (held.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(alone, "v", "left")
+            .select("v", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("c")))
+
+
 def class_links(classes: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """(v, label): components of the classes (v, keys_a, keys_b) that are linked at all."""
     a = cut(_shared(classes.select("v", F.explode("keys_a").alias("a")), "a"))
     b = cut(_shared(classes.select("v", F.explode("keys_b").alias("b")), "b"))
-    tables = a.join(b, "v")  # the tensor: every pair of partial keys of a class
-    hubs = tables.groupBy("a", "b").agg(F.min("v").alias("y"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    pairs = (tables.join(hubs.select("a", "b", "y"), ["a", "b"]).filter("v <> y")
-             .select(F.col("v").alias("x"), "y").distinct())
-    links = cut(verified(cut(pairs), docs, threshold, width))
+    met = cut(a.select("v").distinct().join(b.select("v").distinct(), "v"))
+    # Classes that have enough shingles in common with the others to be similar to one.
+    with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        able = cut(_sizes(met, docs, width).filter(F.col("c") * 100 >= F.col("n") * threshold))
+    a = _shared(a.join(able.select("v"), "v", "left_semi"), "a")
+    b = _shared(b.join(able.select("v"), "v", "left_semi"), "b")
+    # Hubs of the partial keys' buckets: the classes with the fewest shingles of their own.
+    # Classes are compared with these first, which settles groups of copies.
+    keys = a.select("v", F.col("a").alias("k")).unionByName(b.select("v", F.col("b").alias("k")))
+    hubs = (keys.join(able.select("v", (F.col("n") - F.col("c")).alias("_own")), "v")
+            .groupBy("k").agg(F.min_by("v", "_own").alias("y")))
+    pairs = (keys.join(hubs, (keys["k"] == hubs["k"]) & (keys["v"] != hubs["y"]))
+             .select(F.least("v", "y").alias("x"), F.greatest("v", "y").alias("y")).distinct())
+    fit = ((F.col("_n") + F.col("n")) * threshold <= F.least("_c", "c") * (100 + threshold))
+    pairs = (pairs.join(able.toDF("x", "_n", "_c"), "x").join(able.toDF("y", "n", "c"), "y").filter(fit).select("x", "y"))
+    links = verified(cut(pairs), docs, threshold, width)
     label = components(links)
+    tables = a.join(b, "v")  # the tensor: every pair of partial keys of a class
 
     def opened(members: DataFrame) -> DataFrame:
-        """Members (a, b, v, label) of the buckets that several components share."""
+        """Members (a, b, v, …, label) of the buckets that several components share."""
         now = (members.join(label, "v", "left")
-               .select("a", "b", "v", F.coalesce("label", "v").alias("label")))
+               .select(*members.columns, F.coalesce("label", "v").alias("label")))
         mixed = (now.groupBy("a", "b").agg(F.min("label").alias("_l"), F.max("label").alias("_h"))
                  .filter("_l <> _h").select("a", "b"))
         return cut(now.join(mixed, ["a", "b"]))
 
     members, sample = opened(tables), 0
+    facts = able.join(classes.select("v", "keys_a", "keys_b").dropDuplicates(["v"]), "v")
+    members = cut(members.join(facts, "v"))
     while True:
         groups = members.groupBy("a", "b", "label").agg(F.count(F.lit(1)).alias("_n"))
         left = (groups.groupBy("a", "b").agg((F.pow(F.sum("_n"), 2) - F.sum(F.pow("_n", F.lit(2)))).alias("_p"))
@@ -226,16 +269,25 @@ def class_links(classes: DataFrame, docs: DataFrame, threshold: int, width: int)
         share = 2 * PAIRS_PER_ROUND / left
         own = members if share >= 1 or sample > 8 else members.filter(
             F.pmod(F.xxhash64("v", F.lit(sample)), F.lit(1_000_003)) < F.lit(share * 1_000_003))
-        other = own.select("a", "b", F.col("v").alias("y"), F.col("label").alias("_label"))
-        pairs = (members.withColumnRenamed("v", "x").join(other, ["a", "b"])
-                 .filter(F.col("label") != F.col("_label"))
-                 .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        x, y = members.alias("x"), own.alias("y")
+
+        def first_shared(keys: str):  # where both have the same partial key for the first time
+            same = F.zip_with(F.col(f"x.{keys}"), F.col(f"y.{keys}"), lambda p, q: p == q)
+            return F.get(F.col(f"x.{keys}"), (F.array_position(same, True) - 1).cast("int"))
+
+        meet = ((F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b"))
+                & (F.col("x.label") != F.col("y.label"))
+                & ((F.col("x.n") + F.col("y.n")) * threshold <= F.least("x.c", "y.c") * (100 + threshold))
+                & (F.col("x.a") == first_shared("keys_a")) & (F.col("x.b") == first_shared("keys_b")))
+        if own is members:
+            meet = meet & (F.col("x.v") < F.col("y.v"))
+        pairs = x.join(y, meet).select(F.col("x.v").alias("x"), F.col("y.v").alias("y")).distinct()
         more = verified(cut(pairs), docs, threshold, width)
         links = cut(links.union(more).distinct())
         label = components(links)
         if own is members:
             return label
-        members, sample = opened(members.select("a", "b", "v")), sample + 1
+        members, sample = opened(members.drop("label")), sample + 1
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD,
@@ -251,7 +303,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     size = collection_size(threshold)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(signatures(texts, size, width))
+    with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        signed = cut(signatures(texts, size, width))
     known = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("v")))
     first = known.join(classes.withColumnRenamed("v", "doc_id"), ["doc_id", "digest"])
