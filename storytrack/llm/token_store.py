@@ -22,6 +22,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ HEAD, TAIL, VERSION = b"TOKSHARD", b"TOKINDEX", 1
 LEVEL = 3
 # Bounds of what the dictionary is trained on, and its size.
 TRAIN_DOCS, TRAIN_BYTES, DICTIONARY_BYTES = 2_000, 1 << 14, 1 << 16
-CACHE_UNITS = 300_000  # spans in a generation of the cache
+CACHE_UNITS = 600_000  # spans in a generation of the cache
 DOCS_AT_ONCE = 256
 END_ID = 2
 
@@ -55,6 +56,17 @@ def _even(text: str) -> bool:
                 or text[-1] in " \n" or _OTHER_WHITE.search(text))
 
 
+def _byte_marks() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: visible ones for
+    themselves, the others by the characters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_BYTE_MARKS = _byte_marks()
+
+
 class _Cache:
     """Serialised ids of spans, found by ``encode``, a function of a list of texts.
 
@@ -111,14 +123,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        self.kind, self.code = f"<u{self.width}", {2: "H", 4: "I"}[self.width]
+        self.model = self.tokenizer.model
+        self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bare = _Cache(self._ids, lambda k: k)
         self.spaced = _Cache(self._ids, lambda k: k if k[0] == "\n" else " " + k)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        """Serialised ids of texts; words of letters, alone or after a space, are the model's own input."""
+        out: list[bytes | None] = [None] * len(texts)
+        rest = []
+        tokenize, code = self.model.tokenize, self.code
+        for i, t in enumerate(texts):
+            if self.byte_level and (t[1:] if t[0] == " " else t).isalpha():
+                seen = t.encode().decode("latin-1").translate(_BYTE_MARKS)
+                out[i] = array(code, [x.id for x in tokenize(seen)]).tobytes()
+            else:
+                rest.append(i)
+        found = self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, found, strict=True):
+            out[i] = array(code, e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The texts' ids, serialised; null counts as empty."""
