@@ -27,11 +27,15 @@ from storytrack.llm.common import cut, fresh, replace_columns, ship, table
 SPACE = "▁"
 CHUNK = 32_768  # characters of a giant text in a chunk
 FAN = 64  # chunks that are combined at a time
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 LONGEST_CACHED = 48
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6  # kinds of pieces in the model file
 UNKNOWN_PENALTY = 100  # ten, in tenths
-LOW = -(1 << 62)
+LOW = -(1 << 60)
+# Hash table of the pieces: its size, the multipliers of its two places for a hash, the step of the hash.
+TABLE_BITS = 20
+_SLOTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
+_STEP = np.uint64(0x5851F42D4C957F2D)
 
 
 def _fields(data: bytes):
@@ -97,6 +101,88 @@ class Lexicon:
         self.line_cuts = not any("\n" in p for p in self.score if len(p) > 1)
         self.known: dict[str, bytes] = {}
 
+        self._build_table()
+
+    # -- many short spans at a time --------------------------------------------------------
+    def _build_table(self) -> None:
+        """Open hash table from the hash of a piece to its id, for lookups by whole arrays."""
+        pieces = list(self.id)
+        self._hash_of = {p: self._hash(np.frombuffer(p.encode("utf-32-le"), np.uint32)[None])[0] for p in pieces}
+        self._keys = [np.zeros(1 << TABLE_BITS, np.uint64) for _ in _SLOTS]
+        self._ids = [np.full(1 << TABLE_BITS, -1, np.int32) for _ in _SLOTS]
+        for p, h in self._hash_of.items():
+            for keys, ids, m in zip(self._keys, self._ids, _SLOTS, strict=True):
+                at = (int(h) * int(m) & 0xFFFFFFFFFFFFFFFF) >> (64 - TABLE_BITS)
+                if ids[at] < 0:
+                    keys[at], ids[at] = h, self.id[p]
+                    break
+            else:
+                raise ValueError("the piece table is too small for this model")
+        del self._hash_of
+        self._score_of = np.full(len(self.text), LOW, np.int64)
+        for p, i in self.id.items():
+            self._score_of[i] = self.score[p]
+
+    @staticmethod
+    def _hash(code: np.ndarray) -> np.ndarray:
+        h = np.zeros(code.shape[:-1], np.uint64)
+        for k in range(code.shape[-1]):
+            h = h * _STEP + (code[..., k].astype(np.uint64) + np.uint64(1))
+        return h
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 where there is none."""
+        out = np.full(h.shape, -1, np.int32)
+        for keys, ids, m in zip(self._keys, self._ids, _SLOTS, strict=True):
+            at = (h * m >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            out = np.where(keys[at] == h, ids[at], out)
+        return out
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """``word`` of every span, those of one length together."""
+        out: list[bytes | None] = [None] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for n, places in by_length.items():
+            for at in range(0, len(places) if n <= LONGEST_CACHED else 0, 4096):
+                part = places[at:at + 4096]
+                for i, ids in zip(part, self._same_length([words[i] for i in part], n), strict=True):
+                    out[i] = ids
+        return [self.word(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
+
+    def _same_length(self, words: list[str], n: int) -> list[bytes | None]:
+        """Best paths of spans of n characters; None for those with characters that are no piece."""
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
+        code = code.astype(np.uint64) + np.uint64(1)
+        found, scores, h = [], [], np.zeros_like(code)
+        for size in range(1, min(n, self.longest) + 1):  # pieces of one size, at all their places
+            h = h[:, :n - size + 1] * _STEP + code[:, size - 1:]
+            ids = self._find(h)
+            found.append(ids)
+            scores.append(np.where(ids >= 0, self._score_of[ids], LOW))
+        best, back = np.full((len(words), n + 1), LOW, np.int64), np.zeros((len(words), n + 1), np.int64)
+        best[:, 0] = 0
+        for end in range(1, n + 1):
+            sizes = range(min(end, self.longest), 0, -1)  # the longest last piece wins a tie
+            options = np.stack([best[:, end - k] + scores[k - 1][:, end - k] for k in sizes])
+            options = np.maximum(options, LOW)  # sums with LOW stay below every path
+            at = options.argmax(0)
+            best[:, end] = np.take_along_axis(options, at[None], 0)[0]
+            back[:, end] = min(end, self.longest) - at
+        rows, place = np.arange(len(words)), np.full(len(words), n)
+        ids, column = np.zeros((len(words), n), "<u4"), np.full(len(words), n)
+        every = np.stack([np.pad(f, ((0, 0), (0, n - f.shape[1])), constant_values=-1) for f in found])
+        while (going := place > 0).any():
+            size = back[rows, place]
+            start = np.where(going, place - size, 0)
+            column = column - going
+            ids[rows[going], column[going]] = every[size[going] - 1, rows[going], start[going]]
+            place = start
+        plain = (found[0] >= 0).all(1)
+        return [ids[i, c:].tobytes() if ok else None for i, (c, ok) in
+                enumerate(zip(column.tolist(), plain.tolist(), strict=True))]
+
     # -- one span ------------------------------------------------------------------------
     def forward(self, text: str, entry: list[int], lead: int) -> tuple[list[int], list[int]]:
         """Best sums and last piece starts for the places of ``text``; ``lead`` characters lie before it.
@@ -145,17 +231,12 @@ class Lexicon:
     def _cached(self, words: list[str]) -> list[bytes]:
         held = list(map(self.known.get, words))
         if None in held:
+            new = list(dict.fromkeys(w for w, ids in zip(words, held, strict=True) if ids is None))
+            fresh = dict(zip(new, self.words(new), strict=True))
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-            for i, ids in enumerate(held):
-                if ids is None:
-                    w = words[i]
-                    ids = self.known.get(w)
-                    if ids is None:
-                        ids = self.word(w)
-                        if len(w) <= LONGEST_CACHED:
-                            self.known[w] = ids
-                    held[i] = ids
+            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_CACHED)
+            held = [fresh[w] if ids is None else ids for w, ids in zip(words, held, strict=True)]
         return held
 
     def marked(self, text: str) -> str:
@@ -163,11 +244,16 @@ class Lexicon:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text that is one chunk."""
-        if not text:
-            return np.empty(0, np.int32)
-        text = self.marked(text)
-        words = self.spans(text)
-        return np.frombuffer(b"".join(self._cached(words)), "<u4").astype(np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts) -> list[np.ndarray]:
+        """Ids of texts that are one chunk each."""
+        spans = [self.spans(self.marked(t)) if t else [] for t in texts]
+        held, out, at = self._cached([w for x in spans for w in x]), [], 0
+        for x in spans:
+            out.append(np.frombuffer(b"".join(held[at:at + len(x)]), "<u4").astype(np.int32))
+            at += len(x)
+        return out
 
     def spans(self, marked: str) -> list[str]:
         """The marked text cut at places that every path passes."""
@@ -357,9 +443,12 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, ch
 
     @F.pandas_udf("array<int>")
     def whole(texts: pd.Series) -> pd.Series:
-        lex = lexicon(model)
-        return pd.Series([lex.encode(t) for t in texts])
+        lex, out = lexicon(model), []
+        for at in range(0, len(texts), 256):
+            out += lex.encode_all(texts.iloc[at:at + 256])
+        return pd.Series(out)
 
+    whole = whole.asNondeterministic()  # else every later use of the ids would encode anew
     giant = F.coalesce(F.octet_length(F.col(text_col)) > chunk, F.lit(False))
     short = replace_columns(docs.filter(~giant), ids=whole(F.col(text_col)))
     doc, found_ids = fresh(docs, "_doc"), fresh(docs, "_ids")
