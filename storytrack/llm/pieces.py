@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from storytrack.llm.common import cut, fresh, replace_columns, ship, table
 
 SPACE = "▁"
-CHUNK = 32_768  # characters of a giant text in a chunk
+CHUNK = 1 << 19  # characters of a giant text in a chunk; shorter texts are one chunk
 FAN = 64  # chunks that are combined at a time
 CACHE_WORDS = 300_000
 LONGEST_CACHED = 48
