@@ -483,13 +483,41 @@ def ids_crc32(ids: Column, spark: SparkSession) -> Column:
     return run(ids)
 
 
-def encoded_and_decoded(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, round_trip) of documents, from their real ids and decoded texts."""
-    held = encode(docs.select("doc_id", "text"))
+def encoded_and_decoded(docs: DataFrame, spark: SparkSession, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, round_trip) of documents, from their real ids and decoded texts.
+
+    The ids of a text that is one chunk are digested by the task that makes them, a few
+    hundred texts at a time; those of giant texts come from the scan over chunks.
+    """
+    model = default_model()
+    ship(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def digests(frames):
+        import zlib
+        lex = lexicon(model)
+        for pdf in frames:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at:at + 256]
+                ids = lex.encode_all(part["text"])
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].values, "n_tokens": [len(x) for x in ids],
+                    "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
+                    "round_trip": [lex.decode(x.tolist()) == (t or "").replace(SPACE, " ")
+                                   for x, t in zip(ids, part["text"], strict=True)]})
+
+    texts = docs.select("doc_id", "text")
+    giant = F.coalesce(F.octet_length("text") > chunk, F.lit(False))
+    short = texts.filter(~giant).mapInPandas(
+        digests, f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean")
+    long = cut(texts.filter(giant))
+    if long.isEmpty():
+        return short
+    held = encode(long, model=model, chunk=chunk)
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return held.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       ids_crc32(F.col("ids"), spark).alias("ids_crc32"),
-                       (decode(F.col("ids"), spark) == text).alias("round_trip"))
+    return short.unionByName(held.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_crc32(F.col("ids"), spark).alias("ids_crc32"),
+        (decode(F.col("ids"), spark, model) == text).alias("round_trip")))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
