@@ -142,21 +142,35 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(often, key)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
-    """The (x, y) pairs whose full shingle sets are similar enough.
+def _texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(v, digest, text) of the documents that stand for materialised classes (v, doc_id, digest).
 
-    Only the documents that occur in pairs are cut into shingles again, and their sets travel
+    An id with several texts comes with all of them: only those with the digest are the class's.
+    """
+    ids = broadcast_if_small(classes.select("doc_id", "v", "digest"), MAX_BROADCAST_IDS)
+    return docs.join(ids, "doc_id").select("v", "digest", "text")
+
+
+def _sets(part: pd.DataFrame, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """v and shingles of those rows (v, digest, text) whose text has the digest."""
+    sets = [shingles(t, width) for t in part["text"]]
+    own = [xxhash.xxh3_128_digest(s.tobytes()) == bytes(d) for s, d in zip(sets, part["digest"], strict=True)]
+    return part["v"].values[own], [s for s, o in zip(sets, own, strict=True) if o]
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """The (x, y) pairs of classes whose full shingle sets are similar enough.
+
+    Only the classes that occur in pairs are cut into shingles again, and their sets travel
     once for each pair they are in.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct().join(classes, "v"))
 
     def cut_sets(frames):
         for pdf in frames:
             for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at:at + 256]
-                yield pd.DataFrame({"v": part["doc_id"].values,
-                                    "_set": [shingles(t, width).tobytes() for t in part["text"]]})
+                v, sets = _sets(pdf.iloc[at:at + 256], width)
+                yield pd.DataFrame({"v": v, "_set": [s.tobytes() for s in sets]})
 
     def compare(frames):
         for pdf in frames:
@@ -171,12 +185,11 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
                 keep.append(100 * both >= threshold * (len(a) + len(b) - both))
             yield pdf.loc[keep, ["x", "y"]]
 
-    sets = (docs.join(broadcast_if_small(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi")
-            .mapInPandas(cut_sets, f"v {kind}, _set binary"))
+    sets = _texts(ids, docs).mapInPandas(cut_sets, "v long, _set binary")
     both = (pairs.join(sets.withColumnsRenamed({"v": "x", "_set": "_set_x"}), "x")
             .join(sets.withColumnsRenamed({"v": "y", "_set": "_set_y"}), "y"))
     with small_batches(docs.sparkSession):  # a row holds two whole sets
-        return cut(both.select("x", "y", "_set_x", "_set_y").mapInPandas(compare, f"x {kind}, y {kind}").distinct())
+        return cut(both.select("x", "y", "_set_x", "_set_y").mapInPandas(compare, "x long, y long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,36 +212,37 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _sizes(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(v, n, c) of documents: how many shingles, and how many that another of them has too.
+def _sizes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(v, n, c) of classes (v, doc_id, digest, n): c tells how many of their n shingles another class has too.
 
     Two sets x, y with similarity t share at least t / (1 + t) * (|x| + |y|) shingles, and
     neither can share more than its c. So c tells, without any pair, most documents apart
-    that only look alike, such as copies with many own changes of one text.
+    that only look alike, such as copies with many own changes of one text. Repeated rows of
+    a document do not count: n is the size of the set, and a shingle is a class's own or not.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
     def explode(frames):
         for pdf in frames:
             for at in range(0, len(pdf), 64):
-                part = pdf.iloc[at:at + 64]
-                sets = [shingles(t, width) for t in part["text"]]
-                yield pd.DataFrame({"v": np.repeat(part["doc_id"].values, [len(s) for s in sets]),
-                                    "s": np.concatenate(sets).view(np.int64)})
+                v, sets = _sets(pdf.iloc[at:at + 64], width)
+                if sets:
+                    yield pd.DataFrame({"v": np.repeat(v, [len(s) for s in sets]),
+                                        "s": np.concatenate(sets).view(np.int64)})
 
-    held = (docs.join(broadcast_if_small(ids.withColumnRenamed("v", "doc_id"), MAX_BROADCAST_IDS), "doc_id", "left_semi")
-            .mapInPandas(explode, f"v {kind}, s long"))
-    owners = held.groupBy("s").agg(F.min("v").alias("_a"), F.max("v").alias("_b"), F.count(F.lit(1)).alias("_k"))
+    held = _texts(classes, docs).mapInPandas(explode, "v long, s long")
+    owners = held.groupBy("s").agg(F.min("v").alias("_a"), F.max("v").alias("_b"))
     alone = owners.filter("_a = _b").groupBy(F.col("_a").alias("v")).agg(F.count(F.lit(1)).alias("_alone"))
-    return (held.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(alone, "v", "left")
+    return (classes.join(alone, "v", "left")
             .select("v", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("c")))
 
 
-def class_links(classes: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
-    """(v, label): components of the classes (v, keys_a, keys_b) that are linked at all."""
-    a = cut(_shared(classes.select("v", F.explode("keys_a").alias("a")), "a"))
-    b = cut(_shared(classes.select("v", F.explode("keys_b").alias("b")), "b"))
-    met = cut(a.select("v").distinct().join(b.select("v").distinct(), "v"))
+def class_links(classes: DataFrame, keys: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """(v, label): components of the classes that are linked at all.
+
+    ``classes`` has (v, doc_id, digest, n) and ``keys`` (v, keys_a, keys_b), a row for each class.
+    """
+    a = cut(_shared(keys.select("v", F.explode("keys_a").alias("a")), "a"))
+    b = cut(_shared(keys.select("v", F.explode("keys_b").alias("b")), "b"))
+    met = cut(a.select("v").distinct().join(b.select("v").distinct(), "v").join(classes, "v"))
     # Classes that have enough shingles in common with the others to be similar to one.
     with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
         able = cut(_sizes(met, docs, width).filter(F.col("c") * 100 >= F.col("n") * threshold))
@@ -236,14 +250,14 @@ def class_links(classes: DataFrame, docs: DataFrame, threshold: int, width: int)
     b = _shared(b.join(able.select("v"), "v", "left_semi"), "b")
     # Hubs of the partial keys' buckets: the classes with the fewest shingles of their own.
     # Classes are compared with these first, which settles groups of copies.
-    keys = a.select("v", F.col("a").alias("k")).unionByName(b.select("v", F.col("b").alias("k")))
-    hubs = (keys.join(able.select("v", (F.col("n") - F.col("c")).alias("_own")), "v")
+    held = a.select("v", F.col("a").alias("k")).unionByName(b.select("v", F.col("b").alias("k")))
+    hubs = (held.join(able.select("v", (F.col("n") - F.col("c")).alias("_own")), "v")
             .groupBy("k").agg(F.min_by("v", "_own").alias("y")))
-    pairs = (keys.join(hubs, (keys["k"] == hubs["k"]) & (keys["v"] != hubs["y"]))
+    pairs = (held.join(hubs, (held["k"] == hubs["k"]) & (held["v"] != hubs["y"]))
              .select(F.least("v", "y").alias("x"), F.greatest("v", "y").alias("y")).distinct())
     fit = ((F.col("_n") + F.col("n")) * threshold <= F.least("_c", "c") * (100 + threshold))
     pairs = (pairs.join(able.toDF("x", "_n", "_c"), "x").join(able.toDF("y", "n", "c"), "y").filter(fit).select("x", "y"))
-    links = verified(cut(pairs), docs, threshold, width)
+    links = verified(cut(pairs), classes, docs, threshold, width)
     label = components(links)
     tables = a.join(b, "v")  # the tensor: every pair of partial keys of a class
 
@@ -256,7 +270,7 @@ def class_links(classes: DataFrame, docs: DataFrame, threshold: int, width: int)
         return cut(now.join(mixed, ["a", "b"]))
 
     members, sample = opened(tables), 0
-    facts = able.join(classes.select("v", "keys_a", "keys_b").dropDuplicates(["v"]), "v")
+    facts = able.join(keys, "v")
     members = cut(members.join(facts, "v"))
     while True:
         groups = members.groupBy("a", "b", "label").agg(F.count(F.lit(1)).alias("_n"))
@@ -282,7 +296,7 @@ def class_links(classes: DataFrame, docs: DataFrame, threshold: int, width: int)
         if own is members:
             meet = meet & (F.col("x.v") < F.col("y.v"))
         pairs = x.join(y, meet).select(F.col("x.v").alias("x"), F.col("y.v").alias("y")).distinct()
-        more = verified(cut(pairs), docs, threshold, width)
+        more = verified(cut(pairs), classes, docs, threshold, width)
         links = cut(links.union(more).distinct())
         label = components(links)
         if own is members:
@@ -306,16 +320,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
         signed = cut(signatures(texts, size, width))
     known = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("v")))
-    first = known.join(classes.withColumnRenamed("v", "doc_id"), ["doc_id", "digest"])
-    # An id with several texts stands for several sets: each of its rows is another row of its class.
-    label = class_links(first.select(F.col("doc_id").alias("v"), "keys_a", "keys_b"), texts, threshold, width)
-    repeated = known.groupBy("doc_id").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b")).filter("_a <> _b")
-    if not repeated.isEmpty():
-        bound = known.join(repeated, "doc_id").join(classes, "digest").select(
-            F.col("doc_id").alias("x"), F.col("v").alias("y"))
+    # Classes go by a number of their own: a document with several texts stands for several of them.
+    classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+                  .withColumn("v", F.monotonically_increasing_id()))
+    keys = known.join(classes.select("doc_id", "digest", "v"), ["doc_id", "digest"]).select("v", "keys_a", "keys_b")
+    again = cut(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.min("digest").alias("_a"),
+                                            F.max("digest").alias("_b")).filter("_n > 1"))
+    if not again.isEmpty():  # equal rows of a document count once
+        ids = broadcast_if_small(again.select("doc_id"), MAX_BROADCAST_IDS)
+        texts = texts.join(ids, "doc_id", "left_anti").union(
+            cut(texts.join(ids, "doc_id", "left_semi").dropDuplicates()))
+        keys = keys.dropDuplicates(["v"])
+    label = class_links(classes, keys, texts, threshold, width)
+    several = again.filter("_a <> _b")
+    if not several.isEmpty():
+        texts_of = known.join(several.select("doc_id"), "doc_id").join(classes.select("digest", "v"), "digest")
+        bound = texts_of.join(texts_of.groupBy("doc_id").agg(F.min("v").alias("y")), "doc_id").select(
+            F.col("v").alias("x"), "y")
         label = components(label.select(F.col("v").alias("x"), F.col("label").alias("y")).union(bound))
-    of_class = classes.join(label, "v", "left").select("digest", F.coalesce("label", "v").alias("component_id"))
+    linked = classes.join(label, "v")
+    least = cut(linked.groupBy("label").agg(F.min("doc_id").alias("_least")))
+    linked = linked.join(broadcast_if_small(least, MAX_BROADCAST_IDS), "label").select("v", "_least")
+    of_class = classes.join(linked, "v", "left").select("digest", F.coalesce("_least", "doc_id").alias("component_id"))
     marked = (signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
               .join(of_class, "digest", "left"))
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -66,6 +66,23 @@ def test_near_dedup_one_id_with_two_texts(spark):
     assert {r.component_id for r in near_dedup.near_dedup(rows).collect()} == {1}
 
 
+def test_near_dedup_links_of_repeated_rows(spark):
+    """A doubled row, and an id with two different texts, against near copies that are there once."""
+    text = {k: [f"{k}{i}" for i in range(104)] for k in "abc"}
+
+    def near(k, n=2):
+        return " ".join(text[k][:-n] + [f"new{k}{i}" for i in range(n)])
+    a, b, c = (" ".join(text[k]) for k in "abc")
+    rows = [(1, a), (1, a), (2, near("a")), (2, near("a")), (3, near("a", 3)), (9, b), (9, c), (9, c), (4, near("b")),
+            (5, near("c")), (6, "some other words that are like none of them")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 9: 4, 4: 4, 5: 4, 6: 6}
+    named = spark.createDataFrame([(f"id{i}", t) for i, t in rows], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(named).collect()} == {
+        "id1": "id1", "id2": "id1", "id3": "id1", "id9": "id4", "id4": "id4", "id5": "id4", "id6": "id6"}
+
+
 def test_line_dedup(spark, docs, nothing):
     out = line_dedup.drop_boilerplate(docs, "source", "text", 0.4, 2)
     assert sorted(out.columns) == sorted(docs.columns)
