@@ -45,6 +45,19 @@ def test_licences(spark, text, expected):
     assert got.licenses == expected
 
 
+@pytest.mark.parametrize("text, expected", [
+    ("(c) 2020 Foo Inc. All rights\nreserved.", ["all-rights-reserved"]),
+    ("This is dedicated. Dedicated to the public\ndomain.", ["CC0-1.0"]),
+    ("(c) 2020 Foo Inc. All rights  reserved.", ["all-rights-reserved"]),
+])
+def test_cues_do_not_depend_on_blanks(spark, text, expected):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert license_scan.license_scan(docs).first().licenses == expected
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT 1 AS doc_id, ? AS text", [text])
+    assert con.execute(ORACLE["op1_license_scan"]).fetchone()[-1] == ",".join(expected)
+
+
 def test_order_of_sentences_matters(spark):
     first, second = MIT.split("\n\n")[:2]
     rows = [(1, first + "\n\n" + second), (2, second + "\n\n" + first)]
