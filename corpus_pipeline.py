@@ -28,8 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are boilerplate of their source; n_chars follows the text."""
-    kept = line_dedup.drop_boilerplate(docs, "source", "text")
+    """Documents without the lines that are boilerplate of their source; n_chars follows the text.
+
+    Copies of a document are one page of the source: the next stage keeps one of them, whole.
+    """
+    kept = line_dedup.drop_boilerplate(docs, "source", "text", copies_once=True)
     changed = F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return kept.select(*[changed.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
                          for c in docs.columns])

@@ -18,6 +18,8 @@ MAX_RATIO = 0.1
 MIN_PAGES = 3
 # Hosts whose boilerplate lists may be broadcast (a list holds 16-byte digests).
 MAX_BROADCAST_HOSTS = 100_000
+# Copied texts (host and digest, about 100 bytes) that may be broadcast.
+MAX_BROADCAST_COPIES = 500_000
 
 
 def split_lines(text: Column) -> Column:
@@ -30,14 +32,33 @@ def line_key(line: Column) -> Column:
     return F.when(bare != "", F.md5(bare.cast("binary")))
 
 
+def _line_keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columns, _key) of (columns, _text) rows: the digests of a text's lines, each once."""
+    keys = F.array_distinct(F.transform(split_lines(F.col("_text")), line_key))
+    return rows.select(*columns, F.explode(keys).alias("_key")).filter(F.col("_key").isNotNull())
+
+
 def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, max_ratio: float = MAX_RATIO,
-                      min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line digest, pages, host_pages) of the lines above the ratio. Null is a host of its own."""
-    own = pages.select(F.col(host_col).alias("_host"),
-                       F.array_distinct(F.transform(split_lines(F.col(text_col)), line_key)).alias("_keys"))
-    totals = pages.groupBy(F.col(host_col).alias("_host")).agg(F.count(F.lit(1)).alias("_total"))
-    counts = (own.select("_host", F.explode("_keys").alias("_key")).filter(F.col("_key").isNotNull())
-              .groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_pages"))
+                      min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+    """(host, line digest, pages, host_pages) of the lines above the ratio. Null is a host of its own.
+
+    With ``copies_once`` the equal texts of a host (null and empty ones too) are one page of it.
+    """
+    own = pages.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
+    if copies_once:
+        own = own.withColumn("_copy", F.md5(F.coalesce(F.col("_text"), F.lit("")).cast("binary")))
+        texts = own.groupBy("_host", "_copy").agg(F.count(F.lit(1)).alias("_n"))
+        totals = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("_total"))
+        # Only lines of texts that have copies are made distinct by text: the others are there once.
+        copied = cut(texts.filter("_n > 1").select(F.col("_host").alias("_h"), F.col("_copy").alias("_c")))
+        copied = broadcast_if_small(copied, MAX_BROADCAST_COPIES)
+        same = F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_copy") == F.col("_c"))
+        lines = _line_keys(own.join(copied, same, "left_anti"), "_host").union(
+            _line_keys(own.join(copied, same, "left_semi"), "_host", "_copy").distinct().select("_host", "_key"))
+    else:
+        totals = own.groupBy("_host").agg(F.count(F.lit(1)).alias("_total"))
+        lines = _line_keys(own, "_host")
+    counts = (lines.groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_pages"))
               .filter(F.col("_pages") >= min_pages))
     joined = counts.alias("c").join(totals.alias("t"), F.col("c._host").eqNullSafe(F.col("t._host")))
     return (joined.filter(F.col("_pages") > F.col("_total") * max_ratio)
@@ -45,14 +66,15 @@ def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, max_ratio:
 
 
 def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES) -> DataFrame:
+                     min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines removed from ``text_col``, plus ``lines_dropped`` (a column of that name is replaced).
 
     Every row stays, with all its columns, even if no line is left (text ''). Null text stays
     null and counts as a page without lines; pages without a host form one group; repeated
-    rows are separate pages. Lines compare without outer blanks; blank lines stay.
+    rows are separate pages, but with ``copies_once`` equal texts of a host count as one page.
+    Lines compare without outer blanks; blank lines stay.
     """
-    lists = cut(boilerplate_lines(pages, host_col, text_col, max_ratio, min_pages)
+    lists = cut(boilerplate_lines(pages, host_col, text_col, max_ratio, min_pages, copies_once)
                 .groupBy("_host").agg(F.collect_list("_key").alias("_drop")))
     host, drop = fresh(pages, "_host"), fresh(pages, "_drop")
     lists = lists.withColumnsRenamed({"_host": host, "_drop": drop})

@@ -61,6 +61,19 @@ def test_lines(steps):
         assert after[r.doc_id].text == expected and after[r.doc_id].n_chars == len(expected)
 
 
+def test_lines_of_copies_are_not_boilerplate(spark):
+    """A third of a source are copies of one document; its footer is on most other documents."""
+    whole = "first line of it\nsecond line of it\nlast line of it"
+    rows = [(i, whole if i % 3 == 0 else f"text {i}\nown line {i}" + "\nfooter" * (i % 4 > 0), "en", "src0", 0)
+            for i in range(60)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    lines = corpus_pipeline.lines(spark, docs, SF).cache()
+    after = texts(lines)
+    assert after == {r[0]: whole if r[0] % 3 == 0 else r[1].replace("\nfooter", "") for r in rows}
+    kept = texts(corpus_pipeline.near_duplicates(spark, lines, SF))
+    assert [i for i, t in kept.items() if t == whole] == [0] and all(kept.values())
+
+
 def test_near_duplicates(steps):
     before, after = map(texts, steps[2])
     sets = {}
