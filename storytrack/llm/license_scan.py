@@ -146,6 +146,10 @@ SPDX = r"spdx-license-identifier[ \t]*:[ \t]*"
 COMMENT_LEAD = r"(^|\n)[ \t]*(//+|/\*+|\*+/?|#+|;+|--+|<!--)[ \t]*"
 SENTENCE_END = r"[.;:!?]+([ \t\r\n]+|$)"
 LINE_OR_SENTENCE_END = r"\n|[.;:!?]+([ \t\r\n]+|$)"
+# What ends a sentence of a wrapped text without a full stop: blank lines, ends of comments, copyright lines.
+CLOSING = r"[ \t]*\*+/[ \t\r]*(\n|$)"
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*"
+PARAGRAPH_OR_SENTENCE_END = r"\n[ \t\r]*\n[ \t\r\n]*|[.;:!?]+([ \t\r\n]+|$)"
 NOT_KEPT = r"[^a-z0-9.+/-]+"
 
 
@@ -173,9 +177,11 @@ def _licences(ids: Column) -> Column:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, sentence_ids, licenses (both arrays of strings).
 
-    Sentences are read twice: with line ends as sentence ends (notices on a line of their
-    own) and with line ends as spaces (wrapped licence texts, comment leaders removed); the
-    two sequences are matched apart and their findings united. Null and empty texts have
+    Sentences are read three times: with line ends as sentence ends (notices on a line of their
+    own), with line ends as spaces (wrapped licence texts, comment leaders removed), and with
+    only blank lines, comment ends and copyright lines as sentence ends (wrapped texts after a title or a
+    copyright line without a full stop); the sequences are matched apart and their findings
+    united. The SQL has the first two readings only. Null and empty texts have
     empty arrays; repeated rows are scanned apart; other columns are ignored.
     """
     lowered = docs.select(F.col(id_col), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
@@ -186,16 +192,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col),
         F.when(F.col("_p").isNotNull(), _identifiers(F.col("_p"), LINE_OR_SENTENCE_END)).alias("_lines"),
         F.when(F.col("_p").isNotNull(), _identifiers(F.replace(F.col("_p"), F.lit("\n"), F.lit(" ")), SENTENCE_END))
-        .alias("_flow"))
+        .alias("_flow"),
+        F.when(F.col("_p").isNotNull(), _identifiers(F.regexp_replace(
+            F.regexp_replace(F.col("_p"), CLOSING, "\n\n"), COPYRIGHT_LINE, "\n\n"), PARAGRAPH_OR_SENTENCE_END))
+        .alias("_paragraphs"))
     named = F.lit("<([^>]+)>")
     empty = F.array().cast("array<string>")
+    readings = ["_lines", "_flow", "_paragraphs"]
     return found.select(
         F.col(id_col),
-        F.when(F.col("_lines").isNull(), empty).otherwise(F.array_union(
-            F.regexp_extract_all(F.col("_lines"), named, F.lit(1)),
-            F.regexp_extract_all(F.col("_flow"), named, F.lit(1)))).alias("sentence_ids"),
+        F.when(F.col("_lines").isNull(), empty).otherwise(reduce(F.array_union, [
+            F.regexp_extract_all(F.col(c), named, F.lit(1)) for c in readings])).alias("sentence_ids"),
         F.when(F.col("_lines").isNull(), empty).otherwise(
-            F.array_union(_licences(F.col("_lines")), _licences(F.col("_flow")))).alias("licenses"))
+            reduce(F.array_union, [_licences(F.col(c)) for c in readings])).alias("licenses"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

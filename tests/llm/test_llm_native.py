@@ -45,6 +45,20 @@ def test_licences(spark, text, expected):
     assert got.licenses == expected
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_wrapped_licences_after_lines_without_a_full_stop(spark):
+    line = "Copyright (c) 2020 Jane Doe\n"
+    rows = [(1, line + "\n" + ISC, ["ISC"]), (2, line + ISC, ["ISC"]), (3, line + "\n" + MIT, ["MIT"]),
+            (4, "/*\n * " + line + " *\n" + GPL + "\n */\nint main();", ["GPL-3.0-or-later"]),
+            (5, line + "\n" + GPL.replace(" * ", "")[:-1] + " */\nint main();", ["GPL-3.0-or-later"])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in license_scan.license_scan(docs).collect()} == {r[0]: r[2] for r in rows}
+
+
 @pytest.mark.parametrize("text, expected", [
     ("(c) 2020 Foo Inc. All rights\nreserved.", ["all-rights-reserved"]),
     ("This is dedicated. Dedicated to the public\ndomain.", ["CC0-1.0"]),
