@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from contextlib import contextmanager
 
@@ -40,6 +41,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of one run, as Parquet in a folder of its own under the shared checkpoint folder.
+
+    Reading a table again never repeats what made it, and tables that are no longer needed can
+    be dropped.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        made = self.paths.setdefault(name, [])
+        made.append(f"{self.root}/{name}-{uuid.uuid4().hex[:8]}")
+        df.write.parquet(made[-1])
+        return self.spark.read.schema(df.schema).parquet(made[-1])
+
+    def renew(self, df: DataFrame, name: str) -> DataFrame:
+        """:meth:`write`, then drop the older tables of that name (``df`` may read them)."""
+        before = self.paths.pop(name, [])
+        made = self.write(df, name)
+        self._delete(before)
+        return made
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(self.paths.pop(name, []))
+
+    def _delete(self, paths: list[str]) -> None:
+        for path in paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def compact(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """:func:`cut`, read back in partitions of about ``rows`` rows: a small result makes few tasks."""
     made = cut(df)
