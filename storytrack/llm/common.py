@@ -76,12 +76,6 @@ class Scratch:
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def compact(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """:func:`cut`, read back in partitions of about ``rows`` rows: a small result makes few tasks."""
-    made = cut(df)
-    return made.coalesce(max(1, -(-made.count() // rows)))
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint for a materialised ``df`` of at most ``max_rows`` rows, else ``df`` as it is.
 

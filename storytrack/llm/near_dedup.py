@@ -7,12 +7,18 @@ other document has are dropped before the pairs are formed, so unlike documents
 reach the tables.
 
 Documents with equal sets are one class. Classes leave that cannot be similar enough to any
-other, by the shingles that they share with no one. Of the classes that share a partial key,
-one in the middle, with the fewest shingles of its own, is compared with the others first;
-this settles a group of copies in about as many comparisons as it has members. Then every
-bucket of the tables whose members still belong to several components is compared, each pair
-once, until no unverified pair of different components shares a bucket: no link between
-documents that collide in a table is lost, and no bucket is capped.
+other, by the shingles that they share with no one. The rest are compared in rounds, and after
+each round only the buckets whose members belong to several components stay open:
+
+1. Every class is compared with one other: the hub of its most crowded partial key, the class
+   there with the fewest shingles of its own. This settles most groups of copies.
+2. While many pairs are open, every class is compared with up to ``HUBS`` members, drawn anew
+   each time, of its most crowded open table, so a round takes as many comparisons as classes.
+3. All pairs that are left, those of different components that meet in a table, are compared.
+
+So no link between documents that collide in a table is lost, and no bucket is capped. A
+class's shingle set travels once a round with its group; the hubs' sets once for every
+``MEMBERS`` members.
 """
 
 from __future__ import annotations
@@ -22,10 +28,10 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import broadcast_if_small, compact, cut, ship, small_batches, table
+from storytrack.llm.common import Scratch, broadcast_if_small, cut, ship, small_batches, table
 
 WIDTH = 5
 THRESHOLD = 85  # of 100
@@ -33,8 +39,11 @@ HALF = 4
 RECALL = 0.9995  # chance that a pair exactly at the threshold meets in a table
 # Ids that may be broadcast at once (LongHashedRelation: about 32 bytes an id).
 MAX_BROADCAST_IDS = 1_000_000
-# Pairs that a round of further comparisons takes on at most before it samples its hubs.
-PAIRS_PER_ROUND = 5_000_000
+# Open pairs (counted once for each partial key they share) that are compared all at once; with
+# more, hubs are drawn first, as long as a round of them closes a fifth of the open pairs.
+PAIRS_PER_ROUND = 500_000
+HUBS = 32
+MEMBERS = 256  # members of a group that meet its hubs in one place
 PIECE = 1 << 22  # bytes of a text that are cut into words at a time
 TEXTS_AT_ONCE = 1000  # texts in a batch that goes to Python
 BLOCK = 4096  # shingles that are hashed by all functions at a time
@@ -158,60 +167,97 @@ def _sets(part: pd.DataFrame, width: int) -> tuple[np.ndarray, list[np.ndarray]]
     return part["v"].values[own], [s for s, o in zip(sets, own, strict=True) if o]
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
-    """The (x, y) pairs of classes whose full shingle sets are similar enough.
-
-    Only the classes that occur in pairs are cut into shingles again, and their sets travel
-    once for each pair they are in.
-    """
-    ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct().join(classes, "v"))
-
+def shingle_sets(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(v, _set) of materialised classes (v, doc_id, digest): the sorted hashes as bytes."""
     def cut_sets(frames):
         for pdf in frames:
             for at in range(0, len(pdf), 256):
                 v, sets = _sets(pdf.iloc[at:at + 256], width)
                 yield pd.DataFrame({"v": v, "_set": [s.tobytes() for s in sets]})
 
+    return _texts(classes, docs).mapInPandas(cut_sets, "v long, _set binary")
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(a) or 100 * len(a) < threshold * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= threshold * (len(a) + len(b) - both)
+
+
+def linked(hubs: DataFrame, members: DataFrame, facts: DataFrame, label: DataFrame, sets: DataFrame,
+           threshold: int) -> DataFrame:
+    """The (x, y) links between the hubs (g, v) and the members (g, v) of groups g.
+
+    Only classes of different components are compared, and only if their sizes and the
+    shingles that they have in common with others (``facts``: v, n, c) allow a link.
+    """
+    parts = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int").alias("_parts"))
+    at = F.pmod(F.xxhash64("v", "g"), F.col("_parts")).cast("int")
+    rows = (hubs.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt"),
+                                         F.lit(0).alias("kind"), "v")
+            .unionByName(members.join(parts, "g").select("g", at.alias("salt"), F.lit(1).alias("kind"), "v")))
+    known = (facts.join(label, "v", "left").join(sets, "v")
+             .select("v", "n", "c", F.coalesce("label", "v").alias("label"), "_set"))
+    whole = (rows.join(known, "v").repartition("g", "salt").sortWithinPartitions("g", "salt", "kind"))
+
     def compare(frames):
+        place, held = None, []
         for pdf in frames:
-            keep = []
-            for a, b in zip(pdf["_set_x"], pdf["_set_y"], strict=True):
-                a, b = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
-                if not len(a) or 100 * len(a) < threshold * len(b):
-                    keep.append(False)
+            found = []
+            for g, salt, kind, v, n, c, own, raw in zip(*(pdf[k] for k in ("g", "salt", "kind", "v", "n", "c", "label", "_set")),
+                                                        strict=True):
+                if (g, salt) != place:
+                    place, held = (g, salt), []
+                here = np.frombuffer(raw, np.uint64)
+                if not kind:
+                    held.append((v, n, c, own, here))
                     continue
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                both = int((b[at] == a).sum())
-                keep.append(100 * both >= threshold * (len(a) + len(b) - both))
-            yield pdf.loc[keep, ["x", "y"]]
+                for y, m, d, other, there in held:
+                    if own != other and (n + m) * threshold <= min(c, d) * (100 + threshold) and similar(here, there, threshold):
+                        found.append((min(v, y), max(v, y)))
+            yield pd.DataFrame(found, columns=["x", "y"]).astype("int64")
 
-    sets = _texts(ids, docs).mapInPandas(cut_sets, "v long, _set binary")
-    both = (pairs.join(sets.withColumnsRenamed({"v": "x", "_set": "_set_x"}), "x")
-            .join(sets.withColumnsRenamed({"v": "y", "_set": "_set_y"}), "y"))
-    with small_batches(docs.sparkSession):  # a row holds two whole sets
-        return cut(both.select("x", "y", "_set_x", "_set_y").mapInPandas(compare, "x long, y long").distinct())
+    return whole.mapInPandas(compare, "x long, y long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(v, label) of the vertices of (x, y) links: label is the smallest vertex reachable.
 
     Every round takes the smallest label among the neighbours and then the label's own
-    label, so the rounds grow with the logarithm of the longest chain.
+    label, so the rounds grow with the logarithm of the longest chain. Each round's labels are
+    written and read again: plans and their size estimates do not grow from round to round.
     """
-    ends = compact(links.select("x", "y").union(links.select("y", "x")).toDF("v", "w").distinct())
-    label = compact(ends.groupBy("v").agg(F.min("w").alias("_m"))
-                .select("v", F.least("v", "_m").alias("label")))
+    scratch = Scratch(links.sparkSession, "components")
+    ends = scratch.write(links.select("x", "y").union(links.select("y", "x")).toDF("v", "w").distinct(), "ends")
+    label = scratch.write(ends.groupBy("v").agg(F.min("w").alias("_m"))
+                          .select("v", F.least("v", "_m").alias("label")), "label")
     while True:
         near = (ends.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("_m")))
         low = label.join(near, "v").select("v", "label", F.least("label", "_m").alias("_low"))
         far = label.select(F.col("v").alias("_low"), F.col("label").alias("_far"))
-        new = compact(low.join(far, "_low").select("v", F.col("label").alias("_old"),
-                                               F.least("_low", "_far").alias("label")))
-        label, done = new.select("v", "label"), new.filter("label <> _old").isEmpty()
-        if done:
+        new = scratch.renew(low.join(far, "_low").select("v", F.col("label").alias("_old"),
+                                                         F.least("_low", "_far").alias("label")), "label")
+        label = new.select("v", "label")
+        if new.filter("label <> _old").isEmpty():
+            scratch.drop("ends")
             return label
 
 
+def relabelled(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``label`` (v, label) after more (x, y) links: the components of the labels, carried over."""
+    def top(c: str) -> DataFrame:
+        return label.select(F.col("v").alias(c), F.col("label").alias(f"_{c}"))
+
+    between = (links.join(top("x"), "x", "left").join(top("y"), "y", "left")
+               .select(F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y")).filter("x <> y"))
+    moved = components(between)
+    before = label.join(moved.select(F.col("v").alias("label"), F.col("label").alias("_to")), "label", "left").select(
+        "v", F.coalesce("_to", "label").alias("label"))
+    return scratch.renew(before.unionByName(moved.join(label, "v", "left_anti")), "label")
+
+
 def _sizes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(v, n, c) of classes (v, doc_id, digest, n): c tells how many of their n shingles another class has too.
 
@@ -235,73 +281,99 @@ def _sizes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             .select("v", "n", (F.col("n") - F.coalesce("_alone", F.lit(0))).alias("c")))
 
 
+def first_hubs(a: DataFrame, b: DataFrame, able: DataFrame) -> DataFrame:
+    """(g, v): each class with the hub g of its most crowded partial key."""
+    held = (a.select("v", F.col("a").alias("k")).unionByName(b.select("v", F.col("b").alias("k")))
+            .join(able.select("v", (F.col("n") - F.col("c")).alias("_own")), "v"))
+    hubs = held.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.min_by("v", F.struct("_own", "v")).alias("g"))
+    return (held.join(hubs, "k").groupBy("v").agg(F.max_by("g", F.struct("_n", "k")).alias("g"))
+            .filter("v <> g").select("g", "v"))
+
+
+def mixed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The (…, v, label) rows of the buckets that several components share."""
+    several = (rows.groupBy(*key).agg(F.min("label").alias("_l"), F.max("label").alias("_h"))
+               .filter("_l <> _h").select(*key))
+    return rows.join(several, key)
+
+
+def drawn_hubs(tables: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Hubs and members (g, v): each class in its most crowded table, with ``HUBS`` drawn members of it."""
+    size = tables.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    own = (tables.join(size, ["a", "b"]).groupBy("v").agg(F.max_by(F.struct("a", "b"), F.struct("_n", "a", "b")).alias("t"))
+           .select(F.col("t.a").alias("a"), F.col("t.b").alias("b"), "v"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.xxhash64("v", F.lit(turn)), "v"))
+    hubs = tables.join(own.select("a", "b").distinct(), ["a", "b"], "left_semi").select("a", "b", "v", place.alias("_p"))
+    g = F.xxhash64("a", "b").alias("g")  # two tables that shared a number would only be compared together
+    return hubs.filter(F.col("_p") <= HUBS).select(g, "v"), own.select(g, "v")
+
+
+def open_pairs(a: DataFrame, keys: DataFrame) -> DataFrame:
+    """(g, v): the pairs of classes of different components that meet in a table, each once.
+
+    ``a`` has the (a, v, label) rows of open buckets. The members of a bucket's largest
+    component are never paired with one another: only the others look for partners.
+    """
+    count = a.groupBy("a", "label").agg(F.count(F.lit(1)).alias("_n"))
+    most = count.groupBy("a").agg(F.max_by("label", F.struct("_n", "label")).alias("_most"))
+    rows = a.join(most, "a").join(keys, "v")
+    x, y = rows.filter("label <> _most").alias("x"), rows.alias("y")
+    same = F.zip_with(F.col("x.keys_a"), F.col("y.keys_a"), lambda p, q: p == q)
+    first = F.get(F.col("x.keys_a"), (F.array_position(same, True) - 1).cast("int"))
+    table_too = F.exists(F.zip_with(F.col("x.keys_b"), F.col("y.keys_b"), lambda p, q: p == q), lambda t: t)
+    meet = ((F.col("x.a") == F.col("y.a")) & (F.col("x.label") != F.col("y.label"))
+            & ((F.col("y.label") == F.col("y._most")) | (F.col("x.v") < F.col("y.v")))
+            & (F.col("x.a") == first) & table_too)
+    return x.join(y, meet).select(F.col("x.v").alias("g"), F.col("y.v").alias("v"))
+
+
 def class_links(classes: DataFrame, keys: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """(v, label): components of the classes that are linked at all.
 
     ``classes`` has (v, doc_id, digest, n) and ``keys`` (v, keys_a, keys_b), a row for each class.
     """
-    a = cut(_shared(keys.select("v", F.explode("keys_a").alias("a")), "a"))
-    b = cut(_shared(keys.select("v", F.explode("keys_b").alias("b")), "b"))
-    met = cut(a.select("v").distinct().join(b.select("v").distinct(), "v").join(classes, "v"))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "near")
+    a = scratch.write(_shared(keys.select("v", F.explode("keys_a").alias("a")), "a"), "a")
+    b = scratch.write(_shared(keys.select("v", F.explode("keys_b").alias("b")), "b"), "b")
+    met = scratch.write(a.select("v").distinct().join(b.select("v").distinct(), "v").join(classes, "v"), "met")
     # Classes that have enough shingles in common with the others to be similar to one.
-    with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
-        able = cut(_sizes(met, docs, width).filter(F.col("c") * 100 >= F.col("n") * threshold))
-    a = _shared(a.join(able.select("v"), "v", "left_semi"), "a")
-    b = _shared(b.join(able.select("v"), "v", "left_semi"), "b")
-    # Hubs of the partial keys' buckets: the classes with the fewest shingles of their own.
-    # Classes are compared with these first, which settles groups of copies.
-    held = a.select("v", F.col("a").alias("k")).unionByName(b.select("v", F.col("b").alias("k")))
-    hubs = (held.join(able.select("v", (F.col("n") - F.col("c")).alias("_own")), "v")
-            .groupBy("k").agg(F.min_by("v", "_own").alias("y")))
-    pairs = (held.join(hubs, (held["k"] == hubs["k"]) & (held["v"] != hubs["y"]))
-             .select(F.least("v", "y").alias("x"), F.greatest("v", "y").alias("y")).distinct())
-    fit = ((F.col("_n") + F.col("n")) * threshold <= F.least("_c", "c") * (100 + threshold))
-    pairs = (pairs.join(able.toDF("x", "_n", "_c"), "x").join(able.toDF("y", "n", "c"), "y").filter(fit).select("x", "y"))
-    links = verified(cut(pairs), classes, docs, threshold, width)
-    label = components(links)
-    tables = a.join(b, "v")  # the tensor: every pair of partial keys of a class
-
-    def opened(members: DataFrame) -> DataFrame:
-        """Members (a, b, v, …, label) of the buckets that several components share."""
-        now = (members.join(label, "v", "left")
-               .select(*members.columns, F.coalesce("label", "v").alias("label")))
-        mixed = (now.groupBy("a", "b").agg(F.min("label").alias("_l"), F.max("label").alias("_h"))
-                 .filter("_l <> _h").select("a", "b"))
-        return cut(now.join(mixed, ["a", "b"]))
-
-    members, sample = opened(tables), 0
-    facts = able.join(keys, "v")
-    members = cut(members.join(facts, "v"))
+    with small_batches(spark, TEXTS_AT_ONCE):
+        able = scratch.write(_sizes(met, docs, width).filter(F.col("c") * 100 >= F.col("n") * threshold), "able")
+        sets = scratch.write(shingle_sets(met.join(able.select("v"), "v", "left_semi"), docs, width), "sets")
+    a = scratch.renew(_shared(a.join(able.select("v"), "v", "left_semi"), "a"), "a")
+    b = scratch.renew(_shared(b.join(able.select("v"), "v", "left_semi"), "b"), "b")
+    label = scratch.write(spark.createDataFrame([], "v long, label long"), "label")
+
+    def compare(hubs: DataFrame, members: DataFrame) -> DataFrame:
+        with small_batches(spark):  # a row holds a whole set
+            links = scratch.renew(linked(hubs, members, able, label, sets, threshold), "links")
+        return relabelled(label, links, scratch)
+
+    members = scratch.renew(first_hubs(a, b, able), "members")
+    label = compare(members.select("g", F.col("g").alias("v")).distinct(), members)
+    turn, before = 0, None
     while True:
-        groups = members.groupBy("a", "b", "label").agg(F.count(F.lit(1)).alias("_n"))
-        left = (groups.groupBy("a", "b").agg((F.pow(F.sum("_n"), 2) - F.sum(F.pow("_n", F.lit(2)))).alias("_p"))
+        # Only rows of open buckets, of classes that are in an open table, are needed any more.
+        top = F.coalesce("label", "v").alias("label")
+        a, b = (mixed(k.select(c, "v").join(label, "v", "left").select(c, "v", top), [c]) for k, c in ((a, "a"), (b, "b")))
+        tables = scratch.renew(mixed(a.join(b.select("b", "v"), "v"), ["a", "b"]), "tables")
+        a = scratch.renew(tables.select("a", "v", "label").distinct(), "a")
+        b = scratch.renew(tables.select("b", "v", "label").distinct(), "b")
+        count = a.groupBy("a", "label").agg(F.count(F.lit(1)).alias("_n"))
+        left = (count.groupBy("a").agg(((F.pow(F.sum("_n"), 2) - F.sum(F.pow("_n", F.lit(2)))) / 2).alias("_p"))
                 .agg(F.sum("_p")).first()[0]) or 0
         if not left:
-            return label
-        # Too many pairs for a round: compare with a share of the members first (another share each
-        # time, so that links found by it spare the rest), and with all of them when few are left.
-        share = 2 * PAIRS_PER_ROUND / left
-        own = members if share >= 1 or sample > 8 else members.filter(
-            F.pmod(F.xxhash64("v", F.lit(sample)), F.lit(1_000_003)) < F.lit(share * 1_000_003))
-        x, y = members.alias("x"), own.alias("y")
-
-        def first_shared(keys: str):  # where both have the same partial key for the first time
-            same = F.zip_with(F.col(f"x.{keys}"), F.col(f"y.{keys}"), lambda p, q: p == q)
-            return F.get(F.col(f"x.{keys}"), (F.array_position(same, True) - 1).cast("int"))
-
-        meet = ((F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b"))
-                & (F.col("x.label") != F.col("y.label"))
-                & ((F.col("x.n") + F.col("y.n")) * threshold <= F.least("x.c", "y.c") * (100 + threshold))
-                & (F.col("x.a") == first_shared("keys_a")) & (F.col("x.b") == first_shared("keys_b")))
-        if own is members:
-            meet = meet & (F.col("x.v") < F.col("y.v"))
-        pairs = x.join(y, meet).select(F.col("x.v").alias("x"), F.col("y.v").alias("y")).distinct()
-        more = verified(cut(pairs), classes, docs, threshold, width)
-        links = cut(links.union(more).distinct())
-        label = components(links)
-        if own is members:
-            return label
-        members, sample = opened(members.drop("label")), sample + 1
+            break
+        if left <= PAIRS_PER_ROUND or (before is not None and left > 0.8 * before):
+            pairs = scratch.renew(open_pairs(a, keys), "members")
+            label = compare(pairs.select("g", F.col("g").alias("v")).distinct(), pairs)
+            break
+        hubs, members = drawn_hubs(tables, turn)
+        label = compare(scratch.renew(hubs, "hubs"), scratch.renew(members, "members"))
+        turn, before = turn + 1, left
+    scratch.drop("a", "b", "met", "able", "sets", "links", "members", "hubs", "tables")
+    return label
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD,
