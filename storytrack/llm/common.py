@@ -85,6 +85,25 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def broadcast_if_bytes(df: DataFrame, max_bytes: int) -> DataFrame:
+    """A broadcast hint for a materialised ``df`` whose values take at most ``max_bytes``, else ``df``.
+
+    Strings, binaries and arrays count with their real lengths, each row with 48 bytes besides.
+    """
+    size = F.lit(48)
+    for f in df.schema:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array":
+            item = F.transform(c, lambda x: F.lit(16) + F.coalesce(F.octet_length(x.cast("string")), F.lit(0)))
+            size = size + F.coalesce(F.aggregate(item, F.lit(0), lambda a, x: a + x), F.lit(0))
+        else:
+            size = size + F.lit(16)
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= max_bytes else df
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (a null id counts as empty text)."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
@@ -135,6 +154,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
+def trim_memory() -> None:
+    """Give freed memory back to the system: Python workers live on for the stages that follow."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500):
     """Actions inside send at most ``rows`` rows at a time to Python: for rows that are large."""

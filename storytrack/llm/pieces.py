@@ -1,19 +1,27 @@
 """SentencePiece encoding and decoding by a max-plus scan.
 
-The pieces and scores of a SentencePiece model file are read as a unigram lexicon: a text's
-encoding is the segmentation with the largest sum of scores (ties: the longest last piece).
-That best path is a product of max-plus matrices, which is associative. A giant text is
-split into chunks of fixed length, wherever the cut falls; each chunk yields the matrix that
-takes the scores of the states at its left boundary to those at its right one, the matrices
-are combined in a tree, and each chunk is then backtraced on its own between the boundary
-states found. A state at a boundary is the distance back to the last piece end before it.
-Shorter texts are one chunk.
-
-Scores are held as integers in tenths, so sums are exact and ties do not depend on the split.
+The pieces of a SentencePiece model file are read as a lexicon for sums: a text's encoding is
+the segmentation with the largest sum of scores (ties: the longest last piece). The scores of
+a unigram file are log probabilities and are summed as they are. Those of a byte-pair file are
+merge ranks, which do not suit a sum (two early merges would beat the one piece that they make
+up), so a piece costs ``PIECE_COST`` and its rank: the fewest pieces win, and among these the
+earliest merged ones.
+
+That best path is a product of max-plus matrices, which is associative. A text of more than
+``CHUNK`` bytes is split into chunks of fixed length, wherever the cut falls; each chunk
+yields the matrix that takes the scores of the states at its left boundary to those at its
+right one, the matrices are combined in a tree, and each chunk is then backtraced on its own
+between the boundary states found. A state at a boundary is the distance back to the last
+piece end before it. Shorter texts are one chunk. Inside a chunk every path passes the places
+before a space mark, so its matrix is that of the characters up to the first such place, plus
+the sum of the words up to the last one, plus that of the characters behind.
+
+Scores are integers, so sums are exact and ties do not depend on the split.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 
@@ -22,15 +30,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import cut, fresh, replace_columns, ship, table
+from storytrack.llm.common import Scratch, cut, fresh, replace_columns, ship, small_batches, table, trim_memory
 
 SPACE = "▁"
-CHUNK = 1 << 19  # characters of a giant text in a chunk; shorter texts are one chunk
+CHUNK = 1 << 15  # characters of a long text in a chunk; texts of fewer bytes are one chunk
 FAN = 64  # chunks that are combined at a time
-CACHE_WORDS = 300_000
+CHUNKS_AT_ONCE = 32  # chunks in a batch that goes to Python
+TEXTS_AT_ONCE = 200  # texts in a batch that goes to Python
+CHARACTERS_AT_ONCE = 1 << 18  # of texts that are cut into words together
+CACHE_BYTES = 24 << 20  # about, of words whose ids are kept
 LONGEST_CACHED = 48
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6  # kinds of pieces in the model file
-UNKNOWN_PENALTY = 100  # ten, in tenths
+BYTE_PAIRS = 2  # kind of model, in the trainer's settings
+PIECE_COST = 1 << 24  # more than the ranks of a word's pieces add up to
+SCALE = 1 << 16  # of log probabilities
 LOW = -(1 << 60)
 # Hash table of the pieces: its size, the multipliers of its two places for a hash, the step of the hash.
 TABLE_BITS = 20
@@ -67,7 +80,7 @@ class Lexicon:
     """Pieces of a model file: ids and scores by string, and the bytes each id decodes to."""
 
     def __init__(self, model: bytes):
-        held = []
+        raw, pairs = [], False
         for field, value in _fields(model):
             if field == 1:
                 piece, score, kind = "", 0.0, NORMAL
@@ -75,10 +88,13 @@ class Lexicon:
                     piece = v.decode() if f == 1 else piece
                     score = struct.unpack("<f", v)[0] if f == 2 else score
                     kind = v if f == 3 else kind
-                held.append((piece, round(score * 10), kind))
+                raw.append((piece, score, kind))
+            elif field == 2:
+                pairs = dict(_fields(value)).get(3) == BYTE_PAIRS
+        held = [(p, round(s) - PIECE_COST if pairs else round(s * SCALE), k) for p, s, k in raw]
         normal = [s for _, s, k in held if k == NORMAL]
-        top = max(normal, default=0)
-        self.unknown = min(normal, default=0) - UNKNOWN_PENALTY
+        top = 0 if pairs else max(normal, default=0)
+        self.unknown = min(normal, default=0) - (PIECE_COST if pairs else 10 * SCALE)
         self.score: dict[str, int] = {}
         self.id: dict[str, int] = {}
         self.byte_id = [0] * 256
@@ -88,40 +104,46 @@ class Lexicon:
             if kind in (NORMAL, USER_DEFINED):
                 self.id[piece] = i
                 # user-defined symbols always win over the pieces they hold
-                self.score[piece] = score if kind == NORMAL else len(piece.encode()) * top - 1
+                self.score[piece] = score if kind == NORMAL else len(piece.encode()) * top
                 self.text[i] = piece.replace(SPACE, " ").encode()
             elif kind == BYTE:
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.text[i] = bytes([int(piece[3:5], 16)])
         self.longest = max(map(len, self.score), default=1)
-        # Scores of pieces, and None for strings that only begin pieces.
-        self.begins: dict[str, int | None] = {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score
         # Every path passes a place before a space mark that follows another character.
         self.cuts = not any(b == SPACE != a for p in self.score for a, b in zip(p, p[1:], strict=False))
         self.line_cuts = not any("\n" in p for p in self.score if len(p) > 1)
         self.known: dict[str, bytes] = {}
-
+        self.known_bytes = 0
         self._build_table()
 
+    @functools.cached_property
+    def begins(self) -> dict[str, int | None]:
+        """Scores of pieces, and None for strings that only begin pieces."""
+        return {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score
+
     # -- many short spans at a time --------------------------------------------------------
     def _build_table(self) -> None:
         """Open hash table from the hash of a piece to its id, for lookups by whole arrays."""
-        pieces = list(self.id)
-        self._hash_of = {p: self._hash(np.frombuffer(p.encode("utf-32-le"), np.uint32)[None])[0] for p in pieces}
-        self._keys = [np.zeros(1 << TABLE_BITS, np.uint64) for _ in _SLOTS]
+        self._keys = np.zeros(len(self.text), np.uint64)  # the hash of each id's piece
         self._ids = [np.full(1 << TABLE_BITS, -1, np.int32) for _ in _SLOTS]
-        for p, h in self._hash_of.items():
-            for keys, ids, m in zip(self._keys, self._ids, _SLOTS, strict=True):
+        for p, i in self.id.items():
+            self._keys[i] = h = self._hash(np.frombuffer(p.encode("utf-32-le"), np.uint32)[None])[0]
+            for ids, m in zip(self._ids, _SLOTS, strict=True):
                 at = (int(h) * int(m) & 0xFFFFFFFFFFFFFFFF) >> (64 - TABLE_BITS)
                 if ids[at] < 0:
-                    keys[at], ids[at] = h, self.id[p]
+                    ids[at] = i
                     break
             else:
                 raise ValueError("the piece table is too small for this model")
-        del self._hash_of
         self._score_of = np.full(len(self.text), LOW, np.int64)
         for p, i in self.id.items():
             self._score_of[i] = self.score[p]
+        # The sum of a path by its ids: an unknown character counts once, at its first byte.
+        self._sum_of = np.where(self._score_of == LOW, 0, self._score_of)
+        for c in range(256):
+            if c & 0xC0 != 0x80 and self.text[self.byte_id[c]] == bytes([c]):
+                self._sum_of[self.byte_id[c]] = self.unknown
 
     @staticmethod
     def _hash(code: np.ndarray) -> np.ndarray:
@@ -133,9 +155,9 @@ class Lexicon:
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none."""
         out = np.full(h.shape, -1, np.int32)
-        for keys, ids, m in zip(self._keys, self._ids, _SLOTS, strict=True):
-            at = (h * m >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-            out = np.where(keys[at] == h, ids[at], out)
+        for ids, m in zip(self._ids, _SLOTS, strict=True):
+            found = ids[(h * m >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+            out = np.where((found >= 0) & (self._keys[found] == h), found, out)
         return out
 
     def words(self, words: list[str]) -> list[bytes]:
@@ -233,9 +255,12 @@ class Lexicon:
         if None in held:
             new = list(dict.fromkeys(w for w, ids in zip(words, held, strict=True) if ids is None))
             fresh = dict(zip(new, self.words(new), strict=True))
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_CACHED)
+            for w, ids in fresh.items():
+                if len(w) <= LONGEST_CACHED:
+                    self.known[w] = ids
+                    self.known_bytes += len(w) + len(ids) + 180  # with the objects' own size
+            if self.known_bytes > CACHE_BYTES:
+                self.known, self.known_bytes = {}, 0
             held = [fresh[w] if ids is None else ids for w, ids in zip(words, held, strict=True)]
         return held
 
@@ -247,12 +272,19 @@ class Lexicon:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts) -> list[np.ndarray]:
-        """Ids of texts that are one chunk each."""
-        spans = [self.spans(self.marked(t)) if t else [] for t in texts]
-        held, out, at = self._cached([w for x in spans for w in x]), [], 0
-        for x in spans:
-            out.append(np.frombuffer(b"".join(held[at:at + len(x)]), "<u4").astype(np.int32))
-            at += len(x)
+        """Ids of texts that are one chunk each, cut into words so many characters at a time."""
+        texts, out, begin = list(texts), [], 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and (end == begin or size + len(texts[end] or "") <= CHARACTERS_AT_ONCE):
+                size += len(texts[end] or "")
+                end += 1
+            spans = [self.spans(self.marked(t)) if t else [] for t in texts[begin:end]]
+            held, at = self._cached([w for x in spans for w in x]), 0
+            for x in spans:
+                out.append(np.frombuffer(b"".join(held[at:at + len(x)]), "<u4").astype(np.int32))
+                at += len(x)
+            begin = end
         return out
 
     def spans(self, marked: str) -> list[str]:
@@ -268,38 +300,89 @@ class Lexicon:
         return text[1:] if text.startswith(" ") else text
 
     # -- chunks --------------------------------------------------------------------------
+    def inside(self, text: str, lead: int) -> tuple[int, list[str], int] | None:
+        """(first, words, last): the first and last place of a chunk that every path passes, and the words between.
+
+        The chunk is ``text`` behind its ``lead`` characters; None if it has no such place.
+        """
+        if not self.cuts:
+            return None
+        words = self.spans(text)
+        ends = np.cumsum([len(w) for w in words])
+        starts = np.r_[0, ends[:-1]]
+        # A start tells by the character before it; the first has none, unless the text begins there.
+        sure = np.flatnonzero((starts >= lead) & ((starts > 0) | (lead == 0)))
+        if not len(sure):
+            return None
+        return int(starts[sure[0]]), words[sure[0]:-1], int(starts[-1])
+
     def matrix(self, text: str, lead: int) -> np.ndarray:
         """[entry state, exit state] sums over the chunk behind the ``lead`` characters."""
         size = self.longest
         out = np.full((size, size), -np.inf)
-        for k in range(lead + 1):
-            entry = [LOW] * (lead + 1)
-            entry[k] = 0
-            best, _ = self.forward(text, entry, lead) if k == 0 else self._joined(text, entry, lead, k)
-            for j in range(size):
-                if len(text) - j > lead and best[len(text) - j] > LOW:
-                    out[k, j] = best[len(text) - j]
+        places = self.inside(text, lead)
+        if places is None:
+            for k in range(lead + 1):
+                entry = [LOW] * (lead + 1)
+                entry[k] = 0
+                best, _ = self.forward(text, entry, lead)
+                for j in range(size):
+                    if len(text) - j > lead and best[len(text) - j] > LOW:
+                        out[k, j] = best[len(text) - j]
+            return out
+        first, words, last = places
+        head = self.backward(text[:first], lead)
+        between = sum(int(self._sum_of[np.frombuffer(x, "<u4")].sum()) for x in self._cached(words))
+        tail, _ = self.forward(text[last:], [0], 0)
+        left = np.array([-np.inf if v == LOW else v for v in head], float)
+        right = np.array([-np.inf if v == LOW else v for v in tail[::-1][:size]], float)
+        right[max(0, len(text) - lead):] = -np.inf  # a piece must end behind the boundary
+        out[:len(left), :len(right)] = left[:, None] + (right + between)[None]
         return out
 
-    def _joined(self, text: str, entry: list[int], lead: int, k: int):
-        """Like ``forward`` from state k; beyond the first place every path passes, state 0 is reused."""
-        meet = next((i for i in range(lead + 1, len(text)) if text[i] == SPACE != text[i - 1]), None) \
-            if self.cuts else None
-        if meet is None:
-            return self.forward(text, entry, lead)
-        base = self._from_zero(text, lead)
-        head, _ = self.forward(text[:meet], entry, lead)
-        if head[meet] == LOW:
-            return [LOW] * (len(text) + 1), None
-        shift = head[meet] - base[meet]
-        best = [LOW if v == LOW else v + shift for v in base]
-        best[:meet + 1] = head
-        return best, None
-
-    def _from_zero(self, text: str, lead: int) -> list[int]:
-        if getattr(self, "_zero_of", None) != (text, lead):
-            self._zero_of, self._zero = (text, lead), self.forward(text, [0], lead)[0]
-        return self._zero
+    def backward(self, text: str, lead: int) -> list[int]:
+        """Best sums from each entry state 0 … lead to the end of ``text``."""
+        size, look = len(text), self.begins.get
+        best = [LOW] * size + [0]
+        for at in range(size - 1, -1, -1):
+            top = LOW
+            for end in range(at + 1, size + 1):
+                s = look(text[at:end], False)
+                if s is False:
+                    break
+                if s is not None and end > lead and best[end] > LOW and s + best[end] > top:
+                    top = s + best[end]
+            if at >= lead and text[at] not in self.score and best[at + 1] > LOW and self.unknown + best[at + 1] > top:
+                top = self.unknown + best[at + 1]
+            best[at] = top
+        return [best[lead - k] for k in range(lead + 1)]
+
+    def entries(self, text: str, entry: list[int], lead: int) -> bytes:
+        """For every exit state, the entry state that its best path comes from."""
+        back = bytearray(self.longest)
+        places = self.inside(text, lead)
+        upto = text if places is None else text[:places[0]]
+        best, start = self.forward(upto, entry, lead)
+        for j in range(self.longest):
+            end = len(text) - j if places is None else places[0]
+            if len(text) - j > lead and best[end] > LOW:
+                while end > lead:
+                    end = start[end]
+                back[j] = lead - end
+        return bytes(back)
+
+    def trace(self, text: str, entry: list[int], lead: int, exit_state: int) -> np.ndarray:
+        """Ids of the best path of a chunk that leaves it in ``exit_state``."""
+        places = self.inside(text, lead)
+        if places is None:
+            _, start = self.forward(text, entry, lead)
+            return np.array(self.ids_between(text, start, len(text) - exit_state, lead)[0], np.int32)
+        first, words, last = places
+        _, start = self.forward(text[:first], entry, lead)
+        head = np.array(self.ids_between(text[:first], start, first, lead)[0], "<u4").tobytes()
+        _, start = self.forward(text[last:], [0], 0)
+        tail = np.array(self.ids_between(text[last:], start, len(text) - last - exit_state, 0)[0], "<u4").tobytes()
+        return np.frombuffer(b"".join([head, *self._cached(words), tail]), "<u4").astype(np.int32)
 
 
 _SPANS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -364,7 +447,8 @@ def _scan(elements: DataFrame, compose, apply, first: bytes) -> DataFrame:
 
 def encode_chunks(texts: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     """(doc, ids) of (doc, text) rows, distinct doc, every text split into chunks."""
-    ship(texts.sparkSession)
+    spark = texts.sparkSession
+    ship(spark)
     size = lexicon(model).longest
     assert chunk >= size
 
@@ -388,47 +472,38 @@ def encode_chunks(texts: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame
     def entry_of(state: bytes) -> list[int]:
         return [LOW if v == -np.inf else int(v) for v in np.frombuffer(state)]
 
-    def tables(frames):  # for every exit state, the entry state that its best path comes from
+    def tables(frames):
         for pdf in frames:
-            made = []
-            for text, lead, state in zip(pdf["body"], pdf["lead"], pdf["state"], strict=True):
-                lex = lexicon(model)
-                best, start = lex.forward(text, entry_of(state), lead)
-                back = bytearray(size)
-                for j in range(size):
-                    end = len(text) - j
-                    if end > lead and best[end] > LOW:
-                        while end > lead:
-                            end = start[end]
-                        back[j] = lead - end
-                made.append(bytes(back))
+            made = [lexicon(model).entries(text, entry_of(state), lead)
+                    for text, lead, state in zip(pdf["body"], pdf["lead"], pdf["state"], strict=True)]
             yield pd.DataFrame({"doc": pdf["doc"], "at": pdf["at"], "element": made})
 
     def trace(frames):
         for pdf in frames:
-            made = []
-            for text, lead, state, exit_ in zip(pdf["body"], pdf["lead"], pdf["state"], pdf["exit"], strict=True):
-                lex = lexicon(model)
-                _, start = lex.forward(text, entry_of(state), lead)
-                made.append(np.array(lex.ids_between(text, start, len(text) - exit_[0], lead)[0], np.int32))
+            made = [lexicon(model).trace(text, entry_of(state), lead, exit_[0])
+                    for text, lead, state, exit_ in zip(pdf["body"], pdf["lead"], pdf["state"], pdf["exit"], strict=True)]
             yield pd.DataFrame({"doc": pdf["doc"], "at": pdf["at"], "ids": made})
 
-    chunks = cut(texts.mapInPandas(split, "doc long, at long, lead int, last boolean, body string"))
-    start = np.full(size, -np.inf)
-    start[0] = 0
-    elements = cut(chunks.mapInPandas(matrices, "doc long, at long, element binary"))
-    entry = cut(_scan(elements, lambda a, b: _product(square(a), square(b)).tobytes(),
-                      lambda s, m: (np.frombuffer(s)[:, None] + square(m)).max(0).tobytes(), start.tobytes()))
-    entered = chunks.join(entry, ["doc", "at"])
-    back = cut(entered.mapInPandas(tables, "doc long, at long, element binary"))
-    # Reversed, so that every text's last chunk is block 0 and starts from exit state 0.
-    last = chunks.filter("last").select("doc", F.col("at").alias("_last"))
-    turned = back.join(last, "doc").select("doc", (F.col("_last") - F.col("at")).alias("at"), "element")
-    left = (_scan(turned, lambda a, b: bytes(b[x] for x in a), lambda s, t: bytes([t[s[0]]]), bytes([0]))
-            .join(last, "doc").select("doc", (F.col("_last") - F.col("at")).alias("at"), F.col("state").alias("exit")))
-    traced = entered.join(left, ["doc", "at"]).mapInPandas(trace, "doc long, at long, ids array<int>")
-    parts = traced.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("_p"))
-    return parts.select("doc", F.flatten(F.transform("_p", lambda p: p["ids"])).alias("ids"))
+    scratch = Scratch(spark, "pieces")
+    with small_batches(spark, CHUNKS_AT_ONCE):
+        chunks = scratch.write(texts.mapInPandas(split, "doc long, at long, lead int, last boolean, body string"), "chunks")
+        start = np.full(size, -np.inf)
+        start[0] = 0
+        elements = scratch.write(chunks.mapInPandas(matrices, "doc long, at long, element binary"), "elements")
+        entry = _scan(elements, lambda a, b: _product(square(a), square(b)).tobytes(),
+                      lambda s, m: (np.frombuffer(s)[:, None] + square(m)).max(0).tobytes(), start.tobytes())
+        entered = scratch.write(chunks.join(entry, ["doc", "at"]), "entered")
+        back = scratch.write(entered.mapInPandas(tables, "doc long, at long, element binary"), "back")
+        # Reversed, so that every text's last chunk is block 0 and starts from exit state 0.
+        last = chunks.filter("last").select("doc", F.col("at").alias("_last"))
+        turned = back.join(last, "doc").select("doc", (F.col("_last") - F.col("at")).alias("at"), "element")
+        left = (_scan(turned, lambda a, b: bytes(b[x] for x in a), lambda s, t: bytes([t[s[0]]]), bytes([0]))
+                .join(last, "doc").select("doc", (F.col("_last") - F.col("at")).alias("at"), F.col("state").alias("exit")))
+        traced = entered.join(left, ["doc", "at"]).mapInPandas(trace, "doc long, at long, ids array<int>")
+        parts = traced.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("_p"))
+        out = scratch.write(parts.select("doc", F.flatten(F.transform("_p", lambda p: p["ids"])).alias("ids")), "ids")
+    scratch.drop("chunks", "elements", "entered", "back")
+    return out
 
 
 def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -452,7 +527,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, ch
     giant = F.coalesce(F.octet_length(F.col(text_col)) > chunk, F.lit(False))
     short = replace_columns(docs.filter(~giant), ids=whole(F.col(text_col)))
     doc, found_ids = fresh(docs, "_doc"), fresh(docs, "_ids")
-    long = cut(docs.filter(giant).withColumn(doc, F.monotonically_increasing_id()))
+    long = Scratch(docs.sparkSession, "long").write(docs.filter(giant).withColumn(doc, F.monotonically_increasing_id()), "long")
     if long.isEmpty():
         return short
     found = encode_chunks(long.select(F.col(doc).alias("doc"), F.col(text_col).alias("text")), model, chunk)
@@ -473,51 +548,56 @@ def decode(ids: Column, spark: SparkSession, model: str | None = None) -> Column
     return run(ids)
 
 
-def ids_crc32(ids: Column, spark: SparkSession) -> Column:
-    """Unsigned crc32 of an array of ids as little-endian unsigned 32-bit integers."""
-    @F.pandas_udf("long")
-    def run(rows: pd.Series) -> pd.Series:
-        import zlib
-        return pd.Series([zlib.crc32(np.asarray(r).astype("<u4").tobytes()) for r in rows], dtype="int64")
-
-    return run(ids)
-
-
 def encoded_and_decoded(docs: DataFrame, spark: SparkSession, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, round_trip) of documents, from their real ids and decoded texts.
 
-    The ids of a text that is one chunk are digested by the task that makes them, a few
-    hundred texts at a time; those of giant texts come from the scan over chunks.
+    The ids of a text that is one chunk are digested by the task that makes them; those of
+    longer texts come from the scan over chunks and are digested from its table. round_trip
+    tells whether the ids decode to the text, in which a literal U+2581 counts as a space.
+
+    Null and empty texts have no tokens, crc32 0 and a true round trip. There is a row for
+    each input row: repeated rows and null ids stay as they are. Columns other than doc_id and
+    text are ignored; an empty table gives no rows. Texts of any length are encoded whole.
     """
     model = default_model()
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def digests(frames):
+    def digest(ids: np.ndarray, text: str | None) -> tuple:
         import zlib
-        lex = lexicon(model)
-        for pdf in frames:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at:at + 256]
-                ids = lex.encode_all(part["text"])
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].values, "n_tokens": [len(x) for x in ids],
-                    "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
-                    "round_trip": [lex.decode(x.tolist()) == (t or "").replace(SPACE, " ")
-                                   for x, t in zip(ids, part["text"], strict=True)]})
-
-    texts = docs.select("doc_id", "text")
+        return (len(ids), zlib.crc32(ids.astype("<u4").tobytes()),
+                lexicon(model).decode(ids.tolist()) == (text or "").replace(SPACE, " "))
+
+    def digests(made):
+        def run(frames):
+            for pdf in frames:
+                rows = [digest(ids, t) for ids, t in zip(made(pdf), pdf["text"], strict=True)]
+                found = pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "round_trip"])
+                found.insert(0, "doc_id", pdf["doc_id"].values)
+                yield found
+            trim_memory()
+        return run
+
+    schema = f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean"
     giant = F.coalesce(F.octet_length("text") > chunk, F.lit(False))
-    short = texts.filter(~giant).mapInPandas(
-        digests, f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean")
-    long = cut(texts.filter(giant))
+    texts = docs.select("doc_id", "text")
+    scratch = Scratch(spark, "encoded")
+    # A missing id would make whole numbers floats on the way through pandas: it goes around.
+    short = texts.filter(~giant)
+    with small_batches(spark, TEXTS_AT_ONCE):
+        rows = scratch.write(short.filter("doc_id is not null").mapInPandas(
+            digests(lambda pdf: lexicon(model).encode_all(pdf["text"])), schema), "rows")
+        bare = scratch.write(short.filter("doc_id is null").select(F.lit(0).cast(kind).alias("doc_id"), "text").mapInPandas(
+            digests(lambda pdf: lexicon(model).encode_all(pdf["text"])), schema), "bare")
+    out = rows.unionByName(bare.withColumn("doc_id", F.lit(None).cast(kind)))
+    long = scratch.write(texts.filter(giant).withColumn("_doc", F.monotonically_increasing_id()), "long")
     if long.isEmpty():
-        return short
-    held = encode(long, model=model, chunk=chunk)
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return short.unionByName(held.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_crc32(F.col("ids"), spark).alias("ids_crc32"),
-        (decode(F.col("ids"), spark, model) == text).alias("round_trip")))
+        return out
+    found = encode_chunks(long.select(F.col("_doc").alias("doc"), "text"), model, chunk)
+    with small_batches(spark, CHUNKS_AT_ONCE):
+        ended = long.join(found, F.col("_doc") == F.col("doc")).select(F.col("_doc").alias("doc_id"), "text", "ids")
+        known = scratch.write(ended.mapInPandas(digests(lambda pdf: pdf["ids"]), schema.replace(f"doc_id {kind}", "doc_id long")), "known")
+    return out.unionByName(long.select("doc_id", "_doc").join(known.withColumnRenamed("doc_id", "_doc"), "_doc").drop("_doc"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
