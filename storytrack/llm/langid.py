@@ -8,6 +8,7 @@ related languages are told apart by what separates just the two of them.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import fit_in_task, fold, fresh, replace_columns, ship, table
+from storytrack.llm.common import fit_in_task, fold, fresh, replace_columns, ship, table, trim_memory
 
 UNDETERMINED = "und"
 BUCKETS = 4096
@@ -176,16 +177,18 @@ def detect(spark: SparkSession, text: Column, model: bytes) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import pickle
         known = pickle.loads(shared.value) if shared.value else None
-        rows = []
-        for t in texts:
-            if known is None or t is None or not any(map(str.isalpha, t)):
-                rows.append((UNDETERMINED, 0.0))
-            else:
-                rows.append(known.predict(features(t)))
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+        for texts in batches:
+            rows = []
+            for t in texts:
+                if known is None or t is None or not any(map(str.isalpha, t)):
+                    rows.append((UNDETERMINED, 0.0))
+                else:
+                    rows.append(known.predict(features(t)))
+            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+        trim_memory()
 
     return run(text)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import Scratch, broadcast_if_small, cut, ship, small_batches, table
+from storytrack.llm.common import Scratch, broadcast_if_small, cut, ship, small_batches, table, trim_memory
 
 WIDTH = 5
 THRESHOLD = 85  # of 100
@@ -141,6 +141,7 @@ def signatures(docs: DataFrame, size: int, width: int = WIDTH) -> DataFrame:
                     "doc_id": part["doc_id"].values, "n_shingles": [len(s) for s in sets],
                     "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                     "keys_a": [k[:size] for k in keys], "keys_b": [k[size:] for k in keys]})
+        trim_memory()
 
     return docs.mapInPandas(run, f"doc_id {kind}, n_shingles long, digest binary, keys_a array<long>, keys_b array<long>")
 
@@ -174,6 +175,7 @@ def shingle_sets(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, len(pdf), 256):
                 v, sets = _sets(pdf.iloc[at:at + 256], width)
                 yield pd.DataFrame({"v": v, "_set": [s.tobytes() for s in sets]})
+        trim_memory()
 
     return _texts(classes, docs).mapInPandas(cut_sets, "v long, _set binary")
 
@@ -218,6 +220,7 @@ def linked(hubs: DataFrame, members: DataFrame, facts: DataFrame, label: DataFra
                     if own != other and (n + m) * threshold <= min(c, d) * (100 + threshold) and similar(here, there, threshold):
                         found.append((min(v, y), max(v, y)))
             yield pd.DataFrame(found, columns=["x", "y"]).astype("int64")
+        trim_memory()
 
     return whole.mapInPandas(compare, "x long, y long").distinct()
 
@@ -273,6 +276,7 @@ def _sizes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 if sets:
                     yield pd.DataFrame({"v": np.repeat(v, [len(s) for s in sets]),
                                         "s": np.concatenate(sets).view(np.int64)})
+        trim_memory()
 
     held = _texts(classes, docs).mapInPandas(explode, "v long, s long")
     owners = held.groupBy("s").agg(F.min("v").alias("_a"), F.max("v").alias("_b"))
