@@ -12,14 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import broadcast_if_small, cut, fresh, replace_columns, table
+from storytrack.llm.common import broadcast_if_bytes, cut, fresh, replace_columns, table
 
 MAX_RATIO = 0.1
 MIN_PAGES = 3
-# Hosts whose boilerplate lists may be broadcast (a list holds 16-byte digests).
-MAX_BROADCAST_HOSTS = 100_000
-# Copied texts (host and digest, about 100 bytes) that may be broadcast.
-MAX_BROADCAST_COPIES = 500_000
+MAX_BROADCAST_BYTES = 64 << 20  # of boilerplate lists, or of copied texts' hosts and digests
 
 
 def split_lines(text: Column) -> Column:
@@ -51,7 +48,7 @@ def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, max_ratio:
         totals = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("_total"))
         # Only lines of texts that have copies are made distinct by text: the others are there once.
         copied = cut(texts.filter("_n > 1").select(F.col("_host").alias("_h"), F.col("_copy").alias("_c")))
-        copied = broadcast_if_small(copied, MAX_BROADCAST_COPIES)
+        copied = broadcast_if_bytes(copied, MAX_BROADCAST_BYTES)
         same = F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_copy") == F.col("_c"))
         lines = _line_keys(own.join(copied, same, "left_anti"), "_host").union(
             _line_keys(own.join(copied, same, "left_semi"), "_host", "_copy").distinct().select("_host", "_key"))
@@ -78,7 +75,7 @@ def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio:
                 .groupBy("_host").agg(F.collect_list("_key").alias("_drop")))
     host, drop = fresh(pages, "_host"), fresh(pages, "_drop")
     lists = lists.withColumnsRenamed({"_host": host, "_drop": drop})
-    joined = pages.join(broadcast_if_small(lists, MAX_BROADCAST_HOSTS),
+    joined = pages.join(broadcast_if_bytes(lists, MAX_BROADCAST_BYTES),
                         F.col(host_col).eqNullSafe(F.col(host)), "left")
     lines = split_lines(F.col(text_col))
     left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(drop), line_key(x)), F.lit(False)))
