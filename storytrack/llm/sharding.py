@@ -47,32 +47,36 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def write_shards(docs: DataFrame, path: str, key_col: str, weights: Sequence[float]) -> None:
-    """Write all columns of ``docs`` to ``path/<shard column>=<n>/``; the column's name is ``shard``.
+    """Write all columns of ``docs`` to ``path/records/<shard column>=<n>/`` and a manifest.
 
-    If ``docs`` has a column ``shard`` already, the folder column is named ``shard_`` and so on.
+    The folder column is ``shard``; if ``docs`` has one of that name, ``shard_`` and so on.
+    ``path/manifest`` has a row (shard, file, rows, start) for each file: start is the slot of
+    its first row. Files count in the order of their paths; their rows are counted from the
+    files' footers, without reading a column.
     """
+    spark = docs.sparkSession
     name = fresh(docs, "shard")
     placed = docs.withColumn(name, rendezvous(F.col(f"`{key_col}`"), weights))
-    placed.hint("rebalance", F.col(name)).write.partitionBy(name).parquet(path)
+    placed.hint("rebalance", F.col(name)).write.partitionBy(name).parquet(f"{path}/records")
+    files = (_records(spark, path, docs.schema).select(F.col(name).alias("shard"), F.col("_metadata.file_path").alias("file"))
+             .groupBy("shard", "file").agg(F.count(F.lit(1)).alias("rows")))
+    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("file").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)) - F.col("rows")
+    files.withColumn("start", before).write.parquet(f"{path}/manifest")
 
 
-def read_shards(spark: SparkSession, path: str, schema: StructType, columns: Sequence[str]) -> DataFrame:
-    """``columns`` of the written records (of ``schema``) with _shard int and _slot long, gapless from 0 in a shard.
+def _records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    shard = StructField(fresh(spark.createDataFrame([], schema), "shard"), IntegerType())
+    return spark.read.schema(StructType([*schema, shard])).parquet(f"{path}/records")
 
-    Files count in the order of their paths. The counts, a row for each file, come from the
-    Parquet footers' row groups without reading a column.
-    """
-    shard_col = fresh(spark.createDataFrame([], schema), "shard")
-    whole = StructType([*schema, StructField(shard_col, IntegerType())])
-    rows = spark.read.schema(whole).parquet(path).select(
-        *[F.col(f"`{c}`") for c in columns], F.col(shard_col).alias("_shard"),
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    files = rows.groupBy("_shard", "_file").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_shard").orderBy("_file").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    starts = files.select("_file", before.alias("_start"))
-    return (rows.join(starts, "_file")
-            .select(*[F.col(f"`{c}`") for c in columns], "_shard", (F.col("_start") + F.col("_row")).alias("_slot")))
+
+def read_shards(spark: SparkSession, path: str, schema: StructType, columns: Sequence[Column]) -> DataFrame:
+    """``columns`` over the records (of ``schema``) with _shard int and _slot long, gapless from 0 in a shard."""
+    records = _records(spark, path, schema)
+    rows = records.select(*columns, F.col(f"`{records.columns[-1]}`").alias("_shard"),
+                          F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    starts = spark.read.schema("file string, start long").parquet(f"{path}/manifest").toDF("_file", "_start")
+    return rows.join(starts, "_file").withColumn("_slot", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -86,14 +90,15 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty table gives no rows. Without ``path`` the shards go to the shared checkpoint folder.
     """
     spark = docs.sparkSession
-    path = path or f"{Scratch(spark, 'shards').root}/records"
+    path = path or Scratch(spark, "shards").root
     write_shards(docs, path, id_col, weights)
-    rows = read_shards(spark, path, docs.schema, [id_col, text_col])
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
-    return rows.select(
-        F.col(f"`{id_col}`"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), F.lit(LAW).alias("law"), F.col("_shard").alias("shard"),
-        F.col("_slot").alias("slot"), rendezvous(F.col(f"`{id_col}`"), [*weights, 1.0]).alias("grown_shard"))
+    key = F.col(f"`{id_col}`")
+    rows = read_shards(spark, path, docs.schema, [
+        key.alias(id_col), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit(LAW).alias("law"), rendezvous(key, [*weights, 1.0]).alias("grown_shard")])
+    return rows.select(id_col, "size", "text_crc32", "law", F.col("_shard").alias("shard"),
+                       F.col("_slot").alias("slot"), "grown_shard")
 
 
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
