@@ -91,7 +91,8 @@ class Lexicon:
                 raw.append((piece, score, kind))
             elif field == 2:
                 pairs = dict(_fields(value)).get(3) == BYTE_PAIRS
-        held = [(p, round(s) - PIECE_COST if pairs else round(s * SCALE), k) for p, s, k in raw]
+        # A rank beyond the file's length marks a piece that no merge makes: it counts as the last.
+        held = [(p, max(round(s), -len(raw)) - PIECE_COST if pairs else round(s * SCALE), k) for p, s, k in raw]
         normal = [s for _, s, k in held if k == NORMAL]
         top = 0 if pairs else max(normal, default=0)
         self.unknown = min(normal, default=0) - (PIECE_COST if pairs else 10 * SCALE)
