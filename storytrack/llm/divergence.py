@@ -1,9 +1,10 @@
 """Source divergence audit: how far each source's use of terms is from the others' in its language.
 
-In-mapper stripes: a task folds whole documents into one hash table of stripes, term to
-(documents, occurrences by source), and writes it out whenever it has grown to ``CELLS``
-entries and at its end, so only one stripe per term and table is shuffled, never one row per
-word. Stripes are merged by key. Rare terms go first, by their document frequency alone; the
+In-mapper stripes: a task folds whole documents into hash tables of stripes, term to
+(documents, occurrences by source), and writes them out whenever they have grown to ``CELLS``
+entries and at its end, so only one stripe per term and table leaves a task, never one row per
+word. A table is a dictionary from terms to numbers and arrays of (term, source) cells, so
+words cost a look-up each and everything else is done by arrays. Stripes are merged by key. Rare terms go first, by their document frequency alone; the
 kept terms' stripes are merged per source and cut into tiles of ``TILE`` sources, so a stripe
 is bounded however many sources a language has.
 
@@ -15,80 +16,128 @@ such terms are counted, not visited. Every share is a whole number of billionths
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import Scratch, ship, small_batches, table
+from storytrack.llm.common import Scratch, broadcast_if_bytes, ship, small_batches, table, trim_memory
 
 LEAST_DOCUMENTS = 30
 TOP_TERMS = 50
 ADDED = 5  # to every count
-CELLS = 400_000  # entries of a task's hash table (some 100 MB) before it is written out
+CELLS = 500_000  # terms, or (term, source) cells beyond them, that a task holds (some 150 MB)
 TILE = 256  # sources of a tile
 BUCKET = 2048  # terms that a group is meant to hold
 PIECE = 1 << 22  # bytes of a text that are cut into terms at a time
 TEXTS_AT_ONCE = 500
+ROWS_OUT = 20_000  # stripes in a batch that leaves Python
+MAX_BROADCAST_BYTES = 64 << 20  # of kept terms
 STEPS = (1000, 1000, 1000)  # a billion, in factors that keep every product below 2**63
 
 # Letters and bytes of other scripts stay, A-Z lower-cased; everything else ends a term.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def term_counts(text: str) -> Counter:
-    """Terms (bytes) of a whole text, however long, with their occurrences."""
+def terms(text: str) -> Iterator[list[bytes]]:
+    """The terms of a whole text, however long, a piece of it at a time."""
     data = text.encode("utf-8", "surrogatepass").translate(_FOLD)
-    if len(data) <= PIECE:
-        return Counter(data.split())
-    found: Counter = Counter()
     at = 0
     while at < len(data):
-        end = data.find(b" ", min(at + PIECE, len(data)))
+        end = data.find(b" ", at + PIECE) if at + PIECE < len(data) else len(data)
         end = len(data) if end < 0 else end
-        found.update(data[at:end].split())
+        yield data[at:end].split()
         at = end
-    return found
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
+    return keys[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+
+
+class Stripes:
+    """The stripes of one language in a task: term numbers, and cells (term << 20 | source, docs, n)."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
+        self.sources: dict[str, int] = defaultdict(count().__next__)
+        self.cells = [np.empty(0, np.int64)] * 3
+        self.new: list = []
+        self.size = 0
+
+    def add(self, rows: list[tuple[str, str]]) -> None:
+        """Fold whole documents (source, text) in."""
+        held = []
+        for doc, (_, text) in enumerate(rows):
+            for words in terms(text):
+                codes = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+                ones = np.ones(len(codes), np.int64)
+                if len(codes) > PIECE >> 4:  # a piece of a long text
+                    codes, ones = _summed(codes, ones)
+                held.append((codes | doc << 40, ones))
+        if not held:
+            return
+        keys, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
+        source = np.array([self.sources[s] for s, _ in rows], np.int64)
+        keys = (keys & (1 << 40) - 1) << 20 | source[keys >> 40]
+        self.new.append(_summed(keys, np.ones(len(keys), np.int64), n))
+        self.size += len(self.new[-1][0])
+        if self.size > len(self.cells[0]):  # as many new cells as old ones: merge them
+            self.merge()
+
+    def merge(self) -> None:
+        self.cells = list(_summed(*[np.concatenate(x) for x in zip(self.cells, *self.new, strict=True)]))
+        self.new, self.size = [], 0
+
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        keys, docs, n = self.cells
+        if not len(keys):
+            return
+        first = np.flatnonzero(np.r_[True, (keys[1:] >> 20) != (keys[:-1] >> 20)])
+        names = pa.array(list(self.sources), pa.string()).take(pa.array(keys & (1 << 20) - 1))
+        ends = pa.array(np.r_[first, len(keys)].astype(np.int32))
+        batch = pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(lang, pa.string()), len(first)), pa.array(list(self.number), pa.binary()).cast(pa.string()),
+             pa.array(np.add.reduceat(docs, first)), pa.array(np.add.reduceat(n, first)),
+             pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(n))],
+            names=["lang", "term", "docs", "n", "sources", "counts"])
+        for at in range(0, batch.num_rows, ROWS_OUT):
+            yield batch.slice(at, ROWS_OUT)
 
 
 def stripes(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """(lang, term, docs, n, sources, counts) stripes of (lang, source, text) rows without nulls."""
-    def run(frames):
-        held: dict = {}
-        size = 0
-
-        def written():
-            keys = sorted(held)
-            for at in range(0, len(keys), 20_000):
-                part = keys[at:at + 20_000]
-                rows = [held[k] for k in part]
-                yield pd.DataFrame({
-                    "lang": [k[0] for k in part], "term": [k[1].decode("utf-8", "replace") for k in part],
-                    "docs": [r[0] for r in rows], "n": [sum(r[1].values()) for r in rows],
-                    "sources": [list(r[1]) for r in rows], "counts": [list(r[1].values()) for r in rows]})
-
-        for pdf in frames:
-            for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"], strict=True):
-                for term, n in term_counts(text).items():
-                    stripe = held.get((lang, term))
-                    if stripe is None:
-                        held[lang, term] = [1, {source: n}]
-                        size += 1
-                    else:
-                        stripe[0] += 1
-                        if source in stripe[1]:
-                            stripe[1][source] += n
-                        else:
-                            stripe[1][source] = n
-                            size += 1
-                if size >= cells:
-                    yield from written()
-                    held, size = {}, 0
-        yield from written()
-
-    return docs.mapInPandas(run, "lang string, term string, docs long, n long, sources array<string>, counts array<long>")
+    def run(batches):
+        held: dict[str, Stripes] = defaultdict(Stripes)
+        for batch in batches:
+            by_lang, size = defaultdict(list), defaultdict(int)
+            for lang, source, text in zip(*(batch[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
+                by_lang[lang].append((source, text))
+                size[lang] += len(text)
+                if size[lang] > PIECE:
+                    held[lang].add(by_lang.pop(lang))
+                    size[lang] = 0
+            for lang, rows in by_lang.items():
+                held[lang].add(rows)
+            if sum(len(x.number) + len(x.sources) + max(0, len(x.cells[0]) - cells) for x in held.values()) >= cells:
+                for lang, x in held.items():
+                    yield from x.rows(lang)
+                held.clear()
+        for lang, x in held.items():
+            yield from x.rows(lang)
+        held.clear()
+        trim_memory()
+
+    return docs.mapInArrow(run, "lang string, term string, docs long, n long, sources array<string>, counts array<long>")
 
 
 def share(count, total, terms):
@@ -186,7 +235,8 @@ def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("all_n"))
     cell = F.explode(F.arrays_zip("sources", "counts")).alias("cell")
     merged = scratch.write(
-        folded.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "term", cell)
+        folded.join(broadcast_if_bytes(kept.select("lang", "term"), MAX_BROADCAST_BYTES), ["lang", "term"], "left_semi")
+        .select("lang", "term", cell)
         .groupBy("lang", "term", F.col("cell.sources").alias("source")).agg(F.sum("cell.counts").alias("c")), "merged")
     # Every group of the documents, with its number in the language and its total.
     totals = merged.groupBy("lang", "source").agg(F.sum("c").alias("total"))
