@@ -175,11 +175,12 @@ def auto_update_rows(matched: DataFrame) -> DataFrame:
     return matched.select(F.col("story_id").alias("story"), F.col("tick").alias("timestamp"), *STATE_FIELDS)
 
 
-def apply_samples(story: DataFrame, samples: DataFrame) -> DataFrame:
+def apply_samples(story: DataFrame, samples: DataFrame, flag: str | None = None) -> DataFrame:
     """K6 (non-null branch): refresh the six state columns from each story's newest sample.
 
     Returns the new snapshot of ``story``; a sample older than the stored state does not
-    overwrite it, and samples for stories that no longer exist change nothing.
+    overwrite it, and samples for stories that no longer exist change nothing. ``flag``
+    names a further column that tells which rows were refreshed (A12).
     """
     state = F.struct(*[F.col(c) for c in STATE_FIELDS])
     newest = samples.groupBy("story").agg(
@@ -195,7 +196,7 @@ def apply_samples(story: DataFrame, samples: DataFrame) -> DataFrame:
             cols.append(F.when(take, F.col("_ts")).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
-    return j.select(*cols)
+    return j.select(*cols, *([take.alias(flag)] if flag else []))
 
 
 def live_samples(samples: DataFrame, story: DataFrame) -> DataFrame:
@@ -228,9 +229,10 @@ def outcome_samples(outcomes: DataFrame, as_of=AS_OF) -> DataFrame:
         *[F.col("new_" + c).alias(c) for c in STATE_FIELDS])
 
 
-def apply_checks(story: DataFrame, outcomes: DataFrame, as_of=AS_OF) -> DataFrame:
+def apply_checks(story: DataFrame, outcomes: DataFrame, as_of=AS_OF, flag: str | None = None) -> DataFrame:
     """K6 (both branches) for one update pass at ``as_of``: updated → six columns,
-    checked-only → ``checked_at = as_of``."""
+    checked-only → ``checked_at = as_of``. ``flag`` names a further column with each row's
+    outcome, null for untouched rows (A12)."""
     now = X.as_ts(as_of)
     o = outcomes.select(F.col("id"), "outcome", *[F.col("new_" + c) for c in STATE_FIELDS])
     j = story.join(o, "id", "left")
@@ -244,7 +246,7 @@ def apply_checks(story: DataFrame, outcomes: DataFrame, as_of=AS_OF) -> DataFram
             cols.append(F.when(F.col("outcome").isNotNull(), now).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
-    return j.select(*cols)
+    return j.select(*cols, *([F.col("outcome").alias(flag)] if flag else []))
 
 
 # -- subreddits (K7, K8, K9, J5) ------------------------------------------------

@@ -18,10 +18,12 @@ from storytrack.functions import scalars as X
 from storytrack.operators import history as H
 from storytrack.operators import merge as M
 from storytrack.operators import metrics as MET
+from storytrack.operators import rates as RATES
 from storytrack.operators import select as sel
+from storytrack.operators import sketches as SK
 from storytrack.operators.asof import asof_story_context, asof_subreddit_history
 from storytrack.operators.ordering import ordered_batches
-from storytrack.plans import jobs
+from storytrack.plans import counted, jobs
 from storytrack.plans.oracle import AS_OF as SQL_AS_OF
 from storytrack.plans.oracle import hot, minus_s, with_tables
 from storytrack.session import AS_OF
@@ -619,11 +621,17 @@ outc AS (SELECT c.id, c.reddit_short_id, r.score AS new_score, r.comments AS new
 UPD_TABLES = ("story", "sub", "feedu")
 
 
-def _update(spark, d):
+def _update_from(spark, d):
+    """The story table before the update pass, and the pass."""
     pages = _pages(spark, d)
     first = jobs.discovery(pages.filter(F.col("tick") <= F.lit(UPD_FIRST_DAY)), T.stories(spark, d),
                            T.subreddits(spark, d), AS_OF)
-    return jobs.update_pass(first.story_after.unionByName(first.new_stories), jobs.landed_snapshot(pages), UPD_AS_OF)
+    story = first.story_after.unionByName(first.new_stories)
+    return story, jobs.update_pass(story, jobs.landed_snapshot(pages), UPD_AS_OF)
+
+
+def _update(spark, d):
+    return _update_from(spark, d)[1]
 
 
 @register("check_outcomes", with_tables(*UPD_TABLES) + UPD_SQL + """
@@ -905,6 +913,151 @@ def q_rate_5m(spark, d):
     return out.select("window_start", "window_end", "n", r6("rate_per_s").alias("rate_per_s"))
 
 
+def _moving_sql(minutes: int) -> str:
+    """The average by its definition: every former tick's term, faded to this tick (terms
+    that have faded below a double's precision are left out)."""
+    return with_tables("obs") + f"""
+, ticks AS (SELECT feed, epoch_us(seen_at) // 5000000 AS k, count(*) AS n FROM obs GROUP BY 1, 2),
+terms AS (SELECT *, n / 5.0 * CASE WHEN k = min(k) OVER (PARTITION BY feed) THEN 1.0
+                                   ELSE 1 - exp(-5 / {60.0 * minutes}) END AS v FROM ticks)
+SELECT a.feed, make_timestamp((a.k + 1) * 5000000) AS tick_end, a.n,
+       round(sum(b.v * exp((b.k - a.k) * 5 / {60.0 * minutes})), 6) AS rate_per_s
+FROM terms a JOIN terms b ON a.feed IS NOT DISTINCT FROM b.feed AND b.k <= a.k AND b.k > a.k - {600 * minutes}
+GROUP BY a.feed, a.k, a.n"""
+
+
+def _moving(spark, d, minutes: int):
+    out = RATES.moving_rates(T.feed_observations(spark, d), "seen_at", "feed", (minutes,))
+    return out.select("feed", "tick_end", "n", r6(f"rate_{minutes}m").alias("rate_per_s"))
+
+
+@register("moving_rate_1m", _moving_sql(1))
+def q_moving_1m(spark, d):
+    """One-minute moving average of each feed's events, at every tick that has some."""
+    return _moving(spark, d, 1)
+
+
+@register("moving_rate_5m", _moving_sql(5))
+def q_moving_5m(spark, d):
+    return _moving(spark, d, 5)
+
+
+# -- A8/A10 from stored sketches and reservoirs -------------------------------------------
+
+def _stored_sketches(spark, rows, value, ts_col, group):
+    """Sketches as a daily run leaves them: written, and read back by the report."""
+    path = A.scratch_path(spark, "sketches")
+    SK.daily_sketches(rows, value, ts_col, group).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _rank_flags(rows, value, found, group, share=0.01):
+    """Whether each quantile's rank lies within ``share`` of the rows around the exact one."""
+    held = rows.select(group, value.alias("_v")).join(found.select(group, *[q for q, _ in QUANTILE_RANKS]), group)
+    ranks = held.groupBy(group).agg(*[x for q, _ in QUANTILE_RANKS for x in (
+        F.count_if(F.col("_v") < F.col(q)).alias(f"{q}_below"), F.count_if(F.col("_v") <= F.col(q)).alias(f"{q}_upto"))])
+    slack = F.ceil(F.col("n") * share) + 1
+    return found.join(ranks, group).select(group, "n", "min", "max", r6("mean").alias("mean"), *[
+        ((F.col(f"{q}_below") <= p * F.col("n") + slack) & (F.col(f"{q}_upto") >= p * F.col("n") - slack)).alias(f"{q}_ok")
+        for q, p in QUANTILE_RANKS])
+
+
+@register("latency_sketches", with_tables("story") + """
+, l AS (SELECT feed, epoch_ms(discovered_at) - epoch_ms(created_at) AS ms FROM story)
+SELECT feed, count(*) AS n, min(ms) AS min, max(ms) AS max, round(avg(ms), 6) AS mean,
+       true AS p50_ok, true AS p95_ok, true AS p99_ok FROM l GROUP BY feed""")
+def q_latency_sketches(spark, d):
+    """A8 from one stored sketch per feed and day, merged over all days."""
+    story = T.stories(spark, d, with_feed=True)
+    found = SK.merged_quantiles(_stored_sketches(spark, story, SK.latency_ms(), "discovered_at", "feed"))
+    return _rank_flags(story, SK.latency_ms(), found, "feed")
+
+
+@register("batch_size_sketches", with_tables("obs") + """
+, sizes AS (SELECT feed, tick, count(*) AS size FROM obs WHERE kind = 't3' GROUP BY feed, tick)
+SELECT feed, count(*) AS n, min(size) AS min, max(size) AS max, round(avg(size), 6) AS mean,
+       true AS p50_ok, true AS p95_ok, true AS p99_ok FROM sizes WHERE feed IS NOT NULL GROUP BY feed""")
+def q_batch_size_sketches(spark, d):
+    """A10 from one stored sketch per feed and day."""
+    obs = T.feed_observations(spark, d).filter((F.col("kind") == "t3") & F.col("feed").isNotNull())
+    sizes = obs.groupBy("feed", "tick").agg(F.count(F.lit(1)).alias("size"))
+    found = SK.merged_quantiles(_stored_sketches(spark, sizes, F.col("size"), "tick", "feed"))
+    return _rank_flags(sizes, F.col("size"), found, "feed")
+
+
+@register("latency_reservoir", with_tables("story") + f"""
+, p AS (SELECT feed, id, epoch_ms(discovered_at) - epoch_ms(created_at) AS value,
+               epoch_us(discovered_at) / 1e6 * {SK.ALPHA}
+                 - ln((CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS priority
+        FROM story)
+SELECT feed, id, value, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY feed ORDER BY priority DESC, id) AS INTEGER) AS rank FROM p)
+WHERE rank <= {SK.RESERVOIR}""")
+def q_latency_reservoir(spark, d):
+    """A8's decaying reservoir: drawn per half of the stories and merged, as two runs would."""
+    story = T.stories(spark, d, with_feed=True)
+    halves = [SK.decaying_reservoir(story.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == h), SK.latency_ms(),
+                                    "discovered_at", "id") for h in (0, 1)]
+    return SK.merge_reservoirs(*halves).select("feed", "id", "value", "rank")
+
+
+# -- A9/A12/K10: affected rows, counted while written --------------------------------------
+
+@register("affected_rows_discovery", with_tables(*DISC_TABLES) + DISC_SQL + """
+SELECT 'discovered' AS counter, count(*) AS n FROM newst
+UNION ALL SELECT 'guard_rejected', count(*) FROM rejected
+UNION ALL SELECT 'samples_appended', count(*) FROM samples
+UNION ALL SELECT 'auto_updated', count(*) FROM matched
+UNION ALL SELECT 'first_samples', count(*) FROM newst
+UNION ALL SELECT 'later_samples', (SELECT count(*) FROM samples) - (SELECT count(*) FROM matched) - (SELECT count(*) FROM newst)
+UNION ALL SELECT 'stories_refreshed', count(*) FROM story s
+  WHERE s.updated_at <= (SELECT max(tick) FROM matched m WHERE m.story_id = s.id)""")
+def q_affected_discovery(spark, d):
+    out = counted.scratch(spark, "affected-discovery")
+    counted.write_discovery(_discovery(spark, d), T.stories(spark, d), out)
+    return out.affected()
+
+
+@register("affected_rows_update", with_tables(*UPD_TABLES) + UPD_SQL + """
+SELECT 'update_samples' AS counter, count(*) AS n FROM outc WHERE outcome = 'updated'
+UNION ALL SELECT 'stories_updated', count(*) FROM outc WHERE outcome = 'updated'
+UNION ALL SELECT 'stories_checked_only', count(*) FROM outc WHERE outcome = 'checked'""")
+def q_affected_update(spark, d):
+    out = counted.scratch(spark, "affected-update")
+    story, done = _update_from(spark, d)
+    counted.write_update(story, done, out, UPD_AS_OF)
+    return out.affected()
+
+
+@register("affected_rows_archive", with_tables(*ARCH_TABLES) + ARCH_SQL + """
+, gone AS (SELECT id FROM doomed WHERE subreddit IN (SELECT id FROM sub))
+SELECT 'archived' AS counter, count(*) AS n FROM recs
+UNION ALL SELECT 'stories_deleted', count(*) FROM gone
+UNION ALL SELECT 'samples_cascaded', count(*) FROM hist WHERE story IN (SELECT id FROM gone)""")
+def q_affected_archive(spark, d):
+    out = counted.scratch(spark, "affected-archive")
+    counted.write_archive(spark, T.stories(spark, d), T.subreddits(spark, d), T.story_history(spark, d),
+                          A.scratch_path(spark, "archive"), out, AS_OF)
+    return out.affected()
+
+
+@register("affected_rows_subreddit_delete", with_tables("story", "hist", "sub", "subhist", "abouts") + """
+, doomed AS (SELECT s.id FROM sub s JOIN abouts a ON a.name = s.name WHERE a.status = 403),
+gone AS (SELECT id FROM story WHERE subreddit IN (SELECT id FROM doomed))
+SELECT 'subreddits_deleted' AS counter, count(*) AS n FROM doomed
+UNION ALL SELECT 'sub_samples_cascaded', count(*) FROM subhist WHERE subreddit IN (SELECT id FROM doomed)
+UNION ALL SELECT 'stories_cascaded', count(*) FROM gone
+UNION ALL SELECT 'story_samples_cascaded', count(*) FROM hist WHERE story IN (SELECT id FROM gone)""")
+def q_affected_subreddit_delete(spark, d):
+    sub = T.subreddits(spark, d)
+    forbidden = T.landed_subreddit_abouts(spark, d, AS_OF).filter(F.col("status") == 403)
+    doomed = sub.join(forbidden.select(F.col("requested").alias("name")), "name", "left_semi").select("id")
+    out = counted.scratch(spark, "affected-subreddits")
+    counted.write_subreddit_deletion(sub, T.subreddit_history(spark, d), T.stories(spark, d),
+                                     T.story_history(spark, d, with_hotness=False), doomed, out)
+    return out.affected()
+
+
 # -- M7: streaming (run to completion with availableNow, return the sink's rows) -------
 
 

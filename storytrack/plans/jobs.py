@@ -7,6 +7,7 @@ Callers write the returned frames as new snapshots (parquet has no in-place upda
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -30,25 +31,31 @@ class Discovery:
     rejected: DataFrame       # F7: unmatched, subreddit unknown
     new_stories: DataFrame    # K5: story rows to insert
     samples: DataFrame        # K5 first rows + later sightings + auto-updates (K6)
+    samples_inserted: DataFrame  # of these, K5's first rows
+    samples_later: DataFrame     # of these, later sightings of new stories
     story_after: DataFrame    # K6 applied to the existing table
 
 
 def discovery(pages: DataFrame, story: DataFrame, subreddit: DataFrame, as_of=AS_OF,
               strict: bool = False) -> Discovery:
-    """Landed feed pages → parsed stories → feed union → match / guard / insert / sample."""
+    """Landed feed pages → parsed stories → feed union → match / guard / insert / sample.
+
+    Without any community seen recently there is nothing to scrape for: an error (F8)."""
+    known = sel.subreddits_recently_seen(subreddit, as_of)
+    M.require_known(known)
     parsed = P.parse_story_pages(pages, strict=strict)
     # Read by every branch below (match, guard, insert, samples): computed once. The
     # union is one row per (tick, story) of the scrape, small next to the tables.
     feed_stories = M.union_feeds(parsed.drop("before", "after", "kind"),
                                  keys=("tick", "short_id")).persist(StorageLevel.MEMORY_AND_DISK)
     matched, unmatched = M.scrape_split(feed_stories, story)
-    known = sel.subreddits_recently_seen(subreddit, as_of)
     accepted, rejected = M.guard_known(unmatched, known)
     new_story, first_hist, later_hist = M.discover_insert(accepted, story, subreddit)
     auto = M.auto_update_rows(matched)
     samples = auto.unionByName(first_hist).unionByName(later_hist)
     story_after = M.apply_samples(story, auto)  # matched rows: their stories exist
-    return Discovery(feed_stories, matched, unmatched, accepted, rejected, new_story, samples, story_after)
+    return Discovery(feed_stories, matched, unmatched, accepted, rejected, new_story, samples,
+                     first_hist, later_hist, story_after)
 
 
 @dataclass
@@ -89,21 +96,23 @@ class ArchiveRun:
 
 
 def archive(spark: SparkSession, story: DataFrame, subreddit: DataFrame, history: DataFrame,
-            root: str, as_of=AS_OF, batch_id: int | None = None) -> ArchiveRun:
+            root: str, as_of=AS_OF, batch_id: int | None = None,
+            watch: Callable[[DataFrame], DataFrame] = lambda details: details) -> ArchiveRun:
     """Archivable stories → detail records → day-partitioned archive → delete what the
     committed write contained (J9 + K10).
 
     Each run writes under its own ``batch=<id>`` sub-partition (default: ``as_of`` in epoch
     ms). The ids to delete are read back from that committed batch, so a story that the
     write did not contain is never deleted, whatever happens to the tables meanwhile; a
-    failed write raises before anything is deleted (at-least-once)."""
+    failed write raises before anything is deleted (at-least-once). ``watch`` may observe
+    the records on their way into the archive (A9)."""
     if batch_id is None:
         when = as_of if isinstance(as_of, _dt.datetime) else _dt.datetime.fromisoformat(str(as_of))
         batch_id = int(when.replace(tzinfo=_dt.timezone.utc).timestamp() * 1000)
     doomed = sel.stories_archivable(story, as_of)
     doomed_hist = history.join(doomed.select(F.col("id").alias("story")), "story", "left_semi")
     details = H.story_detail(doomed, subreddit, doomed_hist)
-    A.write_archive(details, root, batch_id=batch_id)
+    A.write_archive(watch(details), root, batch_id=batch_id)
     committed = A.read_archive(spark, root, batched=True).filter(F.col("batch") == batch_id)
     gone = archived_ids(story, committed)
     story_after, history_after = M.delete_stories(story, history, gone)
