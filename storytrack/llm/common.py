@@ -53,16 +53,22 @@ class Scratch:
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, list[str]] = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df``, written and read again; with ``rows`` in partitions of about so many rows.
+
+        Small tables of iterations are then one partition, which joins and aggregates with its
+        like without an exchange; large ones have as many partitions as they need.
+        """
         made = self.paths.setdefault(name, [])
         made.append(f"{self.root}/{name}-{uuid.uuid4().hex[:8]}")
         df.write.parquet(made[-1])
-        return self.spark.read.schema(df.schema).parquet(made[-1])
+        table = self.spark.read.schema(df.schema).parquet(made[-1])
+        return table if rows is None else table.coalesce(max(1, -(-table.count() // rows)))
 
-    def renew(self, df: DataFrame, name: str) -> DataFrame:
+    def renew(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """:meth:`write`, then drop the older tables of that name (``df`` may read them)."""
         before = self.paths.pop(name, [])
-        made = self.write(df, name)
+        made = self.write(df, name, rows)
         self._delete(before)
         return made
 

@@ -43,6 +43,7 @@ MAX_BROADCAST_IDS = 1_000_000
 # more, hubs are drawn first, as long as a round of them closes a fifth of the open pairs.
 PAIRS_PER_ROUND = 500_000
 HUBS = 32
+ROWS = 200_000  # rows of a table of the rounds in a partition
 MEMBERS = 256  # members of a group that meet its hubs in one place
 PIECE = 1 << 22  # bytes of a text that are cut into words at a time
 TEXTS_AT_ONCE = 1000  # texts in a batch that goes to Python
@@ -233,15 +234,15 @@ def components(links: DataFrame) -> DataFrame:
     written and read again: plans and their size estimates do not grow from round to round.
     """
     scratch = Scratch(links.sparkSession, "components")
-    ends = scratch.write(links.select("x", "y").union(links.select("y", "x")).toDF("v", "w").distinct(), "ends")
+    ends = scratch.write(links.select("x", "y").union(links.select("y", "x")).toDF("v", "w").distinct(), "ends", ROWS)
     label = scratch.write(ends.groupBy("v").agg(F.min("w").alias("_m"))
-                          .select("v", F.least("v", "_m").alias("label")), "label")
+                          .select("v", F.least("v", "_m").alias("label")), "label", ROWS)
     while True:
         near = (ends.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("_m")))
         low = label.join(near, "v").select("v", "label", F.least("label", "_m").alias("_low"))
         far = label.select(F.col("v").alias("_low"), F.col("label").alias("_far"))
         new = scratch.renew(low.join(far, "_low").select("v", F.col("label").alias("_old"),
-                                                         F.least("_low", "_far").alias("label")), "label")
+                                                         F.least("_low", "_far").alias("label")), "label", ROWS)
         label = new.select("v", "label")
         if new.filter("label <> _old").isEmpty():
             scratch.drop("ends")
@@ -258,7 +259,7 @@ def relabelled(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
     moved = components(between)
     before = label.join(moved.select(F.col("v").alias("label"), F.col("label").alias("_to")), "label", "left").select(
         "v", F.coalesce("_to", "label").alias("label"))
-    return scratch.renew(before.unionByName(moved.join(label, "v", "left_anti")), "label")
+    return scratch.renew(before.unionByName(moved.join(label, "v", "left_anti")), "label", ROWS)
 
 
 def _sizes(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -343,40 +344,46 @@ def class_links(classes: DataFrame, keys: DataFrame, docs: DataFrame, threshold:
     met = scratch.write(a.select("v").distinct().join(b.select("v").distinct(), "v").join(classes, "v"), "met")
     # Classes that have enough shingles in common with the others to be similar to one.
     with small_batches(spark, TEXTS_AT_ONCE):
-        able = scratch.write(_sizes(met, docs, width).filter(F.col("c") * 100 >= F.col("n") * threshold), "able")
+        able = scratch.write(_sizes(met, docs, width).filter(F.col("c") * 100 >= F.col("n") * threshold), "able", ROWS)
         sets = scratch.write(shingle_sets(met.join(able.select("v"), "v", "left_semi"), docs, width), "sets")
-    a = scratch.renew(_shared(a.join(able.select("v"), "v", "left_semi"), "a"), "a")
-    b = scratch.renew(_shared(b.join(able.select("v"), "v", "left_semi"), "b"), "b")
-    label = scratch.write(spark.createDataFrame([], "v long, label long"), "label")
+    a = scratch.renew(_shared(a.join(able.select("v"), "v", "left_semi"), "a"), "a", ROWS)
+    b = scratch.renew(_shared(b.join(able.select("v"), "v", "left_semi"), "b"), "b", ROWS)
+    label = scratch.write(spark.createDataFrame([], "v long, label long"), "label", ROWS)
 
     def compare(hubs: DataFrame, members: DataFrame) -> DataFrame:
         with small_batches(spark):  # a row holds a whole set
-            links = scratch.renew(linked(hubs, members, able, label, sets, threshold), "links")
+            links = scratch.renew(linked(hubs, members, able, label, sets, threshold), "links", ROWS)
         return relabelled(label, links, scratch)
 
-    members = scratch.renew(first_hubs(a, b, able), "members")
+    members = scratch.renew(first_hubs(a, b, able), "members", ROWS)
     label = compare(members.select("g", F.col("g").alias("v")).distinct(), members)
+    top = F.coalesce("label", "v").alias("label")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        keys = [c for c in rows.columns if c != "label"]
+        return rows.select(*keys).join(label, "v", "left").select(*keys, top)
+
+    # The tensor: every pair of partial keys of a class whose buckets are still open on either side.
+    a, b = mixed(labelled(a), ["a"]), mixed(labelled(b), ["b"])
+    tables = a.join(b.select("b", "v"), "v")
     turn, before = 0, None
     while True:
-        # Only rows of open buckets, of classes that are in an open table, are needed any more.
-        top = F.coalesce("label", "v").alias("label")
-        a, b = (mixed(k.select(c, "v").join(label, "v", "left").select(c, "v", top), [c]) for k, c in ((a, "a"), (b, "b")))
-        tables = scratch.renew(mixed(a.join(b.select("b", "v"), "v"), ["a", "b"]), "tables")
-        a = scratch.renew(tables.select("a", "v", "label").distinct(), "a")
-        b = scratch.renew(tables.select("b", "v", "label").distinct(), "b")
+        # Tables that have come to belong to one component are settled for good.
+        tables = scratch.renew(mixed(tables if before is None else labelled(tables), ["a", "b"]), "tables", ROWS)
+        a = tables.select("a", "v", "label").distinct()
         count = a.groupBy("a", "label").agg(F.count(F.lit(1)).alias("_n"))
         left = (count.groupBy("a").agg(((F.pow(F.sum("_n"), 2) - F.sum(F.pow("_n", F.lit(2)))) / 2).alias("_p"))
                 .agg(F.sum("_p")).first()[0]) or 0
         if not left:
             break
         if left <= PAIRS_PER_ROUND or (before is not None and left > 0.8 * before):
-            pairs = scratch.renew(open_pairs(a, keys), "members")
+            pairs = scratch.renew(open_pairs(a, keys), "members", ROWS)
             label = compare(pairs.select("g", F.col("g").alias("v")).distinct(), pairs)
             break
         hubs, members = drawn_hubs(tables, turn)
-        label = compare(scratch.renew(hubs, "hubs"), scratch.renew(members, "members"))
+        label = compare(scratch.renew(hubs, "hubs", ROWS), scratch.renew(members, "members", ROWS))
         turn, before = turn + 1, left
-    scratch.drop("a", "b", "met", "able", "sets", "links", "members", "hubs", "tables")
+    scratch.drop("a", "b", "met", "able", "sets", "links", "members", "hubs", "tables")  # the labels stay
     return label
 
 
