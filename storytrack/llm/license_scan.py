@@ -18,16 +18,6 @@ from storytrack.llm.common import table
 # Normalised sentences of public licence texts and notices, by identifier.
 SENTENCES = {
     "rights": ["all rights reserved"],
-    "spdx-mit": ["spdx-license-identifier mit"],
-    "spdx-apache2": ["spdx-license-identifier apache-2.0"],
-    "spdx-gpl2": ["spdx-license-identifier gpl-2.0", "spdx-license-identifier gpl-2.0-only"],
-    "spdx-gpl2+": ["spdx-license-identifier gpl-2.0-or-later", "spdx-license-identifier gpl-2.0+"],
-    "spdx-gpl3": ["spdx-license-identifier gpl-3.0", "spdx-license-identifier gpl-3.0-only"],
-    "spdx-gpl3+": ["spdx-license-identifier gpl-3.0-or-later", "spdx-license-identifier gpl-3.0+"],
-    "spdx-bsd2": ["spdx-license-identifier bsd-2-clause"],
-    "spdx-bsd3": ["spdx-license-identifier bsd-3-clause"],
-    "spdx-isc": ["spdx-license-identifier isc"],
-    "spdx-mpl2": ["spdx-license-identifier mpl-2.0"],
     "mit-ref": ["released under the mit license", "licensed under the mit license",
                 "this project is licensed under the mit license", "distributed under the mit license",
                 "this code is licensed under the mit license", "the mit license", "mit license"],
@@ -79,6 +69,19 @@ SENTENCES = {
     "agpl3+-terms": ["you can redistribute it and/or modify it under the terms of the gnu affero general public license "
                      "as published by the free software foundation either version 3 of the license or at your option "
                      "any later version"],
+    # Parts of notices with semicolons, each a sentence to the scanner.
+    "gpl-terms": ["you can redistribute it and/or modify it under the terms of the gnu general public license as "
+                  "published by the free software foundation"],
+    "lgpl-terms": ["you can redistribute it and/or modify it under the terms of the gnu lesser general public license "
+                   "as published by the free software foundation"],
+    "agpl-terms": ["you can redistribute it and/or modify it under the terms of the gnu affero general public license "
+                   "as published by the free software foundation"],
+    "either-2+": ["either version 2 of the license or at your option any later version"],
+    "either-2.1+": ["either version 2.1 of the license or at your option any later version"],
+    "either-3+": ["either version 3 of the license or at your option any later version"],
+    "version-2": ["version 2 of the license"],
+    "version-2.1": ["version 2.1 of the license"],
+    "version-3": ["version 3 of the license"],
     "gpl-hope": ["this program is distributed in the hope that it will be useful but without any warranty",
                  "this library is distributed in the hope that it will be useful but without any warranty"],
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted "
@@ -91,9 +94,16 @@ SENTENCES = {
     "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse "
                     "or promote products derived from this software without specific prior written permission"],
     "isc-grant": ["permission to use copy modify and/or distribute this software for any purpose with or without fee is "
+                  "hereby granted provided that the above copyright notice and this permission notice appear in all "
+                  "copies",
+                  "permission to use copy modify and distribute this software for any purpose with or without fee is "
                   "hereby granted provided that the above copyright notice and this permission notice appear in all "
                   "copies"],
-    "mpl2-terms": ["this source code form is subject to the terms of the mozilla public license v. 2.0"],
+    "mpl2-terms": ["this source code form is subject to the terms of the mozilla public license v"],
+    "mpl2-copy": ["if a copy of the mpl was not distributed with this file you can obtain one at "
+                  "http //mozilla.org/mpl/2.0/",
+                  "if a copy of the mpl was not distributed with this file you can obtain one at "
+                  "https //mozilla.org/mpl/2.0/"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "cc-by": ["licensed under cc by 4.0", "this work is licensed under cc by 4.0",
               "this work is licensed under a creative commons attribution 4.0 international license"],
@@ -121,28 +131,54 @@ RULES = [
     ("GPL-2.0-or-later", ["free-software", "gpl2+-terms"]),
     ("GPL-2.0-only", ["free-software", "gpl2-terms", "gpl-hope"]),
     ("GPL-2.0-only", ["free-software", "gpl2-terms"]),
+    ("LGPL-2.1-or-later", ["free-software", "lgpl21+-terms", "gpl-hope"]),
     ("LGPL-2.1-or-later", ["free-software", "lgpl21+-terms"]),
+    ("LGPL-3.0-or-later", ["free-software", "lgpl3+-terms", "gpl-hope"]),
     ("LGPL-3.0-or-later", ["free-software", "lgpl3+-terms"]),
+    ("AGPL-3.0-or-later", ["free-software", "agpl3+-terms", "gpl-hope"]),
     ("AGPL-3.0-or-later", ["free-software", "agpl3+-terms"]),
+    *[(f"{family}-{version}-{kind}", ["free-software", f"{family.lower()}-terms", part, *hope])
+      for family, version, kind, part in [
+          ("GPL", "2.0", "or-later", "either-2+"), ("GPL", "3.0", "or-later", "either-3+"),
+          ("GPL", "2.0", "only", "version-2"), ("GPL", "3.0", "only", "version-3"),
+          ("LGPL", "2.1", "or-later", "either-2.1+"), ("LGPL", "3.0", "or-later", "either-3+"),
+          ("LGPL", "2.1", "only", "version-2.1"), ("LGPL", "3.0", "only", "version-3"),
+          ("AGPL", "3.0", "or-later", "either-3+"), ("AGPL", "3.0", "only", "version-3")]
+      for hope in (["gpl-hope"], [])],
     ("ISC", ["isc-grant"]),
-    ("MPL-2.0", ["mpl2-terms"]),
+    ("MPL-2.0", ["mpl2-terms", "mpl2-copy"]), ("MPL-2.0", ["mpl2-terms"]),
     ("Unlicense", ["unlicense"]),
-    ("MIT", ["mit-ref"]), ("MIT", ["spdx-mit"]),
-    ("Apache-2.0", ["apache2-header"]), ("Apache-2.0", ["apache2-ref"]), ("Apache-2.0", ["spdx-apache2"]),
-    ("GPL-3.0-only", ["gpl3-ref"]), ("GPL-3.0-only", ["spdx-gpl3"]), ("GPL-3.0-or-later", ["spdx-gpl3+"]),
-    ("GPL-2.0-only", ["gpl2-ref"]), ("GPL-2.0-only", ["spdx-gpl2"]), ("GPL-2.0-or-later", ["spdx-gpl2+"]),
-    ("BSD-2-Clause", ["spdx-bsd2"]), ("BSD-3-Clause", ["spdx-bsd3"]), ("ISC", ["spdx-isc"]),
-    ("MPL-2.0", ["spdx-mpl2"]),
+    ("MIT", ["mit-ref"]),
+    ("Apache-2.0", ["apache2-header"]), ("Apache-2.0", ["apache2-ref"]),
+    ("GPL-3.0-only", ["gpl3-ref"]),
+    ("GPL-2.0-only", ["gpl2-ref"]),
+   
+   
     ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd"]), ("CC-BY-NC-4.0", ["cc-by-nc"]), ("CC-BY-SA-4.0", ["cc-by-sa"]),
     ("CC-BY-ND-4.0", ["cc-by-nd"]), ("CC-BY-4.0", ["cc-by"]), ("CC0-1.0", ["cc0"]),
     ("all-rights-reserved", ["rights"]),
 ]
 
+# Identifiers of SPDX expressions, and what the older ones among them are called now.
+SPDX_IDS = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause",
+            "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0",
+            "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0",
+            "EPL-2.0", "EUPL-1.2", "GPL-1.0-only", "GPL-1.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later",
+            "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only",
+            "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0",
+            "MS-PL", "OFL-1.1", "PSF-2.0", "Unlicense", "WTFPL", "Zlib"]
+SPDX = {x.lower(): x for x in SPDX_IDS} | {
+    old: new for x in SPDX_IDS if "GPL" in x for old, new in (
+        [(x.lower().removesuffix("-only"), x)] if x.endswith("-only") else [(x.lower().removesuffix("-or-later") + "+", x)])}
+
 # Every known sentence holds one of these, so a text without any of them has no known sentence.
 # They are parts of single words: blanks and line ends of a text are as they are when it is tested.
-CUES = ["licen", "reserved", "permi", "copyright", "warrant", "redistribut", "software", "domain", "cc0"]
+CUES = ["licen", "reserved", "permi", "copyright", "warrant", "redistribut", "software", "domain", "cc0", "mpl"]
 
-SPDX = r"spdx-license-identifier[ \t]*:[ \t]*"
+# An expression runs to the end of its line; what stands after "with" is an exception to a licence.
+SPDX_EXPRESSION = r"spdx-license-identifier[ \t]*:[ \t]*([a-z0-9.+() \t-]+)"
+SPDX_EXCEPTION = r"[ \t]with[ \t]+[a-z0-9.+-]+"
+SPDX_TOKEN = r"[a-z0-9]+(?:[.+-]+[a-z0-9]+)*\+?"
 COMMENT_LEAD = r"(^|\n)[ \t]*(//+|/\*+|\*+/?|#+|;+|--+|<!--)[ \t]*"
 SENTENCE_END = r"[.;:!?]+([ \t\r\n]+|$)"
 LINE_OR_SENTENCE_END = r"\n|[.;:!?]+([ \t\r\n]+|$)"
@@ -174,6 +210,14 @@ def _licences(ids: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ids, F.lit("<=([^>]+)>"), F.lit(1)))
 
 
+def _spdx(text: Column) -> Column:
+    """Names of the licences in the SPDX expressions of a lower-case text, in order, each once."""
+    names = F.create_map(*[F.lit(x) for pair in SPDX.items() for x in pair])
+    expressions = F.array_join(F.regexp_extract_all(text, F.lit(SPDX_EXPRESSION), F.lit(1)), " ; ")
+    tokens = F.regexp_extract_all(F.regexp_replace(expressions, SPDX_EXCEPTION, " "), F.lit(SPDX_TOKEN), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(tokens, lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull()))
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, sentence_ids, licenses (both arrays of strings).
 
@@ -181,13 +225,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own), with line ends as spaces (wrapped licence texts, comment leaders removed), and with
     only blank lines, comment ends and copyright lines as sentence ends (wrapped texts after a title or a
     copyright line without a full stop); the sequences are matched apart and their findings
-    united. The SQL has the first two readings only. Null and empty texts have
-    empty arrays; repeated rows are scanned apart; other columns are ignored.
+    united. The licences of SPDX expressions come last (sentence id ``spdx-<licence>``): those
+    joined by OR, AND and parentheses all count, exceptions after WITH do not, unknown names
+    are passed over. Null and empty texts have empty arrays, an empty table gives no rows;
+    whole texts of any length are read; repeated rows are scanned apart; other columns are ignored.
     """
     lowered = docs.select(F.col(id_col), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
     cue = reduce(lambda a, b: a | b, [F.contains(F.col("_t"), F.lit(c)) for c in CUES])
-    prepared = lowered.select(F.col(id_col), F.when(cue, F.regexp_replace(
-        F.regexp_replace(F.col("_t"), SPDX, "spdx-license-identifier "), COMMENT_LEAD, "$1")).alias("_p"))
+    prepared = lowered.select(F.col(id_col), F.when(cue, F.col("_t")).alias("_t"),
+                              F.when(cue, F.regexp_replace(F.col("_t"), COMMENT_LEAD, "$1")).alias("_p"))
     found = prepared.select(
         F.col(id_col),
         F.when(F.col("_p").isNotNull(), _identifiers(F.col("_p"), LINE_OR_SENTENCE_END)).alias("_lines"),
@@ -195,16 +241,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .alias("_flow"),
         F.when(F.col("_p").isNotNull(), _identifiers(F.regexp_replace(
             F.regexp_replace(F.col("_p"), CLOSING, "\n\n"), COPYRIGHT_LINE, "\n\n"), PARAGRAPH_OR_SENTENCE_END))
-        .alias("_paragraphs"))
+        .alias("_paragraphs"),
+        F.when(F.col("_t").isNotNull(), _spdx(F.col("_t"))).alias("_spdx"))
     named = F.lit("<([^>]+)>")
     empty = F.array().cast("array<string>")
     readings = ["_lines", "_flow", "_paragraphs"]
+    spdx_ids = F.transform("_spdx", lambda x: F.concat(F.lit("spdx-"), x))
     return found.select(
         F.col(id_col),
         F.when(F.col("_lines").isNull(), empty).otherwise(reduce(F.array_union, [
-            F.regexp_extract_all(F.col(c), named, F.lit(1)) for c in readings])).alias("sentence_ids"),
+            *[F.regexp_extract_all(F.col(c), named, F.lit(1)) for c in readings], spdx_ids])).alias("sentence_ids"),
         F.when(F.col("_lines").isNull(), empty).otherwise(
-            reduce(F.array_union, [_licences(F.col(c)) for c in readings])).alias("licenses"))
+            reduce(F.array_union, [*[_licences(F.col(c)) for c in readings], F.col("_spdx")])).alias("licenses"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,34 +263,41 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     values = ", ".join("('" + t + "', '" + i + "')" for i, texts in SENTENCES.items() for t in texts)
+    names = ", ".join("('" + k + "', '" + v + "')" for k, v in SPDX.items())
     rules = "s"
     for name, seq in RULES:
         rules = f"replace({rules}, '{''.join(f'<{x}>' for x in seq)}', '<={name}>')"
     ordered = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"  # first places only
     return rf"""
 WITH known(sentence, ident) AS (VALUES {values}),
-prep AS (
-  SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')),
-    'spdx-license-identifier[ \t]*:[ \t]*', 'spdx-license-identifier ', 'g'),
-    '(^|\n)[ \t]*(//+|/\*+|\*+/?|#+|;+|--+|<!--)[ \t]*', '\1', 'g') AS p FROM documents),
+names(token, licence) AS (VALUES {names}),
+low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+prep AS (SELECT doc_id, regexp_replace(t, '{COMMENT_LEAD}', '\1', 'g') AS p FROM low),
 parts AS (
-  SELECT doc_id, 1 AS way, string_split_regex(p, '\n|[.;:!?]+([ \t\r\n]+|$)') AS ss FROM prep
+  SELECT doc_id, 1 AS way, string_split_regex(p, '{LINE_OR_SENTENCE_END}') AS ss FROM prep
+  UNION ALL
+  SELECT doc_id, 2, string_split_regex(replace(p, chr(10), ' '), '{SENTENCE_END}') FROM prep
   UNION ALL
-  SELECT doc_id, 2, string_split_regex(replace(p, chr(10), ' '), '[.;:!?]+([ \t\r\n]+|$)') FROM prep),
+  SELECT doc_id, 3, string_split_regex(regexp_replace(regexp_replace(p, '{CLOSING}', chr(10) || chr(10), 'g'),
+    '{COPYRIGHT_LINE}', chr(10) || chr(10), 'g'), '{PARAGRAPH_OR_SENTENCE_END}') FROM prep),
 one AS (
-  SELECT doc_id, way, i, trim(regexp_replace(ss[i], '[^a-z0-9.+/-]+', ' ', 'g'), ' .-') AS sentence
+  SELECT doc_id, way, i, trim(regexp_replace(ss[i], '{NOT_KEPT}', ' ', 'g'), ' .-') AS sentence
   FROM (SELECT doc_id, way, ss, unnest(range(1, len(ss) + 1)) AS i FROM parts)),
 seqs AS (
   SELECT doc_id, way, string_agg('<' || ident || '>', '' ORDER BY i) AS s
   FROM one JOIN known USING (sentence) GROUP BY 1, 2),
-both_ways AS (
-  SELECT doc_id, coalesce(max(s) FILTER (way = 1), '') AS a, coalesce(max(s) FILTER (way = 2), '') AS b
-  FROM seqs GROUP BY 1),
+ruled AS (SELECT doc_id, way, s, {rules} AS r FROM seqs),
+tokens AS (
+  SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS token FROM (
+    SELECT doc_id, regexp_extract_all(regexp_replace(array_to_string(
+      regexp_extract_all(t, '{SPDX_EXPRESSION}', 1), ' ; '), '{SPDX_EXCEPTION}', ' ', 'g'), '{SPDX_TOKEN}') AS x FROM low)),
+spdx AS (SELECT doc_id, list(licence ORDER BY i) AS l FROM tokens JOIN names USING (token) GROUP BY doc_id),
+every AS (
+  SELECT doc_id, string_agg(s, '' ORDER BY way) AS s, string_agg(r, '' ORDER BY way) AS r FROM ruled GROUP BY doc_id),
 lists AS (
-  SELECT doc_id, regexp_extract_all(a || b, '<([^>]+)>', 1) AS ids,
-    regexp_extract_all((SELECT {rules} FROM (SELECT a AS s)) || (SELECT {rules} FROM (SELECT b AS s)),
-      '<=([^>]+)>', 1) AS lic
-  FROM both_ways)
+  SELECT doc_id, list_concat(regexp_extract_all(coalesce(s, ''), '<([^>]+)>', 1), [('spdx-' || x) FOR x IN coalesce(l, [])]) AS ids,
+    list_concat(regexp_extract_all(coalesce(r, ''), '<=([^>]+)>', 1), coalesce(l, [])) AS lic
+  FROM every FULL JOIN spdx USING (doc_id))
 SELECT d.doc_id, coalesce(array_to_string({ordered.format('ids')}, ','), '') AS sentence_ids,
   coalesce(array_to_string({ordered.format('lic')}, ','), '') AS licenses
 FROM documents d LEFT JOIN lists USING (doc_id)

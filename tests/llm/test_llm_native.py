@@ -45,6 +45,120 @@ def test_licences(spark, text, expected):
     assert got.licenses == expected
 
 
+GNU = """    This {what} is free software{mark} you can redistribute it and/or modify
+    it under the terms of the GNU {family}General Public License as published by
+    the Free Software Foundation{mark2} {version}
+
+    This {what} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {family}General Public License for more details."""
+LATER = "either version {} of the License, or\n    (at your option) any later version."
+
+
+def gnu(name):
+    """The standard notice of a GNU licence, in its older and its newer punctuation."""
+    family, version, kind = name.split("-", 2)
+    words = {"GPL": "", "LGPL": "Lesser ", "AGPL": "Affero "}[family]
+    number = version.removesuffix(".0")
+    upto = LATER.format(number) if kind == "or-later" else f"version {number} of the License."
+    old = GNU.format(what="library" if family == "LGPL" else "program", mark=";", mark2=";", family=words, version=upto)
+    new = GNU.format(what="program", mark=":", mark2=",", family=words, version=upto)
+    return [old] + ([new] if kind == "or-later" else [])
+
+
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+HEADERS = [
+    *[(n, t) for n in ("GPL-2.0-or-later", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-or-later",
+                       "LGPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-or-later", "AGPL-3.0-only")
+      for t in gnu(n)],
+    ("GPL-2.0-only", """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""),
+    ("BSD-2-Clause", BSD2),
+    ("BSD-3-Clause", BSD2 + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""),
+    ("ISC", """Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy."),
+    ("MIT", MIT),
+    ("CC-BY-4.0", "This work is licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"), ("CC0-1.0", "Dedicated to the public domain."),
+    ("all-rights-reserved", "(c) 2020 Foo Inc. All rights\nreserved."),
+]
+EXPRESSIONS = [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("# spdx-license-identifier : LGPL-2.1-or-later", ["LGPL-2.1-or-later"]),
+    ("/* SPDX-License-Identifier: (GPL-2.0+ WITH Linux-syscall-note) AND bsd-3-clause */\nint x;", ["GPL-2.0-or-later", "BSD-3-Clause"]),
+    ("SPDX-License-Identifier: GPL-2.0.", ["GPL-2.0-only"]),
+    ("<!-- SPDX-License-Identifier: CC-BY-SA-4.0 -->\nSPDX-License-Identifier: Own-1.0\nSPDX-License-Identifier: AGPL-3.0-only",
+     ["CC-BY-SA-4.0", "AGPL-3.0-only"]),
+]
+
+
+def test_every_rule_has_a_header_here():
+    assert {n for n, _ in HEADERS} == {n for n, _ in license_scan.RULES}
+
+
+def notices():
+    """Each header bare, as a comment, and after a title and copyright line without a full stop."""
+    out = []
+    for name, text in HEADERS:
+        lines = text.split("\n")
+        out += [(text, [name]), ("\n".join("// " + x.strip() for x in lines) + "\nint main() {}", [name]),
+                ("/*\n" + "\n".join(" * " + x.strip() for x in lines) + "\n */\nint main();", [name]),
+                ("Some title\n\nCopyright (c) 2020 Jane Doe\n\n" + text, [name])]
+    return out + EXPRESSIONS
+
+
+def test_full_headers_and_expressions(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(notices())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.license_scan(docs).collect()}
+    wrong = {(notices()[i][0][:60], tuple(notices()[i][1]), tuple(x)) for i, x in got.items() if x != notices()[i][1]}
+    assert not wrong
+
+
+def test_sql_reads_headers_alike(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(notices())] + [(10_000, None), (10_001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.license_scan(docs).select(
+        "doc_id", F.array_join("sentence_ids", ","), F.array_join("licenses", ",")).collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(map(tuple, got)) == sorted(con.execute(license_scan.OP1_SQL).fetchall())
+
+
 ISC = """Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies."""
