@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storytrack.functions import scalars as X
+from storytrack.operators import cascade as C
 from storytrack.operators import history as H
 from storytrack.operators import merge as M
 from storytrack.operators import metrics as MET
@@ -28,9 +29,11 @@ from storytrack.plans.oracle import AS_OF as SQL_AS_OF
 from storytrack.plans.oracle import hot, minus_s, with_tables
 from storytrack.session import AS_OF
 from storytrack.sources import archive as A
+from storytrack.sources import ledger as L
 from storytrack.sources import payload as P
 from storytrack.sources import tables as T
 from storytrack.streaming import jobs as STR
+from storytrack.streaming import native as NAT
 from storytrack.streaming.landing import land_in_order
 
 QUANTILE_RANKS = [(name, q) for q, name in MET.QUANTILES]
@@ -805,6 +808,90 @@ def q_archive_compact(spark, d):
                                            F.sum(F.size("history.timestamp")).alias("n_points"))
 
 
+LEDGER_BATCH = 896659200000  # AS_OF in milliseconds
+
+
+def _committed(spark, d):
+    """The finished stories archived with a ledger; (root, detail records)."""
+    root = A.scratch_path(spark, "archive")
+    doomed = sel.stories_archivable(T.stories(spark, d), AS_OF)
+    hist = T.story_history(spark, d).join(doomed.select(F.col("id").alias("story")), "story", "left_semi")
+    details = H.story_detail(doomed, T.subreddits(spark, d), hist)
+    L.write_committed(spark, details, root, LEDGER_BATCH)
+    return root, details
+
+
+@register("archive_ledger", with_tables(*ARCH_TABLES) + ARCH_SQL + f"""
+SELECT archive_date AS day, {LEDGER_BATCH} AS batch, count(*) AS records, true AS whole FROM recs GROUP BY archive_date""")
+def q_archive_ledger(spark, d):
+    """K1: one row per committed day; whole: its files hold what was committed."""
+    root, _ = _committed(spark, d)
+    broken = L.damaged(spark, root).select("day", F.lit(True).alias("_broken"))
+    held = L.read_ledger(spark, root).join(broken, "day", "left")
+    return held.select("day", "batch", "records", F.col("_broken").isNull().alias("whole"))
+
+
+@register("archive_compact_new", with_tables(*ARCH_TABLES) + ARCH_SQL + """
+, twice AS (SELECT max(archive_date) AS day FROM recs)
+SELECT archive_date, count(*) AS n_records, sum(n_points) AS n_points,
+       CASE WHEN archive_date = (SELECT day FROM twice) THEN 2 ELSE 1 END AS times_rewritten
+FROM recs GROUP BY archive_date""")
+def q_archive_compact_new(spark, d):
+    """K4 by marks: all days once, then only the last day, whose stories came again without
+    samples (their fuller records stay), then none."""
+    root, details = _committed(spark, d)
+    out = A.scratch_path(spark, "composed")
+    runs = [L.compact_new(spark, root, out)]
+    day = X.utc_day(F.timestamp_millis(F.col("createdAt")))
+    none = F.struct(*[F.slice(f"history.{f.name}", 1, 0).alias(f.name) for f in details.schema["history"].dataType])
+    L.write_committed(spark, details.filter(day == runs[0][-1]).withColumn("history", none), root, LEDGER_BATCH + 1)
+    runs += [L.compact_new(spark, root, out), L.compact_new(spark, root, out)]
+    again = [x for run in runs[1:] for x in run]
+    return (A.read_archive(spark, out).groupBy("archive_date").agg(
+        F.count(F.lit(1)).alias("n_records"), F.sum(F.size("history.timestamp")).alias("n_points"))
+        .withColumn("times_rewritten", F.when(F.col("archive_date").isin(again), len(again) + 1).otherwise(1)))
+
+
+def _keyed_tables(spark, d):
+    return {"subreddit": T.subreddits(spark, d), "subreddit_history": T.subreddit_history(spark, d),
+            "story": T.stories(spark, d), "story_history": T.story_history(spark, d, with_hotness=False)}
+
+
+@register("cascade_by_keys", with_tables("story", "hist", "sub", "subhist", "abouts") + """
+, doomed AS (SELECT s.id FROM sub s JOIN abouts a ON a.name = s.name WHERE a.status = 403),
+gone AS (SELECT id FROM story WHERE subreddit IN (SELECT id FROM doomed) OR id % 5 = 0)
+SELECT 'subreddit' AS "table", count(*) AS rows, count(*) FILTER (id IN (SELECT id FROM doomed)) AS gone FROM sub
+UNION ALL SELECT 'subreddit_history', count(*), count(*) FILTER (subreddit IN (SELECT id FROM doomed)) FROM subhist
+UNION ALL SELECT 'story', count(*), count(*) FILTER (id IN (SELECT id FROM gone)) FROM story
+UNION ALL SELECT 'story_history', count(*), count(*) FILTER (story IN (SELECT id FROM gone)) FROM hist""")
+def q_cascade_by_keys(spark, d):
+    """K10 and K11 in one delete: forbidden communities, and some stories by their own id."""
+    tables = _keyed_tables(spark, d)
+    forbidden = T.landed_subreddit_abouts(spark, d, AS_OF).filter(F.col("status") == 403)
+    doomed = {"subreddit": tables["subreddit"].join(forbidden.select(F.col("requested").alias("name")), "name", "left_semi"),
+              "story": tables["story"].filter(F.col("id") % 5 == 0)}
+    parts = [rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("_gone").alias("gone")).select(
+        F.lit(name).alias("table"), "rows", "gone") for name, rows in C.flagged(tables, doomed).items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@register("orphan_audit", with_tables("story", "hist", "sub", "subhist") + """
+, held AS (SELECT id FROM sub WHERE id % 7 <> 0), stories AS (SELECT * FROM story WHERE id % 3 <> 0)
+SELECT 'story' AS child, 'subreddit' AS "column", 'subreddit' AS parent, count(*) AS "references",
+       count(*) FILTER (subreddit NOT IN (SELECT id FROM held)) AS orphans FROM stories
+UNION ALL SELECT 'story_history', 'story', 'story', count(*), count(*) FILTER (story NOT IN (SELECT id FROM stories)) FROM hist
+UNION ALL SELECT 'subreddit_history', 'subreddit', 'subreddit', count(*),
+                 count(*) FILTER (subreddit NOT IN (SELECT id FROM held)) FROM subhist""")
+def q_orphan_audit(spark, d):
+    """The audit over tables that lost some parents without a cascade."""
+    tables = _keyed_tables(spark, d)
+    return C.orphans(dict(tables, subreddit=tables["subreddit"].filter(F.col("id") % 7 != 0),
+                          story=tables["story"].filter(F.col("id") % 3 != 0)))
+
+
 @register("delete_cascade_story", with_tables("story") + f"""
 SELECT id, reddit_short_id FROM story WHERE NOT (created_at <= {minus_s(SQL_AS_OF, '172800')})""")
 def q_delete_story(spark, d):
@@ -1299,3 +1386,89 @@ def q_stream_latest_state(spark, d):
     snap = STR.current(spark, T.stories(spark, d), f"{root}/out")
     return snap.select("id", "score", r6("hotness").alias("hotness"), "comments", "gilded", "updated_at",
                        "checked_at")
+
+
+# -- M8: streams on Spark's own state ---------------------------------------------------
+
+def _ends(df, time_cols, step_days=400, **fixed):
+    """Two rows far behind ``df``'s last time, in files of their own: they move the watermark
+    past all that came before (availableNow runs no trailing no-data batch)."""
+    last = df.agg(F.max(time_cols[0]).alias("m")).first()["m"]
+    row = df.limit(1)
+    return last, [row.select(*[
+        F.lit(last + dt.timedelta(days=k * step_days)).alias(c) if c in time_cols else fixed[c].alias(c) if c in fixed
+        else F.col(c) for c in df.columns]) for k in (1, 2)]
+
+
+@register("stream_sightings", with_tables("obs", "parsed") + """
+SELECT short_id, min(tick) AS tick FROM parsed GROUP BY short_id""")
+def q_stream_sightings(spark, d):
+    """ST2 on Spark's de-duplication, tracked for longer than the input lasts."""
+    root = A.scratch_path(spark, "stream-sightings")
+    land_in_order(_pages(spark, d), f"{root}/landing", "tick", "json", steps_per_file=1)
+    STR.await_done(NAT.sightings_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/checkpoint", 400 * 86400, max_files=1))
+    return spark.read.parquet(f"{root}/out").select("short_id", "tick")
+
+
+@register("stream_union_feeds", with_tables("feedu") + """
+SELECT tick, short_id, feed, page, pos, in_new, score FROM feedu WHERE feed IN ('hot', 'new')""")
+def q_stream_union_feeds(spark, d):
+    """ST1/U1 over two feeds that land apart, in steps of different sizes."""
+    root = A.scratch_path(spark, "stream-union")
+    pages = _pages(spark, d).filter(F.col("feed").isin("hot", "new"))
+    last, ends = _ends(pages, ["tick"])
+    for feed, steps in (("hot", 7), ("new", 10)):
+        land_in_order(pages.filter(F.col("feed") == feed), f"{root}/{feed}", "tick", "json", steps_per_file=steps, prefix="data")
+        for k, end in enumerate(ends):
+            land_in_order(end.withColumn("feed", F.lit(feed)), f"{root}/{feed}", "tick", "json", prefix=f"end{k}")
+    STR.await_done(NAT.union_stream(spark, f"{root}/hot", f"{root}/new", f"{root}/out", f"{root}/checkpoint", max_files=1))
+    out = spark.read.parquet(f"{root}/out").filter(F.col("tick") <= F.lit(last))
+    return out.select("tick", "short_id", "feed", "page", "pos", "in_new", "score")
+
+
+def _land_years(df, folder, time_col, ends):
+    stepped = df.withColumn("_year", F.year(time_col))
+    land_in_order(stepped, folder, "_year", "parquet", steps_per_file=2, prefix="data")
+    for k, end in enumerate(ends):
+        land_in_order(end.withColumn("_year", F.year(time_col)), folder, "_year", "parquet", prefix=f"end{k}")
+
+
+@register("stream_samples_with_stories", with_tables("story", "hist") + """
+SELECT h.story, h.timestamp, h.tie1, h.score, s.id AS story_id, s.created_at
+FROM hist h LEFT JOIN story s ON s.id = h.story AND h.timestamp >= s.created_at
+  AND h.timestamp < s.created_at + INTERVAL 5 DAY""")
+def q_stream_samples_with_stories(spark, d):
+    """ST3/J2 as a stream-stream join, samples of five days after a story's creation."""
+    root = A.scratch_path(spark, "stream-join")
+    samples = T.story_history(spark, d, with_hotness=False).select("story", "timestamp", "tie1", "score")
+    stories = T.stories(spark, d).select("id", "created_at")
+    end, gone = F.lit(-1).cast("long"), F.lit(-2).cast("long")
+    _, late = _ends(samples, ["timestamp"], story=end)
+    _, late_stories = _ends(stories, ["created_at"], step_days=500, id=gone)
+    _land_years(samples, f"{root}/samples", "timestamp", late)
+    _land_years(stories, f"{root}/stories", "created_at", late_stories)
+    STR.await_done(NAT.samples_with_stories(spark, f"{root}/samples", samples.schema, f"{root}/stories", stories.schema,
+                                            f"{root}/out", f"{root}/checkpoint", 5 * 86400, max_files=1))
+    out = spark.read.parquet(f"{root}/out").filter(F.col("story") >= 0)
+    return out.select("story", "timestamp", "tie1", "score", F.col("id").alias("story_id"), "created_at")
+
+
+@register("stream_stories_with_context", with_tables("story", "subhist") + """
+, held AS (SELECT s.id, s.subreddit, s.created_at, max({'t': h.timestamp, 'id': h.id}) AS l
+           FROM story s LEFT JOIN subhist h ON h.subreddit = s.subreddit AND h.timestamp <= s.created_at
+             AND h.timestamp >= s.created_at - INTERVAL 60 DAY GROUP BY ALL)
+SELECT held.id, held.subreddit, held.created_at, l.id AS sample, l.t AS sampled_at, h.subscribers, h.active
+FROM held LEFT JOIN subhist h ON h.id = l.id""")
+def q_stream_stories_with_context(spark, d):
+    """ST3/J8 as a stream-stream join and aggregate: the last community sample of 60 days."""
+    root = A.scratch_path(spark, "stream-asof")
+    stories = T.stories(spark, d).select("id", "subreddit", "created_at")
+    samples = T.subreddit_history(spark, d).select("id", "subreddit", "timestamp", "subscribers", "active")
+    none = F.lit(-1).cast("long")
+    _, late = _ends(stories, ["created_at"], subreddit=none, id=none)
+    _, late_samples = _ends(samples, ["timestamp"], subreddit=F.lit(-2).cast("long"), id=none)
+    _land_years(stories, f"{root}/stories", "created_at", late)
+    _land_years(samples, f"{root}/samples", "timestamp", late_samples)
+    STR.await_done(NAT.stories_with_context(spark, f"{root}/stories", stories.schema, f"{root}/samples", samples.schema,
+                                            f"{root}/out", f"{root}/checkpoint", 60 * 86400, max_files=1))
+    return spark.read.parquet(f"{root}/out").filter(F.col("id") >= 0)

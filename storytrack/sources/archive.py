@@ -92,12 +92,22 @@ def compact_archive(spark: SparkSession, root: str, out: str, batched: bool = Fa
     recs = read_archive(spark, root, batched)
     if days is not None:
         recs = recs.filter(F.col("archive_date").isin(days))
-    batch = F.col("batch") if batched else F.lit(0).cast("long")
-    best = (recs.groupBy("archive_date", F.col("summary.id").alias("_sid"),
+    write_compacted(best_records(recs if batched else recs.withColumn("batch", F.lit(0).cast("long"))),
+                    out, max_records_per_file)
+    return read_archive(spark, out)
+
+
+def best_records(recs: DataFrame) -> DataFrame:
+    """Of batched records with equal (day, story, chunk) the one with the most samples (ties: later batch)."""
+    return (recs.groupBy("archive_date", F.col("summary.id").alias("_sid"),
                          F.coalesce("chunk", F.lit(0).cast("long")).alias("chunk"))
             .agg(F.max_by(F.struct("summary", "history"),
-                          F.struct(F.size("history.timestamp"), batch)).alias("_r"))
+                          F.struct(F.size("history.timestamp"), F.col("batch"))).alias("_r"))
             .select("archive_date", "_r.summary", "_r.history", "chunk"))
+
+
+def write_compacted(best: DataFrame, out: str, max_records_per_file: int = MAX_RECORDS_PER_FILE) -> None:
+    """Replace the days of ``best`` under ``out``; other days stay as they are."""
     (_spread_days(best)
      .write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
@@ -106,7 +116,6 @@ def compact_archive(spark: SparkSession, root: str, out: str, batched: bool = Fa
      .option("maxRecordsPerFile", max_records_per_file)
      .partitionBy("archive_date")
      .json(out))
-    return read_archive(spark, out)
 
 
 def archive_day_counts(details: DataFrame) -> DataFrame:
