@@ -36,9 +36,9 @@ SPACE = "▁"
 CHUNK = 1 << 15  # characters of a long text in a chunk; texts of fewer bytes are one chunk
 FAN = 64  # chunks that are combined at a time
 CHUNKS_AT_ONCE = 32  # chunks in a batch that goes to Python
-TEXTS_AT_ONCE = 200  # texts in a batch that goes to Python
-CHARACTERS_AT_ONCE = 1 << 18  # of texts that are cut into words together
-CACHE_BYTES = 24 << 20  # about, of words whose ids are kept
+TEXTS_AT_ONCE = 500  # texts in a batch that goes to Python
+CHARACTERS_AT_ONCE = 1 << 20  # of texts that are cut into words together
+CACHE_BYTES = 32 << 20  # about, of words whose ids are kept; as many older ones are kept besides
 LONGEST_CACHED = 48
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6  # kinds of pieces in the model file
 BYTE_PAIRS = 2  # kind of model, in the trainer's settings
@@ -114,7 +114,9 @@ class Lexicon:
         # Every path passes a place before a space mark that follows another character.
         self.cuts = not any(b == SPACE != a for p in self.score for a, b in zip(p, p[1:], strict=False))
         self.line_cuts = not any("\n" in p for p in self.score if len(p) > 1)
+        # Ids of words, in two generations: a full one replaces the older one, words in use move over.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.known_bytes = 0
         self._build_table()
 
@@ -254,14 +256,16 @@ class Lexicon:
     def _cached(self, words: list[str]) -> list[bytes]:
         held = list(map(self.known.get, words))
         if None in held:
-            new = list(dict.fromkeys(w for w, ids in zip(words, held, strict=True) if ids is None))
-            fresh = dict(zip(new, self.words(new), strict=True))
+            missing = list(dict.fromkeys(w for w, ids in zip(words, held, strict=True) if ids is None))
+            fresh = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
+            new = [w for w in missing if w not in fresh]
+            fresh.update(zip(new, self.words(new), strict=True))
+            if self.known_bytes > CACHE_BYTES:
+                self.known, self.older, self.known_bytes = {}, self.known, 0
             for w, ids in fresh.items():
                 if len(w) <= LONGEST_CACHED:
                     self.known[w] = ids
                     self.known_bytes += len(w) + len(ids) + 180  # with the objects' own size
-            if self.known_bytes > CACHE_BYTES:
-                self.known, self.known_bytes = {}, 0
             held = [fresh[w] if ids is None else ids for w, ids in zip(words, held, strict=True)]
         return held
 
