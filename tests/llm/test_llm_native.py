@@ -1,5 +1,9 @@
 """Column-only operators: licence texts, seeds, hosts, markup, heavy hitters."""
 
+import itertools
+import math
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -213,6 +217,57 @@ def test_substituted_words_are_tolerated(spark):
     assert got == {1, 2, 3, 6}
 
 
+def substituted():
+    """Documents with items of 5 to 30 words, as many words substituted as the rule allows, at random."""
+    rng, items, docs = random.Random(4), [], []
+    for n in range(5, 31):
+        words = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        for k in range(12):
+            lost = set(rng.sample(range(n), n - math.ceil(0.8 * n - 1e-9)))
+            docs.append((n * 100 + k, "some words before " + " ".join("zz" if i in lost else w for i, w in enumerate(words))
+                         + " and behind it " * (k % 3)))
+    return items, docs
+
+
+def test_short_items_are_found_with_substitutions(spark):
+    """All of the patterns for items under 20 words; for longer ones those in a verified window of 20."""
+    items, docs = substituted()
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.doc_id // 100 == r.item_id for r in got)
+    found = {r.doc_id for r in got}
+    assert all(i in found for i, _ in docs if i // 100 < 20)
+    assert len(found) >= 0.9 * len(docs)
+
+
+def test_masks_miss_almost_no_pattern():
+    def seen(n, masks, lost):
+        return any(all(a + i not in lost for i, c in enumerate(m) if c == "1") for m in masks for a in range(n - len(m) + 1))
+    for n, masks, least in [(n, decontaminate.SHORT_MASKS, 1) for n in range(5, 20)] + [(20, decontaminate.MASKS, 0.99)]:
+        every = list(itertools.combinations(range(n), n - math.ceil(0.8 * n - 1e-9)))
+        assert sum(seen(n, masks, set(x)) for x in every) >= least * len(every)
+
+
+def test_tiny_items_and_sql(spark):
+    items, docs = substituted()
+    items += [(900, "Yes."), (901, "the end of it"), (902, ""), (903, None), (904, "w7x0 w7x1 w7x2 w7x3 w7x4 w7x5 w7x6")]
+    docs += [(9000, "yes"), (9001, "yes and no"), (9002, " The end, of it!"), (9003, "it is the end of it all"), (9004, ""), (9005, None),
+             (9000, "yes")]
+    bench, rows = (spark.createDataFrame(x, f"{c} long, text string") for x, c in ((items, "item_id"), (docs, "doc_id")))
+    got = decontaminate.mark_contaminated(rows, bench).filter("contaminated")
+    tiny = {(r.doc_id, tuple(r["items"])) for r in got.filter("doc_id >= 9000").collect()}
+    assert tiny == {(9000, (900,)), (9002, (901,))}
+    con = duckdb.connect()
+    con.register("benchmark", bench.toPandas())
+    con.register("documents", rows.toPandas())
+    want = con.execute(decontaminate.OP9_SQL).fetchall()
+    have = got.select("doc_id", "contaminated", "n_items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
+    assert sorted(map(tuple, have.collect())) == sorted(want)
+    assert decontaminate.contaminated(rows, bench.limit(0)).collect() == []
+    assert decontaminate.contaminated(rows.limit(0), bench).collect() == []
+
+
 def test_blocks_and_parts_do_not_change_the_result(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     pairs = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
