@@ -25,8 +25,10 @@ EPOCHS = 6
 THRESHOLD = 0.7
 WINDOW, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 12, 8
-MIN_COUNT, MAX_WORDS = 3, 20_000
-NGRAM_BUCKETS = 1 << 14
+MIN_COUNT, MAX_WORDS = 8, 20_000
+NGRAM_BUCKETS = 1 << 15
+PREFIXES = (6, 8)  # bytes, with the mark of the start
+PREFIX_WEIGHT = 3  # times that a prefix counts: it is one of many n-grams of its word
 MAX_CHARS = 24  # of a word's start that its n-grams cover; longer words are cut into words of this length
 CACHE_WORDS = 150_000
 BATCH = 2048
@@ -43,21 +45,29 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte 3- and 4-grams of words between marks of start and end, and their words' places."""
+    """Buckets of the words' byte 3- and 4-grams between marks of start and end, and of their
+    first ``PREFIXES`` bytes, and their words' places, ascending."""
     marked = [f"^{w}$$".encode("utf-8", "surrogatepass") for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(m) for m in marked])
-    byte = np.frombuffer(b"".join(marked) + bytes(3), np.uint8).astype(np.uint32)
-    after = np.concatenate([owner, np.full(3, -1)])
-    grams = np.empty((len(owner), 2), np.int64)
-    inside = np.empty((len(owner), 2), bool)
-    for k, n in enumerate((3, 4)):
-        h = np.full(len(owner), n, np.uint32)
+    size = np.array([len(m) for m in marked])
+    owner = np.repeat(np.arange(len(words)), size)
+    byte = np.frombuffer(b"".join(marked) + bytes(max(PREFIXES)), np.uint8).astype(np.uint32)
+
+    def hashed(at: np.ndarray, n: int) -> np.ndarray:
+        h = np.full(len(at), n, np.uint32)
         for i in range(n):
-            h = (h ^ byte[i:i + len(owner)]) * np.uint32(2246822519)
+            h = (h ^ byte[at + i]) * np.uint32(2246822519)
             h ^= h >> np.uint32(13)
-        grams[:, k] = h % NGRAM_BUCKETS
-        inside[:, k] = after[n - 1:n - 1 + len(owner)] == owner
-    return grams[inside], np.repeat(owner, 2).reshape(-1, 2)[inside]
+        return (h % NGRAM_BUCKETS).astype(np.int64)
+
+    every, starts = np.arange(len(owner)), np.cumsum(size) - size
+    left = np.repeat(starts + size, size) - every  # bytes to the word's end
+    grams, owners = [], []
+    for n, at in [(3, every[left >= 3]), (4, every[left >= 4]), *[(n, starts[size >= n]) for n in PREFIXES * PREFIX_WEIGHT]]:
+        grams.append(hashed(at, n))
+        owners.append(owner[at])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(grams)[order], owner[order]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -238,7 +248,8 @@ def _train(frames) -> bytes:
             b_ids, b_live = ids[chosen[some]], live[chosen[some]]
             used, inverse = np.unique(b_ids, return_inverse=True)
             picks = np.concatenate([np.arange(gram_start[i], gram_start[i + 1]) for i in used])
-            words = (looked[0][used], looked[1][picks],
+            # Words are known by their characters alone one time in two: own embeddings learn texts by heart.
+            words = (np.where(rng.random(len(used)) < 0.5, looked[0][used], 0), looked[1][picks],
                      np.repeat(np.arange(len(used)), np.diff(gram_start)[used]))
             x = net.inputs(*words)
             grads = net.gradients(words, x, net.project(x), inverse.reshape(b_ids.shape), b_live, y[some])
