@@ -461,6 +461,20 @@ def _front_names(spark, d):
     return M.front_page_subreddits(parsed.filter(F.col("feed") == "hot"), 300)
 
 
+@register("subreddit_lookup", with_tables("parsed", "abouts") + FRONT_SQL + """
+, asked AS (SELECT name FROM fp UNION SELECT name FROM abouts WHERE status = 403 UNION SELECT 'nobody')
+SELECT k.name, a.status, coalesce(a.status = 200, false) AS found,
+  CASE WHEN a.status = 200 THEN a.title END AS title, CASE WHEN a.status = 200 THEN a.subscribers END AS subscribers
+FROM asked k LEFT JOIN abouts a ON a.name = k.name""")
+def q_subreddit_lookup(spark, d):
+    """Lookup by name over landed about payloads: found, forbidden and never landed ones."""
+    landed = T.landed_subreddit_abouts(spark, d, AS_OF)
+    names = (_front_names(spark, d).select("name")
+             .union(landed.filter(F.col("status") == 403).select("requested"))
+             .union(spark.createDataFrame([("nobody",)], "name string")))
+    return P.lookup_about(landed, names).select("name", "status", "found", "title", "subscribers")
+
+
 @register("stories_by_id", with_tables("parsed", "story") + """
 , hits AS (SELECT p.*, row_number() OVER (PARTITION BY short_id ORDER BY tick DESC, page DESC, pos DESC, feed DESC) AS rn
            FROM parsed p WHERE short_id IN (SELECT reddit_short_id FROM story))

@@ -200,6 +200,22 @@ def parse_about(abouts: DataFrame, value_col: str = "value", strict: bool = Fals
     return subreddit_fields(parse_things(things, S.KIND_SUBREDDIT, strict))
 
 
+def lookup_about(landed: DataFrame, names: DataFrame, value_col: str = "value") -> DataFrame:
+    """One row per asked name: name, status, found and the community's fields.
+
+    ``landed`` has (requested, status, payload), one row per request. The landed payloads are
+    cut down to the asked names before any is parsed. found is true for status 200 with a
+    payload of the right kind; other names (never landed: status null) have null fields.
+    """
+    asked = names.select("name").distinct()
+    own = landed.join(asked.select(F.col("name").alias("requested")), "requested", "left_semi")
+    parsed = parse_about(own.filter(F.col("status") == 200), value_col).drop("name", "status")
+    status = own.select(F.col("requested").alias("name"), "status")
+    return (asked.join(status, "name", "left").join(parsed.withColumnRenamed("requested", "name")
+                                                    .withColumn("found", F.lit(True)), "name", "left")
+            .withColumn("found", F.coalesce("found", F.lit(False))))
+
+
 def about_rejects(abouts: DataFrame, value_col: str = "value") -> DataFrame:
     keep = [c for c in abouts.columns if c != value_col]
     things = abouts.select(*keep, F.from_json(F.col(value_col), S.RAW_THING).alias("_t")).select(

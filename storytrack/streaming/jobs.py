@@ -256,10 +256,12 @@ def archive_stream(spark: SparkSession, samples_src: str, schema: T.StructType,
         reason = F.when(outside, F.lit("outside_window")).when(F.col("_gone"), F.lit("already_archived"))
         marked = gone.withColumn("reason", reason).drop("_gone").persist(StorageLevel.MEMORY_AND_DISK)
         marked.filter("reason IS NOT NULL").write.mode("overwrite").parquet(f"{out_root}/late/batch={batch_id}")
-        (marked.filter("reason IS NULL").drop("reason")
+        # Clustered by day: a batch writes about one file a day, not one for each task and day.
+        (marked.filter("reason IS NULL").drop("reason").hint("rebalance", "created_day")
          .write.mode("overwrite").partitionBy("created_day").parquet(f"{out_root}/samples/batch={batch_id}"))
+        # The clock of the batch before holds the newest time of all batches before.
         moved = rows.select(F.max("timestamp").alias("clock")).unionByName(
-            _written(spark, f"{out_root}/clock", batch_id, CLOCK).select("clock"))
+            _written(spark, f"{out_root}/clock", batch_id, CLOCK).filter(F.col("batch") == batch_id - 1).select("clock"))
         moved.agg(F.max("clock").alias("clock")).write.mode("overwrite").parquet(f"{out_root}/clock/batch={batch_id}")
         clock = spark.read.parquet(f"{out_root}/clock/batch={batch_id}").first()[0]
         if clock is not None:
