@@ -14,7 +14,8 @@ each round only the buckets whose members belong to several components stay open
    there with the fewest shingles of its own. This settles most groups of copies.
 2. While many pairs are open, every class is compared with up to ``HUBS`` members, drawn anew
    each time, of its most crowded open table, so a round takes as many comparisons as classes.
-3. All pairs that are left, those of different components that meet in a table, are compared.
+3. All pairs that are left, those of different components that meet in a table, are compared,
+   inside groups of a bucket and up to ``HELD`` of its classes: no rows of pairs are made.
 
 So no link between documents that collide in a table is lost, and no bucket is capped. A
 class's shingle set travels once a round with its group; the hubs' sets once for every
@@ -44,7 +45,8 @@ MAX_BROADCAST_IDS = 1_000_000
 PAIRS_PER_ROUND = 500_000
 HUBS = 32
 ROWS = 200_000  # rows of a table of the rounds in a partition
-MEMBERS = 256  # members of a group that meet its hubs in one place
+MEMBERS = 1024  # members of a group that meet its hubs in one place
+HELD = 512  # classes of a bucket that all others are compared with at a time, in the last step
 PIECE = 1 << 22  # bytes of a text that are cut into words at a time
 TEXTS_AT_ONCE = 1000  # texts in a batch that goes to Python
 BLOCK = 4096  # shingles that are hashed by all functions at a time
@@ -190,36 +192,54 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
 
 
 def linked(hubs: DataFrame, members: DataFrame, facts: DataFrame, label: DataFrame, sets: DataFrame,
-           threshold: int) -> DataFrame:
+           threshold: int, keys: DataFrame | None = None) -> DataFrame:
     """The (x, y) links between the hubs (g, v) and the members (g, v) of groups g.
 
     Only classes of different components are compared, and only if their sizes and the
-    shingles that they have in common with others (``facts``: v, n, c) allow a link.
+    shingles that they have in common with others (``facts``: v, n, c) allow a link. With
+    ``keys`` (v, keys_a, keys_b) groups belong to a bucket ``a``, and a pair is compared only
+    if it meets in a table and in the first bucket that it shares.
     """
+    carried = [] if keys is None else ["a"]
     parts = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int").alias("_parts"))
     at = F.pmod(F.xxhash64("v", "g"), F.col("_parts")).cast("int")
     rows = (hubs.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt"),
-                                         F.lit(0).alias("kind"), "v")
-            .unionByName(members.join(parts, "g").select("g", at.alias("salt"), F.lit(1).alias("kind"), "v")))
+                                         F.lit(0).alias("kind"), "v", *carried)
+            .unionByName(members.join(parts, "g").select("g", at.alias("salt"), F.lit(1).alias("kind"), "v", *carried)))
     known = (facts.join(label, "v", "left").join(sets, "v")
              .select("v", "n", "c", F.coalesce("label", "v").alias("label"), "_set"))
+    if keys is not None:
+        known = known.join(keys.select("v", F.concat("keys_a", "keys_b").alias("_keys")), "v")
     whole = (rows.join(known, "v").repartition("g", "salt").sortWithinPartitions("g", "salt", "kind"))
+    columns = ["g", "salt", "kind", "v", "n", "c", "label", "_set", *(["a", "_keys"] if carried else [])]
 
     def compare(frames):
-        place, held = None, []
+        place, held, packed = None, [], None
         for pdf in frames:
             found = []
-            for g, salt, kind, v, n, c, own, raw in zip(*(pdf[k] for k in ("g", "salt", "kind", "v", "n", "c", "label", "_set")),
-                                                        strict=True):
+            for g, salt, kind, v, n, c, own, raw, *more in zip(*(pdf[k] for k in columns), strict=True):
                 if (g, salt) != place:
-                    place, held = (g, salt), []
+                    place, held, packed = (g, salt), [], None
                 here = np.frombuffer(raw, np.uint64)
                 if not kind:
-                    held.append((v, n, c, own, here))
+                    held.append((v, n, c, own, here, *more))
+                    packed = None
                     continue
-                for y, m, d, other, there in held:
-                    if own != other and (n + m) * threshold <= min(c, d) * (100 + threshold) and similar(here, there, threshold):
-                        found.append((min(v, y), max(v, y)))
+                if not held:
+                    continue
+                if packed is None:
+                    packed = [np.array([h[i] for h in held]) for i in range(4)]
+                    if more:
+                        packed.append(np.stack([h[6] for h in held]))
+                able = (packed[3] != own) & ((packed[1] + n) * threshold <= np.minimum(packed[2], c) * (100 + threshold))
+                if more:
+                    same = packed[4] == more[1]
+                    half = same.shape[1] // 2
+                    able &= same[:, half:].any(axis=1) & same[:, :half].any(axis=1)
+                    able &= np.asarray(more[1])[same[:, :half].argmax(axis=1)] == more[0]
+                for i in np.flatnonzero(able):
+                    if similar(here, held[i][4], threshold):
+                        found.append((min(v, held[i][0]), max(v, held[i][0])))
             yield pd.DataFrame(found, columns=["x", "y"]).astype("int64")
         trim_memory()
 
@@ -313,23 +333,22 @@ def drawn_hubs(tables: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     return hubs.filter(F.col("_p") <= HUBS).select(g, "v"), own.select(g, "v")
 
 
-def open_pairs(a: DataFrame, keys: DataFrame) -> DataFrame:
-    """(g, v): the pairs of classes of different components that meet in a table, each once.
+def open_groups(a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hubs and members (g, a, v) of the groups in which all open pairs of the buckets meet.
 
     ``a`` has the (a, v, label) rows of open buckets. The members of a bucket's largest
-    component are never paired with one another: only the others look for partners.
+    component need no comparison with one another: only the others are hubs, up to about
+    ``HELD`` of them in a group.
     """
     count = a.groupBy("a", "label").agg(F.count(F.lit(1)).alias("_n"))
-    most = count.groupBy("a").agg(F.max_by("label", F.struct("_n", "label")).alias("_most"))
-    rows = a.join(most, "a").join(keys, "v")
-    x, y = rows.filter("label <> _most").alias("x"), rows.alias("y")
-    same = F.zip_with(F.col("x.keys_a"), F.col("y.keys_a"), lambda p, q: p == q)
-    first = F.get(F.col("x.keys_a"), (F.array_position(same, True) - 1).cast("int"))
-    table_too = F.exists(F.zip_with(F.col("x.keys_b"), F.col("y.keys_b"), lambda p, q: p == q), lambda t: t)
-    meet = ((F.col("x.a") == F.col("y.a")) & (F.col("x.label") != F.col("y.label"))
-            & ((F.col("y.label") == F.col("y._most")) | (F.col("x.v") < F.col("y.v")))
-            & (F.col("x.a") == first) & table_too)
-    return x.join(y, meet).select(F.col("x.v").alias("g"), F.col("y.v").alias("v"))
+    most = count.groupBy("a").agg(
+        F.max_by("label", F.struct("_n", "label")).alias("_most"),
+        F.ceil((F.sum("_n") - F.max("_n")) / F.lit(HELD)).cast("int").alias("_groups"))
+    rows = a.join(most, "a")
+    part = F.pmod(F.xxhash64("v"), F.col("_groups")).cast("int")
+    hubs = rows.filter("label <> _most").select(F.xxhash64("a", part).alias("g"), "a", "v")
+    each = rows.select("a", "v", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_part"))
+    return hubs, each.select(F.xxhash64("a", "_part").alias("g"), "a", "v")
 
 
 def class_links(classes: DataFrame, keys: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
@@ -350,9 +369,9 @@ def class_links(classes: DataFrame, keys: DataFrame, docs: DataFrame, threshold:
     b = scratch.renew(_shared(b.join(able.select("v"), "v", "left_semi"), "b"), "b", ROWS)
     label = scratch.write(spark.createDataFrame([], "v long, label long"), "label", ROWS)
 
-    def compare(hubs: DataFrame, members: DataFrame) -> DataFrame:
+    def compare(hubs: DataFrame, members: DataFrame, keys: DataFrame | None = None) -> DataFrame:
         with small_batches(spark):  # a row holds a whole set
-            links = scratch.renew(linked(hubs, members, able, label, sets, threshold), "links", ROWS)
+            links = scratch.renew(linked(hubs, members, able, label, sets, threshold, keys), "links", ROWS)
         return relabelled(label, links, scratch)
 
     members = scratch.renew(first_hubs(a, b, able), "members", ROWS)
@@ -377,8 +396,8 @@ def class_links(classes: DataFrame, keys: DataFrame, docs: DataFrame, threshold:
         if not left:
             break
         if left <= PAIRS_PER_ROUND or (before is not None and left > 0.8 * before):
-            pairs = scratch.renew(open_pairs(a, keys), "members", ROWS)
-            label = compare(pairs.select("g", F.col("g").alias("v")).distinct(), pairs)
+            hubs, members = open_groups(a)
+            label = compare(scratch.renew(hubs, "hubs", ROWS), scratch.renew(members, "members", ROWS), keys)
             break
         hubs, members = drawn_hubs(tables, turn)
         label = compare(scratch.renew(hubs, "hubs", ROWS), scratch.renew(members, "members", ROWS))
