@@ -321,6 +321,11 @@ class Lexicon:
             return None
         return int(starts[sure[0]]), words[sure[0]:-1], int(starts[-1])
 
+    def learn(self, texts) -> None:
+        """Find the ids of the words of many chunks together: arrays by word length are then long."""
+        if self.cuts:
+            self._cached(list({w for t in texts for w in self.spans(t)}))
+
     def matrix(self, text: str, lead: int) -> np.ndarray:
         """[entry state, exit state] sums over the chunk behind the ``lead`` characters."""
         size = self.longest
@@ -337,7 +342,7 @@ class Lexicon:
             return out
         first, words, last = places
         head = self.backward(text[:first], lead)
-        between = sum(int(self._sum_of[np.frombuffer(x, "<u4")].sum()) for x in self._cached(words))
+        between = int(self._sum_of[np.frombuffer(b"".join(self._cached(words)), "<u4")].sum())
         tail, _ = self.forward(text[last:], [0], 0)
         left = np.array([-np.inf if v == LOW else v for v in head], float)
         right = np.array([-np.inf if v == LOW else v for v in tail[::-1][:size]], float)
@@ -468,7 +473,9 @@ def encode_chunks(texts: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame
 
     def matrices(frames):
         for pdf in frames:
-            made = [lexicon(model).matrix(t, n).tobytes() for t, n in zip(pdf["body"], pdf["lead"], strict=True)]
+            lex = lexicon(model)
+            lex.learn(pdf["body"])
+            made = [lex.matrix(t, n).tobytes() for t, n in zip(pdf["body"], pdf["lead"], strict=True)]
             yield pd.DataFrame({"doc": pdf["doc"], "at": pdf["at"], "element": made})
 
     def square(b: bytes) -> np.ndarray:
@@ -485,6 +492,7 @@ def encode_chunks(texts: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame
 
     def trace(frames):
         for pdf in frames:
+            lexicon(model).learn(pdf["body"])
             made = [lexicon(model).trace(text, entry_of(state), lead, exit_[0])
                     for text, lead, state, exit_ in zip(pdf["body"], pdf["lead"], pdf["state"], pdf["exit"], strict=True)]
             yield pd.DataFrame({"doc": pdf["doc"], "at": pdf["at"], "ids": made})
