@@ -13,9 +13,9 @@ each round only the buckets whose members belong to several components stay open
 1. Every class is compared with one other: the hub of its most crowded partial key, the class
    there with the fewest shingles of its own. This settles most groups of copies.
 2. While many pairs are open, every class is compared with up to ``HUBS`` members, drawn anew
-   each time, of its most crowded open table, so a round takes as many comparisons as classes.
-3. All pairs that are left, those of different components that meet in a table, are compared,
-   inside groups of a bucket and up to ``HELD`` of its classes: no rows of pairs are made.
+   each time, of its most crowded open partial key, so a round's comparisons grow with the classes.
+3. All pairs that are left, those of different components that meet in a table (share a partial
+   key of either collection), are compared, inside groups of a bucket and up to ``HELD`` of its classes: no rows of pairs, or of tables, are made.
 
 So no link between documents that collide in a table is lost, and no bucket is capped. A
 class's shingle set travels once a round with its group; the hubs' sets once for every
@@ -322,15 +322,14 @@ def mixed(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(several, key)
 
 
-def drawn_hubs(tables: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Hubs and members (g, v): each class in its most crowded table, with ``HUBS`` drawn members of it."""
-    size = tables.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"))
-    own = (tables.join(size, ["a", "b"]).groupBy("v").agg(F.max_by(F.struct("a", "b"), F.struct("_n", "a", "b")).alias("t"))
-           .select(F.col("t.a").alias("a"), F.col("t.b").alias("b"), "v"))
-    place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.xxhash64("v", F.lit(turn)), "v"))
-    hubs = tables.join(own.select("a", "b").distinct(), ["a", "b"], "left_semi").select("a", "b", "v", place.alias("_p"))
-    g = F.xxhash64("a", "b").alias("g")  # two tables that shared a number would only be compared together
-    return hubs.filter(F.col("_p") <= HUBS).select(g, "v"), own.select(g, "v")
+def drawn_hubs(a: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Hubs and members (g, v): each class in its most crowded open bucket, with ``HUBS`` drawn members of it."""
+    size = a.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    own = a.join(size, "a").groupBy("v").agg(F.max_by("a", F.struct("_n", "a")).alias("g")).select("g", "v")
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("v", F.lit(turn)), "v"))
+    hubs = (a.join(own.select(F.col("g").alias("a")).distinct(), "a", "left_semi")
+            .select(F.col("a").alias("g"), "v").withColumn("_p", place))
+    return hubs.filter(F.col("_p") <= HUBS).select("g", "v"), own
 
 
 def open_groups(a: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -382,14 +381,13 @@ def class_links(classes: DataFrame, keys: DataFrame, docs: DataFrame, threshold:
         keys = [c for c in rows.columns if c != "label"]
         return rows.select(*keys).join(label, "v", "left").select(*keys, top)
 
-    # The tensor: every pair of partial keys of a class whose buckets are still open on either side.
-    a, b = mixed(labelled(a), ["a"]), mixed(labelled(b), ["b"])
-    tables = a.join(b.select("b", "v"), "v")
     turn, before = 0, None
     while True:
-        # Tables that have come to belong to one component are settled for good.
-        tables = scratch.renew(mixed(tables if before is None else labelled(tables), ["a", "b"]), "tables", ROWS)
-        a = tables.select("a", "v", "label").distinct()
+        # Partial keys whose classes have come to belong to one component are settled for good, and
+        # with them all tables that they are part of: a table is open only if both its keys are.
+        b = scratch.renew(mixed(labelled(b), ["b"]), "b", ROWS)
+        a = mixed(labelled(a), ["a"]).join(b.select("v").distinct(), "v", "left_semi")
+        a = scratch.renew(a, "a", ROWS)
         count = a.groupBy("a", "label").agg(F.count(F.lit(1)).alias("_n"))
         left = (count.groupBy("a").agg(((F.pow(F.sum("_n"), 2) - F.sum(F.pow("_n", F.lit(2)))) / 2).alias("_p"))
                 .agg(F.sum("_p")).first()[0]) or 0
@@ -399,10 +397,10 @@ def class_links(classes: DataFrame, keys: DataFrame, docs: DataFrame, threshold:
             hubs, members = open_groups(a)
             label = compare(scratch.renew(hubs, "hubs", ROWS), scratch.renew(members, "members", ROWS), keys)
             break
-        hubs, members = drawn_hubs(tables, turn)
+        hubs, members = drawn_hubs(a, turn)
         label = compare(scratch.renew(hubs, "hubs", ROWS), scratch.renew(members, "members", ROWS))
         turn, before = turn + 1, left
-    scratch.drop("a", "b", "met", "able", "sets", "links", "members", "hubs", "tables")  # the labels stay
+    scratch.drop("a", "b", "met", "able", "sets", "links", "members", "hubs")  # the labels stay
     return label
 
 
