@@ -11,7 +11,8 @@ the caller fixes it (``as_of``) or gives a function of (batch, batch id). Tables
 crawler changes meanwhile are given as functions too, and are read anew for every batch.
 
 Current-state tables change by deltas: a batch writes the rows it changed, and only those,
-to ``<name>_delta/batch=N``; :func:`current` reads base and deltas together and
+to ``<name>_delta/batch=N`` (whole rows, or id and state where nothing else can change);
+:func:`current` reads base and deltas together and
 :func:`fold_deltas` folds them into a new base.
 """
 
@@ -21,7 +22,7 @@ import datetime as _dt
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,16 +98,30 @@ def _written(spark: SparkSession, root: str, before: int, schema: T.StructType)
 # -- delta snapshots -------------------------------------------------------------------
 
 FOREVER = 2 ** 31 - 1
+STATE = [*M.STATE_FIELDS, "updated_at", "checked_at"]  # what a sample may change
+STATE_ONLY = T.StructField("state_only", T.BooleanType())  # true: the delta row holds id and STATE, no more
 
 
 def current(spark: SparkSession, base: DataFrame, out_root: str, name: str = "story",
             before: int = FOREVER) -> DataFrame:
     """``base`` with the rows that batches before ``before`` changed or added (newest batch wins)."""
-    deltas = _written(spark, f"{out_root}/{name}_delta", before, base.schema)
+    deltas = _written(spark, f"{out_root}/{name}_delta", before, T.StructType([*base.schema.fields, STATE_ONLY]))
+    whole = deltas.filter("state_only IS NULL")
     rest = [c for c in base.columns if c != "id"]
-    newest = (deltas.groupBy("id").agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
-              .select(*[F.col("id") if c == "id" else F.col("_r")[c].alias(c) for c in base.columns]))
-    return base.join(deltas.select("id").distinct(), "id", "left_anti").select(base.columns).unionByName(newest)
+    newest = (whole.groupBy("id").agg(F.max_by(F.struct(*rest), "batch").alias("_r"), F.max("batch").alias("_at"))
+              .select(*[F.col("id") if c == "id" else F.col("_r")[c].alias(c) for c in base.columns], "_at"))
+    rows = (base.join(whole.select("id").distinct(), "id", "left_anti").select(*base.columns, F.lit(-1).alias("_at"))
+            .unionByName(newest))
+    if not set(STATE) <= set(base.columns):
+        return rows.select(base.columns)
+    states = deltas.filter("state_only").groupBy("id").agg(
+        F.max_by(F.struct(*STATE), "batch").alias("_s"), F.max("batch").alias("_batch"))
+    # An id that a batch has changed has one row, as with whole rows, also if the base repeats it.
+    copy = F.row_number().over(Window.partitionBy("id").orderBy("id"))
+    held = rows.join(states, "id", "left").withColumn("_copy", copy).filter("_batch IS NULL OR _copy = 1")
+    take = F.col("_batch") > F.col("_at")
+    return held.select(*[F.when(take, F.col("_s")[c]).otherwise(F.col(c)).alias(c) if c in STATE else F.col(c)
+                         for c in base.columns])
 
 
 def _write_delta(df: DataFrame, out_root: str, batch_id: int, name: str = "story") -> None:
@@ -156,13 +171,14 @@ def state_stream(spark: SparkSession, samples_src: str, schema: T.StructType, st
     """ST5: an append-only stream of samples keeps the current-state table fresh. Each
     micro-batch reduces its samples to the newest per story (a partial aggregate), applies
     them to those stories (K6: a sample older than the stored state changes nothing; samples
-    of deleted stories change nothing) and writes them as ``story_delta/batch=N``."""
+    of deleted stories change nothing) and writes their ids and states as
+    ``story_delta/batch=N``: the other columns never change here and are not shuffled."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         samples = batch.select("story", "timestamp", *M.STATE_FIELDS)
-        story = current(spark, story0, out_root, before=batch_id)
+        story = current(spark, story0, out_root, before=batch_id).select("id", *STATE)
         seen = M.restrict(story, samples.select(F.col("story").alias("id")), "id").select(story.columns)
-        _write_delta(M.apply_samples(seen, samples), out_root, batch_id)
+        _write_delta(M.apply_samples(seen, samples).withColumn("state_only", F.lit(True)), out_root, batch_id)
 
     return _start(_source(spark, schema, max_files).parquet(_glob(samples_src)), process, checkpoint, trigger_s)
 
