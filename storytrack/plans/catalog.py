@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from itertools import zip_longest
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from storytrack.sources import payload as P
 from storytrack.sources import tables as T
 from storytrack.streaming import jobs as STR
 from storytrack.streaming import native as NAT
-from storytrack.streaming.landing import land_in_order
+from storytrack.streaming.landing import landings
 
 QUANTILE_RANKS = [(name, q) for q, name in MET.QUANTILES]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1159,17 +1160,21 @@ def q_affected_subreddit_delete(spark, d):
     return out.affected()
 
 
-# -- M7: streaming (run to completion with availableNow, return the sink's rows) -------
+# -- M7: streaming (run with availableNow after every landing, return the sink's rows) ---
 
+def _landed_with_ends(df, folder, step_col, fmt, steps_at_once, ends):
+    """Land ``df`` group by group, then each of the few rows that end a test input."""
+    yield from landings(df, folder, step_col, fmt, steps_at_once, prefix="data")
+    for k, end in enumerate(ends):
+        yield from landings(end, folder, step_col, fmt, prefix=f"end{k}")
 
 
 def _stream_discovery(spark, d):
     root = A.scratch_path(spark, "stream-discovery")
-    land_in_order(_pages(spark, d), f"{root}/landing", "tick", "json", steps_per_file=10)
     # The communities of the test tables were seen in 1998, so "now" is fixed to that.
-    q = STR.discovery_stream(spark, f"{root}/landing", T.stories(spark, d), T.subreddits(spark, d),
-                             f"{root}/out", f"{root}/checkpoint", as_of=AS_OF, max_files=1)
-    STR.await_done(q)
+    for _ in landings(_pages(spark, d), f"{root}/landing", "tick", "json", steps_at_once=10):
+        STR.await_done(STR.discovery_stream(spark, f"{root}/landing", T.stories(spark, d), T.subreddits(spark, d),
+                                            f"{root}/out", f"{root}/checkpoint", as_of=AS_OF))
     return root
 
 
@@ -1204,9 +1209,8 @@ SELECT r.tick, r.short_id, f.feed, f.page, f.subreddit_name FROM rec r JOIN feed
 def q_stream_discoveries(spark, d):
     """ST2: discoveries while tracked, three scrape ticks per micro-batch."""
     root = A.scratch_path(spark, "stream-firsts")
-    land_in_order(_pages(spark, d), f"{root}/landing", "tick", "json", steps_per_file=3)
-    STR.await_done(STR.discoveries_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/checkpoint",
-                                          max_files=1))
+    for _ in landings(_pages(spark, d), f"{root}/landing", "tick", "json", steps_at_once=3):
+        STR.await_done(STR.discoveries_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/checkpoint"))
     return spark.read.parquet(f"{root}/out/discoveries").select("tick", "short_id", "feed", "page", "subreddit_name")
 
 
@@ -1220,11 +1224,9 @@ def q_stream_rate(spark, d):
     last = obs.agg(F.max("seen_at").alias("m"))
     ends = [last.select((F.col("m") + F.expr(f"INTERVAL {k} DAYS")).alias("seen_at"),
                         (F.date_trunc("day", F.col("m")) + F.expr(f"INTERVAL {k} DAYS")).alias("tick")) for k in (2, 3)]
-    land_in_order(obs, f"{root}/landing", "tick", "parquet", steps_per_file=7, prefix="data")
-    for k, end in enumerate(ends):
-        land_in_order(end, f"{root}/landing", "tick", "parquet", prefix=f"end{k}")
-    STR.await_done(STR.rate_stream(spark, f"{root}/landing", obs.schema, f"{root}/out",
-                                   f"{root}/checkpoint", minutes=5, max_files=1))
+    for _ in _landed_with_ends(obs, f"{root}/landing", "tick", "parquet", 7, ends):
+        STR.await_done(STR.rate_stream(spark, f"{root}/landing", obs.schema, f"{root}/out",
+                                       f"{root}/checkpoint", minutes=5))
     out = spark.read.parquet(f"{root}/out").filter(F.col("window_start") <= last.scalar())
     return out.select("window_start", "window_end", "n", r6("rate_per_s").alias("rate_per_s"))
 
@@ -1244,9 +1246,9 @@ def q_stream_archive(spark, d):
     created = story.select(F.col("id").alias("story"), "created_at")
     samples = (T.story_history(spark, d).join(created, "story")
                .withColumn("year", F.year("timestamp")))
-    land_in_order(samples, f"{root}/landing", "year", "parquet", steps_per_file=2)
-    STR.await_done(STR.archive_stream(spark, f"{root}/landing", samples.schema, f"{root}/out", f"{root}/checkpoint",
-                                      story=story, subreddit=T.subreddits(spark, d), max_files=1))
+    for _ in landings(samples, f"{root}/landing", "year", "parquet", steps_at_once=2):
+        STR.await_done(STR.archive_stream(spark, f"{root}/landing", samples.schema, f"{root}/out", f"{root}/checkpoint",
+                                          story=story, subreddit=T.subreddits(spark, d)))
     recs = A.read_archive(spark, f"{root}/out/archive", batched=True)
     return recs.select(F.col("summary.id").alias("id"), F.timestamp_millis("summary.createdAt").alias("created_at"),
                        F.size("history.timestamp").alias("n_points"),
@@ -1260,9 +1262,9 @@ def _stream_abouts(spark, d, rounds):
     abouts = T.landed_subreddit_abouts(spark, d, AS_OF)
     times = F.array(*[F.lit(AS_OF + dt.timedelta(seconds=s)) for s in rounds])
     landed = abouts.select("*", F.explode(times).alias("landed_at"))
-    land_in_order(landed, f"{root}/landing", "landed_at", "json")
-    STR.await_done(STR.subreddit_sampling_stream(spark, f"{root}/landing", T.subreddits(spark, d),
-                                                 f"{root}/out", f"{root}/checkpoint", max_files=1))
+    for _ in landings(landed, f"{root}/landing", "landed_at", "json"):
+        STR.await_done(STR.subreddit_sampling_stream(spark, f"{root}/landing", T.subreddits(spark, d),
+                                                     f"{root}/out", f"{root}/checkpoint"))
     return spark.read.parquet(f"{root}/out/samples").select(
         "subreddit", "name", "timestamp", "subscribers", "active", "comment_hide_mins")
 
@@ -1394,9 +1396,9 @@ def q_stream_latest_state(spark, d):
     batch; the final snapshot equals applying every sample at once."""
     root = A.scratch_path(spark, "stream-state")
     samples = T.story_history(spark, d).withColumn("year", F.year("timestamp"))
-    land_in_order(samples, f"{root}/landing", "year", "parquet", steps_per_file=2)
-    STR.await_done(STR.state_stream(spark, f"{root}/landing", samples.schema, T.stories(spark, d),
-                                    f"{root}/out", f"{root}/checkpoint", max_files=1))
+    for _ in landings(samples, f"{root}/landing", "year", "parquet", steps_at_once=2):
+        STR.await_done(STR.state_stream(spark, f"{root}/landing", samples.schema, T.stories(spark, d),
+                                        f"{root}/out", f"{root}/checkpoint"))
     snap = STR.current(spark, T.stories(spark, d), f"{root}/out")
     return snap.select("id", "score", r6("hotness").alias("hotness"), "comments", "gilded", "updated_at",
                        "checked_at")
@@ -1419,8 +1421,8 @@ SELECT short_id, min(tick) AS tick FROM parsed GROUP BY short_id""")
 def q_stream_sightings(spark, d):
     """ST2 on Spark's de-duplication, tracked for longer than the input lasts."""
     root = A.scratch_path(spark, "stream-sightings")
-    land_in_order(_pages(spark, d), f"{root}/landing", "tick", "json", steps_per_file=1)
-    STR.await_done(NAT.sightings_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/checkpoint", 400 * 86400, max_files=1))
+    for _ in landings(_pages(spark, d), f"{root}/landing", "tick", "json"):
+        STR.await_done(NAT.sightings_stream(spark, f"{root}/landing", f"{root}/out", f"{root}/checkpoint", 400 * 86400))
     return spark.read.parquet(f"{root}/out").select("short_id", "tick")
 
 
@@ -1431,20 +1433,17 @@ def q_stream_union_feeds(spark, d):
     root = A.scratch_path(spark, "stream-union")
     pages = _pages(spark, d).filter(F.col("feed").isin("hot", "new"))
     last, ends = _ends(pages, ["tick"])
-    for feed, steps in (("hot", 7), ("new", 10)):
-        land_in_order(pages.filter(F.col("feed") == feed), f"{root}/{feed}", "tick", "json", steps_per_file=steps, prefix="data")
-        for k, end in enumerate(ends):
-            land_in_order(end.withColumn("feed", F.lit(feed)), f"{root}/{feed}", "tick", "json", prefix=f"end{k}")
-    STR.await_done(NAT.union_stream(spark, f"{root}/hot", f"{root}/new", f"{root}/out", f"{root}/checkpoint", max_files=1))
+    sides = [_landed_with_ends(pages.filter(F.col("feed") == feed), f"{root}/{feed}", "tick", "json", steps,
+                               [end.withColumn("feed", F.lit(feed)) for end in ends]) for feed, steps in (("hot", 7), ("new", 10))]
+    for _ in zip_longest(*sides):
+        STR.await_done(NAT.union_stream(spark, f"{root}/hot", f"{root}/new", f"{root}/out", f"{root}/checkpoint"))
     out = spark.read.parquet(f"{root}/out").filter(F.col("tick") <= F.lit(last))
     return out.select("tick", "short_id", "feed", "page", "pos", "in_new", "score")
 
 
-def _land_years(df, folder, time_col, ends):
-    stepped = df.withColumn("_year", F.year(time_col))
-    land_in_order(stepped, folder, "_year", "parquet", steps_per_file=2, prefix="data")
-    for k, end in enumerate(ends):
-        land_in_order(end.withColumn("_year", F.year(time_col)), folder, "_year", "parquet", prefix=f"end{k}")
+def _landed_years(df, folder, time_col, ends):
+    stepped = [x.withColumn("_year", F.year(time_col)) for x in (df, *ends)]
+    return _landed_with_ends(stepped[0], folder, "_year", "parquet", 2, stepped[1:])
 
 
 @register("stream_samples_with_stories", with_tables("story", "hist") + """
@@ -1459,10 +1458,10 @@ def q_stream_samples_with_stories(spark, d):
     end, gone = F.lit(-1).cast("long"), F.lit(-2).cast("long")
     _, late = _ends(samples, ["timestamp"], story=end)
     _, late_stories = _ends(stories, ["created_at"], step_days=500, id=gone)
-    _land_years(samples, f"{root}/samples", "timestamp", late)
-    _land_years(stories, f"{root}/stories", "created_at", late_stories)
-    STR.await_done(NAT.samples_with_stories(spark, f"{root}/samples", samples.schema, f"{root}/stories", stories.schema,
-                                            f"{root}/out", f"{root}/checkpoint", 5 * 86400, max_files=1))
+    for _ in zip_longest(_landed_years(samples, f"{root}/samples", "timestamp", late),
+                         _landed_years(stories, f"{root}/stories", "created_at", late_stories)):
+        STR.await_done(NAT.samples_with_stories(spark, f"{root}/samples", samples.schema, f"{root}/stories", stories.schema,
+                                                f"{root}/out", f"{root}/checkpoint", 5 * 86400))
     out = spark.read.parquet(f"{root}/out").filter(F.col("story") >= 0)
     return out.select("story", "timestamp", "tie1", "score", F.col("id").alias("story_id"), "created_at")
 
@@ -1481,8 +1480,8 @@ def q_stream_stories_with_context(spark, d):
     none = F.lit(-1).cast("long")
     _, late = _ends(stories, ["created_at"], subreddit=none, id=none)
     _, late_samples = _ends(samples, ["timestamp"], subreddit=F.lit(-2).cast("long"), id=none)
-    _land_years(stories, f"{root}/stories", "created_at", late)
-    _land_years(samples, f"{root}/samples", "timestamp", late_samples)
-    STR.await_done(NAT.stories_with_context(spark, f"{root}/stories", stories.schema, f"{root}/samples", samples.schema,
-                                            f"{root}/out", f"{root}/checkpoint", 60 * 86400, max_files=1))
+    for _ in zip_longest(_landed_years(stories, f"{root}/stories", "created_at", late),
+                         _landed_years(samples, f"{root}/samples", "timestamp", late_samples)):
+        STR.await_done(NAT.stories_with_context(spark, f"{root}/stories", stories.schema, f"{root}/samples", samples.schema,
+                                                f"{root}/out", f"{root}/checkpoint", 60 * 86400))
     return spark.read.parquet(f"{root}/out").filter(F.col("id") >= 0)

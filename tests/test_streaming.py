@@ -9,7 +9,7 @@ from storytrack.session import AS_OF
 from storytrack.sources import archive as A
 from storytrack.sources import tables as T
 from storytrack.streaming import jobs as STR
-from storytrack.streaming.landing import land_in_order
+from storytrack.streaming.landing import land_in_order, landings
 
 
 def test_stream_discovery_equals_batch(spark):
@@ -176,3 +176,38 @@ def test_a_stream_that_does_not_end_raises(spark):
     with pytest.raises(TimeoutError):
         STR.await_done(q, 1)
     assert q.stopped
+
+
+def test_a_landing_appears_whole_and_in_as_many_files_as_tasks_wrote_it(spark):
+    root = A.scratch_path(spark, "t-landings")
+    rows = spark.range(0, 60, 1, 3).select("id", (F.col("id") % 5 * 3).cast("int").alias("step")).unionByName(
+        spark.createDataFrame([(99, None)], "id long, step int"))  # a row without a step never lands
+    seen = []
+    for number in landings(rows, f"{root}/landing", "step", "parquet", steps_at_once=2):
+        landed = spark.read.schema("id long, step int").parquet(f"{root}/landing/step")
+        seen.append((number, sorted(r.step for r in landed.select("step").distinct().collect()), landed.count()))
+        assert len(landed.inputFiles()) == 3 * len(seen[-1][1])     # no task wrote a whole group
+    assert seen == [(0, [0, 3], 24), (1, [0, 3, 6, 9], 48), (2, [0, 3, 6, 9, 12], 60)]
+
+
+def test_state_deltas_hold_only_what_a_sample_changes(spark):
+    root, at = A.scratch_path(spark, "t-narrow"), ts("2020-01-01 00:00:00")
+    story0 = (spark.createDataFrame([a_story(1, at), a_story(2, at), a_story(2, at), a_story(3, at), a_story(3, at)], STORY)
+              .withColumn("updated_at", F.lit(at)).withColumn("checked_at", F.lit(at)))
+    rows = [(s, at + k * H1, k, 10 * s + k, 0, 0, at, k) for k in (0, 1) for s in (1, 2)]
+    samples = spark.createDataFrame(rows, SAMPLE).withColumn("hotness", F.lit(2.0))
+    for _ in landings(samples, f"{root}/landing", "step", "parquet"):
+        STR.await_done(STR.state_stream(spark, f"{root}/landing", samples.schema, story0, f"{root}/out", f"{root}/ck"))
+    delta = spark.read.parquet(f"{root}/out/story_delta")
+    assert set(delta.columns) == {"id", *STR.STATE, "state_only", "batch"}
+    assert {r.batch for r in delta.select("batch").distinct().collect()} == {0, 1}
+    got = STR.current(spark, story0, f"{root}/out")
+    assert got.columns == story0.columns
+    assert sorted((r.id, r.title, r.score, r.updated_at) for r in got.collect()) == [
+        (1, "t", 11, at + H1), (2, "t", 21, at + H1), (3, "t", 5, at), (3, "t", 5, at)]
+    # A whole row of a later batch counts for all columns, and a later state on top of it.
+    whole = story0.filter("id = 1").withColumn("title", F.lit("new")).withColumn("score", F.lit(70))
+    STR._write_delta(whole, f"{root}/out", 2)
+    assert [(r.title, r.score) for r in STR.current(spark, story0, f"{root}/out").filter("id = 1").collect()] == [("new", 70)]
+    STR._write_delta(delta.filter("batch = 1 AND id = 1").drop("batch"), f"{root}/out", 3)
+    assert [(r.title, r.score) for r in STR.current(spark, story0, f"{root}/out").filter("id = 1").collect()] == [("new", 11)]
