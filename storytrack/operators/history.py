@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storytrack.functions import scalars as X
 from storytrack.operators import select as sel
+from storytrack.session import stored
 
 HISTORY_FIELDS = ["timestamp", "score", "hotness", "gilded", "comments"]
 ORDER_KEYS = ["timestamp", "tie1", "tie2", "tie3"]
@@ -63,10 +64,13 @@ def history_arrays(history: DataFrame, max_points: int = DEFAULT_MAX_POINTS) ->
     Chunk n (0, 1, …) holds the story's samples n·max_points + 1 to (n + 1)·max_points in
     time order, so no array exceeds ``max_points`` and nothing is dropped. Only stories with
     more samples than that need positions (:func:`positions`) to know a sample's chunk; for
-    the others it is 0. Both kinds are in one lazy plan.
+    the others it is 0. Which they are is counted first, so that the history is not prepared
+    and shuffled a second time for long stories that it does not have.
     """
-    many = (history.groupBy("story").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > F.lit(max_points)).select("story"))
+    many = stored(history.groupBy("story").agg(F.count(F.lit(1)).alias("_n"))
+                  .filter(F.col("_n") > F.lit(max_points)).select("story"), "long-stories")
+    if many.isEmpty():  # no story needs a second chunk: the history is read and shuffled once
+        return _fold(history, ["story"]).withColumn("chunk", F.lit(0).cast("long"))
     one = history.join(many, "story", "left_anti").withColumn("chunk", F.lit(0).cast("long"))
     cut = positions(history.join(many, "story", "left_semi"), "_seq").withColumn(
         "chunk", F.floor((F.col("_seq") - 1) / F.lit(max_points)).cast("long")).drop("_seq")
@@ -83,11 +87,13 @@ def story_detail(story: DataFrame, subreddit: DataFrame, history: DataFrame,
 
     With ``short_ids`` (a frame with column ``short_id``) only those stories are built: the
     story table and the history are cut down to them before anything is folded, so a
-    lookup of a few ids never aggregates the whole history.
+    lookup of a few ids never aggregates the whole history. The ids and their stories are
+    written first (:func:`stored`), so that a few of them are broadcast and the tables they cut
+    are not shuffled.
     """
     if short_ids is not None:
-        wanted = short_ids.select(F.col("short_id").alias("reddit_short_id")).distinct()
-        story = story.join(wanted, "reddit_short_id", "left_semi")
+        wanted = stored(short_ids.select(F.col("short_id").alias("reddit_short_id")).distinct(), "wanted-ids")
+        story = stored(story.join(wanted, "reddit_short_id", "left_semi"), "wanted-stories")
         history = history.join(story.select(F.col("id").alias("story")), "story", "left_semi")
     summaries = sel.summary_columns(story, subreddit)
     arrays = history_arrays(history)

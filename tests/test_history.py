@@ -99,3 +99,34 @@ def test_positions_across_days_and_ties(spark):
         own = sorted((r[1], r[2]) for r in rows if r[0] == story)
         expect.update({(story, tie): n + 1 for n, (_, tie) in enumerate(own)})
     assert {(r.story, r.tie1): r.seq for r in H.history_ordered(hist(spark, rows)).collect()} == expect
+
+
+def test_a_history_without_long_stories_is_read_and_shuffled_once(spark, tmp_path):
+    rows = [(s, ts("2020-01-01 00:00:00"), i, 0, 0, i, 0.0, 0, 0) for s in range(5) for i in range(4)]
+    hist(spark, rows).write.parquet(f"{tmp_path}/h")
+    arr = H.history_arrays(spark.read.parquet(f"{tmp_path}/h"))
+    plan = arr._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning(") == 1
+    assert sorted((r.story, r.chunk, r.score) for r in arr.collect()) == [(s, 0, [0, 1, 2, 3]) for s in range(5)]
+
+
+def test_a_lookup_broadcasts_the_few_ids_it_asks_for(spark, tmp_path):
+    spark.range(4000).select(F.col("id"), F.col("id").cast("string").alias("reddit_short_id"), F.lit(1).cast("long").alias("subreddit"),
+                             *[F.lit("x").alias(c) for c in ("title", "author", "domain", "url", "thumbnail", "permalink", "selftext",
+                                                             "distinguished")],
+                             *[F.lit(ts("2020-01-01 00:00:00")).alias(c) for c in ("created_at", "discovered_at")],
+                             *[F.lit(1).alias(c) for c in ("score", "comments", "gilded")], F.lit(0.5).alias("hotness"),
+                             *[F.lit(False).alias(c) for c in ("is_self", "over18", "stickied")]).write.parquet(f"{tmp_path}/s")
+    hist(spark, [(s, ts("2020-01-01 00:00:00"), i, 0, 0, i, 0.0, 0, 0) for s in range(50) for i in range(3)]).write.parquet(f"{tmp_path}/h")
+    sub = spark.createDataFrame([(1, "news")], "id long, name string")
+    ids = spark.createDataFrame([(str(i),) for i in (7, 7, 9, 60, 9999)], "short_id string").repartition(3)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")  # the stories' file is larger, the ids' are smaller
+    try:
+        det = H.story_detail(spark.read.parquet(f"{tmp_path}/s"), sub, spark.read.parquet(f"{tmp_path}/h"), ids)
+        plan = det._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.story_id, r.history.score) for r in det.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got == [(7, [0, 1, 2]), (9, [0, 1, 2]), (60, [])]
+    assert "LeftSemi, BuildRight" in plan  # the history is cut before any of it is shuffled
