@@ -22,6 +22,7 @@ from storytrack.operators import select as sel
 from storytrack.session import checkpoint_dir
 
 MAX_RECORDS_PER_FILE = 50_000
+GZIP_LEVEL = "BEST_SPEED"  # writing records is mostly compression
 ARCHIVE_READ_SCHEMA = T.StructType(S.DETAIL.fields + [T.StructField("archive_date", T.StringType())])
 ARCHIVE_BATCH_SCHEMA = T.StructType(ARCHIVE_READ_SCHEMA.fields + [T.StructField("batch", T.LongType())])
 
@@ -67,6 +68,7 @@ def write_archive(details: DataFrame, root: str, batch_id: int | None = None,
      .write.mode(mode)
      .option("partitionOverwriteMode", "dynamic")
      .option("compression", "gzip")
+     .option("zlib.compress.level", GZIP_LEVEL)
      .option("ignoreNullFields", "false")
      .option("maxRecordsPerFile", max_records_per_file)
      .partitionBy(*parts)
@@ -112,6 +114,7 @@ def write_compacted(best: DataFrame, out: str, max_records_per_file: int = MAX_R
      .write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .option("compression", "gzip")
+     .option("zlib.compress.level", GZIP_LEVEL)
      .option("ignoreNullFields", "false")
      .option("maxRecordsPerFile", max_records_per_file)
      .partitionBy("archive_date")
