@@ -56,6 +56,10 @@ def _even(text: str) -> bool:
                 or text[-1] in " \n" or _OTHER_WHITE.search(text))
 
 
+# A last letter and what stands behind it without letters, digits, white space and apostrophes.
+_TAIL = re.compile("(.*[^\\W\\d_])([^\\w\\s']+)", re.DOTALL)
+
+
 def _byte_marks() -> dict[int, str]:
     """The character that stands for each byte in a byte-level vocabulary: visible ones for
     themselves, the others by the characters from U+0100 on."""
@@ -64,54 +68,45 @@ def _byte_marks() -> dict[int, str]:
     return {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+class _Marks(dict):
+    """The characters that stand for the bytes of a character in a byte-level vocabulary."""
+
+    def __missing__(self, c: str) -> str:
+        seen = self[c] = c.encode().decode("latin-1").translate(_BYTE_MARKS)
+        return seen
+
+
 _BYTE_MARKS = _byte_marks()
+_MARKS = _Marks()
+_SPACE_MARK = _MARKS[" "]
 
 
-class _Cache:
-    """Serialised ids of spans, found by ``encode``, a function of a list of texts.
+class _Cache(dict):
+    """Serialised ids of spans, found by ``find``, a function of a span.
 
-    ``text_of`` gives the text of a key. The cache is bounded and has two generations: a
-    full one becomes the old one, from which spans that are met again are taken over.
+    The cache is bounded and has two generations: a full one becomes the old one, from which
+    spans that are met again are taken over.
     """
 
-    def __init__(self, encode, text_of):
-        self.encode, self.text_of = encode, text_of
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def get(self, keys: list[str]) -> list[bytes]:
-        held = list(map(self.known.get, keys))
-        if None in held:
-            fresh = self._learn(dict.fromkeys(k for k, ids in zip(keys, held, strict=True) if ids is None))
-            held = [fresh[k] if ids is None else ids for k, ids in zip(keys, held, strict=True)]
-        return held
-
-    def _learn(self, keys) -> dict[str, bytes]:
-        fresh, marked, ask = {}, [], {}
-        for k in keys:
-            ids = self.old.get(k)
-            if ids is not None:
-                fresh[k] = ids
-            elif len(k) > 1 and k[-1] in ".,;:!?" and k[-2].isalpha():
-                marked.append(k)  # a letter and such a mark after it are never in one token
-                if k[:-1] not in self.known:
-                    ask[k[:-1]] = None
-            else:
-                ask[k] = None
-        asked = list(ask)
-        for at in range(0, len(asked), 4096):
-            part = asked[at:at + 4096]
-            fresh.update(zip(part, self.encode([self.text_of(k) for k in part]), strict=True))
-        for k in marked:
-            if k[-1] not in self.marks:
-                self.marks[k[-1]] = self.encode([k[-1]])[0]
-            word = fresh.get(k[:-1])
-            fresh[k] = (self.known[k[:-1]] if word is None else word) + self.marks[k[-1]]
-        if len(self.known) > CACHE_UNITS:
-            self.old, self.known = self.known, {}
-        self.known.update((k, ids) for k, ids in fresh.items() if len(k) <= 64)
-        return fresh
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, span: str) -> bytes:
+        ids = self.old.get(span)
+        if ids is None:
+            ids = self.find(span)
+        if len(span) <= 64:
+            if len(self) >= CACHE_UNITS:
+                self.old = dict(self)
+                self.clear()
+            self[span] = ids
+        return ids
+
+    @property
+    def known(self) -> dict[str, bytes]:
+        """The younger generation."""
+        return self
 
 
 class Encoder:
@@ -124,49 +119,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind, self.code = f"<u{self.width}", {2: "H", 4: "I"}[self.width]
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bare = _Cache(self._ids, lambda k: k)
-        self.spaced = _Cache(self._ids, lambda k: k if k[0] == "\n" else " " + k)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        """Serialised ids of texts; words of letters, alone or after a space, are the model's own input."""
-        out: list[bytes | None] = [None] * len(texts)
-        rest = []
-        tokenize, code = self.model.tokenize, self.code
-        for i, t in enumerate(texts):
-            if self.byte_level and (t[1:] if t[0] == " " else t).isalpha():
-                seen = t.encode().decode("latin-1").translate(_BYTE_MARKS)
-                out[i] = array(code, [x.id for x in tokenize(seen)]).tobytes()
-            else:
-                rest.append(i)
-        found = self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, found, strict=True):
-            out[i] = array(code, e.ids).tobytes()
-        return out
+        self.bare = _Cache(self._bare)
+        self.spaced = _Cache(self._spaced)
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, before: str, word: str) -> bytes:
+        """Ids of a word of letters, the model's own input; ``before`` stands for a space or none."""
+        seen = word if word.isascii() else "".join(map(_MARKS.__getitem__, word))
+        return array(self.code, [t.id for t in self.tokenize(before + seen)]).tobytes()
+
+    def _bare(self, span: str) -> bytes:
+        """Ids of a span."""
+        if self.byte_level:
+            if span.isalpha():
+                return self._letters("", span)
+            if span[0] == " " and span[1:].isalpha():
+                return self._letters(_SPACE_MARK, span[1:])
+            if parts := _TAIL.fullmatch(span):
+                return self.bare[parts[1]] + self.bare[parts[2]]
+        return self._whole(span)
+
+    def _spaced(self, span: str) -> bytes:
+        """Ids of a span with the space before it, or of one that begins with its line end."""
+        if self.byte_level:
+            if span.isalpha():
+                return self._letters(_SPACE_MARK, span)
+            if span[0] == "\n" and len(span) > 1:  # white space before a word is never joined with it
+                return self.bare["\n"] + self.bare[span[1:]]
+            if parts := _TAIL.fullmatch(span):  # letters and what is no letter are never in one token
+                return self.spaced[parts[1]] + self.bare[parts[2]]
+        return self._whole(span if span[0] == "\n" else " " + span)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The texts' ids, serialised; null counts as empty."""
-        bare, spaced, sizes = [], [], []
+        out, bare, spaced = [], self.bare.__getitem__, self.spaced.__getitem__
         for t in texts:
             if not t:
-                first, rest = [], []
+                out.append(b"")
             elif any(a in t for a in self.added):
-                first, rest = [t], []  # what stands beside an added token is split otherwise
+                out.append(self._whole(t))  # what stands beside an added token is split otherwise
             elif _even(t):
                 first, *rest = t.replace("\n", " \n").split(" ")
-                first = [first]
+                out.append(bare(first) + b"".join(map(spaced, rest)))
             else:
-                first, rest = _UNITS.findall(t), []
-            bare += first
-            spaced += rest
-            sizes.append((len(first), len(rest)))
-        bare, spaced = self.bare.get(bare), self.spaced.get(spaced)
-        out, i, j = [], 0, 0
-        for m, n in sizes:
-            out.append(b"".join(bare[i:i + m]) + b"".join(spaced[j:j + n]))
-            i, j = i + m, j + n
+                out.append(b"".join(map(bare, _UNITS.findall(t))))
         return out
 
 

@@ -310,3 +310,28 @@ def test_score_does_not_depend_on_pieces(monkeypatch, spark):
     whole = toxicity.Scorer(model).scores(texts)
     monkeypatch.setattr(toxicity, "PIECE", 96)
     assert toxicity.Scorer(model).scores(texts) == pytest.approx(whole, abs=1e-5)
+
+
+def test_words_with_marks_or_at_line_starts_need_the_model_only():
+    """The tokenizer gets the marks and line ends apart, once each; words go to its model."""
+    enc = token_store.Encoder(token_store.default_tokenizer())
+    whole, asked = enc.tokenizer, []
+
+    class Watched:
+        def encode(self, text, **kw):
+            asked.append(text)
+            return whole.encode(text, **kw)
+
+        def encode_batch(self, texts, **kw):
+            asked.extend(texts)
+            return whole.encode_batch(texts, **kw)
+
+    enc.tokenizer = Watched()
+    texts = ["les*** pas.\nWas lés*** there,\nAnd, été%%% done", "it's done*** 'twas\n'tis a1,b 1st. x_y**"]
+    for text in texts:
+        found = enc.encode([text])[0]
+        assert found == np.array(whole.encode(text, add_special_tokens=False).ids, enc.kind).tobytes()
+    enc.encode(texts[:1])
+    asked.clear()
+    enc.encode(["les%%% Was***\nAnd."])
+    assert not asked
