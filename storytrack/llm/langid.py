@@ -87,15 +87,15 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, rng) -> np.ndarray:
     return w
 
 
-def _svm_fit(x: np.ndarray, sign: np.ndarray, rng, reg: float = 1e-4) -> np.ndarray:
-    """Linear support vector machine (hinge loss, averaged mini-batch subgradients)."""
+def _svm_fit(x: np.ndarray, own: np.ndarray, sign: np.ndarray, rng, reg: float = 1e-4) -> np.ndarray:
+    """Linear support vector machine (hinge loss, averaged mini-batch subgradients) of the rows ``own`` of ``x``."""
     w, mean, steps = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float64), 0
     for epoch in range(12):
-        for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
+        for at in np.array_split(rng.permutation(len(own)), max(1, len(own) // 64)):
             rate = 4.0 / (1 + steps / 200)
-            miss = at[sign[at] * (x[at] @ w[:-1] + w[-1]) < 1]
+            miss = at[sign[at] * (x[own[at]] @ w[:-1] + w[-1]) < 1]
             w *= 1 - rate * reg
-            w[:-1] += rate / len(at) * (sign[miss] @ x[miss])
+            w[:-1] += rate / len(at) * (sign[miss] @ x[own[miss]])
             w[-1] += rate / len(at) * sign[miss].sum()
             steps += 1
             if epoch >= 6:
@@ -115,8 +115,8 @@ class Model:
         self.pairs = {}
         for langs in self.members:
             for a, b in combinations(langs, 2):
-                own = (lang == a) | (lang == b)
-                self.pairs[a, b] = _svm_fit(x[own], np.where(lang[own] == a, 1, -1).astype(np.float32), rng)
+                own = np.flatnonzero((lang == a) | (lang == b))
+                self.pairs[a, b] = _svm_fit(x, own, np.where(lang[own] == a, 1, -1).astype(np.float32), rng)
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         z = self.w[:, :-1] @ x + self.w[:, -1]
@@ -141,14 +141,16 @@ class Model:
 def _train(frames) -> bytes:
     import pickle
 
-    x, lang = [], []
+    x, lang = np.empty((0, BUCKETS), np.float32), []
     for pdf in frames:
         for text, code in zip(pdf["text"], pdf["lang"], strict=True):
-            x.append(features(text))
+            if len(lang) == len(x):  # the rows are held once: the array grows where it is
+                x.resize((len(x) + 512, BUCKETS), refcheck=False)
+            x[len(lang)] = features(text)
             lang.append(code)
     out = io.BytesIO()
-    if x:
-        pickle.dump(Model(sorted(set(lang)), np.stack(x), np.array(lang)), out)
+    if lang:
+        pickle.dump(Model(sorted(set(lang)), x[:len(lang)], np.array(lang)), out)
     return out.getvalue()
 
 
@@ -179,6 +181,7 @@ def detect(spark: SparkSession, text: Column, model: bytes) -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import pickle
+        trim_memory()
         known = pickle.loads(shared.value) if shared.value else None
         for texts in batches:
             rows = []

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storytrack.llm.common import Scratch, cut, fresh, replace_columns, ship, small_batches, table, trim_memory
+from storytrack.llm.common import KEPT, Scratch, cut, fresh, replace_columns, ship, small_batches, table, trim_memory
 
 SPACE = "▁"
 CHUNK = 1 << 15  # characters of a long text in a chunk; texts of fewer bytes are one chunk
@@ -399,6 +399,7 @@ _SPANS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _SPANS_AND_LINES = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 _LEXICONS: dict[str, Lexicon] = {}
+KEPT.append(_LEXICONS)
 
 
 def lexicon(path: str) -> Lexicon:
@@ -588,7 +589,7 @@ def encoded_and_decoded(docs: DataFrame, spark: SparkSession, chunk: int = CHUNK
                 found = pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "round_trip"])
                 found.insert(0, "doc_id", pdf["doc_id"].values)
                 yield found
-            trim_memory()
+            trim_memory(_LEXICONS)
         return run
 
     schema = f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean"

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storytrack.llm.common import fit_in_task, ship, table
+from storytrack.llm.common import KEPT, fit_in_task, ship, table
 from storytrack.session import checkpoint_dir
 
 HEAD, TAIL, VERSION = b"TOKSHARD", b"TOKINDEX", 1
@@ -172,6 +172,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:

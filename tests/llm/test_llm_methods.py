@@ -335,3 +335,34 @@ def test_words_with_marks_or_at_line_starts_need_the_model_only():
     asked.clear()
     enc.encode(["les%%% Was***\nAnd."])
     assert not asked
+
+
+def test_language_training_holds_its_rows_once():
+    import tracemalloc
+
+    import pandas as pd
+
+    from storytrack.llm import langid
+
+    rng = random.Random(7)
+    rows = [("".join(rng.choice("abcdefgh " if i % 2 else "opqrstuv ") for _ in range(60)), "en" if i % 2 else "fr")
+            for i in range(1024)]
+    frames = [pd.DataFrame(rows[at:at + 300], columns=["text", "lang"]) for at in range(0, len(rows), 300)]
+    tracemalloc.start()
+    try:
+        model = langid._train(frames)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model and peak < 1.5 * len(rows) * langid.BUCKETS * 4
+
+
+def test_a_worker_drops_what_other_stages_kept():
+    from storytrack.llm import common
+
+    lex, enc = pieces.lexicon(pieces.default_model()), token_store.encoder(token_store.default_tokenizer())
+    common.trim_memory(pieces._LEXICONS)
+    assert pieces.lexicon(pieces.default_model()) is lex
+    assert token_store.encoder(token_store.default_tokenizer()) is not enc
+    common.trim_memory()
+    assert pieces.lexicon(pieces.default_model()) is not lex
