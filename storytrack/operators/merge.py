@@ -162,10 +162,9 @@ def discover_insert(accepted: DataFrame, story: DataFrame, subreddit: DataFrame)
         F.col("tick").alias("checked_at"))
     first_hist = new_story.select(F.col("id").alias("story"), F.col("discovered_at").alias("timestamp"),
                                   *STATE_FIELDS)
-    later = (accepted.join(first.select("short_id", F.col("tick").alias("_t0")), "short_id")
-             .filter(F.col("tick") > F.col("_t0")))
-    later_hist = (later.join(new_story.select(F.col("reddit_short_id").alias("short_id"),
-                                              F.col("id").alias("story")), "short_id")
+    # A new story was discovered at its first sighting, which is not looked for a second time.
+    inserted = new_story.select(F.col("reddit_short_id").alias("short_id"), F.col("id").alias("story"), "discovered_at")
+    later_hist = (accepted.join(inserted, "short_id").filter(F.col("tick") > F.col("discovered_at"))
                   .select("story", F.col("tick").alias("timestamp"), *STATE_FIELDS))
     return new_story, first_hist, later_hist
 

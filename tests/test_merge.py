@@ -173,3 +173,23 @@ def test_update_pass_takes_only_records_since_the_check(spark):
     assert [tuple(r) for r in run.samples.collect()] == [(2, now, 7, 7.0, 7, 7)]
     after = {r.id: (r.score, r.updated_at, r.checked_at) for r in run.story_after.collect()}
     assert after == {1: (500, T1, now), 2: (7, now, now), 3: (1, T0, now)}
+
+
+def test_later_sightings_do_not_look_for_the_first_ones_again(spark):
+    """The samples of later sightings join the inserted stories; rows are as many as sightings."""
+    columns = ["title", "author", "url", "permalink", "domain", "thumbnail", "distinguished", "selftext"]
+    flags = ["over18", "is_self", "stickied"]
+    accepted = spark.createDataFrame(
+        [(T0, "a", "x", 1), (T1, "a", "x", 2), (T1, "b", "x", 3), (T1, None, "x", 4)],
+        "tick timestamp, short_id string, subreddit_name string, score int")
+    accepted = accepted.select(
+        "*", *[F.lit("w").alias(c) for c in columns], *[F.lit(False).alias(c) for c in flags],
+        F.col("tick").alias("created_at"), F.lit(0.5).alias("hotness"), F.lit(1).alias("comments"),
+        F.lit(0).alias("gilded"))
+    story = spark.createDataFrame([(10,)], "id long")
+    subs = spark.createDataFrame([(1, "x")], "id long, name string")
+    new, first, later = M.discover_insert(accepted, story, subs)
+    ids = {r.reddit_short_id: r.id for r in new.collect()}
+    assert sorted(ids.values()) == [11, 12, 13] and first.count() == 3
+    assert [(r.story, r.timestamp, r.score) for r in later.collect()] == [(ids["a"], T1, 2)]
+    assert "min_by" not in later._jdf.queryExecution().optimizedPlan().toString()
