@@ -89,7 +89,7 @@ def _reject_reason(kind: str, schema: T.StructType, required: tuple[str, ...]) -
     bad = F.lit(False)
     for f in schema.fieldNames():
         # Present with a non-null value that did not convert to the declared type.
-        bad = bad | (raw[f].isNotNull() & typed[f].isNull())
+        bad = bad | (typed[f].isNull() & raw[f].isNotNull())
     for f in S.EPOCH_FIELDS:
         if f in schema.fieldNames():  # a number, but no point in time (e.g. microseconds)
             bad = bad | F.coalesce(~X.valid_epoch(typed[f]), F.lit(False))

@@ -159,15 +159,18 @@ def feed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         feed_expr = F.when(F.col("event_type") == src, F.lit(dst)).otherwise(feed_expr)
     # A page is fetched once: its tick is the UTC day of its earliest event. Pages hold at
     # most PAGE_SIZE events, so this window's groups are bounded.
-    page_w = Window.partitionBy("_feed", "_page")
-    tick = F.date_trunc("day", F.min(_ts("ts")).over(page_w))
+    page_w = Window.partitionBy("feed", "page")
     short_id = (F.col("user_id") * STORY_ID_STRIDE).cast("string")
     score = F.when(ev % 25 == 0, F.lit(None).cast("int")).otherwise(F.floor("value").cast("int"))
-    e = e.withColumn("_feed", feed_expr).withColumn("_page", F.floor(ev / PAGE_SIZE).cast("long"))
-    obs = e.join(cust, "user_id", "left").select(
+    # The names are joined before the window, whose partitions by page then serve what follows;
+    # the other columns are made behind it.
+    e = (e.withColumn("feed", feed_expr).withColumn("page", F.floor(ev / PAGE_SIZE).cast("long"))
+         .join(cust, "user_id", "left").withColumn("_first", F.min(_ts("ts")).over(page_w)))
+    tick = F.date_trunc("day", "_first")
+    obs = e.select(
         ev.alias("arrival"),
-        F.col("_feed").alias("feed"),
-        F.col("_page").alias("page"),
+        F.col("feed"),
+        F.col("page"),
         (ev % PAGE_SIZE).cast("int").alias("pos"),
         tick.alias("tick"),
         F.when(F.col("event_type") == WRONG_KIND_EVENT, "t5").otherwise("t3").alias("kind"),

@@ -51,3 +51,9 @@ def test_bucketed_history_aggregates_without_shuffle(spark):
     with contextlib.redirect_stdout(buf):
         st.join(h.withColumnRenamed("story", "id"), "id").explain()
     assert "Exchange hashpartitioning" not in buf.getvalue()
+
+
+def test_pages_are_shuffled_once(spark):
+    """The pages' children are grouped where the window for their ticks has brought them."""
+    plan = T._build_listing_pages(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(feed") + plan.count("Exchange hashpartitioning(_feed") == 1
