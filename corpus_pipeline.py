@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storytrack.llm import langid, line_dedup, near_dedup, pieces
-from storytrack.llm.common import Scratch, broadcast_if_small, cut, fold, fresh, table
+from storytrack.llm.common import Scratch, broadcast_if_small, cut, fold, fresh, small_batches, table
 from storytrack.llm.decontaminate import contaminated
 
 # Near-duplicates of the corpus are documents whose word shingles are similar to 0.8 or more.
 NEAR_DUPLICATE = 80
+# Executors still hold what earlier stages left: the last one keeps fewer words than it does alone.
+CACHE_BYTES = 8 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing; without any labelled text no document is identified. Equal rows fare alike; rows
     without an id are judged like all others; an empty table stays empty.
     """
-    model = langid.fit(docs.filter(fold(F.col("doc_id"), 3) != 1))
-    return langid.reject_undetermined(docs, model)
+    with small_batches(spark, langid.TEXTS_AT_ONCE):
+        model = langid.fit(docs.filter(fold(F.col("doc_id"), 3) != 1))
+        return cut(langid.reject_undetermined(docs, model))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +76,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens; repeated rows and null ids stay; an empty table
     gives no rows; texts of over a chunk go through the scan, whole.
     """
-    return pieces.encoded_and_decoded(docs, spark)
+    return pieces.encoded_and_decoded(docs, spark, cache_bytes=CACHE_BYTES)
 
 
 STAGES = [

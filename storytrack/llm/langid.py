@@ -23,6 +23,7 @@ BUCKETS = 4096
 # Bound of the training sample: about this many documents of each language.
 TRAIN_PER_LANGUAGE = 1500
 MIN_SCORE = 0.25
+TEXTS_AT_ONCE = 500  # texts in a batch that goes to Python, where the caller runs the job
 PIECE = 1 << 20  # characters that are counted at a time
 # Fixed table: families of languages by ISO 639-1 code; codes not named here are one family, "other".
 FAMILIES = {

@@ -366,7 +366,8 @@ def class_links(classes: DataFrame, keys: DataFrame, docs: DataFrame, threshold:
         sets = scratch.write(shingle_sets(met.join(able.select("v"), "v", "left_semi"), docs, width), "sets")
     a = scratch.renew(_shared(a.join(able.select("v"), "v", "left_semi"), "a"), "a", ROWS)
     b = scratch.renew(_shared(b.join(able.select("v"), "v", "left_semi"), "b"), "b", ROWS)
-    label = scratch.write(spark.createDataFrame([], "v long, label long"), "label", ROWS)
+    # Not createDataFrame: its rows come through workers of another kind, which live on beside the others.
+    label = scratch.write(spark.range(0).select(F.col("id").alias("v"), F.col("id").alias("label")), "label", ROWS)
 
     def compare(hubs: DataFrame, members: DataFrame, keys: DataFrame | None = None) -> DataFrame:
         with small_batches(spark):  # a row holds a whole set

@@ -118,6 +118,7 @@ class Lexicon:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.known_bytes = 0
+        self.cache_bytes = CACHE_BYTES
         self._build_table()
 
     @functools.cached_property
@@ -260,7 +261,7 @@ class Lexicon:
             fresh = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
             new = [w for w in missing if w not in fresh]
             fresh.update(zip(new, self.words(new), strict=True))
-            if self.known_bytes > CACHE_BYTES:
+            if self.known_bytes > self.cache_bytes:
                 self.known, self.older, self.known_bytes = {}, self.known, 0
             for w, ids in fresh.items():
                 if len(w) <= LONGEST_CACHED:
@@ -562,7 +563,8 @@ def decode(ids: Column, spark: SparkSession, model: str | None = None) -> Column
     return run(ids)
 
 
-def encoded_and_decoded(docs: DataFrame, spark: SparkSession, chunk: int = CHUNK) -> DataFrame:
+def encoded_and_decoded(docs: DataFrame, spark: SparkSession, chunk: int = CHUNK,
+                        cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, round_trip) of documents, from their real ids and decoded texts.
 
     The ids of a text that is one chunk are digested by the task that makes them; those of
@@ -572,6 +574,7 @@ def encoded_and_decoded(docs: DataFrame, spark: SparkSession, chunk: int = CHUNK
     Null and empty texts have no tokens, crc32 0 and a true round trip. There is a row for
     each input row: repeated rows and null ids stay as they are. Columns other than doc_id and
     text are ignored; an empty table gives no rows. Texts of any length are encoded whole.
+    ``cache_bytes`` bounds a worker's cache of words; it costs or saves time, the rows are the same.
     """
     model = default_model()
     ship(spark)
@@ -584,6 +587,7 @@ def encoded_and_decoded(docs: DataFrame, spark: SparkSession, chunk: int = CHUNK
 
     def digests(made):
         def run(frames):
+            lexicon(model).cache_bytes = cache_bytes
             for pdf in frames:
                 rows = [digest(ids, t) for ids, t in zip(made(pdf), pdf["text"], strict=True)]
                 found = pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "round_trip"])

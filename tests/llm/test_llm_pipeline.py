@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 import pytest
 
-from storytrack.llm import decontaminate, pieces
+from storytrack.llm import decontaminate, langid, near_dedup, pieces
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +36,21 @@ def test_language_keeps_clean_documents(steps):
     assert set(after) == {i for i, t in before.items() if re.search(r"[^\W\d_]", t or "")}
 
 
+def test_language_sends_few_texts_at_a_time(spark, monkeypatch):
+    """Both jobs of the stage run inside it, in small batches; the session's setting is as before."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+
+    def noted(f):
+        return lambda *args: seen.append(int(spark.conf.get(key))) or f(*args)
+    monkeypatch.setattr(langid, "fit_in_task", noted(langid.fit_in_task))
+    monkeypatch.setattr(corpus_pipeline, "cut", noted(corpus_pipeline.cut))
+    docs = spark.createDataFrame([(i, f"the words of text {i}", "en", "src0", 9) for i in range(20)],
+                                 spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert len(texts(corpus_pipeline.language(spark, docs, SF))) == 20
+    assert seen == [500, 500] and spark.conf.get(key) == before
+
+
 def test_language_drops_texts_without_letters(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(900_001, "12 34 !!", "en", "src0", 8), (900_002, None, "en", "src0", None)],
@@ -95,6 +110,18 @@ def test_near_duplicates(steps):
     assert set(after) == {i for i in sets if top(i) == i} and all(after[i] == before[i] for i in after)
 
 
+def test_near_duplicates_need_no_other_workers(spark, monkeypatch):
+    """Rows made by createDataFrame start Python workers of a second kind, which stay in memory."""
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "en", "src0", 0), (2, words + " more", "en", "src0", 0), (3, "another text", "en", "src0", 0)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+
+    def refused(*_args, **_kwargs):
+        raise AssertionError("createDataFrame")
+    monkeypatch.setattr(type(docs.sparkSession), "createDataFrame", refused)
+    assert set(texts(near_dedup.keep_one_of_each(docs))) == {1, 3}
+
+
 def test_decontaminated(spark, steps):
     """Every aligned span of 20 item words with 16 that agree, sought at every place."""
     before, after = map(texts, steps[3])
@@ -126,6 +153,20 @@ def test_tokens(steps):
     assert all(r.round_trip and r.n_tokens == len(lex.encode(before[i])) for i, r in got.items())
 
 
+def test_tokens_are_the_same_with_a_small_cache(spark):
+    """The bound of the words kept is the caller's; the words of both generations stay within it."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(300)), "en", "src0", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    few = pieces.encoded_and_decoded(docs, spark, cache_bytes=1).collect()
+    assert sorted(few) == sorted(pieces.encoded_and_decoded(docs, spark).collect())
+    assert all(r.round_trip and r.n_tokens > 300 for r in few)
+    lex = pieces.Lexicon(open(pieces.default_model(), "rb").read())
+    lex.cache_bytes = corpus_pipeline.CACHE_BYTES
+    for i in range(0, 120_000, 4_000):
+        lex.encode(" ".join(f"v{k}" for k in range(i, i + 4_000)))
+    assert sum(len(w) + len(ids) + 180 for c in (lex.known, lex.older) for w, ids in c.items()) < 2 * (9 << 20)
+
+
 def test_stages_are_the_named_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "line_dedup", "near_dedup", "decontaminate", "sentencepiece"]
