@@ -13,7 +13,7 @@ yields the matrix that takes the scores of the states at its left boundary to th
 right one, the matrices are combined in a tree, and each chunk is then backtraced on its own
 between the boundary states found. A state at a boundary is the distance back to the last
 piece end before it. Shorter texts are one chunk. Inside a chunk every path passes the places
-before a space mark, so its matrix is that of the characters up to the first such place, plus
+before a space mark or a line end, so its matrix is that of the characters up to the first such place, plus
 the sum of the words up to the last one, plus that of the characters behind.
 
 Scores are integers, so sums are exact and ties do not depend on the split.
@@ -22,6 +22,7 @@ Scores are integers, so sums are exact and ties do not depend on the split.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 
@@ -45,10 +46,12 @@ BYTE_PAIRS = 2  # kind of model, in the trainer's settings
 PIECE_COST = 1 << 24  # more than the ranks of a word's pieces add up to
 SCALE = 1 << 16  # of log probabilities
 LOW = -(1 << 60)
-# Hash table of the pieces: its size, the multipliers of its two places for a hash, the step of the hash.
-TABLE_BITS = 20
-_SLOTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
-_STEP = np.uint64(0x5851F42D4C957F2D)
+WORDS_AT_ONCE = 1 << 12  # short ones, whose best paths are found together
+# Hash table of the strings that begin pieces: the multipliers of the two places of a key; a key holds
+# the string without its last character (its number) and that character.
+_SLOTS = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
+_CHARACTER_BITS, _NO_CHARACTER = 21, 0x110000
+_UNKNOWN = 1 << 31  # and a character: stands for its bytes in a path
 
 
 def _fields(data: bytes):
@@ -114,11 +117,12 @@ class Lexicon:
         # Every path passes a place before a space mark that follows another character.
         self.cuts = not any(b == SPACE != a for p in self.score for a, b in zip(p, p[1:], strict=False))
         self.line_cuts = not any("\n" in p for p in self.score if len(p) > 1)
-        # Ids of words, in two generations: a full one replaces the older one, words in use move over.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.known_bytes = 0
+        line = "\n" if self.line_cuts else ""
+        self._word_starts = re.compile(f"(?<!{SPACE}){SPACE}" + ("|\n" if line else ""))
+        self._marked_words = re.compile(f"{SPACE}+[^{SPACE}{line}]*" + (f"|\n[^{SPACE}\n]*" if line else ""))
+        # Ids of words (see ``keys``), in two generations: a full one replaces the older one, words in use move over.
         self.cache_bytes = CACHE_BYTES
+        self.forget()
         self._build_table()
 
     @functools.cached_property
@@ -128,20 +132,31 @@ class Lexicon:
 
     # -- many short spans at a time --------------------------------------------------------
     def _build_table(self) -> None:
-        """Open hash table from the hash of a piece to its id, for lookups by whole arrays."""
-        self._keys = np.zeros(len(self.text), np.uint64)  # the hash of each id's piece
-        self._ids = [np.full(1 << TABLE_BITS, -1, np.int32) for _ in _SLOTS]
-        for p, i in self.id.items():
-            self._keys[i] = h = self._hash(np.frombuffer(p.encode("utf-32-le"), np.uint32)[None])[0]
-            for ids, m in zip(self._ids, _SLOTS, strict=True):
-                at = (int(h) * int(m) & 0xFFFFFFFFFFFFFFFF) >> (64 - TABLE_BITS)
-                if ids[at] < 0:
-                    ids[at] = i
+        """Hash table of the strings that begin pieces, for lookups by whole arrays; string 0 is the empty one."""
+        number, keys = {"": 0}, [1 << 63]  # a key that is never looked for
+        for p in self.score:
+            for n in range(1, len(p) + 1):
+                if p[:n] not in number:
+                    number[p[:n]] = len(keys)
+                    keys.append(number[p[:n - 1]] << _CHARACTER_BITS | ord(p[n - 1]))
+        bits = max(10, (4 * len(keys)).bit_length())
+        self._shift = np.uint64(64 - bits)
+        places = [[0] * (1 << bits) for _ in _SLOTS]
+        for i in range(1, len(keys)):
+            for turn in range(500):  # a string takes its place, the one that was there goes to its other place
+                held = places[turn % 2]
+                at = (keys[i] * _SLOTS[turn % 2] & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+                held[at], i = i, held[at]
+                if not i:
                     break
             else:
                 raise ValueError("the piece table is too small for this model")
+        self._keys = np.array(keys, np.uint64)
+        self._places = [np.array(held, np.int32) for held in places]
+        self._piece_of = np.full(len(keys), -1, np.int32)
         self._score_of = np.full(len(self.text), LOW, np.int64)
         for p, i in self.id.items():
+            self._piece_of[number[p]] = i
             self._score_of[i] = self.score[p]
         # The sum of a path by its ids: an unknown character counts once, at its first byte.
         self._sum_of = np.where(self._score_of == LOW, 0, self._score_of)
@@ -149,65 +164,81 @@ class Lexicon:
             if c & 0xC0 != 0x80 and self.text[self.byte_id[c]] == bytes([c]):
                 self._sum_of[self.byte_id[c]] = self.unknown
 
-    @staticmethod
-    def _hash(code: np.ndarray) -> np.ndarray:
-        h = np.zeros(code.shape[:-1], np.uint64)
-        for k in range(code.shape[-1]):
-            h = h * _STEP + (code[..., k].astype(np.uint64) + np.uint64(1))
-        return h
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes, -1 where there is none."""
-        out = np.full(h.shape, -1, np.int32)
-        for ids, m in zip(self._ids, _SLOTS, strict=True):
-            found = ids[(h * m >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-            out = np.where((found >= 0) & (self._keys[found] == h), found, out)
+    def _longer(self, begin: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Numbers of the strings with one more character, 0 where no piece begins so."""
+        key = begin.astype(np.uint64) << np.uint64(_CHARACTER_BITS) | code
+        a, b = (held[(key * np.uint64(m) >> self._shift).astype(np.int64)]
+                for held, m in zip(self._places, _SLOTS, strict=True))
+        return np.where(self._keys[a] == key, a, np.where(self._keys[b] == key, b, 0))
+
+    def words(self, keys: list[str]) -> list[bytes]:
+        """Ids of words, many short ones together."""
+        marked = [self.marked_word(k) for k in keys]
+        short = [w for w in marked if len(w) <= LONGEST_CACHED]
+        found = itertools.chain.from_iterable(
+            self._together(short[at:at + WORDS_AT_ONCE]) for at in range(0, len(short), WORDS_AT_ONCE))
+        return [next(found) if len(w) <= LONGEST_CACHED else self.word(w) for w in marked]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """``word`` of short spans, none of them empty."""
+        sizes = np.array(list(map(len, words)))
+        code = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        stops = np.cumsum(sizes + 1) - 1
+        begins = stops - sizes
+        code[stops] = _NO_CHARACTER  # no piece goes on behind a word
+        # Pieces by their first place, those of one size together.
+        held, at, begin = [], np.arange(len(code)), np.zeros(len(code), np.int32)
+        for size in range(1, self.longest + 1):
+            begin = self._longer(begin, code[at + (size - 1)])
+            going = np.flatnonzero(begin)
+            at, begin = at[going], begin[going]
+            ids = self._piece_of[begin]
+            whole = np.flatnonzero(ids >= 0)
+            held.append((at[whole], at[whole] + size, ids[whole]))
+            if not len(at):
+                break
+        unknown = np.ones(len(code), bool)
+        unknown[held[0][0]] = unknown[stops] = False
+        at = np.flatnonzero(unknown)
+        held.append((at, at + 1, _UNKNOWN + code[at].astype(np.int64)))
+        # In the order of their place in the word: the first of equal sums has the longest last piece.
+        start, end, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        place = (np.arange(len(code)) - np.repeat(begins, sizes + 1)).astype(np.uint8)[start]
+        order = np.argsort(place, kind="stable")
+        start, end, ids = start[order], end[order], ids[order]
+        scores = np.where(ids < _UNKNOWN, self._score_of[np.where(ids < _UNKNOWN, ids, 0)], self.unknown)
+        best, last = np.full(len(code), LOW, np.int64), np.zeros(len(code), np.int64)
+        best[begins] = 0
+        low = 0
+        for high in np.cumsum(np.bincount(place)).tolist():
+            to, options = end[low:high], best[start[low:high]] + scores[low:high]
+            better = np.flatnonzero(options > best[to])  # a word's pieces from one place end at different ones
+            best[to[better]] = options[better]
+            last[to[better]] = better + low
+            low = high
+        # Back from the words' ends, a piece of every word that is not done at a time.
+        row = np.arange(len(words))
+        here, rounds, count = stops, [], np.zeros(len(words), np.int64)
+        while len(row):
+            piece = last[here]
+            rounds.append((row, ids[piece]))
+            count[row] += 1
+            here = start[piece]
+            going = np.flatnonzero(here > begins[row])
+            row, here = row[going], here[going]
+        ends = np.cumsum(count)
+        path = np.zeros(int(count.sum()), np.int64)
+        for n, (row, piece) in enumerate(rounds, 1):
+            path[ends[row] - n] = piece
+        data, at = path.astype("<u4").tobytes(), (4 * ends).tolist()
+        out = [data[a:b] for a, b in zip([0, *at], at, strict=False)]
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(path >= _UNKNOWN), "right")).tolist():
+            out[i] = np.array([x for v in path[ends[i] - count[i]:ends[i]].tolist() for x in (
+                [v] if v < _UNKNOWN else self._bytes_of(chr(v - _UNKNOWN)))], "<u4").tobytes()
         return out
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """``word`` of every span, those of one length together."""
-        out: list[bytes | None] = [None] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for n, places in by_length.items():
-            for at in range(0, len(places) if n <= LONGEST_CACHED else 0, 4096):
-                part = places[at:at + 4096]
-                for i, ids in zip(part, self._same_length([words[i] for i in part], n), strict=True):
-                    out[i] = ids
-        return [self.word(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
-
-    def _same_length(self, words: list[str], n: int) -> list[bytes | None]:
-        """Best paths of spans of n characters; None for those with characters that are no piece."""
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
-        code = code.astype(np.uint64) + np.uint64(1)
-        found, scores, h = [], [], np.zeros_like(code)
-        for size in range(1, min(n, self.longest) + 1):  # pieces of one size, at all their places
-            h = h[:, :n - size + 1] * _STEP + code[:, size - 1:]
-            ids = self._find(h)
-            found.append(ids)
-            scores.append(np.where(ids >= 0, self._score_of[ids], LOW))
-        best, back = np.full((len(words), n + 1), LOW, np.int64), np.zeros((len(words), n + 1), np.int64)
-        best[:, 0] = 0
-        for end in range(1, n + 1):
-            sizes = range(min(end, self.longest), 0, -1)  # the longest last piece wins a tie
-            options = np.stack([best[:, end - k] + scores[k - 1][:, end - k] for k in sizes])
-            options = np.maximum(options, LOW)  # sums with LOW stay below every path
-            at = options.argmax(0)
-            best[:, end] = np.take_along_axis(options, at[None], 0)[0]
-            back[:, end] = min(end, self.longest) - at
-        rows, place = np.arange(len(words)), np.full(len(words), n)
-        ids, column = np.zeros((len(words), n), "<u4"), np.full(len(words), n)
-        every = np.stack([np.pad(f, ((0, 0), (0, n - f.shape[1])), constant_values=-1) for f in found])
-        while (going := place > 0).any():
-            size = back[rows, place]
-            start = np.where(going, place - size, 0)
-            column = column - going
-            ids[rows[going], column[going]] = every[size[going] - 1, rows[going], start[going]]
-            place = start
-        plain = (found[0] >= 0).all(1)
-        return [ids[i, c:].tobytes() if ok else None for i, (c, ok) in
-                enumerate(zip(column.tolist(), plain.tolist(), strict=True))]
+    def _bytes_of(self, character: str) -> list[int]:
+        return [self.byte_id[c] for c in character.encode("utf-8", "surrogatepass")]
 
     # -- one span ------------------------------------------------------------------------
     def forward(self, text: str, entry: list[int], lead: int) -> tuple[list[int], list[int]]:
@@ -246,7 +277,7 @@ class Lexicon:
         out: list[int] = []
         for a, b in reversed(spans):
             i = self.id.get(text[a:b])
-            out.extend([i] if i is not None else [self.byte_id[c] for c in text[a:b].encode("utf-8", "surrogatepass")])
+            out.extend([i] if i is not None else self._bytes_of(text[a:b]))
         return out, end
 
     def word(self, word: str) -> bytes:
@@ -254,21 +285,39 @@ class Lexicon:
         best, start = self.forward(word, [0], 0)
         return np.array(self.ids_between(word, start, len(word), 0)[0], "<u4").tobytes()
 
-    def _cached(self, words: list[str]) -> list[bytes]:
-        held = list(map(self.known.get, words))
-        if None in held:
-            missing = list(dict.fromkeys(w for w, ids in zip(words, held, strict=True) if ids is None))
-            fresh = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
-            new = [w for w in missing if w not in fresh]
-            fresh.update(zip(new, self.words(new), strict=True))
-            if self.known_bytes > self.cache_bytes:
-                self.known, self.older, self.known_bytes = {}, self.known, 0
-            for w, ids in fresh.items():
-                if len(w) <= LONGEST_CACHED:
-                    self.known[w] = ids
-                    self.known_bytes += len(w) + len(ids) + 180  # with the objects' own size
-            held = [fresh[w] if ids is None else ids for w, ids in zip(words, held, strict=True)]
-        return held
+    def forget(self) -> None:
+        """Drop the words that are kept."""
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.passing: list[str] = []
+        self.known_bytes = 0
+
+    def learn(self, words: set[str]) -> None:
+        """``known`` holds the ids of all these words, until the next call at least."""
+        for w in self.passing:
+            del self.known[w]
+        self.passing = []
+        new = words.difference(self.known)
+        if new and self.known_bytes > self.cache_bytes:
+            self.known, self.older, self.known_bytes = {}, self.known, 0
+            new = words
+        unseen = list(new.difference(self.older))
+        fresh = dict(zip(unseen, self.words(unseen), strict=True))
+        if len(fresh) < len(new):
+            fresh.update((w, self.older[w]) for w in new if w in self.older)
+        self.known.update(fresh)
+        self.passing = [w for w in fresh if len(w) > LONGEST_CACHED]
+        # with the objects' own size
+        self.known_bytes += sum(map(len, fresh)) + sum(map(len, fresh.values())) + 180 * len(fresh)
+        self.known_bytes -= sum([len(w) + len(fresh[w]) + 180 for w in self.passing])
+
+    def ids_of(self, words: list[str]) -> bytes:
+        """Ids (32 bits each) of the words, one behind the other."""
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self.learn(set(words))
+            return b"".join(map(self.known.__getitem__, words))
 
     def marked(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -285,53 +334,62 @@ class Lexicon:
             while end < len(texts) and (end == begin or size + len(texts[end] or "") <= CHARACTERS_AT_ONCE):
                 size += len(texts[end] or "")
                 end += 1
-            spans = [self.spans(self.marked(t)) if t else [] for t in texts[begin:end]]
-            held, at = self._cached([w for x in spans for w in x]), 0
-            for x in spans:
-                out.append(np.frombuffer(b"".join(held[at:at + len(x)]), "<u4").astype(np.int32))
-                at += len(x)
+            keys = [self.keys(self.marked(t)) if t else [] for t in texts[begin:end]]
+            self.learn(set(itertools.chain.from_iterable(keys)))
+            out += [np.frombuffer(self.ids_of(x), "<u4").astype(np.int32) for x in keys]
             begin = end
         return out
 
-    def spans(self, marked: str) -> list[str]:
-        """The marked text cut at places that every path passes."""
+    def keys(self, marked: str) -> list[str]:
+        """Words of a marked text, cut at places that every path passes: before space marks and line ends.
+
+        The text begins with one of these. A word's first space mark is left out, see ``marked_word``.
+        """
         if not self.cuts:
-            return [marked]
-        return (_SPANS_AND_LINES if self.line_cuts else _SPANS).findall(marked)
+            return [marked[1:]]
+        apart = marked.replace("\n", SPACE + "\n") if self.line_cuts else marked
+        if SPACE + SPACE not in apart:
+            return apart.split(SPACE)[1:]
+        return [w[1:] if w[0] == SPACE else w for w in self._marked_words.findall(marked)]
+
+    def marked_word(self, key: str) -> str:
+        return key if self.line_cuts and key[:1] == "\n" else SPACE + key
 
     def decode(self, ids) -> str:
-        table = self.text
-        data = b"".join([table[i] for i in ids])
-        text = data.decode("utf-8", "replace")
+        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
     # -- chunks --------------------------------------------------------------------------
+    def first_cut(self, text: str, lead: int) -> int | None:
+        """The first place of a chunk, ``text`` behind its ``lead`` characters, that every path passes."""
+        # A place tells by the character before it; the first has none, unless the text begins there.
+        found = self._word_starts.search(text, max(lead, 1) if lead else 0) if self.cuts else None
+        return found and found.start()
+
     def inside(self, text: str, lead: int) -> tuple[int, list[str], int] | None:
         """(first, words, last): the first and last place of a chunk that every path passes, and the words between.
 
         The chunk is ``text`` behind its ``lead`` characters; None if it has no such place.
         """
-        if not self.cuts:
-            return None
-        words = self.spans(text)
-        ends = np.cumsum([len(w) for w in words])
-        starts = np.r_[0, ends[:-1]]
-        # A start tells by the character before it; the first has none, unless the text begins there.
-        sure = np.flatnonzero((starts >= lead) & ((starts > 0) | (lead == 0)))
-        if not len(sure):
+        first = self.first_cut(text, lead)
+        if first is None:
             return None
-        return int(starts[sure[0]]), words[sure[0]:-1], int(starts[-1])
-
-    def learn(self, texts) -> None:
-        """Find the ids of the words of many chunks together: arrays by word length are then long."""
-        if self.cuts:
-            self._cached(list({w for t in texts for w in self.spans(t)}))
-
-    def matrix(self, text: str, lead: int) -> np.ndarray:
-        """[entry state, exit state] sums over the chunk behind the ``lead`` characters."""
+        last = text.rfind(SPACE)
+        while last > first and text[last - 1] == SPACE:
+            last -= 1
+        last = max(first, last, text.rfind("\n") if self.line_cuts else -1)
+        return first, self.keys(text[first:last]) if last > first else [], last
+
+    def insides(self, texts, leads) -> list[tuple[int, list[str], int] | None]:
+        """``inside`` of many chunks, whose words are learnt together: arrays are then long."""
+        places = [self.inside(t, n) for t, n in zip(texts, leads, strict=True)]
+        self.learn(set(itertools.chain.from_iterable(p[1] for p in places if p)))
+        return places
+
+    def matrix(self, text: str, lead: int, places: tuple[int, list[str], int] | None) -> np.ndarray:
+        """[entry state, exit state] sums over the chunk behind the ``lead`` characters; ``places``: ``inside``."""
         size = self.longest
         out = np.full((size, size), -np.inf)
-        places = self.inside(text, lead)
         if places is None:
             for k in range(lead + 1):
                 entry = [LOW] * (lead + 1)
@@ -343,7 +401,7 @@ class Lexicon:
             return out
         first, words, last = places
         head = self.backward(text[:first], lead)
-        between = int(self._sum_of[np.frombuffer(b"".join(self._cached(words)), "<u4")].sum())
+        between = int(self._sum_of[np.frombuffer(self.ids_of(words), "<u4")].sum())
         tail, _ = self.forward(text[last:], [0], 0)
         left = np.array([-np.inf if v == LOW else v for v in head], float)
         right = np.array([-np.inf if v == LOW else v for v in tail[::-1][:size]], float)
@@ -371,20 +429,20 @@ class Lexicon:
     def entries(self, text: str, entry: list[int], lead: int) -> bytes:
         """For every exit state, the entry state that its best path comes from."""
         back = bytearray(self.longest)
-        places = self.inside(text, lead)
-        upto = text if places is None else text[:places[0]]
+        first = self.first_cut(text, lead)
+        upto = text if first is None else text[:first]
         best, start = self.forward(upto, entry, lead)
         for j in range(self.longest):
-            end = len(text) - j if places is None else places[0]
+            end = len(text) - j if first is None else first
             if len(text) - j > lead and best[end] > LOW:
                 while end > lead:
                     end = start[end]
                 back[j] = lead - end
         return bytes(back)
 
-    def trace(self, text: str, entry: list[int], lead: int, exit_state: int) -> np.ndarray:
-        """Ids of the best path of a chunk that leaves it in ``exit_state``."""
-        places = self.inside(text, lead)
+    def trace(self, text: str, entry: list[int], lead: int, exit_state: int,
+              places: tuple[int, list[str], int] | None) -> np.ndarray:
+        """Ids of the best path of a chunk that leaves it in ``exit_state``; ``places``: ``inside``."""
         if places is None:
             _, start = self.forward(text, entry, lead)
             return np.array(self.ids_between(text, start, len(text) - exit_state, lead)[0], np.int32)
@@ -393,11 +451,8 @@ class Lexicon:
         head = np.array(self.ids_between(text[:first], start, first, lead)[0], "<u4").tobytes()
         _, start = self.forward(text[last:], [0], 0)
         tail = np.array(self.ids_between(text[last:], start, len(text) - last - exit_state, 0)[0], "<u4").tobytes()
-        return np.frombuffer(b"".join([head, *self._cached(words), tail]), "<u4").astype(np.int32)
-
+        return np.frombuffer(head + self.ids_of(words) + tail, "<u4").astype(np.int32)
 
-_SPANS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_SPANS_AND_LINES = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 _LEXICONS: dict[str, Lexicon] = {}
 KEPT.append(_LEXICONS)
@@ -411,6 +466,16 @@ def lexicon(path: str) -> Lexicon:
     return _LEXICONS[path]
 
 
+def end_of_task() -> None:
+    """Give memory back, but for the lexicons: without their words, they serve the worker's next tasks.
+
+    Tasks call it by its name; a function that names ``_LEXICONS`` itself would be sent with a copy.
+    """
+    for lex in _LEXICONS.values():
+        lex.forget()
+    trim_memory(_LEXICONS)
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -476,8 +541,8 @@ def encode_chunks(texts: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame
     def matrices(frames):
         for pdf in frames:
             lex = lexicon(model)
-            lex.learn(pdf["body"])
-            made = [lex.matrix(t, n).tobytes() for t, n in zip(pdf["body"], pdf["lead"], strict=True)]
+            made = [lex.matrix(text, lead, places).tobytes() for text, lead, places in
+                    zip(pdf["body"], pdf["lead"], lex.insides(pdf["body"], pdf["lead"]), strict=True)]
             yield pd.DataFrame({"doc": pdf["doc"], "at": pdf["at"], "element": made})
 
     def square(b: bytes) -> np.ndarray:
@@ -494,9 +559,10 @@ def encode_chunks(texts: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame
 
     def trace(frames):
         for pdf in frames:
-            lexicon(model).learn(pdf["body"])
-            made = [lexicon(model).trace(text, entry_of(state), lead, exit_[0])
-                    for text, lead, state, exit_ in zip(pdf["body"], pdf["lead"], pdf["state"], pdf["exit"], strict=True)]
+            lex = lexicon(model)
+            places = lex.insides(pdf["body"], pdf["lead"])
+            made = [lex.trace(text, entry_of(state), lead, exit_[0], x) for text, lead, state, exit_, x in
+                    zip(pdf["body"], pdf["lead"], pdf["state"], pdf["exit"], places, strict=True)]
             yield pd.DataFrame({"doc": pdf["doc"], "at": pdf["at"], "ids": made})
 
     scratch = Scratch(spark, "pieces")
@@ -587,13 +653,13 @@ def encoded_and_decoded(docs: DataFrame, spark: SparkSession, chunk: int = CHUNK
 
     def digests(made):
         def run(frames):
-            lexicon(model).cache_bytes = cache_bytes
             for pdf in frames:
+                lexicon(model).cache_bytes = cache_bytes
                 rows = [digest(ids, t) for ids, t in zip(made(pdf), pdf["text"], strict=True)]
                 found = pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "round_trip"])
                 found.insert(0, "doc_id", pdf["doc_id"].values)
                 yield found
-            trim_memory(_LEXICONS)
+            end_of_task()
         return run
 
     schema = f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean"

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,28 @@ def test_encoded_and_decoded_of_odd_rows(spark, lex):
     assert pieces.encoded_and_decoded(docs.limit(0), spark).collect() == []
 
 
+def test_words_with_unknown_characters_are_searched_with_the_others(lex, monkeypatch):
+    text = "the \U0001F9FFnation\U0001F9FF\U0001F9FFing,\n\U0001F9FFx  \U0001F9FF \U0001F9FF\n nation\0 a"
+    want = best_path(lex, lex.marked(text))
+    new = pieces.Lexicon(open(pieces.default_model(), "rb").read())
+    monkeypatch.setattr(pieces.Lexicon, "forward", None)  # the search of one span
+    assert new.encode(text).tolist() == want
+
+
+def test_workers_keep_the_lexicon_for_their_next_task(spark):
+    """A task's function that named the lexicons came with a copy of them, and its end dropped the worker's own."""
+    docs = spark.createDataFrame([(i, f"the nation {i}") for i in range(40)], "doc_id long, text string").repartition(8)
+    assert pieces.encoded_and_decoded(docs, spark).count() == 40
+
+    def kept(frames):
+        from storytrack.llm import pieces as own
+        for _ in frames:
+            yield pd.DataFrame({"n": [len(own._LEXICONS)], "words": [sum(len(x.known) for x in own._LEXICONS.values())]})
+
+    rows = spark.range(8).repartition(8).mapInPandas(kept, "n long, words long").collect()
+    assert max(r.n for r in rows) == 1 and max(r.words for r in rows) == 0
+
+
 # -- token store ---------------------------------------------------------------------------
 ODD = ["a  b", "  x y ", "a\n\nb", "a \nb", "a\n b", "don't we'll  's x, 's. '.", "\ttab\r\n x\xa0y  z",
        "<|endoftext|> a b <|endoftext|>c", "é. è, ñ! 你好? 世界", "x\x1cy \x1f z", "1234. a1b2, ²³ ½.", " ", "\n",
