@@ -145,11 +145,12 @@ def discovery_stream(spark: SparkSession, landing: str, story0: DataFrame, subre
                      trigger_s: int | None = None):
     """ST1: each micro-batch of landed pages runs the discovery job (E1) against the stories
     as the previous batches left them and writes, under ``out_root``: ``samples/batch=N``,
-    ``new_stories/batch=N`` and the changed and new rows as ``story_delta/batch=N``."""
+    ``new_stories/batch=N`` and the changed and new rows as ``story_delta/batch=N``. Pages
+    that landed before any community is known are guarded as others: the stream goes on."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         story = current(spark, story0, out_root, before=batch_id)
-        run = jobs.discovery(batch, story, _read(subreddit), _now(as_of, batch, batch_id, "tick"))
+        run = jobs.discovery(batch, story, _read(subreddit), _now(as_of, batch, batch_id, "tick"), need_known=False)
         # A scrape's outputs are small (≤ one row per story seen); each is computed once
         # and reused by the writes below.
         samples = run.samples.persist(StorageLevel.MEMORY_AND_DISK)
